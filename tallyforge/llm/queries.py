@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, licences, pii, secrets
+from tallyforge.llm import decontaminate, licences, pii, secrets, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,13 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op8_licences": op8_licences}
+def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfiles.summary(spark, tokenfiles.encode_files(table(spark, sf_dir, "documents"), vocabulary))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op8_licences": op8_licences, "op10_token_files": op10_token_files}
 ORACLES: dict[str, str] = {}
