@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, licences, pii, secrets, tokenfiles
+from tallyforge.llm import decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     return found.select(
@@ -53,6 +62,14 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(hilbert.shard(hilbert.metadata(table(spark, sf_dir, "documents"))))
+
+
+def shard_digest(sharded: DataFrame) -> DataFrame:
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -61,5 +78,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return tokenfiles.summary(spark, tokenfiles.encode_files(table(spark, sf_dir, "documents"), vocabulary))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op8_licences": op8_licences, "op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
+ORACLES: dict[str, str] = {"op6_mix": sql.OP6}
