@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
+from tallyforge.llm import ann, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -78,5 +82,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return tokenfiles.summary(spark, tokenfiles.encode_files(table(spark, sf_dir, "documents"), vocabulary))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
 ORACLES: dict[str, str] = {"op6_mix": sql.OP6}
