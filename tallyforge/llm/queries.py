@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
+from tallyforge.llm import ann, chosenpath, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -82,5 +86,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return tokenfiles.summary(spark, tokenfiles.encode_files(table(spark, sf_dir, "documents"), vocabulary))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
 ORACLES: dict[str, str] = {"op6_mix": sql.OP6}
