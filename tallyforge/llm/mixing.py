@@ -11,13 +11,13 @@ between sources.  Each document has a random number u from a hash; its Pareto ra
 is q = (u/(1-u)) / (p/(1-p)), and the smallest q are taken until the source's remaining
 words are filled, so the size is fixed in words, to within half of the document at the cut.
 
-The cut needs no total order of a source: words are added up over 65,536 ranges of q/(1+q)
+The cut needs no total order of a source: words are added up over ``RANGES`` ranges of q/(1+q)
 per source, the running sum finds the range that holds the cut, and only that range's
 documents are ordered.  A source with a third of all rows is thus spread like any other.
 
 Null texts have size 0.  Null sources form one source, the last in order.  Documents of size
-0 take nothing.  Repeated rows are documents of their own; where equal rows meet at the cut,
-it does not matter which is taken.  An empty input gives an empty mix.
+0 take nothing.  Repeated rows are documents of their own; those that share
+id and size at the cut are taken together.  An empty input gives an empty mix.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from tallyforge.llm.shared import save
 
 CAP = 3
 WEIGHTS = (5, 2, 1)
-RANGES = 65_536
+RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -59,37 +59,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
-    """Per input row: doc_id, size, source_size, target, copies, taken."""
-    size = word_count(F.col(text_col))
-    table = save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
-    return draw(table, weights, cap, seed)
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns the draw needs: doc_id, source, size."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+
+
+def _rank_variable(table: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """Rows with their source's goal, q as q/(1+q), and the range it falls in."""
+    rows = table.join(goals, F.col("source").eqNullSafe(F.col("__source"))).withColumn("u", uniform(F.col("doc_id"), F.col("size"), seed))
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    rows = rows.withColumn("q", F.when(F.col("p") > 0, q / (1 + q)).otherwise(F.lit(1.0)))
+    return rows.withColumn("range", F.least(F.floor(F.col("q") * RANGES), F.lit(RANGES - 1)).cast("int")).drop("u")
 
 
-def draw(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
-    """The draw over a stored table (doc_id, source, size, other columns kept)."""
+def _order() -> Column:
+    return F.struct("q", "doc_id", "size")
+
+
+def rules(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
+    """Per source: source_size, target, whole copies, and where its draw is cut; stored.
+
+    ``table``: (doc_id, source, size), stored.  Documents before the cut range are drawn, and
+    in that range those up to ``last`` in the order of q; without a cut range all are drawn.
+    """
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     goals = targets(table, weights, cap)
     goals = goals.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     goals = goals.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     goals = save(goals.withColumnRenamed("source", "__source"), "targets")
-    u = uniform(F.col("doc_id"), F.col("size"), seed)
-    rows = table.join(goals, F.col("source").eqNullSafe(F.col("__source"))).withColumn("u", u)
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    place = F.when(F.col("p") > 0, q / (1 + q)).otherwise(F.lit(1.0))
-    rows = rows.withColumn("q", place).withColumn("range", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)).cast("int"))
+    rows = _rank_variable(table, goals, seed)
     per_range = rows.groupBy("__source", "range").agg(F.sum("size").alias("n"), F.max("left").alias("left"))
     running = Window.partitionBy("__source").orderBy("range")
     per_range = per_range.withColumn("upto", F.sum("n").over(running)).withColumn("start", F.col("upto") - F.col("n"))
-    cut = per_range.where((F.col("left") > 0) & (F.col("start") < F.col("left")) & (F.col("upto") >= F.col("left")))
+    cut = per_range.where((F.col("start") < F.col("left")) & (F.col("upto") >= F.col("left")))
     cut = save(cut.select(F.col("__source").alias("cut_source"), F.col("range").alias("cut_range"), "start"), "cuts")
-    placed = rows.join(cut, F.col("__source").eqNullSafe(F.col("cut_source")), "left")
-    at_cut = F.col("range") == F.col("cut_range")
-    inside = Window.partitionBy("__source", "range").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    taken_at_cut = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2 <= F.col("left")
-    extra = F.when(F.col("p") <= 0, F.lit(False)).otherwise(F.coalesce(F.col("range") < F.col("cut_range"), F.lit(True)))
-    kept = [c for c in table.columns if c != "source"]
-    outside = placed.where(~F.coalesce(at_cut, F.lit(False))).withColumn("more", extra.cast("int"))
-    boundary = placed.where(at_cut).withColumn("more", F.when(F.col("p") > 0, taken_at_cut).otherwise(F.lit(False)).cast("int"))
-    both = outside.unionByName(boundary).withColumn("copies", F.col("whole") + F.col("more"))
-    return both.select(*kept, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    boundary = rows.join(cut, F.col("__source").eqNullSafe(F.col("cut_source")) & (F.col("range") == F.col("cut_range")))
+    before = Window.partitionBy("__source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("size") / 2 <= F.col("left")
+    last = boundary.withColumn("within", within).groupBy("cut_source").agg(F.max(F.when(F.col("within"), _order())).alias("last"))
+    last = last.withColumnRenamed("cut_source", "last_source")
+    cuts = cut.drop("start").join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
+    found = goals.join(cuts, F.col("__source").eqNullSafe(F.col("cut_source")), "left")
+    return save(found.select("__source", "source_size", "target", "whole", "p", "cut_range", "last"), "rules")
+
+
+def copies_of(table: DataFrame, rule: DataFrame, seed: int = 11) -> DataFrame:
+    """``table`` (doc_id, source, size and any others) with source_size, target and copies."""
+    rows = _rank_variable(table, rule, seed)
+    drawn = (F.col("range") < F.col("cut_range")) | ((F.col("range") == F.col("cut_range")) & F.coalesce(_order() <= F.col("last"), F.lit(False)))
+    # a source without a remainder draws nobody; one whose words never reach the cut draws everybody
+    more = F.when(F.col("p") <= 0, F.lit(False)).when(F.col("cut_range").isNull(), F.lit(True)).otherwise(drawn)
+    return rows.withColumn("copies", F.col("whole") + more.cast("int")).select(*table.columns, "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
+    """Per input row: doc_id, source, size, source_size, target, copies, taken."""
+    table = save(sized(docs, id_col, text_col, source_col), "sizes")
+    return copies_of(table, rules(table, weights, cap, seed), seed).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
+    """Each row as often as the mix takes it, all columns as they were."""
+    rule = rules(save(sized(docs, id_col, text_col, source_col), "sizes"), weights, cap, seed)
+    carried = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).select("row", *[F.col("row")[c].alias(n) for c, n in ((id_col, "doc_id"), (source_col, "source"))], word_count(F.col("row")[text_col]).alias("size"))
+    drawn = copies_of(carried, rule, seed).where("copies > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
