@@ -383,3 +383,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     out = signed.select("doc_id", "set_key").join(per_key, "set_key", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that name their class, all columns as they were.
+
+    Rows without an id stay.  Where an id and its text are repeated, one of the rows stays.
+    """
+    found = save(near_duplicates(docs, id_col, text_col, threshold), "classes")
+    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    named, unnamed = left.where(F.col(id_col).isNotNull()), left.where(F.col(id_col).isNull())
+    marked = named.withColumn("__text_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return marked.dropDuplicates([id_col, "__text_key"]).drop("__text_key").unionByName(unnamed)

@@ -137,3 +137,12 @@ def scan_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def hit_words(runs):
     """Number of words covered by the runs column."""
     return F.coalesce(F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["first"]), F.lit(0).cast("bigint"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows in whose text no item window occurs, all columns as they were."""
+    columns = docs.columns
+    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    at, text = f"c{columns.index(id_col)}", f"c{columns.index(text_col)}"
+    found = scan_items(named, benchmark, at, text, keep=named.columns, **more).where(F.size("runs") == 0)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
