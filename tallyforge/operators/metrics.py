@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.relational import global_rank
+
 NAMES = {0: "not_helpful", 1: "needs_more_ratings", 2: "helpful"}
 
 
@@ -79,7 +81,7 @@ def confusion(df: DataFrame, truth: str, pred: str, order: Sequence[int] = (2, 1
 
 def crosstab(df: DataFrame, truth: str, pred: str, values: Sequence[int]) -> DataFrame:
     """Cross table with margins, from one cube."""
-    cube = df.cube(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.grouping("t").alias("gt"), F.grouping("p").alias("gp"))
+    cube = df.select(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).cube("t", "p").agg(F.count(F.lit(1)).alias("n"), F.grouping("t").alias("gt"), F.grouping("p").alias("gp"))
     named = cube.select(F.when(F.col("gt") == 1, "All").otherwise(F.col("t")).alias("t"), F.when(F.col("gp") == 1, "All").otherwise(F.col("p")).alias("p"), "n")
     cells = [F.coalesce(F.sum(F.when(F.col("p") == str(v), F.col("n"))), F.lit(0)).alias(f"pred_{v}") for v in [*values, "All"]]
     return named.groupBy(F.col("t").alias("true_class")).agg(*cells)
@@ -105,10 +107,11 @@ def coverage_policies(df: DataFrame, score: str, ties: Sequence[Column], correct
     """Accuracy at a target coverage by three tie policies: round(k), ceil(k), and all tied with the k-th."""
     n = df.count()
     ks = {"round": max(1, round(target * n)), "ceil": max(1, -(-int(target * n * 1_000_000) // 1_000_000))}
-    order = Window.orderBy(F.col(score).desc(), *ties)
-    ranked = df.withColumn("k", F.row_number().over(order)).withColumn("r", F.rank().over(Window.orderBy(F.col(score).desc())))
+    ranked = global_rank(df, [F.col(score).desc(), *ties], "k")
+    kth = ranked.where(F.col("k") == ks["ceil"]).select(F.col(score).alias("kth"))
+    ranked = ranked.crossJoin(F.broadcast(kth))
     rows = []
-    for name, keep in (("exact_round", F.col("k") <= ks["round"]), ("exact_ceil", F.col("k") <= ks["ceil"]), ("tie_inclusive", F.col("r") <= ks["ceil"])):
+    for name, keep in (("exact_round", F.col("k") <= ks["round"]), ("exact_ceil", F.col("k") <= ks["ceil"]), ("tie_inclusive", F.col(score) >= F.col("kth"))):
         part = ranked.where(keep).agg(F.lit(name).alias("policy"), F.count(F.lit(1)).alias("resolved_notes"), (F.count(F.lit(1)) / F.lit(n)).alias("coverage"), F.count_if(correct).alias("resolved_correct"), F.avg(correct.cast("double")).alias("resolved_accuracy"))
         rows.append(part)
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

@@ -15,7 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
@@ -167,3 +167,9 @@ def kmeans_search(df: DataFrame, features: Sequence[str], ks: Sequence[int], see
         rows.append((k, float(best.summary.trainingCost), float(ClusteringEvaluator().evaluate(best.transform(ready)))))
     ready.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def deltas(df: DataFrame, group: str, method: str, value: str, baselines: Sequence[str]) -> DataFrame:
+    """Adds ``delta_<baseline>``: the value less the baseline's in the same group, null where it is absent."""
+    w = Window.partitionBy(group)
+    return df.withColumns({f"delta_{b}": F.col(value) - F.max(F.when(F.col(method) == b, F.col(value))).over(w) for b in baselines})

@@ -49,6 +49,21 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Numbers all rows from 1 in a total order without bringing them into one task.
+
+    Rows are range-sorted; each gets its place in its partition, and partition starts come from
+    one small table of counts.  The sorted rows are kept so that both uses see the same cut.
+    """
+    place = F.monotonically_increasing_id()
+    kept = df.orderBy(*order).withColumn("__at", place).persist()
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return kept.withColumn("__part", part).join(starts, "__part").withColumn(rank, F.col("__start") + row + 1).drop("__at", "__part", "__start")
+
+
 def distribution(population: DataFrame, sample: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """Counts and shares of each value combination in both tables, nulls as values of their own.
 

@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.partitionBy()
+
+def _all():
+    """Frame of all rows; used over tables with one row per stratum."""
+    return Window.partitionBy()
 
 
 def hashed(key: Column, seed: int) -> Column:
@@ -27,10 +30,10 @@ def allocate(counts: DataFrame, strata: Sequence[str], size: int) -> DataFrame:
 
     Windows without keys run over one row per stratum.
     """
-    total = F.sum("n").over(_ALL)
+    total = F.sum("n").over(_all())
     quota = F.col("n").cast("double") * size / total
     base = counts.withColumn("quota", quota).withColumn("floor", F.floor("quota").cast("long"))
-    left = F.lit(size) - F.sum("floor").over(_ALL)
+    left = F.lit(size) - F.sum("floor").over(_all())
     order = Window.orderBy(F.desc("frac"), *[F.col(s).asc_nulls_first() for s in strata])
     ranked = base.withColumn("frac", F.round(F.col("quota") - F.col("floor"), 9)).withColumn("left", left).withColumn("k", F.row_number().over(order))
     return ranked.select(*strata, "n", (F.col("floor") + (F.col("k") <= F.col("left")).cast("long")).alias("allocated"))
@@ -52,17 +55,17 @@ def redistribute(allocation: DataFrame, strata: Sequence[str]) -> DataFrame:
     """
     key = [F.col(s).asc_nulls_first() for s in strata]
     base = allocation.withColumn("given", F.least("allocated", "available")).withColumn("room", F.greatest(F.col("available") - F.col("allocated"), F.lit(0)))
-    base = base.withColumn("deficit", F.sum(F.col("allocated") - F.col("given")).over(_ALL))
+    base = base.withColumn("deficit", F.sum(F.col("allocated") - F.col("given")).over(_all()))
     # with rooms ascending, r whole rounds use sum(min(room, r)) units; find the largest r that fits
     up = Window.orderBy("room", *key)
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     rest = up.rowsBetween(0, Window.unboundedFollowing)
     used = F.coalesce(F.sum("room").over(before), F.lit(0))
     fits = F.floor((F.col("deficit") - used) / F.count(F.lit(1)).over(rest))
-    level = base.withColumn("fits", fits).withColumn("fits_here", F.col("fits") <= F.col("room"))
-    rounds = F.coalesce(F.min(F.when(F.col("fits_here"), F.struct("room", "fits"))).over(_ALL)["fits"], F.max("room").over(_ALL))
+    level = base.withColumn("fits", fits).withColumn("k", F.row_number().over(up))
+    rounds = F.coalesce(F.min(F.when(F.col("fits") <= F.col("room"), F.struct("k", "fits"))).over(_all())["fits"], F.max("room").over(_all()))
     level = level.withColumn("rounds", rounds).withColumn("whole", F.least(F.col("room"), F.col("rounds")))
-    last = F.col("deficit") - F.sum("whole").over(_ALL)
+    last = F.col("deficit") - F.sum("whole").over(_all())
     open_ = F.col("room") > F.col("rounds")
     turn = F.row_number().over(Window.orderBy(F.when(open_, 0).otherwise(1), F.desc("room"), *key))
     more = (open_ & (turn <= F.col("last"))).cast("long")
