@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.shared import delete, fresh_path, write
 
 END_ID = 1
-CACHE_PIECES = 200_000
+CACHE_PIECES = 690_000
 BLOCK_IDS = 1 << 20
 PART_IDS = 1 << 22
 
@@ -42,6 +44,10 @@ _PREPARE = bytes(32 if i in (9, 10, 13) else i + 32 if 65 <= i <= 90 else i for
 _SPACES = bytes(32 if i in (9, 10, 13) else i for i in range(256))
 
 
+_ASCII_WORD = re.compile(r"[a-z]+")
+_WORD_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?#$%&*]+)")
+
+
 class Pieces(dict):
     """Bytes of the ids (little-endian uint32 or uint16) of each piece, filled on demand."""
 
@@ -52,12 +58,34 @@ class Pieces(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.letters: dict[str, str | None] = {}
+        self.plain_ascii = all(self.letter(c) == c for c in "abcdefghijklmnopqrstuvwxyz")
+
+    def letter(self, c: str) -> str | None:
+        """What the tokenizer's model sees of a letter inside a word; None where that is not one plain piece."""
+        if c not in self.letters:
+            t = self.tokenizer
+            known = c.isalpha() and c < "ɐ" and t.normalizer is not None and t.pre_tokenizer is not None
+            pieces = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(c)) if known else []
+            twice = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str("a" + c + "a")) if known else []
+            self.letters[c] = pieces[0][0] if len(pieces) == len(twice) == 1 and twice[0][0] == f"a{pieces[0][0]}a" else None
+        return self.letters[c]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ".,;:!?" and piece[-2].isalpha() and piece[-2] < "ɐ":
-            out = self[piece[:-1]] + self[piece[-1]]  # letters and a following mark are pieces of their own
+        if m := _WORD_AND_MARKS.fullmatch(piece):
+            out = self[m[1]] + self[m[2]]  # letters and the marks that follow them are pieces of their own
         else:
-            out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+            if _ASCII_WORD.fullmatch(piece) and self.plain_ascii:
+                seen = piece
+            else:
+                each = [self.letter(c) for c in piece] if len(piece) <= 64 else [None]
+                seen = None if None in each else "".join(each)
+            if seen is None:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            else:  # a word of plain letters is one piece, so the library's model may be asked at once
+                ids = [t.id for t in self.tokenizer.model.tokenize(seen)]
+            out = array(self.code, ids).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE_PIECES:
                 self.clear()
