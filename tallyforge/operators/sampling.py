@@ -100,10 +100,10 @@ def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
 
 
 def bootstrap(groups: DataFrame, n: int, rounds: int, seed: int) -> DataFrame:
-    """Poisson-free resampling of (value, weight) groups: (round, accuracy).
+    """Resampling with replacement: (round, accuracy) of ``rounds`` samples of size ``n``.
 
-    ``groups`` holds distinct values of a 0/1 outcome with their counts, so a round draws from
-    two counts rather than from rows: each of ``n`` draws picks a hashed index below n.
+    ``groups`` holds the two values of a 0/1 outcome with their counts (value, weight), so rows
+    are never joined: each draw is a hashed index below n, a hit if it is below the ones' count.
     """
     hits = groups.agg(F.sum(F.col("value") * F.col("weight")).alias("hits"))
     draws = groups.sparkSession.range(rounds).select(F.col("id").alias("round")).crossJoin(groups.sparkSession.range(n).select(F.col("id").alias("i")))

@@ -83,12 +83,11 @@ def persona_profile(spark, d):
     return raters(spark, d).select("rater_id", t.alias("tendency"), ops.profile_text(lines).alias("profile"))
 
 
-@query("SELECT note_id, agent_id, concat('Topic: ', primary_topic, chr(10), 'Agent: ', agent_id) AS prompt FROM notes, (SELECT concat('C0', range) AS agent_id FROM range(1, 8)) WHERE note_key < 500")
+@query("SELECT note_id, agent_id, concat('Topic: ', primary_topic, chr(10), 'Agent: ', agent_id) AS prompt FROM notes, (SELECT concat('C0', range) AS agent_id FROM range(1, 8))")
 def cross_tasks(spark, d):
     agents = spark.createDataFrame([(a,) for a in v.AGENTS], "agent_id string")
     prompt = F.format_string("Topic: %s\nAgent: %s", F.col("primary_topic"), F.col("agent_id"))
-    # the run is planned for a batch of 500 items
-    return ops.tasks(v.notes(spark, d).where("note_key < 500"), agents, prompt).select("note_id", "agent_id", "prompt")
+    return ops.tasks(v.notes(spark, d), agents, prompt).select("note_id", "agent_id", "prompt")
 
 
 @query("""WITH m AS (SELECT note_id, rater_id % 8 AS cluster, avg(raw_label_id / 2.0) AS x FROM votes GROUP BY 1, 2) SELECT note_id, count(*) AS clusters, round(avg(x), 6) AS mean_share, round(stddev_pop(x), 6) AS std_share, round(min(x), 6) AS min_share, round(max(x), 6) AS max_share FROM m GROUP BY note_id""")

@@ -98,15 +98,14 @@ def stratified_folds(spark, d):
     return ops.folds(v.notes(spark, d), "true_label_3way", "note_key", 5, 5).select("note_id", "true_label_3way", "fold")
 
 
-@query("""WITH hits AS (SELECT count(*) AS hits FROM notes WHERE true_label_3way = 2 AND note_key < 400), n AS (SELECT count(*) AS n FROM notes WHERE note_key < 400),
+@query("""WITH hits AS (SELECT count(*) AS hits FROM notes WHERE true_label_3way = 2), n AS (SELECT count(*) AS n FROM notes),
 draws AS (SELECT r.range AS round, i.range AS i FROM range(200) r, range((SELECT n FROM n)) i),
 drawn AS (SELECT round, floor((((round * n + i + 9) * 2654435761 % 4294967296) * 40503 + 9) % 4294967296 * n / 4294967296.0) AS index FROM draws, n),
 acc AS (SELECT round, avg(CASE WHEN index < hits THEN 1.0 ELSE 0.0 END) AS accuracy FROM drawn, hits GROUP BY round)
-SELECT round(avg(accuracy), 6) AS mean_accuracy, round(quantile_cont(accuracy, 0.025), 6) AS low, round(quantile_cont(accuracy, 0.975), 6) AS high FROM acc""")
+SELECT round(avg(accuracy), 9) AS mean_accuracy, round(quantile_cont(accuracy, 0.025), 9) AS low, round(quantile_cont(accuracy, 0.975), 9) AS high FROM acc""")
 def bootstrap_ci(spark, d):
-    # the interval is for a fixed evaluation set of 400 items
-    evaluated = v.notes(spark, d).where("note_key < 400").select((F.col("true_label_3way") == 2).cast("int").alias("value"))
+    evaluated = v.notes(spark, d).select((F.col("true_label_3way") == 2).cast("int").alias("value"))
     groups = evaluated.groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
     rounds = ops.bootstrap(groups, evaluated.count(), 200, 9)
     q = F.percentile("accuracy", F.array(F.lit(0.025), F.lit(0.975)))
-    return rounds.agg(c.r6(F.avg("accuracy")).alias("mean_accuracy"), q.alias("q")).select("mean_accuracy", c.r6(F.col("q")[0]).alias("low"), c.r6(F.col("q")[1]).alias("high"))
+    return rounds.agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy"), q.alias("q")).select("mean_accuracy", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
