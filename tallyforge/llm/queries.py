@@ -87,4 +87,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {"op6_mix": sql.OP6}
+ORACLES: dict[str, str] = {"op3_chosen_path": sql.OP3, "op4_decontaminate": sql.OP4, "op6_mix": sql.OP6}

@@ -112,8 +112,9 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
-def test_mix_sql(spark, duck):
-    assert rows(queries.op6_mix(spark, DATA).toPandas()) == rows(duck.execute(queries.ORACLES["op6_mix"]).df())
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, duck, name):
+    assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(queries.ORACLES[name]).df())
 
 
 def test_quality_on_held_out_rows(spark):
