@@ -240,14 +240,18 @@ def model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for a, b in pairs:
             x[a, at + y[b]] += 1
             x[b, at + y[a]] += 1
-    w, target = np.zeros((x.shape[1], k)), np.eye(k)[y]
+    w = np.zeros((x.shape[1], k))
     step = 2.0 / np.maximum(x.mean(axis=0), 0.02)[:, None] ** 0.5
+    x, same = np.unique(x, axis=0, return_inverse=True)  # many tokens look alike: count them
+    target = np.zeros((len(x), k))
+    np.add.at(target, (same.ravel(), y), 1)
+    size = target.sum(axis=1, keepdims=True)
     for _ in range(400):
         z = x @ w
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        w -= step * (x.T @ (p - target) / n + 3e-4 * w)
+        w -= step * (x.T @ (p * size - target) / n + 3e-4 * w)
     chain, skip = w[N_FEATURES : N_FEATURES + k], w[N_FEATURES + k :]
     return w[:N_FEATURES], (chain + chain.T) / 2, (skip + skip.T) / 2
 
