@@ -144,7 +144,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_tra
     taught = labels.select("doc_id", F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
     size = taught.count()
     keep = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, max_train / max(size, 1)) * 1_000_000)
-    train = save(stats.join(taught.where(keep), "doc_id").select("stats", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 - 1).cast("int").alias("fold")).coalesce(8), "train")
+    train = save(stats.join(taught.where(keep), "doc_id").select("stats", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 - 1).cast("int").alias("fold")), "train")
     columns = [f(F.element_at("stats", k + 1)).alias(f"{name}{k}") for name, f in (("m", F.avg), ("s", F.stddev_pop)) for k in range(N_STATS)]
     found = train.agg(F.count("y").alias("n"), F.coalesce(F.avg("y"), F.lit(0.5)).alias("rate"), *columns).first()
     rng = np.random.default_rng(seed)
