@@ -173,3 +173,24 @@ def deltas(df: DataFrame, group: str, method: str, value: str, baselines: Sequen
     """Adds ``delta_<baseline>``: the value less the baseline's in the same group, null where it is absent."""
     w = Window.partitionBy(group)
     return df.withColumns({f"delta_{b}": F.col(value) - F.max(F.when(F.col(method) == b, F.col(value))).over(w) for b in baselines})
+
+
+def two_heads(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, spec: Spec = Spec()) -> DataFrame:
+    """``test`` with p_resolved (decided at all?) and p_direction (helpful, given decided?).
+
+    The direction head learns from decided rows only, and both heads are scored on rows that
+    took no part in the fit, so a gate tuned on them can see false rescues.
+    """
+    columns = test.columns
+    decided = lambda d: d.withColumn("__head", (F.col(label) != 1).cast("int"))
+    first = fit_predict(decided(train), decided(test), features, "__head", spec).withColumnRenamed("p_nmr", "p_resolved").select(*columns, "p_resolved")
+    side = lambda d: d.withColumn("__head", (F.col(label) == 2).cast("int"))
+    second = fit_predict(side(train.where(F.col(label) != 1)), side(first), features, "__head", spec)
+    return second.withColumnRenamed("p_nmr", "p_direction").select(*columns, "p_resolved", "p_direction")
+
+
+def choose_k(df: DataFrame, features: Sequence[str], most: int = 8) -> int:
+    """Cluster count of at least 2 with the best silhouette; few rows allow few clusters."""
+    n = df.count()
+    ks = range(2, min(most, max(2, n - 1)) + 1)
+    return kmeans_search(df, features, list(ks)).orderBy(F.desc("silhouette"), "k").first()["k"]

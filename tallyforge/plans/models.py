@@ -50,3 +50,13 @@ def ablation_run(spark, d):
         row = p.withColumn("pred", pred).agg(F.lit(e.name).alias("experiment"), F.lit(len(e.features)).alias("n_features"), *m.three_way(F.col("label"), F.col("pred")))
         out = row if out is None else out.unionByName(row)
     return out.select("experiment", "n_features", *rounded(["accuracy", "balanced_accuracy"]), "cross_error")
+
+
+@query()
+def two_head_rescue(spark, d):
+    df = _assign(labelled(spark, d), 2)
+    names = [*GROUPS["vote"], *GROUPS["confidence"]]
+    heads = models.two_heads(df.where("fold = 0"), df.where("fold = 1"), names, "label")
+    base = c.argmax3(F.col("share_nh"), F.col("share_sh"), F.col("share_h"))
+    pred = c.rescue(base, F.col("p_resolved"), 1 - F.col("p_resolved"), F.col("p_direction"), 0.6, 0.2, 0.5)
+    return heads.select("note_id", *rounded(["p_resolved", "p_direction"]), base.alias("base"), pred.alias("pred"))

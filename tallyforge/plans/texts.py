@@ -90,6 +90,16 @@ def json_find(spark, d):
     return v.replies(spark, d).select("vote_id", first.alias("found"))
 
 
+@query("SELECT vote_id, 'helpfulnessLevel,agree,confidence,props,props.k' AS paths FROM replies")
+def json_key_paths(spark, d):
+    return v.replies(spark, d).select("vote_id", F.array_join(ops.json_paths(F.col("raw_completion")), ",").alias("paths"))
+
+
+@query("SELECT vote_id, coalesce(nullif(trim(json_extract_string(raw_completion, '$.helpfulnessLevel')), ''), json_extract_string(raw_completion, '$.props.k')) AS found FROM replies")
+def json_deep_search(spark, d):
+    return v.replies(spark, d).select("vote_id", ops.json_search(F.col("raw_completion"), ["text", "helpfulnessLevel", "k"]).alias("found"))
+
+
 _H, _N = v.HELPFUL, v.NOT_HELPFUL
 _SUMS = ", ".join([f"CAST(sum(CASE WHEN raw_label_id >= 1 THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _H] + [f"CAST(sum(CASE WHEN raw_label_id = 0 THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _N])
 _REASONS = f"counts AS (SELECT note_id, count(CASE WHEN raw_label_id >= 1 THEN 1 END) AS helpful_side_votes, count(CASE WHEN raw_label_id = 0 THEN 1 END) AS not_helpful_side_votes, {_SUMS} FROM votes GROUP BY note_id)"

@@ -180,3 +180,11 @@ def test_vote_stream(spark, tmp_path):
     q.stop()
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r.n_votes, r.vote_h, r.vote_nh, r.mean_confidence) == (2, 1, 1, 60.0)
+
+
+def test_json_search(spark):
+    rows = ['{"a": {"text": " "}, "b": [{"text": "x"}], "k": 3}', '{"k": [1, {"z": 2}]}', "bad", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(texts.json_search(F.col("t"), ["text", "z", "k"])).collect()] == ["3", "2", None, None]
+    assert [r[0] for r in df.select(texts.json_search(F.col("t"), ["text"])).collect()] == ["x", None, None, None]
+    assert [r[0] for r in df.select(texts.json_paths(F.col("t"))).collect()] == [["a", "a.text", "b", "b[].text", "k"], ["k"], [], []]
