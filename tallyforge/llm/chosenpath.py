@@ -53,6 +53,7 @@ BLOCK_SHINGLES = 1 << 20
 SKETCH = 0.6
 #: Up to this many ids the fetch of texts may send the ids to every task; beyond it both sides are shuffled.
 BROADCAST_IDS = 200_000
+BROADCAST_GONE = 1_000_000
 
 _rng = np.random.default_rng(53)
 _MULTIPLY = _rng.integers(1, 1 << 63, DIMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -391,8 +392,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     Rows without an id stay.  Where an id and its text are repeated, one of the rows stays.
     """
     found = save(near_duplicates(docs, id_col, text_col, threshold), "classes")
-    gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = save(found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_GONE  # 16 MB of ids at most; with more, texts and ids are shuffled
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     named, unnamed = left.where(F.col(id_col).isNotNull()), left.where(F.col(id_col).isNull())
