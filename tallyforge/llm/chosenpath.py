@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
 from tallyforge.llm.shared import save
-from tallyforge.llm.words import buffers, groups, mix, words
+from tallyforge.llm.words import buffers, groups, mix, release, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,6 +49,7 @@ DEPTH = 6
 RECALL = 0.99
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
+ROWS = 1024
 #: Share of equal sampled tokens below which a pair is no candidate: four deviations under the threshold.
 SKETCH = 0.6
 #: Up to this many ids the fetch of texts may send the ids to every task; beyond it both sides are shuffled.
@@ -128,6 +129,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = [hashlib.md5(x[at[k] : at[k + 1]].tobytes()).digest() if size[k] else None for k in range(j - i)]
                 sigs = [next(sig).tobytes() if k else None for k in keys]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "set_key", "size", "sig"])
+        release()
 
     return kept.mapInArrow(run, _SIGNED)
 
@@ -172,9 +174,7 @@ def next_level(members: DataFrame) -> DataFrame:
 def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
     """Batches of sorted input cut so that rows that agree on the first ``n_keys`` columns stay together."""
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         same = np.ones(b.num_rows, dtype=bool)
         for k in range(n_keys):
             v = b.column(k).to_numpy()
@@ -230,6 +230,7 @@ def leaf_edges(members: DataFrame) -> DataFrame:
             root = roots(len(path), x, y)
             joined = np.flatnonzero(root != np.arange(len(path)))
             yield pa.RecordBatch.from_arrays([pa.array(sid[joined]), pa.array(sid[root[joined]])], ["a", "b"])
+        release()
 
     return members.repartition("path").sortWithinPartitions("path", "sid").mapInArrow(run, "a bigint, b bigint")
 
@@ -266,7 +267,7 @@ def overlaps(x: np.ndarray, at: np.ndarray, rows: np.ndarray, columns: np.ndarra
     flat = np.concatenate([x[at[c] : at[c + 1]] for c in columns]) if len(columns) else np.zeros(0, np.uint64)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    step = max(1, (1 << 22) // max(len(columns), 1))
+    step = max(1, (1 << 19) // max(len(columns), 1))
     for i in range(0, len(rows), step):
         part = rows[i : i + step]
         mine = np.concatenate([x[at[r] : at[r + 1]] for r in part])
@@ -277,8 +278,8 @@ def overlaps(x: np.ndarray, at: np.ndarray, rows: np.ndarray, columns: np.ndarra
         use = np.flatnonzero(size)
         ends = np.cumsum(size[use])
         j = 0
-        while j < len(use):  # slices of about two million increments
-            k = max(j + 1, int(np.searchsorted(ends, (ends[j - 1] if j else 0) + (1 << 21), "right")))
+        while j < len(use):  # slices of about half a million increments
+            k = max(j + 1, int(np.searchsorted(ends, (ends[j - 1] if j else 0) + (1 << 19), "right")))
             e = use[j:k]
             n = size[e]
             step_in = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -336,6 +337,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                 if a_all:
                     root[s:e] = roots(e - s, np.concatenate(a_all), np.concatenate(b_all)) + s
             yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(component), pa.array(sid[root]), pa.array(docs), pa.array(texts)], ["sid", "component", "root", "docs", "texts"])
+        release()
 
     keys = ["component", "bi", "bj"]
     return members.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, _LINKED)

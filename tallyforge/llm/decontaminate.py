@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.phrases import PhraseIndex
-from tallyforge.llm.words import buffers, code_points, groups, text_words, words
+from tallyforge.llm.words import buffers, code_points, groups, release, text_words, words
 
 WINDOW = 10
 MAX_WORDS = 200_000
@@ -122,13 +122,14 @@ def scan_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         scanner = Scanner(group, window, hash(tuple(group)))
 
         def run(batches: Iterator[pa.RecordBatch], scanner=scanner) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (whole.slice(start, 1000) for whole in batches for start in range(0, whole.num_rows, 1000)):
                 found = scanner.scan(b.column(at[text_name]))
                 runs, ids = b.column(at["runs"]).to_pylist(), b.column(at["items"]).to_pylist()
                 new_runs = [[dict(zip(("first", "end", "start_char", "end_char"), x, strict=True)) for x in union_runs([tuple(d.values()) for d in old], more)] for old, (_, more, _) in zip(runs, found, strict=True)]
                 new_ids = [sorted({*old, *more}) for old, (_, _, more) in zip(ids, found, strict=True)]
                 columns = [*[b.column(i) for i in range(len(carried) + 1)], pa.array([n for n, _, _ in found], pa.int64()), pa.array(new_runs, pa.list_(_RUN)), pa.array(new_ids, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            release()
 
         df = df.mapInArrow(run, schema)
     return df.drop(text_name)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import save
-from tallyforge.llm.words import buffers, groups, words
+from tallyforge.llm.words import buffers, groups, release, words
 
 MAX_TRAIN = 60_000
 FEATURES = 160
@@ -97,6 +97,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             stats = statistics(b.column(1))
             flat = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATS, dtype=np.int32), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "stats"])
+        release()
 
     return kept.mapInArrow(run, f"doc_id {kind}, stats array<double>")
 
@@ -205,8 +206,11 @@ def keep_good(model: Model, docs: DataFrame, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(model.score(statistics(b.column(at))) >= threshold))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                yield b.filter(pa.array(model.score(statistics(b.column(at))) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -13,6 +13,7 @@ bounded temporary memory.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"], _pow["i"]
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser, elementwise on uint64."""
     x = x ^ (x >> np.uint64(30))
