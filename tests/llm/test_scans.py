@@ -68,6 +68,33 @@ def test_skip_edges_carry_a_kind_to_a_repeated_mention():
     assert added == [("555-7713", "phone")]
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_one_base_span_reaches_every_mention(first):
+    full, later = "call +1 (017) 555-7713 today ", "and later dial 555-7713 or not " * 49
+    text = full + later if first else later + full
+    found = pii.find_all([text])[0]
+    assert [text[s[0] : s[1]] for s in found if s[3]] == ["+1 (017) 555-7713"]
+    assert [(text[s[0] : s[1]], s[2]) for s in found if not s[3]] == [("555-7713", "phone")] * 49
+
+
+def test_beliefs_settle_on_exact_marginals(monkeypatch):
+    """On mentions in a row the beliefs are those of adding up all labellings."""
+    import itertools
+
+    text = "and 23904 23904 " * 2 + "call 555-7713 or 555-7713 at 555-7713"
+    g = pii.Graph()
+    g.add(0, text, [(text.index("555-7713"), text.index("555-7713") + 8, "phone")])
+    node, chain, skip = pii.model()
+    total = np.zeros((len(g.fixed), len(pii.LABELS)))
+    for y in itertools.product(range(len(pii.LABELS)), repeat=len(g.fixed)):
+        if all(f in (-1, v) for f, v in zip(g.fixed, y)):
+            weight = sum(node[f, v].sum() for f, v, c in zip(g.feats, y, g.fixed) if c < 0)
+            weight += sum(chain[y[a], y[b]] for a, b in g.chain) + sum(skip[y[a], y[b]] for a, b in g.skip + g.sure)
+            total[np.arange(len(y)), y] += np.exp(weight)
+    monkeypatch.setattr(pii, "STILL", 1e-9)
+    assert np.allclose(pii.beliefs(g, pii.model()), total / total.sum(axis=1, keepdims=True), atol=1e-6)
+
+
 def test_model_on_unseen_sentences():
     """Inference with the clamps of the base patterns, against the truth of sentences it was not trained on."""
     import random
