@@ -1,8 +1,8 @@
 """Licence scan: an automaton over identifier tags and notice phrases, and licence expressions.
 
 The automaton finds notice phrases and the words of an identifier tag.  The rest of a tag's
-line is a licence expression; a shunting-yard parser turns it into postfix with the
-precedences ``with`` > ``and`` > ``or`` and parentheses, and the evaluator gives the licences
+line, however long, is a licence expression; a shunting-yard parser turns it into postfix with
+the precedences ``with`` > ``and`` > ``or`` and parentheses, and the evaluator gives the licences
 it names and whether some choice allowed by it is permissive.
 
 ``score`` is the evidence that the text states a licence: 1 - product over the places of
@@ -52,6 +52,7 @@ BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "cc-by", "0bsd", "bsl")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _LEXEME = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_LEAD = re.compile(r"[ :\t]*")
 _FAMILY = re.compile(r"^(mit|apache|lgpl|agpl|gpl|mpl|epl|bsd|isc|cc0|cc-by-nc|cc-by-sa|cc-by|unlicense|zlib|0bsd|bsl)\b")
 
 
@@ -59,10 +60,11 @@ class ExpressionError(ValueError):
     """The text is not a licence expression."""
 
 
-def to_postfix(text: str) -> list[str]:
-    """Shunting-yard: operands and operators of a licence expression in postfix order."""
+def to_postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
+    """Shunting-yard: operands and operators of the licence expression in text[at:end] in postfix order."""
     out, stack, want_operand = [], [], True
-    for lexeme in _LEXEME.findall(text):
+    for found in _LEXEME.finditer(text, at, len(text) if end is None else end):
+        lexeme = found[0]
         low = lexeme.lower()
         if low in _PRECEDENCE:
             if want_operand:
@@ -104,15 +106,19 @@ def family(identifier: str) -> str:
 
 def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     """(licences named, whether some permitted choice is permissive)."""
-    stack: list[tuple[frozenset[str], bool]] = []
+    stack: list[tuple[set[str], bool]] = []
     for x in postfix:
         if x not in _PRECEDENCE:
-            stack.append((frozenset([family(x)]), family(x) in PERMISSIVE))
+            stack.append(({family(x)}, family(x) in PERMISSIVE))
             continue
         (b, bp), (a, ap) = stack.pop(), stack.pop()
-        # an exception after "with" relaxes its licence and names none itself
-        stack.append((a, ap) if x == "with" else (a | b, ap and bp if x == "and" else ap or bp))
-    return stack[0]
+        if x == "with":  # an exception relaxes its licence and names none itself
+            stack.append((a, ap))
+            continue
+        small, large = sorted((a, b), key=len)
+        large |= small
+        stack.append((large, ap and bp if x == "and" else ap or bp))
+    return frozenset(stack[0][0]), stack[0][1]
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +139,7 @@ def scan(texts: pa.Array) -> list[tuple[int, list[int], set[str], set[str], floa
         count = np.bincount(row, minlength=j - i)
         before = np.concatenate([[0], np.cumsum(count)])
         found = [(int(n), [], set(), set(), 1.0, None) for n in count]
+        plain, line = "", range(0)  # one character per byte, made for the first tag; the tag line looked at last
         for a, b, values in idx.matches(idx.numbered(h), row):
             r = int(row[a])
             n, places, base, labels, miss, permissive = found[r]
@@ -141,9 +148,13 @@ def scan(texts: pa.Array) -> list[tuple[int, list[int], set[str], set[str], floa
                     places.append(int(a - before[r]))
                     base.add(label)
                 if what == "tag":
-                    tail = bytes(part[e[b - 1] : min(int(po[r + 1]), int(e[b - 1]) + 1000)]).split(b"\n", 1)[0].decode("utf-8", "replace")
+                    plain = plain or bytes(part).decode("latin-1")
+                    start, stop = int(e[b - 1]), int(po[r + 1])
+                    if start not in line:
+                        end = plain.find("\n", start, stop)
+                        line = range(start, end if end >= 0 else stop)
                     try:
-                        names, free = evaluate(to_postfix(tail.lstrip(" :\t")))
+                        names, free = evaluate(to_postfix(plain, _LEAD.match(plain, start, max(start, line.stop)).end(), line.stop))
                     except ExpressionError:
                         continue
                     labels |= names

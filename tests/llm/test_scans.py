@@ -253,6 +253,22 @@ def test_licences(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, len(places), places[0] if places else None, places[-1] if places else None, ",".join(labels))
 
 
+@pytest.mark.parametrize("joined", [" AND ", " OR (é ", " AND MIT\u00a0AND "])
+def test_long_expressions(joined):
+    """Every licence of a tag's line counts, however long, and none of the next line or text."""
+    many = [f"LicenseRef-{i}" for i in range(20_000)]
+    line = joined.join([*many, "GPL-3.0"]) + ")" * (joined.count("(") * len(many))
+    texts = ["x\nSPDX-License-Identifier: " + line + end for end in ("", "\nAND Zlib", " prose Zlib (", "\r\nAND Zlib")] + ["AND Zlib"]
+    want = {x.lower() for x in many} | {"gpl"} | ({"mit"} if "MIT" in joined else set())
+    for got in licences.scan(pa.array(texts))[:-1]:
+        assert got[3] == want and got[4] == pytest.approx(licences.TAG_WEIGHT) and got[5] is False
+
+
+def test_tag_lines():
+    texts = ["SPDX-License-Identifier", "SPDX-License-Identifier:\nMIT", "SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0\nSPDX-License-Identifier: ISC", "SPDX-License-Identifier: ", "MIT"]
+    assert [sorted(x[3]) for x in licences.scan(pa.array(texts))] == [[], [], ["gpl", "isc", "mit"], [], []]
+
+
 def test_phrases_do_not_cross_texts():
     index = PhraseIndex([(("a", "b"), 1), (("b",), 2)])
     buf, offs = buffers(pa.array(["x a", "b a b"]))
