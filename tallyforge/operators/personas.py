@@ -81,8 +81,13 @@ def tasks(items: DataFrame, agents: DataFrame, prompt: Column) -> DataFrame:
     return items.crossJoin(F.broadcast(agents)).withColumn("prompt", prompt)
 
 
-def cluster_quality(df: DataFrame, cluster: str, vector: str, dim: int) -> DataFrame:
-    """Inertia, Calinski-Harabasz and Davies-Bouldin of labelled vectors, from per-cluster sums."""
+def cluster_quality(df: DataFrame, cluster: str, vector: str, dim: int | None = None) -> DataFrame:
+    """Inertia, Calinski-Harabasz and Davies-Bouldin of labelled vectors, from per-cluster sums.
+
+    All components count, or the first ``dim``; one job reads how many the vectors have.
+    """
+    if dim is None:
+        dim = df.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 1
     x = [F.element_at(F.col(vector), i + 1).cast("double") for i in range(dim)]
     df = df.select(F.col(cluster).alias("cluster"), *[x[i].alias(f"x{i}") for i in range(dim)])
     centers = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"c{i}") for i in range(dim)])

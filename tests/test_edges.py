@@ -188,3 +188,23 @@ def test_json_search(spark):
     assert [r[0] for r in df.select(texts.json_search(F.col("t"), ["text", "z", "k"])).collect()] == ["3", "2", None, None]
     assert [r[0] for r in df.select(texts.json_search(F.col("t"), ["text"])).collect()] == ["x", None, None, None]
     assert [r[0] for r in df.select(texts.json_paths(F.col("t"))).collect()] == [["a", "a.text", "b", "b[].text", "k"], ["k"], [], []]
+
+
+def test_cluster_quality_of_whole_vectors(spark):
+    import numpy as np
+
+    from tests.conftest import DATA
+
+    df = spark.read.parquet(f"{DATA}/embeddings.parquet").select("label", "embedding")
+    got = personas.cluster_quality(df, "label", "embedding").first()
+    x, y = (np.array(v) for v in zip(*[(r.embedding, r.label) for r in df.collect()]))
+    names = np.unique(y)
+    centers = np.array([x[y == c].mean(axis=0) for c in names])
+    inertia = sum(((x[y == c] - m) ** 2).sum() for c, m in zip(names, centers))
+    between = sum((y == c).sum() * ((m - x.mean(axis=0)) ** 2).sum() for c, m in zip(names, centers))
+    scatter = np.array([np.sqrt(((x[y == c] - m) ** 2).sum(axis=1)).mean() for c, m in zip(names, centers)])
+    apart = np.sqrt(((centers[:, None] - centers[None]) ** 2).sum(axis=2)) + np.diag(np.full(len(names), np.inf))
+    worst = ((scatter[:, None] + scatter[None]) / apart).max(axis=1).mean()
+    k, n = len(names), len(y)
+    assert x.shape[1] == 64 and (got.k, got.n) == (k, n)
+    assert np.allclose([got.inertia, got.calinski_harabasz, got.davies_bouldin], [inertia, between / (k - 1) / (inertia / (n - k)), worst])
