@@ -345,6 +345,11 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, class_id, n_links, n_text_links."""
+    return _classes(docs, id_col, text_col, threshold).drop("text_key")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """The columns of ``near_duplicates`` and text_key."""
     spark = docs.sparkSession
     signed = save(sign(docs, id_col, text_col), "signed")
     texts = signed.where("set_key IS NOT NULL").groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.min("sig").alias("sig"))
@@ -384,20 +389,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         (F.col("n_texts") - 1 + F.coalesce("texts", F.lit(0))).alias("n_text_links"),
     )
-    out = signed.select("doc_id", "set_key").join(per_key, "set_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+    out = signed.select("doc_id", "text_key", "set_key").join(per_key, "set_key", "left")
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that name their class, all columns as they were.
 
     Rows without an id stay.  Where an id and its text are repeated, one of the rows stays.
+    Where an id is repeated with other texts, each text stays or goes by its own class.
     """
-    found = save(near_duplicates(docs, id_col, text_col, threshold), "classes")
-    gone = save(found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_GONE  # 16 MB of ids at most; with more, texts and ids are shuffled
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = save(_classes(docs, id_col, text_col, threshold), "classes")
+    once = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    names = [F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_key")][: 1 if once else 2]
+    gone = save(found.where(F.col("doc_id") != F.col("class_id")).select(*names).distinct(), "gone")
+    few = gone.count() * len(names) ** 2 <= BROADCAST_GONE  # 16 MB of ids and keys at most; with more, texts and ids are shuffled
+    same = F.col(id_col).cast("long") == F.col("__gone")
+    if not once:
+        same &= F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))) == F.col("__gone_key")
+    left = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if once:
         return left
     named, unnamed = left.where(F.col(id_col).isNotNull()), left.where(F.col(id_col).isNull())
     marked = named.withColumn("__text_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))

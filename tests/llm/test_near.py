@@ -78,6 +78,15 @@ def test_repeated_and_null_ids(spark):
     assert cp.keep_one(documents(spark, AWKWARD)).columns == documents(spark, AWKWARD).columns
 
 
+def test_repeated_id_loses_only_its_near_duplicate(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    clean = "nobody else holds this text of another kind"
+    docs = spark.createDataFrame([(5, text), (7, text + " more"), (7, clean), (7, clean), (7, None), (8, text)], "doc_id long, text string")
+    kept = cp.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, text), (7, clean), (7, None)], key=str)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     want = brute([r.doc_id for r in docs], [r.text for r in docs])
