@@ -7,11 +7,12 @@ covered runs are mapped back to code-point offsets of the original text.
 
 The items travel to the tasks as they are, so their size is checked first.  Up to
 ``max_words`` item words one automaton is built; beyond that the items are dealt into
-groups of at most about that size by a hash of the id, and the text goes through one scan
+groups of at most about that size by a hash of id and text, and the text goes through one scan
 per group, each adding to the intervals that the earlier ones found.
 
-Null and empty texts, and null items, have no words.  Repeated item rows count once per
-distinct id.  Repeated text rows are scanned separately.  Only the named columns are read.
+Null and empty texts have no words.  Repeated item rows count once per distinct id.  Items
+without an id cover words like any other; together they are one item, a null at the end of a
+text's items (it counts in their number and is not named in the digest).  Repeated text rows are scanned separately.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -41,12 +42,17 @@ _RUN = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("start_char", pa.
 _RUN_SQL = "array<struct<first:bigint,end:bigint,start_char:bigint,end_char:bigint>>"
 
 
+def in_order(ids: set[str | None]) -> list[str | None]:
+    """Item ids ascending, the null last."""
+    return sorted(ids, key=lambda x: (x is None, x or ""))
+
+
 class Scanner:
     """Scans Arrow text arrays; the index is built once per Python worker process."""
 
     _built: dict[int, PhraseIndex] = {}
 
-    def __init__(self, items: list[tuple[str, str]], window: int, token: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], window: int, token: int) -> None:
         self.items, self.window, self.token = items, window, token
 
     def index(self) -> PhraseIndex:
@@ -56,7 +62,7 @@ class Scanner:
             self._built[key] = PhraseIndex((w, item) for item, text in self.items for w in set(windows(text_words(text), self.window)))
         return self._built[key]
 
-    def scan(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, int, int]], list[str]]]:
+    def scan(self, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, int, int]], list[str | None]]]:
         """For each text: word count, covered runs (words and code points), item ids."""
         index = self.index()
         buf, offs = buffers(texts)
@@ -68,7 +74,7 @@ class Scanner:
             count = np.bincount(row, minlength=j - i)
             before = np.concatenate([[0], np.cumsum(count)])
             hits: dict[int, list[tuple[int, int]]] = {}
-            ids: dict[int, set[str]] = {}
+            ids: dict[int, set[str | None]] = {}
             for a, b, values in index.matches(index.numbered(h), row):
                 r = int(row[a])
                 hits.setdefault(r, []).append((a, b))
@@ -83,7 +89,7 @@ class Scanner:
                 if runs:
                     cp = code_points(part[po[r] : po[r + 1]])
                     runs = [(a - before[r], b - before[r], cp[s[a] - po[r]], cp[e[b - 1] - po[r]]) for a, b in runs]
-                out.append((int(count[r]), [tuple(map(int, x)) for x in runs], sorted(ids.get(r, ()))))
+                out.append((int(count[r]), [tuple(map(int, x)) for x in runs], in_order(ids.get(r, set()))))
         return out
 
 
@@ -99,19 +105,19 @@ def union_runs(a: list[tuple[int, int, int, int]], b: list[tuple[int, int, int,
     return out
 
 
-def _groups_of(items: DataFrame, max_words: int) -> list[list[tuple[str, str]]]:
+def _groups_of(items: DataFrame, max_words: int) -> list[list[tuple[str | None, str]]]:
     """The items in lists of bounded size; each list is fetched by itself only when there are several."""
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 4
     n = max(1, math.ceil(total / max_words))
     if n == 1:
         return [[(r["item"], r["text"]) for r in items.collect()]]
-    part = F.pmod(F.xxhash64("item"), F.lit(n))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
     return [[(r["item"], r["text"]) for r in items.where(part == g).collect()] for g in range(n)]
 
 
 def scan_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """Per input row: the id (and ``keep`` columns), n_words, runs (covered words and code points), items (ids as strings, sorted)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    """Per input row: the id (and ``keep`` columns), n_words, runs (covered words and code points), items (ids as strings, sorted, a null last)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     carried = [id_col, *[c for c in (keep or []) if c != id_col]]
     text_name = "__text"
     df = docs.select(*[F.col(c) for c in carried], F.col(text_col).alias(text_name), F.lit(0).cast("bigint").alias("n_words"), F.array().cast(_RUN_SQL).alias("runs"), F.array().cast("array<string>").alias("items"))
@@ -126,7 +132,7 @@ def scan_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 found = scanner.scan(b.column(at[text_name]))
                 runs, ids = b.column(at["runs"]).to_pylist(), b.column(at["items"]).to_pylist()
                 new_runs = [[dict(zip(("first", "end", "start_char", "end_char"), x, strict=True)) for x in union_runs([tuple(d.values()) for d in old], more)] for old, (_, more, _) in zip(runs, found, strict=True)]
-                new_ids = [sorted({*old, *more}) for old, (_, _, more) in zip(ids, found, strict=True)]
+                new_ids = [in_order({*old, *more}) for old, (_, _, more) in zip(ids, found, strict=True)]
                 columns = [*[b.column(i) for i in range(len(carried) + 1)], pa.array([n for n, _, _ in found], pa.int64()), pa.array(new_runs, pa.list_(_RUN)), pa.array(new_ids, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             release()

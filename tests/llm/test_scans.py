@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import decontaminate, licences, pii, queries, secrets
 from tallyforge.llm.phrases import PhraseIndex
 from tallyforge.llm.words import buffers, hash_word, text_words, words
-from tests.conftest import DATA
+from tests.conftest import DATA, rows
 from tests.llm.cases import AWKWARD, documents, word_list
 
 ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -185,6 +185,24 @@ def test_decontamination(spark, max_words):
     assert nothing.where("size(runs) > 0").isEmpty() and nothing.count() == len(texts)
 
 
+@pytest.mark.parametrize("max_words", [decontaminate.MAX_WORDS, 3])
+def test_decontamination_by_items_without_id(spark, duck, tmp_path, monkeypatch, max_words):
+    """The query, with every item list in one and in several groups, against its SQL."""
+    items = [(None, "The quick brown fox jumps over the lazy dog again and again"), (None, "same TEXT"), (3, "same text"), (4, "one"), (None, None), (None, "...")]
+    texts = [*AWKWARD, "the quick brown fox jumps over the lazy dog again", "same quick text"]
+    documents(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    views = [f"{t} AS (SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet'))" for t in ("documents", "benchmark")]
+    want = rows(duck.execute(f"WITH {', '.join(views)}, {queries.ORACLES['op4_decontaminate'].strip()[5:]}").df())
+    scan = decontaminate.scan_items
+    monkeypatch.setattr(decontaminate, "scan_items", lambda *a, **k: scan(*a, **{"max_words": max_words, **k}))
+    got = rows(queries.op4_decontaminate(spark, str(tmp_path)).toPandas())
+    assert got == want
+    kept = decontaminate.keep_clean(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")))
+    clean = {r[want[0].index("doc_id")] for r in want[1] if not r[want[0].index("contaminated")]}
+    assert {r.doc_id for r in kept.collect()} == clean and 0 < len(clean) < len(texts) - 4
+
+
 def test_decontamination_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
