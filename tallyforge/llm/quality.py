@@ -10,7 +10,8 @@ fits the calibration; the model itself is solved from all folds.
 Learning reads at most about ``MAX_TRAIN`` labelled rows (a hash of the id decides) and never
 rows that ``held_out`` marks (crc32 of the id as text, modulo 5, is 0; a null id counts as
 held out).  Labels other than 0 and 1 teach nothing; a document labelled twice teaches
-twice.  Without usable labels every score is 0.5; with one class only it is that class.
+twice.  Without usable labels every score is 0.5; with one class only it is that class.  Whenever both
+occur the model is fitted, however few the rows; calibration pools what they cannot tell apart.
 
 Null and empty texts have the zero vector and get its score.  Repeated rows are scored
 separately, equal texts alike.
@@ -153,7 +154,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_tra
     scale = np.array([found[f"s{k}"] or 0.0 for k in range(N_STATS)])
     scale[scale < 1e-9] = 1.0
     model = Model(mean, scale, rng.normal(0, 1 / np.sqrt(N_STATS / 2), (N_STATS, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), None, np.zeros(1), np.array([float(found["rate"])]))
-    if found["rate"] in (0.0, 1.0) or found["n"] < 20:
+    if not found["n"] or found["rate"] in (0.0, 1.0):
         return model
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

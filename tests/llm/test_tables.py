@@ -130,6 +130,21 @@ def test_quality_on_held_out_rows(spark):
         assert x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.3) and 0 <= x.score <= 1
 
 
+def test_quality_of_few_labels(spark):
+    """A dozen rows of two kinds are enough to tell further rows of these kinds apart."""
+    good = "The river runs past the old mill, and people walk there in the evening. "
+    texts = [good * (1 + i % 5) if i % 2 else "$$$ 000 !!! ### " * (5 + i % 7) for i in range(60)]
+    docs = documents(spark, texts)
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:12]
+    labels = spark.createDataFrame([(i, i % 2) for i in taught], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if i % 2 == 0)
+    model = quality.fit(quality.document_statistics(docs), labels)
+    assert {r.doc_id for r in quality.keep_good(model, docs).collect()} == set(range(1, 60, 2))
+    two = spark.createDataFrame([(taught[0], 0), (taught[1], 1)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in quality.classify(docs, two).collect())
+
+
 def test_quality_edges(spark):
     docs = documents(spark, AWKWARD)
     none = spark.createDataFrame([], "doc_id long, quality int")
