@@ -202,7 +202,7 @@ def test_token_files(spark, monkeypatch):
     plain = Tokenizer.from_file(path)
     monkeypatch.setattr(tokenfiles, "BLOCK_IDS", 50)
     monkeypatch.setattr(tokenfiles, "PART_IDS", 400)
-    texts = [*[t for t in AWKWARD if len(t or "") < 20_000], "it's DON'T <|endoftext|>x, <|ENDOFTEXT|> É, Straße İz! ſa", "a\x1fb c\xa0d 12,5%", "𝔘nicode! ①②, ½."] + [f"Word{i} words, more!" for i in range(120)]
+    texts = [*AWKWARD, "it's DON'T <|endoftext|>x, <|ENDOFTEXT|> É, Straße İz! ſa", "a\x1fb c\xa0d 12,5%", "𝔘nicode! ①②, ½."] + [f"Word{i} words, more!" for i in range(120)]
     folder = tokenfiles.encode_files(documents(spark, texts, 10), path)
     ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
     start = 0
@@ -219,6 +219,58 @@ def test_token_files(spark, monkeypatch):
     assert tokenfiles.summary(spark, tokenfiles.encode_files(documents(spark, texts).where("false"), path)).count() == 0
 
 
+def test_token_query_over_documents(spark):
+    """The registered query against the library on every whole text of the table."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    got = {r.doc_id: r for r in queries.op10_token_files(spark, DATA).collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = [*plain.encode(d.text or "", add_special_tokens=False).ids, 1]
+        r = got[d.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcABé ÀÞªµßñ÷×ÿ.,;:!?#$%&*'<|>\t\n\r\x0b\x1f\x85\xa0İſ12½①Σς\u0338\u0301=日本—s", max_size=60))
+def test_pieces_give_the_ids_of_the_text(text):
+    P = pytest.importorskip("public_tokenizers")
+    e = tokenfiles.encoder(P.path("word_bpe_49k.json"))
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert e.by_piece and np.frombuffer(e.encode(text), e.dtype).tolist() == want
+
+
+def test_other_vocabularies_take_whole_texts(spark, tmp_path):
+    """A tokenizer that keeps case or blanks is not asked piece by piece."""
+    P = pytest.importorskip("public_tokenizers")
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(P.path("word_bpe_49k.json")))
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    plain = Tokenizer.from_file(str(tmp_path / "cased.json"))
+    texts = ["Some Words, with  Case\n", None, "", "x"]
+    got = {r.doc_id: r for r in tokenfiles.summary(spark, tokenfiles.encode_files(documents(spark, texts), str(tmp_path / "cased.json"))).collect()}
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_repeated_and_null_ids_in_token_files(spark):
+    P = pytest.importorskip("public_tokenizers")
+    rows_ = [(None, f"word {i % 7}") for i in range(60)] + [(5, "same text")] * 40 + [(6, "last one")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = tokenfiles.summary(spark, tokenfiles.encode_files(docs, P.path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 60 + [5] * 40 + [6]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+
+
 def test_pipeline(spark):
     """Each stage against a plain version on what the stage before it kept."""
     cp = pytest.importorskip("corpus_pipeline")
