@@ -1,16 +1,21 @@
 """Licence scan: an automaton over identifier tags and notice phrases, and licence expressions.
 
-The automaton finds notice phrases and the words of an identifier tag.  The rest of a tag's
-line, however long, is a licence expression; a shunting-yard parser turns it into postfix with
-the precedences ``with`` > ``and`` > ``or`` and parentheses, and the evaluator gives the licences
-it names and whether some choice allowed by it is permissive.
+The automaton finds notice phrases and the words of an identifier tag.  A tag counts where a
+colon follows; the rest of its line, however long, is a licence expression.  A shunting-yard
+parser turns it into postfix with the precedences ``with`` > ``and`` > ``or`` and parentheses,
+and the evaluator gives the licences it names and whether some choice allowed by it is
+permissive.  Operands are licence identifiers (families in ``FAMILIES``, or LicenseRef names);
+between two of them a slash means ``or`` and a comma ``and``.  Where a word follows that can
+continue no expression, the rest of the line is prose.
 
 ``score`` is the evidence that the text states a licence: 1 - product over the places of
 (1 - weight), with weight 0.95 for a tag whose expression parses and the phrase's weight
 otherwise; 0 without any place.
 
 Null and empty texts have no words, no labels and score 0; a malformed expression gives no
-label.  Repeated rows are scanned separately; only the named columns are read.
+label.  Texts of any length are read whole.  Equal places are ordered by their start; phrases
+that overlap all count.  Repeated rows are scanned separately, an empty table gives no rows,
+and only the named columns are read.
 """
 
 from __future__ import annotations
@@ -51,8 +56,16 @@ BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 # Families that count as permissive.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "cc-by", "0bsd", "bsl")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_LEXEME = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
-_LEAD = re.compile(r"[ :\t]*")
+_LEXEME = re.compile(r"[()/,]|[A-Za-z0-9.+:-]+")
+_LEAD = re.compile(r"[ \t\"']*:[ :\t]*")
+_SEPARATORS = {"/": "or", ",": "and"}
+# Heads of the licence identifiers that are known.
+FAMILIES = (
+    "0bsd aal afl agpl apache apl artistic blueoak bsd bsl bzip2 cal cc cc0 cddl cdla cecill cern cnri cpal cpl curl ecl efl epl eudatagrid eupl fair fsfap ftl gfdl gpl hpnd icu "
+    "ijg imagemagick intel ipa ipl isc json lgpl libpng lpl lppl miros mit mpl ms-pl ms-rl mulanpsl nasa naumen ncsa ngpl nokia nposl ntp odbl odc ofl ogl oldap openssl osl pddl "
+    "php postgresql psf python qpl rpl ruby saxpath sgi simpl sissl sleepycat spl sspl tcl ucl unicode unlicense upl vim w3c watcom wtfpl x11 xnet zlib zpl"
+).split()
+_IDENTIFIER = re.compile(rf"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|(?:{'|'.join(map(re.escape, FAMILIES))})(?:[-+.0-9][a-z0-9.+-]*)?")
 _FAMILY = re.compile(r"^(mit|apache|lgpl|agpl|gpl|mpl|epl|bsd|isc|cc0|cc-by-nc|cc-by-sa|cc-by|unlicense|zlib|0bsd|bsl)\b")
 
 
@@ -60,41 +73,60 @@ class ExpressionError(ValueError):
     """The text is not a licence expression."""
 
 
+def is_identifier(low: str) -> bool:
+    return _IDENTIFIER.fullmatch(low.rstrip(".:")) is not None
+
+
 def to_postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
     """Shunting-yard: operands and operators of the licence expression in text[at:end] in postfix order."""
-    out, stack, want_operand = [], [], True
+    out, stack, want_operand, separator = [], [], True, None
+
+    def push(op: str) -> None:
+        while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[op]:
+            out.append(stack.pop())
+        stack.append(op)
+
     for found in _LEXEME.finditer(text, at, len(text) if end is None else end):
-        lexeme = found[0]
-        low = lexeme.lower()
-        if low in _PRECEDENCE:
+        low = found[0].lower()
+        exception = want_operand and bool(stack) and stack[-1] == "with"
+        if separator is not None:
+            if low != "(" and not is_identifier(low):
+                break
+            push(_SEPARATORS[separator])
+            separator, want_operand = None, True
+        if low in _SEPARATORS:
             if want_operand:
-                raise ExpressionError(text)
-            while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[low]:
-                out.append(stack.pop())
-            stack.append(low)
+                raise ExpressionError("an operand is missing")
+            separator = low
+        elif low in _PRECEDENCE:
+            if want_operand:
+                raise ExpressionError("an operand is missing")
+            push(low)
             want_operand = True
-        elif lexeme == "(":
+        elif low == "(":
             if not want_operand:
-                raise ExpressionError(text)
+                break
             stack.append("(")
-        elif lexeme == ")":
+        elif low == ")":
             if want_operand:
-                raise ExpressionError(text)
+                raise ExpressionError("an operand is missing")
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
             if not stack:
-                raise ExpressionError(text)
+                raise ExpressionError("a parenthesis is not open")
             stack.pop()
-        else:
-            if not want_operand:
-                break  # the expression ends where two operands meet: the rest of the line is prose
-            out.append(low)
+        elif not want_operand:
+            break  # the expression ends where two operands meet: the rest of the line is prose
+        elif exception and "-" in low or is_identifier(low):
+            out.append(low.rstrip(".:"))
             want_operand = False
+        else:
+            raise ExpressionError("no licence identifier")
     if want_operand:
-        raise ExpressionError(text)
+        raise ExpressionError("an operand is missing")
     while stack:
         if (op := stack.pop()) == "(":
-            raise ExpressionError(text)
+            raise ExpressionError("a parenthesis stays open")
         out.append(op)
     return out
 
@@ -154,7 +186,9 @@ def scan(texts: pa.Array) -> list[tuple[int, list[int], set[str], set[str], floa
                         end = plain.find("\n", start, stop)
                         line = range(start, end if end >= 0 else stop)
                     try:
-                        names, free = evaluate(to_postfix(plain, _LEAD.match(plain, start, max(start, line.stop)).end(), line.stop))
+                        if not (lead := _LEAD.match(plain, start, max(start, line.stop))):
+                            raise ExpressionError("no tag without a colon")
+                        names, free = evaluate(to_postfix(plain, lead.end(), line.stop))
                     except ExpressionError:
                         continue
                     labels |= names

@@ -1,33 +1,39 @@
-"""Personal data: a skip-chain conditional random field over the suspicious tokens of a text.
-
-Nodes are the whitespace tokens that hold a digit or ``@``; every other token can only be
-"none", so its factor is constant and it needs no node.  Node potentials come from token
-shape and the neighbouring words, chain edges tie tokens that follow each other, and skip
-edges tie each token to the next one in the text that repeats it or shares its digits.
-Loopy sum-product passes run over all texts of a batch at once until the messages stop
-changing.  Tokens inside a span of a base pattern are clamped to that kind, and every other
-mention is also tied to one clamped mention (the last before it, else the first after it), so
-what the patterns are sure of reaches all mentions in one step: a number repeated without its
-prefix, or an address in another form.
-
-Potentials (node, chain, skip) are trained together by pseudo-likelihood on generated
-sentences of bounded number (``TRAIN_TEXTS``, fixed seed); nothing is learned from the
-scanned corpus.
+"""Personal data: a skip-chain conditional random field over the tokens of a text.
+
+The chain runs over all whitespace tokens.  A token without a digit or ``@`` can only be "none",
+so it is a fixed node: it cuts the chain, and its chain factor is added to its neighbours; only
+the other tokens are kept as nodes.  Node potentials come from token shape and the neighbouring
+words, and skip edges tie each token to the next one in the text that repeats it or shares its
+digits (also across tokens that follow each other, as in a number written in groups).  Loopy
+sum-product passes run over the texts of a group at once until the messages stop changing.
+Tokens inside a span of a base pattern are clamped to that kind, and every other mention is also
+tied to one clamped mention (the last before it, else the first after it), so what the patterns
+are sure of reaches all mentions in one step: a number repeated without its prefix, or an
+address in another form.
+
+Potentials (node, chain, skip, and one for ties to clamped mentions) are trained together by
+pseudo-likelihood on generated sentences of bounded number (``TRAIN_TEXTS``, fixed seed), with
+the clamps that inference has; nothing is learned from the scanned corpus.
 
 A token repeated n times makes n - 1 skip edges and fewer than n ties to clamped mentions.
-Null and empty texts have no spans; repeated rows are scanned separately; other columns are
-not read.  All base expressions are written so that their cost is linear in the text.
+Texts of any length are scanned whole; a group holds about ``GROUP_CHARS`` characters or one
+text, and memory follows its number of tokens with a digit or ``@``.  Null and empty texts have
+no spans; an empty table gives no rows; spans that start together are ordered by kind; repeated
+rows are scanned separately; other columns are not read.  All base expressions are written so
+that their cost is linear in the text.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +41,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 TRAIN_TEXTS = 800
+ROUNDS = 12
+RIDGE = 5e-6
 SURE = 0.75
 STILL = 1e-4
 
@@ -45,6 +53,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"\s")
+_INK = re.compile(r"\S")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _CUE = {"email": ("mail", "email", "contact"), "ip": ("ip", "host", "address", "server"), "card": ("card", "visa", "pay"), "phone": ("call", "phone", "tel", "mobile", "fax")}
 
@@ -73,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             done = m.end()
         at += 1
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -117,90 +126,142 @@ def features(text: str, s: int, e: int) -> list[int]:
 N_FEATURES = 35
 
 
-def keys(text: str, s: int, e: int) -> list[str]:
-    """What a token shares with another mention of the same thing."""
+def token_key(text: str, s: int, e: int) -> str | None:
+    """What a token shares with another mention that repeats it."""
     token = text[s:e].strip(".,;:!?\"'<>[]{}()").lower()
-    digits = _NOT_DIGIT.sub("", token) if len(token) < 200 else ""
-    return (["t" + token] if len(token) >= 6 else []) + (["d" + digits[-7:]] if len(digits) >= 7 else [])
+    return "t" + token if len(token) >= 6 else None
 
 
 class Graph:
-    """Nodes, clamps and edges of the texts of one batch."""
+    """Nodes, clamps and edges of some texts, in flat arrays."""
 
     def __init__(self) -> None:
-        self.feats: list[list[int]] = []
-        self.fixed: list[int] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-        self.sure: list[tuple[int, int]] = []  # mentions and their clamped mention, where no skip edge has them
-        self.where: list[tuple[int, int, int]] = []
-
-    def add(self, row: int, text: str, spans: list[tuple[int, int, str]]) -> None:
+        self.feats, self.n_feats = array("b"), array("b")
+        self.fixed, self.plain = array("b"), array("b")  # clamped label or -1; neighbours that can only be "none"
+        self.row, self.start, self.end = array("q"), array("q"), array("q")
+        self.chain, self.skip = array("q"), array("q")  # pairs of nodes, flat
+        self.sure = array("q")  # mentions and their clamped mention, where no skip edge has them
+
+    def add(self, row: int, text: str, spans: Sequence[tuple[int, int, str]]) -> None:
         last_of: dict[str, int] = {}
         sure_of: dict[str, int] = {}
         waiting: dict[str, list[int]] = {}
-        prev, open_spans = -1, 0
+        prev, at, open_spans = -1, 0, 0
+        run: list[tuple[int, str]] = []  # the last nodes in a row that hold digits, and these
         for s, e in tokens(text):
             i = len(self.fixed)
             while open_spans < len(spans) and spans[open_spans][1] <= s:
                 open_spans += 1
-            label = next((LABELS.index(k) for a, b, k in spans[open_spans : open_spans + 8] if a < e and b > s), -1)
-            self.feats.append(features(text, s, e))
+            label, k = -1, open_spans
+            while k < len(spans) and spans[k][0] < e and label < 0:
+                if spans[k][1] > s:
+                    label = LABELS.index(spans[k][2])
+                k += 1
+            f = features(text, s, e)
+            self.feats.extend(f)
+            self.n_feats.append(len(f))
             self.fixed.append(label)
-            self.where.append((row, s, e))
-            if prev >= 0 and s - self.where[prev][2] <= 1:
-                self.chain.append((prev, i))
-            for k in keys(text, s, e):
-                if k in last_of:
-                    self.skip.append((last_of[k], i))
-                if label >= 0:
-                    self.sure += [(j, i) for j in waiting.pop(k, ()) if j != last_of[k]]
-                    sure_of[k] = i
-                elif k not in sure_of:
-                    waiting.setdefault(k, []).append(i)
-                elif sure_of[k] != last_of[k]:
-                    self.sure.append((sure_of[k], i))
-                last_of[k] = i
-            prev = i
-
-
-def beliefs(g: Graph, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+            self.plain.append(0)
+            self.row.append(row)
+            self.start.append(s)
+            self.end.append(e)
+            follows = prev >= 0 and _INK.search(text, at).start() == s
+            if follows:
+                self.chain.extend((prev, i))
+            elif _INK.search(text, at).start() < s:
+                self.plain[i] += 1
+                if prev >= 0:
+                    self.plain[prev] += 1
+            if not follows:
+                run.clear()
+            if key := token_key(text, s, e):
+                self._mention([i], key, last_of, sure_of, waiting)
+            if text[s] == "+":  # a new number
+                run.clear()
+            if digits := _NOT_DIGIT.sub("", text[s:e])[-7:]:
+                run.append((i, digits))
+                tail, taken = "", []
+                for node, part in reversed(run):
+                    tail = (part + tail)[-7:]
+                    taken.append(node)
+                    if len(tail) == 7:
+                        self._mention(taken, "d" + tail, last_of, sure_of, waiting)
+                        break
+                del run[:-7]
+            prev, at = i, e
+        if prev >= 0 and _INK.search(text, at):
+            self.plain[prev] += 1
+
+    def _mention(self, nodes: list[int], key: str, last_of: dict[str, int], sure_of: dict[str, int], waiting: dict[str, list[int]]) -> None:
+        """Ties the nodes of one mention, the last first, to other mentions with this key."""
+        last, own = last_of.get(key), nodes[0]
+        if last is not None and last < nodes[-1]:
+            for i in nodes:
+                self.skip.extend((last, i))
+        if self.fixed[own] >= 0:
+            for j in waiting.pop(key, ()):
+                if j != last:
+                    self.sure.extend((j, own))
+            sure_of[key] = own
+        elif key not in sure_of:
+            waiting.setdefault(key, []).extend(nodes)
+        elif sure_of[key] != last:
+            for i in nodes:
+                self.sure.extend((sure_of[key], i))
+        last_of[key] = own
+
+
+def pairs_of(flat: array) -> np.ndarray:
+    return np.frombuffer(flat, np.int64).reshape(-1, 2) if len(flat) else np.zeros((0, 2), np.int64)
+
+
+EDGES_AT_ONCE = 1 << 16
+
+
+def beliefs(g: Graph, model: tuple[np.ndarray, ...]) -> np.ndarray:
     """Posterior label probabilities of every node once no message changes by ``STILL``.
 
     Each pass renews the messages that are still moving.  A message of a text of n nodes that
     swings for 4 n + 64 passes, in which evidence has crossed the text, is left as it is.
     """
-    node, chain, skip = model
+    node, chain, skip, sure = model
     n, k = len(g.fixed), len(LABELS)
     unary = np.zeros((n, k))
-    lens = np.fromiter((len(f) for f in g.feats), np.int64, n)
-    flat = np.fromiter((x for f in g.feats for x in f), np.int64, int(lens.sum()))
-    np.add.at(unary, np.repeat(np.arange(n), lens), node[flat])
-    fixed = np.array(g.fixed)
+    np.add.at(unary, np.repeat(np.arange(n), np.frombuffer(g.n_feats, np.int8)), node[np.frombuffer(g.feats, np.int8)])
+    unary += np.frombuffer(g.plain, np.int8)[:, None] * chain[0]
+    fixed, row = np.frombuffer(g.fixed, np.int8), np.frombuffer(g.row, np.int64)
     unary[fixed >= 0] = -40.0
     unary[fixed >= 0, fixed[fixed >= 0]] = 0.0
-    pairs = np.array(g.chain + g.skip + g.sure, np.int64).reshape(-1, 2)
+    parts = [pairs_of(x) for x in (g.chain, g.skip, g.sure)]
+    pairs = np.concatenate(parts)
     if len(pairs):
         # several edges between two nodes are one factor, so that evidence does not go round between them
         pairs, same = np.unique(pairs, axis=0, return_inverse=True)
-        chains = np.bincount(same.ravel()[: len(g.chain)], minlength=len(pairs))
-        skips = np.bincount(same.ravel()[len(g.chain) :], minlength=len(pairs))
-        psi = chains[:, None, None] * chain + skips[:, None, None] * skip
-        src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        chains = np.bincount(same.ravel()[: len(parts[0])], minlength=len(pairs))
+        skips = np.bincount(same.ravel()[len(parts[0]) :], minlength=len(pairs))
+        given = np.where(skips == 0, 0, np.where(fixed[pairs[:, 0]] >= 0, 1, np.where(fixed[pairs[:, 1]] >= 0, 2, 0)))
+        skips[given > 0] = 0
+        forms, form = np.unique(np.stack([chains, skips, given], axis=1), axis=0, return_inverse=True)  # few kinds of factor
+        psi = forms[:, 0, None, None] * chain + forms[:, 1, None, None] * skip
+        psi[forms[:, 2] == 1] += sure
+        psi[forms[:, 2] == 2] += sure.T
         psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
+        form = np.concatenate([form.ravel(), form.ravel() + len(forms)])
+        src, dst = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
         m, half = np.zeros((len(src), k)), len(pairs)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        rows = np.array([w[0] for w in g.where])[src]
-        most = 4 * np.bincount([w[0] for w in g.where])[rows] + 64
+        most = 4 * np.bincount(row)[row[src]] + 64
         by_src = np.argsort(src, kind="stable")
         first = np.searchsorted(src[by_src], np.arange(n + 1))
-        unary = unary.copy()  # grows by the messages that arrive
         live, done = np.flatnonzero(fixed[dst] < 0), 0  # what reaches a clamped node changes nothing
         while len(live):
-            new = unary[src[live]] - m[back[live]]
-            new = np.logaddexp.reduce(new[:, :, None] + psi[live], axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            change = 0.5 * (new - m[live])
+            change = np.empty((len(live), k))
+            for at in range(0, len(live), EDGES_AT_ONCE):
+                e = live[at : at + EDGES_AT_ONCE]
+                new = unary[src[e]] - m[back[e]]
+                new = np.logaddexp.reduce(new[:, :, None] + psi[form[e]], axis=1)
+                new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+                change[at : at + len(e)] = 0.5 * (new - m[e])
             moving = np.abs(change).max(axis=1) >= STILL
             live, change = live[moving], change[moving]
             m[live] += change
@@ -229,14 +290,14 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
     parts: list[tuple[str, str | None]] = []
     email, ip, number = f"{word()}.{digits(2)}@{word()}.example.{r.choice(['com', 'org', 'net'])}", ".".join(str(r.randint(0, 255)) for _ in range(4)), card()
-    area, mid, end = digits(3), digits(3), digits(4)
+    land, area, mid, end = r.choice(("1", "1", "44", "49", "351", "86")), digits(r.choice((2, 3, 3, 4))), digits(r.choice((3, 3, 4))), digits(r.choice((3, 4, 4)))
     forms = {
         "email": [email, email.upper(), f"<{email}>"],
         "ip": [ip],
         "card": [number],
-        "phone": [f"+1 ({area}) {mid}-{end}", f"+1 {area} {mid} {end}", f"({area}) {mid}-{end}", f"{mid}-{end}", f"+1{area}{mid}{end}"],
+        "phone": [f"+{land} ({area}) {mid}-{end}", f"+{land} {area} {mid} {end}", f"({area}) {mid}-{end}", f"{mid}-{end}", f"+{land}{area}{mid}{end}", f"{area} {mid} {end}", f"{mid} {end}", f"{mid}-{end}"],
     }
-    noise = [lambda: digits(r.randint(1, 6)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: "$" + digits(3), lambda: next(d for d in iter(lambda: digits(r.randint(13, 16)), None) if not luhn(d)), lambda: f"{digits(3)}-{digits(4)}", lambda: digits(7), lambda: f"({digits(3)})", lambda: f"@{word()}", lambda: ".".join(digits(3) for _ in range(3))]
+    noise = [lambda: digits(r.randint(1, 6)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: "$" + digits(3), lambda: next(d for d in iter(lambda: digits(r.randint(13, 16)), None) if not luhn(d)), *[lambda: f"{digits(r.choice((3, 3, 4)))}-{digits(r.choice((3, 4, 4)))}"] * 4, *[lambda: f"{digits(3)} {digits(3)} {digits(4)}"] * 2, lambda: digits(7), lambda: digits(8), lambda: digits(10), lambda: f"{digits(4)}-{digits(2)}", lambda: f"({digits(3)})", lambda: f"@{word()}", lambda: ".".join(digits(3) for _ in range(3))]
     chosen = r.sample(list(KINDS), r.randint(0, 2))
     for kind in chosen:
         for mention in range(r.randint(1, 3)):  # the first mention is in full, later ones may be cut
@@ -258,37 +319,65 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node weights (features x labels), chain and skip log potentials."""
+def model() -> tuple[np.ndarray, ...]:
+    """Node weights (features x labels); chain, skip and clamp log potentials (the last: clamped label x own label)."""
     r, g = random.Random(20), Graph()
+    truth: list[int] = []
     for row in range(TRAIN_TEXTS):
-        g.add(row, *_sentence(r))
-    n, k = len(g.fixed), len(LABELS)
-    y = np.maximum(np.array(g.fixed), 0)
-    x = np.zeros((n, N_FEATURES + 2 * k))  # own features, then labels over chain edges and over skip edges
-    for i, f in enumerate(g.feats):
-        x[i, f] = 1
-    for at, pairs in ((N_FEATURES, g.chain), (N_FEATURES + k, g.skip)):
-        for a, b in pairs:
-            x[a, at + y[b]] += 1
-            x[b, at + y[a]] += 1
-    w = np.zeros((x.shape[1], k))
-    step = 2.0 / np.maximum(x.mean(axis=0), 0.02)[:, None] ** 0.5
-    x, same = np.unique(x, axis=0, return_inverse=True)  # many tokens look alike: count them
+        text, spans = _sentence(r)
+        g.add(row, text, base_spans(text))
+        truth += [next((LABELS.index(kind) for a, b, kind in spans if a < e and b > s), 0) for s, e in tokens(text)]
+    n, k, y, fixed = len(g.fixed), len(LABELS), np.array(truth), np.array(g.fixed)
+    x = np.zeros((n, N_FEATURES + 3 * k))  # own features, then labels over chain edges, skip edges and ties to clamped mentions
+    x[np.repeat(np.arange(n), np.frombuffer(g.n_feats, np.int8)), np.frombuffer(g.feats, np.int8)] = 1
+    x[:, N_FEATURES] = np.frombuffer(g.plain, np.int8)
+    for a, b in pairs_of(g.chain).tolist():
+        x[a, N_FEATURES + y[b]] += 1
+        x[b, N_FEATURES + y[a]] += 1
+    for a, b in [*pairs_of(g.skip).tolist(), *pairs_of(g.sure).tolist()]:
+        for i, j in ((a, b), (b, a)):
+            if fixed[j] >= 0:
+                x[i, N_FEATURES + 2 * k + y[j]] = 1
+            elif fixed[i] < 0:
+                x[i, N_FEATURES + k + y[j]] += 1
+    x, y = x[fixed < 0], y[fixed < 0]
+    n = len(x)
+    skip_at = slice(N_FEATURES + k, N_FEATURES + 2 * k)
+    tied = x[:, skip_at].copy()
+    # skip edges only say that labels agree, so one strength is kept of their table, and the rest is trained again with it
+    table = _newton(x, y, np.zeros((n, k)))[skip_at]
+    strength = np.trace(table) / k - (table.sum() - np.trace(table)) / (k * (k - 1))
+    x[:, skip_at] = 0
+    w = _newton(x, y, strength * tied)
+    chain, sure = w[N_FEATURES : N_FEATURES + k], w[N_FEATURES + 2 * k :]
+    return w[:N_FEATURES], (chain + chain.T) / 2, strength * np.eye(k), sure
+
+
+def _newton(x: np.ndarray, y: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Ridge multinomial regression: weights (features x labels)."""
+    n, f, k = len(x), x.shape[1], len(LABELS)
+    w = np.zeros((f, k))
+    rows, same = np.unique(np.concatenate([x, offset], axis=1), axis=0, return_inverse=True)  # many tokens look alike: count them
+    x, offset = rows[:, :f], rows[:, f:]
     target = np.zeros((len(x), k))
     np.add.at(target, (same.ravel(), y), 1)
     size = target.sum(axis=1, keepdims=True)
-    for _ in range(400):
-        z = x @ w
+    for _ in range(ROUNDS):
+        z = x @ w + offset
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
-        w -= step * (x.T @ (p * size - target) / n + 3e-4 * w)
-    chain, skip = w[N_FEATURES : N_FEATURES + k], w[N_FEATURES + k :]
-    return w[:N_FEATURES], (chain + chain.T) / 2, (skip + skip.T) / 2
+        slope = x.T @ (p * size - target) / n + RIDGE * w
+        curve = np.zeros((k, f, k, f))
+        for a in range(k):
+            for b in range(k):
+                curve[a, :, b] = (x * (size[:, 0] * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x / n
+        curve = curve.reshape(k * f, k * f) + RIDGE * np.eye(k * f)
+        w -= np.linalg.solve(curve, slope.T.ravel()).reshape(k, f).T
+    return w
 
 
-def find_all(texts: list[str | None], trained: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[list[tuple[int, int, str, bool]]]:
+def find_all(texts: list[str | None], trained: tuple[np.ndarray, ...] | None = None) -> list[list[tuple[int, int, str, bool]]]:
     """For each text its spans (start, end, kind, base), by start and then kind as listed."""
     g, base = Graph(), []
     for row, text in enumerate(texts):
@@ -297,12 +386,13 @@ def find_all(texts: list[str | None], trained: tuple[np.ndarray, np.ndarray, np.
         if text:
             g.add(row, text, spans)
     out: list[list[tuple[int, int, str, bool]]] = [[(*s, True) for s in spans] for spans in base]
-    if g.fixed and min(g.fixed) < 0:
+    fixed = np.frombuffer(g.fixed, np.int8)
+    if len(fixed) and fixed.min() < 0:
         p = beliefs(g, trained or model())
         best = p.argmax(axis=1)
         open_at: tuple[int, int, int] | None = None
-        for i in np.flatnonzero((np.array(g.fixed) < 0) & (best > 0) & (p.max(axis=1) >= SURE)):
-            row, s, e = g.where[i]
+        for i in np.flatnonzero((fixed < 0) & (best > 0) & (p.max(axis=1) >= SURE)):
+            row, s, e = g.row[i], g.start[i], g.end[i]
             kind = LABELS[best[i]]
             text = texts[row]
             while e > s and text[e - 1] in ".,;:!?\"'<>[]{}":
@@ -319,6 +409,18 @@ def find_all(texts: list[str | None], trained: tuple[np.ndarray, np.ndarray, np.
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 _ROWS = 256
+GROUP_CHARS = 1 << 20
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``_ROWS`` rows whose texts have about ``GROUP_CHARS`` characters."""
+    size = np.cumsum(np.nan_to_num(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(float)))
+    i = 0
+    while i < b.num_rows:
+        j = int(np.searchsorted(size, (size[i - 1] if i else 0) + GROUP_CHARS, side="right"))
+        j = min(max(j, i + 1), i + _ROWS, b.num_rows)
+        yield b.slice(i, j - i)
+        i = j
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,8 +431,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                b = whole.slice(at, _ROWS)
+            for b in _slices(whole):
                 rows = [[dict(zip(("kind", "start", "end", "base"), (k, s, e, y), strict=True)) for s, e, k, y in x] for x in find_all(b.column(1).to_pylist(), trained)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_SPAN))], [id_col, "spans"])
 

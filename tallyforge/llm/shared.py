@@ -1,7 +1,8 @@
 """The folder that driver and executors share, and tables written there to cut lineage.
 
-The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-unset (tests on one machine) a temporary one is made and set.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Where that is unset, a
+session on one machine (master ``local``) gets a temporary one; any other session is refused,
+as its executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
