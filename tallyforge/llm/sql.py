@@ -2,11 +2,11 @@
 
 OP6 = r"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS mark, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), src AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM docs GROUP BY source
 ), weighed AS (
-  SELECT source, source_size, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM src
+  SELECT source, source_size, source_rows, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM src
 ), ordered AS (
   SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source ASC NULLS LAST) AS k FROM weighed
 ), levels AS (
@@ -15,15 +15,16 @@ WITH docs AS (
 ), chosen AS (
   SELECT arg_min(level, k) AS level FROM levels WHERE 3 * source_size >= level * weight
 ), goals AS (
-  SELECT source, source_size, least((3 * source_size)::DOUBLE, coalesce(chosen.level * weight, 'inf'::DOUBLE)) AS target FROM levels, chosen
+  SELECT source, source_size, source_rows, least((3 * source_size)::DOUBLE, coalesce(chosen.level * weight, 'inf'::DOUBLE)) AS target FROM levels, chosen
 ), ratios AS (
   SELECT *, floor(coalesce(target / nullif(source_size, 0), 0)) AS whole, coalesce(target / nullif(source_size, 0), 0) - floor(coalesce(target / nullif(source_size, 0), 0)) AS p FROM goals
 ), ranked AS (
   SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.p, r.target - r.whole * r.source_size AS rest,
-    (('0x' || substr(md5('11:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size::VARCHAR), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    coalesce(least(greatest((d.size * r.source_rows)::DOUBLE / nullif(r.source_size, 0), 0.5::DOUBLE), 2.0::DOUBLE), 1.0::DOUBLE) AS tilt,
+    (('0x' || substr(md5('11:' || coalesce(d.doc_id::VARCHAR, '-') || ':' || d.size::VARCHAR || ':' || d.mark), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM docs d JOIN ratios r ON d.source IS NOT DISTINCT FROM r.source
 ), placed AS (
-  SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) ELSE 1 END AS q FROM ranked
+  SELECT *, CASE WHEN p > 0 THEN ((u / (1 - u)) / ((p / (1 - p)) * tilt)) / (1 + (u / (1 - u)) / ((p / (1 - p)) * tilt)) ELSE 1 END AS q FROM ranked
 ), summed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed
 )

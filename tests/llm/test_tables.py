@@ -112,6 +112,27 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_splits_repeated_rows(spark):
+    """Many equal rows at the cut: as many are taken as fit, not all or none."""
+    rows_ = [(None, "a b c d", "s")] * 500 + [(7, "a b c d", "s")] * 40 + [(i, "x y", "t") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(7)
+    goal = plain_targets({"s": 540 * 4, "t": 40})
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        assert r.copies <= 3
+    assert all(abs(taken[s] - goal[s]) <= 2 for s in goal)
+    assert Counter(r.text for r in mixing.take(docs).collect())["a b c d"] * 4 == taken["s"]
+
+
+def test_mix_favours_longer_documents(spark):
+    """Inclusion odds follow size: at the same share of words, longer documents are drawn more often."""
+    rows_ = [(i, "w " * (10 if i % 2 else 40), "s") for i in range(4000)] + [(9000 + i, "w " * 500, "t") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows_, "doc_id long, text string, source string")).where("source = 's'")
+    rate = {r["size"]: r.c for r in got.groupBy("size").agg(F.avg("copies").alias("c")).collect()}
+    assert rate[40] % 1 > rate[10] % 1 and int(rate[40]) == int(rate[10])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, duck, name):
     assert rows(queries.QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(queries.ORACLES[name]).df())
