@@ -13,11 +13,19 @@ compared on their sampled tokens.  A bucket that is still large after ``DEPTH``
 sets that agreed on every token sampled on its path; its members are candidates of each
 other without a comparison.
 
-Verification.  Candidates are joined into components, each text of which is fetched once, and
-every pair of a component is compared exactly, so pairs that no path brought together are
-found too when they share a component.  Large components are compared in pairs of blocks of
-about ``BLOCK`` sets and ``BLOCK_SHINGLES`` shingles, each pair a task of its own.  Links are counted where they are found; only one row
-per set and task leaves the comparison, never the pairs.
+Verification.  Candidates are joined into components, each text of which is fetched once and
+turned into its shingle hashes, which are stored; every pair of a component is compared on
+them, so pairs that no path brought together are found too when they share a component.  Large
+components are compared in pairs of blocks (an eighth of the component, ``BLOCKS[0]`` to
+``BLOCKS[1]`` sets, about ``BLOCK_SHINGLES`` shingles at most), each pair a group of its own; hashes, never texts, are dealt
+to them.  A pair of blocks costs a comparison of every two sets and moves each set once, so the
+comparisons, not the moves, bound a component of any size.  Links are counted where they are
+found; only one row per set and task leaves the comparison, never the pairs.
+
+Identity.  Sets are told apart by the md5 of their shingle hashes and numbered without
+clashes when they are stored.  Buckets count as equal if their sizes and two independent
+64-bit sums of member hashes agree.  Shingles are 64-bit hashes: two of a pair of texts of
+20,000 words clash with probability 1e-10.
 
 Result: one row per document with its class (the smallest id reached over links), its number
 of links to other documents, copies included, and to other texts.  Null and empty texts and
@@ -47,7 +55,7 @@ DIMS = 64
 LEAF = 64
 DEPTH = 6
 RECALL = 0.99
-BLOCK = 2048
+BLOCKS = (256, 2048)
 BLOCK_SHINGLES = 1 << 20
 ROWS = 1024
 #: Share of equal sampled tokens below which a pair is no candidate: four deviations under the threshold.
@@ -134,6 +142,31 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return kept.mapInArrow(run, _SIGNED)
 
 
+def shingled(texts: DataFrame) -> DataFrame:
+    """The rows with ``text`` replaced by its sorted shingle hashes."""
+    names = [c for c in texts.columns if c != "text"]
+    kept = texts.select(*names, "text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), "shingles binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offs = buffers(b.column(len(names)))
+            for i, j in groups(offs):
+                x, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                sets = [x[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(names))), pa.array(sets, pa.binary())], [*names, "shingles"])
+        release()
+
+    return kept.mapInArrow(run, schema)
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all hashes, number of each row's) of a column of shingle sets."""
+    _, offs, data = column.buffers()
+    o = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(np.frombuffer(data, np.uint8)[o[0] : o[-1]].tobytes(), np.uint64), np.diff(o) // 8
+
+
 def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(-1, DIMS)
 
@@ -240,9 +273,9 @@ def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
     sigs = sets.select("sid", "sig")
     rows, leaves, stars = save(first_level(sets, runs_needed(threshold)), "paths"), None, None
     for depth in range(1, DEPTH + 1):
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("mark"))
+        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("mark2"))
         counts = save(counts.where("n > 1"), "buckets")
-        small = counts.where(F.col("n") <= LEAF).groupBy("n", "mark").agg(F.min("path").alias("path")).select("path")
+        small = counts.where(F.col("n") <= LEAF).groupBy("n", "mark", "mark2").agg(F.min("path").alias("path")).select("path")
         found = rows.join(small, "path")
         leaves = found if leaves is None else leaves.unionByName(found)
         large = counts.where(F.col("n") > LEAF)
@@ -292,7 +325,7 @@ _LINKED = "sid bigint, component bigint, root bigint, docs bigint, texts bigint"
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """Exact comparison inside tasks; from (component, bi, bj, own, sid, n_docs, n_texts, text).
+    """Exact comparison inside tasks; from (component, bi, bj, own, sid, n_docs, n_texts, shingles).
 
     A task (component, bi, bj) compares block bi with block bj, or bi with itself; ``own`` is a
     row's block.  Gives per set and task: links found and the smallest set reached.
@@ -302,15 +335,9 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         for b in whole_groups(batches, 3):
             component, bi, bj = (b.column(k).to_numpy() for k in range(3))
             own, sid, n_docs, n_texts = (b.column(k).to_numpy() for k in range(3, 7))
-            buf, offs = buffers(b.column(7))
+            x, size = _hashes(b.column(7))
             change = np.flatnonzero((component[1:] != component[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
             bounds = np.concatenate([[0], change, [len(component)]])
-            xs, sizes = [], []
-            for i, j in groups(offs):
-                x, at = shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                xs.append(x)
-                sizes.append(np.diff(at))
-            x, size = np.concatenate(xs), np.concatenate(sizes)
             at = np.concatenate([[0], np.cumsum(size)])
             docs, texts, root = np.zeros(len(sid), np.int64), np.zeros(len(sid), np.int64), np.arange(len(sid))
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -354,12 +381,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     signed = save(sign(docs, id_col, text_col), "signed")
     texts = signed.where("set_key IS NOT NULL").groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.min("sig").alias("sig"))
     sets = texts.groupBy("set_key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("doc").alias("min_doc"), F.min(F.struct("doc", "text_key")).alias("pick"), F.max("size").alias("size"), F.min("sig").alias("sig"))
-    sets = save(sets.withColumn("sid", F.xxhash64("set_key")), "sets")
+    sets = save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
 
     edges = candidate_edges(sets, threshold)
     nodes = save(components(edges), "components")
     placed = sets.join(nodes.withColumnRenamed("node", "sid"), "sid")
-    many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    n = F.count(F.lit(1))
+    block = F.least(F.greatest(n / 8, F.lit(BLOCKS[0])), F.lit(BLOCKS[1]))
+    many = F.greatest(F.ceil(n / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     sizes = save(placed.groupBy("component").agg(many.alias("blocks")), "component-sizes")
     wanted = placed.join(sizes, "component")
     wanted = wanted.select("component", "blocks", "sid", "n_docs", "n_texts", F.col("pick.doc").alias("__doc"), F.col("pick.text_key").alias("__key"))
@@ -368,8 +397,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     fetched = source.join(ids, F.col("doc").eqNullSafe(F.col("__doc"))).where(F.unhex(F.md5("text")) == F.col("__key"))
-    fetched = fetched.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = fetched.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "sid", "n_docs", "n_texts", "text")
+    fetched = save(shingled(fetched.select("component", "blocks", "sid", "n_docs", "n_texts", "text")), "shingles")
+    dealt = fetched.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = dealt.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "sid", "n_docs", "n_texts", "shingles")
     once = wanted.where("__doc IS NULL").isEmpty() and signed.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     if not once:  # rows that repeat an id and a text would take part several times
         tasks = tasks.dropDuplicates(["component", "bi", "bj", "sid"])

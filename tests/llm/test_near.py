@@ -53,11 +53,11 @@ def made(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize("leaf, block, depth", [(cp.LEAF, cp.BLOCK, cp.DEPTH), (4, 3, 3)])
+@pytest.mark.parametrize("leaf, block, depth", [(cp.LEAF, cp.BLOCKS, cp.DEPTH), (4, (2, 3), 3)])
 def test_against_brute_force(spark, monkeypatch, leaf, block, depth):
     """Small leaf, block and depth send ordinary groups through the paths meant for huge ones."""
     monkeypatch.setattr(cp, "LEAF", leaf)
-    monkeypatch.setattr(cp, "BLOCK", block)
+    monkeypatch.setattr(cp, "BLOCKS", block)
     monkeypatch.setattr(cp, "DEPTH", depth)
     texts = [*AWKWARD, *made(4)]
     got = {r.doc_id: (r.class_id, r.n_links, r.n_text_links) for r in cp.near_duplicates(documents(spark, texts, 100)).collect()}

@@ -207,6 +207,88 @@ def test_shards(spark):
     check_shards(queries.op9_hilbert_shards(spark, DATA).collect(), whole)
 
 
+def plain_hilbert(x, bits):
+    """Skilling's transform, one cell at a time."""
+    x, n = list(x), len(x)
+    q = 1 << (bits - 1)
+    while q > 1:
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q >>= 1
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[n - 1] & q:
+            t ^= q - 1
+        q >>= 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def plain_shards(docs):
+    """{doc_id: (curve, shard, slot)} by one sort of all rows."""
+    import math
+
+    import xxhash
+
+    steps = {}
+    for c in ("lang", "source"):
+        values = sorted({r[c] for r in docs}, key=lambda v: (v is None, v or ""))
+        steps[c] = {v: i * 32 // len(values) for i, v in enumerate(values)}
+
+    def key(r):
+        b = (r.text or "").encode()
+        size, crc = len(b) + 8, zlib.crc32(b)
+        h = xxhash.xxh64_intdigest(size.to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest(crc.to_bytes(8, "little"), h)
+        h = h - (1 << 64) if h >> 63 else h
+        cell = (steps["lang"][r.lang], steps["source"][r.source], min(math.floor(math.log2(size) * 1.25), 31))
+        return plain_hilbert(cell, 5), h % 16, crc, size, r.doc_id
+
+    order = sorted(map(key, docs))
+    short, long_ = divmod(len(order), 24)
+    out, at = {}, 0
+    for s in range(24):
+        for slot in range(short + (s < long_)):
+            out[order[at][4]] = (order[at][0], s, slot)
+            at += 1
+    return out
+
+
+def test_shards_against_one_sort(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = {r.doc_id: (r.curve, r.shard, r.slot) for r in queries.op9_hilbert_shards(spark, DATA).collect()}
+    assert got == plain_shards(docs)
+
+
+def test_shards_of_texts_and_ids_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "SLICE_ROWS", 8)
+    rows_ = [(i, "hot text") for i in range(200)] + [(None, "hot text")] * 150 + [(5000, "hot text")] * 90 + [(1000 + i, f"text {i}") for i in range(130)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows_], "doc_id long, text string, lang string, source string")
+    got = hilbert.shard(hilbert.metadata(docs)).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len(rows_) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in counts)
+    crc = zlib.crc32(b"hot text")
+    line = [r.text_crc32 == crc for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert sum(a != b for a, b in zip(line, line[1:])) <= 2  # equal texts stand together
+
+
+def test_shards_can_be_pruned(spark):
+    """A reader of one source and language opens a small part of the files."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    where = defaultdict(set)
+    for r in queries.op9_hilbert_shards(spark, DATA).collect():
+        where[docs[r.doc_id].lang, docs[r.doc_id].source].add(r.shard)
+    assert np.mean([len(v) for v in where.values()]) <= 6
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=70))
 def test_packed_ranks(values):
