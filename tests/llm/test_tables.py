@@ -34,6 +34,45 @@ def test_search_recall_and_order(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_of_the_index(spark, clustered):
+    """On 20,000 vectors the walks read a small part of clustered data, and recall holds on both kinds."""
+    rng = np.random.default_rng(8)
+    n, dim = 20_000, 16
+    x = rng.normal(size=(n, dim))
+    if clustered:
+        x = 8 * rng.normal(size=(200, dim))[rng.integers(0, 200, n)] + x
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    index = ann.build(ann.prepared(df, F.lit(False), "vec_id", "embedding"), dim, n, 10)
+    assert len(index.books[0]) == ann.codebook_size(n) == 32 and index.counts.sum() == n
+    if clustered:
+        assert index.least < 0.1 * n
+    else:
+        assert index.least < 0.7 * n
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / (n / 100 * 10) >= 0.9
+
+
+def test_other_lengths_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ann, "GROUP_ROWS", 7)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    rows_ = [(i, [float(i), 1.0]) for i in range(1, 80)] + [(1000 + i, [float(i % 13), 2.0, 1.0]) for i in range(40)] + [(5000, [1.0] * 5)]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), F.lit(True), k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i in range(40):
+        near = sorted((abs(j % 13 - i % 13), 1000 + j) for j in range(40) if j != i)[:3]
+        assert got[1000 + i] == [v for _, v in near]
+    assert 5000 not in got and len(got) == 119
+
+
 def test_search_of_awkward_vectors(spark):
     good = [(i, [float(i % 5), 1.0, 0.5]) for i in range(1, 60)]
     bad = [(100, None), (200, [0.0, 0.0, 0.0]), (300, [1.0, None, 2.0]), (400, [1.0, float("nan"), 2.0]), (500, [float("inf"), 1.0, 1.0]), (600, [1.0, 2.0]), (700, []), (None, [1.0, 1.0, 1.0])]
