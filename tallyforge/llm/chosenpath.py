@@ -9,8 +9,9 @@ Chosen path.  A run starts by splitting all sets on two sampled tokens; a bucket
 Sets that share a token go on together, so similar ones stay together on some path.  Runs
 are repeated until a pair at the threshold is expected to meet with probability ``RECALL``.
 Buckets with the same members are examined once.  Inside small buckets all pairs are
-compared on their sampled tokens.  A bucket that is still large after ``DEPTH`` splits holds
-sets that agreed on every token sampled on its path; its members are candidates of each
+compared on their sampled tokens.  A large bucket that a split leaves together (one child keeps the
+threshold's share of it) is a family, and one that is still large after ``DEPTH`` splits holds
+sets that agreed on every token sampled on its path; the members of both are candidates of each
 other without a comparison.
 
 Verification.  Candidates are joined into components, each text of which is fetched once and
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.components import components
-from tallyforge.llm.shared import save
+from tallyforge.llm.shared import save, temporary
 from tallyforge.llm.words import buffers, groups, mix, release, words
 
 SHINGLE = 5
@@ -189,7 +190,7 @@ def first_level(sets: DataFrame, runs: int) -> DataFrame:
 
 
 def next_level(members: DataFrame) -> DataFrame:
-    """(path, sid) one split further, from (path, sid, sig)."""
+    """(path, sid, parent) one split further, from (path, sid, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,9 +200,10 @@ def next_level(members: DataFrame) -> DataFrame:
             d2 = (d1 + 1 + (r2 % np.uint64(DIMS - 1)).astype(np.int64)) % DIMS
             twice = (r1 >> np.uint64(32)) % np.uint64(4) == 0
             paths = np.concatenate([_child(path, d1, sig), _child(path[twice], d2[twice], sig[twice])])
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(np.concatenate([sid, sid[twice]]))], ["path", "sid"])
+            parents = np.concatenate([path, path[twice]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(np.concatenate([sid, sid[twice]])), pa.array(parents)], ["path", "sid", "parent"])
 
-    return members.mapInArrow(run, "path bigint, sid bigint")
+    return members.mapInArrow(run, "path bigint, sid bigint, parent bigint")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -270,24 +272,36 @@ def leaf_edges(members: DataFrame) -> DataFrame:
 
 def candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
     """Stored edges (a, b) between the sets that the chosen paths bring together."""
+    with temporary(sets.sparkSession):
+        return save(_candidate_edges(sets, threshold), "candidates", keep=True)
+
+
+def _candidate_edges(sets: DataFrame, threshold: float) -> DataFrame:
     sigs = sets.select("sid", "sig")
-    rows, leaves, stars = save(first_level(sets, runs_needed(threshold)), "paths"), None, None
+    rows, leaves, stars = save(first_level(sets, runs_needed(threshold)), "paths").withColumn("parent", F.lit(None).cast("bigint")), None, None
+    inside, large = None, None  # members and sizes of the large buckets one split before
+    star = lambda members: members.select(F.col("sid").alias("a"), F.col("least").alias("b")).where("a <> b")
+    both = lambda a, b: b if a is None else a.unionByName(b)
     for depth in range(1, DEPTH + 1):
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("mark2"))
+        counts = rows.groupBy("path").agg(F.max("parent").alias("parent"), F.count(F.lit(1)).alias("n"), F.min("sid").alias("least"), F.bit_xor(F.xxhash64("sid")).alias("mark"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("mark2"))
         counts = save(counts.where("n > 1"), "buckets")
+        if inside is not None:
+            kept = counts.groupBy("parent").agg(F.max("n").alias("most"))
+            families = save(large.join(kept, large["path"] == kept["parent"]).where(F.col("most") >= threshold * F.col("n")).select("path"), "families")
+            stars = both(stars, star(inside.join(families, "path")))
+            counts = counts.join(families.withColumnRenamed("path", "parent"), "parent", "left_anti")
         small = counts.where(F.col("n") <= LEAF).groupBy("n", "mark", "mark2").agg(F.min("path").alias("path")).select("path")
-        found = rows.join(small, "path")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        large = counts.where(F.col("n") > LEAF)
+        leaves = both(leaves, rows.join(small, "path").select("path", "sid"))
+        large = counts.where(F.col("n") > LEAF).select("path", "n", "least")
         if large.isEmpty():
             break
-        inside = rows.join(large.select("path", "least"), "path")
+        inside = rows.select("path", "sid").join(large.select("path", "least"), "path")
         if depth == DEPTH:
-            stars = inside.select(F.col("sid").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+            stars = both(stars, star(inside))
         else:
             rows = save(next_level(inside.join(sigs, "sid").select("path", "sid", "sig")), "paths")
     edges = leaf_edges(leaves.join(sigs, "sid").select("path", "sid", "sig"))
-    return save(edges if stars is None else edges.unionByName(stars), "candidates")
+    return edges if stars is None else edges.unionByName(stars.distinct())
 
 
 def overlaps(x: np.ndarray, at: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -377,8 +391,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """The columns of ``near_duplicates`` and text_key."""
-    spark = docs.sparkSession
     signed = save(sign(docs, id_col, text_col), "signed")
+    with temporary(docs.sparkSession):
+        known = save(_linked_sets(docs, signed, id_col, text_col, threshold), "linked-sets", keep=True)
+    classes = known.groupBy("root").agg(F.min("min_doc").alias("class_id"))
+    per_key = known.join(classes, "root").select(
+        "set_key",
+        "class_id",
+        (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
+        (F.col("n_texts") - 1 + F.coalesce("texts", F.lit(0))).alias("n_text_links"),
+    )
+    out = signed.select("doc_id", "text_key", "set_key").join(per_key, "set_key", "left")
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+
+
+def _linked_sets(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(set_key, sid, n_docs, n_texts, min_doc, docs, texts, root) of every set."""
     texts = signed.where("set_key IS NOT NULL").groupBy("set_key", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc"), F.max("size").alias("size"), F.min("sig").alias("sig"))
     sets = texts.groupBy("set_key").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("doc").alias("min_doc"), F.min(F.struct("doc", "text_key")).alias("pick"), F.max("size").alias("size"), F.min("sig").alias("sig"))
     sets = save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
@@ -411,16 +439,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     per_set = found.groupBy("sid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"), F.min("root").alias("root"))
     per_set = per_set.join(crossed, "sid", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     known = sets.select("set_key", "sid", "n_docs", "n_texts", "min_doc").join(per_set, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    known = save(known, "linked-sets")
-    classes = known.groupBy("root").agg(F.min("min_doc").alias("class_id"))
-    per_key = known.join(classes, "root").select(
-        "set_key",
-        "class_id",
-        (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
-        (F.col("n_texts") - 1 + F.coalesce("texts", F.lit(0))).alias("n_text_links"),
-    )
-    out = signed.select("doc_id", "text_key", "set_key").join(per_key, "set_key", "left")
-    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
+    return known
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import save
+from tallyforge.llm.shared import save, temporary
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,12 +15,20 @@ def components(edges: DataFrame) -> DataFrame:
     links its smaller ones.  Both keep components and need only a minimum per node and one
     join.  Each round is written to the shared folder; rounds stop when edges no longer change.
     """
+    with temporary(edges.sparkSession):
+        now = save(_stars(edges), "components", keep=True)
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(hi, lo): every node but the smallest of its component, and that one."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now = save(pairs, "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the join may deal the edges of one hub over several tasks
+        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(lowest.select("hi", F.col("m").alias("lo")))
@@ -28,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    return now
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import save
+from tallyforge.llm.shared import save, temporary
 
 CAP = 3
 WEIGHTS = (5, 2, 1)
@@ -95,6 +95,11 @@ def rules(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     in that range those up to ``last`` in the order of q; without a cut range all are drawn.  Of
     the repeated rows ``split`` the first ``fit`` are drawn.
     """
+    with temporary(table.sparkSession):
+        return save(_rules(table, weights, cap), "rules", keep=True)
+
+
+def _rules(table: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     goals = targets(table, weights, cap)
     goals = goals.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
@@ -120,7 +125,7 @@ def rules(table: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     cuts = cut.drop("start").join(last, F.col("cut_source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
     found = goals.join(cuts, F.col("__source").eqNullSafe(F.col("cut_source")), "left")
     split, fit = F.col("split.row").alias("split"), F.col("split.fit").alias("fit")
-    return save(found.select("__source", "source_size", "source_rows", "target", "whole", "p", "cut_range", "last", split, fit), "rules")
+    return found.select("__source", "source_size", "source_rows", "target", "whole", "p", "cut_range", "last", split, fit)
 
 
 SLICES = 1024

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: later jobs start from the files."""
-    return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end, but for those that are kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: later jobs start from the files.
+
+    ``keep``: it outlives the innermost ``temporary`` block (and belongs to the one around it).
+    """
+    path = write(df, name)
+    around = _open[:-1] if keep else _open
+    if around:
+        around[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write(df: DataFrame, name: str) -> str:

@@ -234,6 +234,38 @@ def test_decontamination(spark, max_words):
     assert nothing.where("size(runs) > 0").isEmpty() and nothing.count() == len(texts)
 
 
+def test_many_item_words_in_one_automaton():
+    """A million item words: one index, found by its own windows at every offset and by nothing else."""
+    rng = np.random.default_rng(2)
+    words_ = [f"w{x}" for x in rng.integers(0, 50_000, 1_000_000)]
+    pieces = [(str(i), " ".join(words_[at : at + 5000])) for i, at in enumerate(range(0, len(words_), 5000))]
+    scanner = decontaminate.Scanner(pieces, 10, 1)
+    at = [7, 5003, 123_457, 999_980]
+    texts = [f"other text {' '.join(words_[a : a + 10])}, and more" for a in at] + [" ".join(words_[a : a + 9]) + " w0 end" for a in at[:2]]
+    found = scanner.scan(pa.array(texts))
+    assert [x[2] for x in found] == [["0"], ["1"], ["24"], ["199"], [], []]
+    assert all([r[:2] for r in x[1]] == [(2, 12)] for x in found[:4])
+
+
+def test_long_items_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    body = [f"v{i}" for i in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(body))], "item_id long, text string")
+    texts = [" ".join(body[i : i + 10]) for i in range(51)] + ["x " * 400_000 + " ".join(body) + " y" * 400_000]
+    found = {r.doc_id: r for r in decontaminate.scan_items(documents(spark, texts), bench).collect()}
+    assert all(sum(x.end - x.first for x in found[i].runs) == 10 for i in range(51))
+    assert [(x.first, x.end, x.start_char) for x in found[51].runs] == [(400_000, 400_060, 800_000)] and found[51].n_words == 800_060
+
+
+def test_equal_hashes_are_no_match(monkeypatch):
+    """Words that only share their hash with an item's words are told apart by the words."""
+    kernel = decontaminate.words
+    monkeypatch.setattr(decontaminate, "hash_word", lambda w: 1)
+    monkeypatch.setattr(decontaminate, "words", lambda b, o: (*kernel(b, o)[:2], np.ones(len(kernel(b, o)[0]), np.uint64)))
+    scanner = decontaminate.Scanner([("1", "alpha beta"), ("2", "beta alpha")], 10, 2)
+    assert [x[2] for x in scanner.scan(pa.array(["gamma delta", "alpha beta", "alpha beta alpha", "beta"]))] == [[], ["1"], ["1", "2"], []]
+
+
 @pytest.mark.parametrize("max_words", [decontaminate.MAX_WORDS, 3])
 def test_decontamination_by_items_without_id(spark, duck, tmp_path, monkeypatch, max_words):
     """The query, with every item list in one and in several groups, against its SQL."""
