@@ -172,6 +172,22 @@ def rescue(base: Column, p_resolved: Column, p_nmr: Column, p_h_given_resolved:
     return F.when(go, F.when(p_h_given_resolved >= 0.5, H).otherwise(NH)).otherwise(base)
 
 
+def near_tie(margin: Column, limit: float = 0.125) -> Column:
+    return F.coalesce((margin <= limit).cast("int"), F.lit(0))
+
+
+def target_key(target: float) -> str:
+    """A coverage target as it stands in column names: 0.65 is 0p65."""
+    return f"{target:.2f}".replace(".", "p")
+
+
+def combined(scores: Sequence[Column], rule: Column, margin: Column) -> Column:
+    """Class with the largest weighted score; by rule, close or contested ones stay undecided."""
+    nh, nmr, h = scores
+    contested = (nh > 0) & (nmr > 0) & (h > 0)
+    return F.when((rule == "margin_to_nmr") & (F.abs(h - nh) <= margin), NMR).when((rule == "any_cross_to_nmr") & contested, NMR).otherwise(argmax3(nh, nmr, h))
+
+
 def weighted_vote(predictions: Sequence[Column], weights: Sequence[float]) -> Column:
     score = [sum((F.when(p == k, w).otherwise(0.0) for p, w in zip(predictions, weights, strict=True)), F.lit(0.0)) for k in (NH, NMR, H)]
     return argmax3(*score)

@@ -49,14 +49,90 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+BUCKETS = 4096
+
+
+def _cuts(values: DataFrame, column: str, buckets: int) -> list:
+    """At most ``buckets`` - 1 values that deal the column into ranges of about equal numbers of rows."""
+    found = values.agg(F.percentile_approx(column, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(4 * buckets)).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def counts_up_to(df: DataFrame, column: str, partition: Sequence[str] = (), weights: Sequence[str] = ("n",), buckets: int = 64) -> DataFrame:
+    """Adds ``upto_<w>``: sums of each weight over the rows with a value of at most this row's, without a window over all rows.
+
+    Values go to ranges between quantiles; sums of whole ranges come from a small table and only
+    the rows of one range are ordered together.
+    """
+    cuts = _cuts(df, column, buckets)
+    at = F.lit(0)
+    if cuts:
+        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column)))
+    rows = df.withColumn("__b", at)
+    per = rows.groupBy(*partition, "__b").agg(*[F.sum(w).alias(f"__{w}") for w in weights])
+    before = Window.partitionBy(*partition).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"__before_{w}": F.coalesce(F.sum(f"__{w}").over(before), F.lit(0)) for w in weights}).drop(*[f"__{w}" for w in weights])
+    named = per.select(*[F.col(p).alias(f"__p_{p}") for p in partition], F.col("__b").alias("__pb"), *[f"__before_{w}" for w in weights])
+    on = F.col("__b") == F.col("__pb")
+    for p in partition:
+        on &= F.col(p).eqNullSafe(F.col(f"__p_{p}"))
+    inside = Window.partitionBy(*partition, "__b").orderBy(column)
+    joined = rows.join(F.broadcast(named) if not partition else named, on)
+    return joined.withColumns({f"upto_{w}": F.col(f"__before_{w}") + F.sum(w).over(inside) for w in weights}).select(*df.columns, *[f"upto_{w}" for w in weights])
+
+
+def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the share of known values that are not above this one; null for nulls.  Works on distinct values and their counts."""
+    per = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    ranks = counts_up_to(per, "__v").select("__v", (F.col("upto_n") / F.lit(max(total, 1))).alias(name))
+    return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
+def repair_overlap(df: DataFrame, names: Sequence[str], left: str = "_x", right: str = "_y") -> DataFrame:
+    """After a join that suffixed equal columns: one column each, the left value where it is known, else the right one."""
+    for n in names:
+        have = [c for c in (n + left, n + right) if c in df.columns]
+        if have and n not in df.columns:
+            df = df.withColumn(n, F.coalesce(*have)).drop(*have)
+    return df
+
+
+def suffixed_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left", left: str = "_x", right: str = "_y") -> DataFrame:
+    """Join on ``keys``; other columns that both sides have get a suffix each."""
+    both = [c for c in a.columns if c in b.columns and c not in keys]
+    return a.withColumnsRenamed({c: c + left for c in both}).join(b.withColumnsRenamed({c: c + right for c in both}), list(keys), how)
+
+
+def positional_concat(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
+    """Columns of both tables side by side, the k-th row of one with the k-th of the other in their stated orders."""
+    rank = lambda df, order: global_rank(df, [F.col(c) for c in order], "__k")
+    clash = {c: f"{c}_right" for c in b.columns if c in a.columns}
+    return rank(a, order_a).join(rank(b, order_b).withColumnsRenamed(clash), "__k", "full").drop("__k")
+
+
+def ordered_union(*groups: Sequence[str]) -> list[str]:
+    """Names in order of first appearance."""
+    return list(dict.fromkeys(x for g in groups for x in g))
+
+
+def ordered_difference(names: Sequence[str], *drop: Sequence[str]) -> list[str]:
+    gone = {x for g in drop for x in g}
+    return [x for x in dict.fromkeys(names) if x not in gone]
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Numbers all rows from 1 in a total order without bringing them into one task.
 
-    Rows are range-sorted; each gets its place in its partition, and partition starts come from
-    one small table of counts.  The sorted rows are kept so that both uses see the same cut.
+    Rows are range-partitioned and sorted, and each gets its place in its partition; partition
+    starts come from one small table of counts.  Both uses read one sorted table in the
+    checkpoint folder where there is one (a lost executor cannot change the cut); without one,
+    as in tests, the sort is repeated from the same input.
     """
-    place = F.monotonically_increasing_id()
-    kept = df.orderBy(*order).withColumn("__at", place).persist()
+    kept = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        kept = kept.checkpoint()
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -72,10 +72,28 @@ def redistribute(allocation: DataFrame, strata: Sequence[str]) -> DataFrame:
     return level.withColumn("last", last).select(*strata, "allocated", "available", (F.col("given") + F.col("whole") + more).cast("long").alias("final"))
 
 
+RANGES = 256
+
+
+def hash_places(df: DataFrame, strata: Sequence[str], key: str, seed: int) -> DataFrame:
+    """Adds ``__k``: the row's place, from 1, in its stratum in hash order (ties: smaller key).
+
+    Rows are counted per range of the hash; running sums give each range its start, so only the
+    rows of one range of one stratum are ordered together.
+    """
+    h = hashed(F.col(key), seed)
+    rows = df.withColumn("__h", h).withColumn("__r", F.coalesce(F.floor(F.col("__h") / (4294967296 // RANGES)), F.lit(-1)).cast("int"))
+    counts = rows.groupBy(*strata, "__r").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*strata).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(s).alias(f"__{s}") for s in strata], F.col("__r").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*strata, "__r").orderBy("__h", key)
+    placed = rows.withColumn("__place", F.row_number().over(inside)).join(starts, _null_safe(strata) & (F.col("__r") == F.col("__of")))
+    return placed.select(*df.columns, (F.col("__start") + F.col("__place")).alias("__k"))
+
+
 def draw(df: DataFrame, strata: Sequence[str], allocation: DataFrame, key: str, seed: int) -> DataFrame:
-    """``allocated`` rows of each stratum in hash order, numbered from 1 in a global hash order."""
-    w = Window.partitionBy(*strata).orderBy(hashed(F.col(key), seed), key)
-    ranked = df.withColumn("__k", F.row_number().over(w))
+    """``allocated`` rows of each stratum, the first in hash order."""
+    ranked = hash_places(df, strata, key, seed)
     return ranked.join(allocation.select(*[F.col(s).alias(f"__{s}") for s in strata], "allocated"), _null_safe(strata)).where(F.col("__k") <= F.col("allocated")).select(*df.columns)
 
 
@@ -89,25 +107,79 @@ def _null_safe(strata: Sequence[str]) -> Column:
 def balanced(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
     """As many rows of each class as the smallest class has."""
     least = df.groupBy(label).count().agg(F.min("count").alias("least"))
-    w = Window.partitionBy(label).orderBy(hashed(F.col(key), seed), key)
-    return df.withColumn("__k", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("__k <= least").select(*df.columns)
+    return hash_places(df, [label], key, seed).crossJoin(F.broadcast(least)).where("__k <= least").select(*df.columns)
+
+
+def balanced_of_size(df: DataFrame, label: str, classes: Sequence[object], key: str, seed: int, size: int) -> DataFrame:
+    """``size`` rows: equal parts of the classes (the first ones get the remainder), topped up from all other rows."""
+    base, rest = divmod(size, len(classes))
+    quota = F.lit(0)
+    for i, c in enumerate(classes):
+        quota = F.when(F.col(label) == F.lit(c), base + (i < rest)).otherwise(quota)
+    ranked = hash_places(df, [label], key, seed).withColumn("__in", F.col("__k") <= quota)
+    short = F.lit(size) - F.count_if("__in")
+    missing = ranked.agg(short.alias("missing"))
+    pool = hash_places(ranked.where(~F.col("__in")).drop("__k").withColumn("__all", F.lit(1)), ["__all"], key, seed + 1)
+    more = pool.crossJoin(F.broadcast(missing)).where("__k <= missing")
+    return ranked.where("__in").select(*df.columns).unionByName(more.select(*df.columns))
+
+
+def head(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """The first ``size`` rows in a stated order; all of them where ``size`` is not positive."""
+    return df if size <= 0 else df.orderBy(*order).limit(size)
 
 
 def folds(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """Stratified fold numbers: classes are dealt round in hash order."""
-    w = Window.partitionBy(label).orderBy(hashed(F.col(key), seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    return hash_places(df, [label], key, seed).withColumn("fold", ((F.col("__k") - 1) % k).cast("int")).drop("__k")
+
 
+# Coefficients of Acklam's rational approximation of the inverse normal distribution.
+_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
+_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
 
-def bootstrap(groups: DataFrame, n: int, rounds: int, seed: int) -> DataFrame:
-    """Resampling with replacement: (round, accuracy) of ``rounds`` samples of size ``n``.
 
-    ``groups`` holds the two values of a 0/1 outcome with their counts (value, weight), so rows
-    are never joined: each draw is a hashed index below n, a hit if it is below the ones' count.
+def _poly(x: str, coefficients: Sequence[float]) -> str:
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def normal_sql(u: str) -> str:
+    """The standard normal quantile of a number in (0, 1), as SQL text."""
+    tail = lambda q: f"({_poly(q, _C)} / ({_poly(q, _D)} * {q} + 1))"
+    low, high, r = f"sqrt(-2 * ln({u}))", f"sqrt(-2 * ln(1 - {u}))", f"(({u} - 0.5) * ({u} - 0.5))"
+    middle = f"({_poly(r, _A)} * ({u} - 0.5) / ({_poly(r, _B)} * {r} + 1))"
+    return f"CASE WHEN {u} < 0.02425 THEN {tail(low)} WHEN {u} > 0.97575 THEN -{tail(high)} ELSE {middle} END"
+
+
+def binomial_sql(n: str, p: str, z: str) -> str:
+    """The binomial quantile at a normal deviate (Cornish-Fisher), as SQL text."""
+    return f"least(greatest(round({n} * {p} + {z} * sqrt({n} * {p} * (1 - {p})) + (1 - 2 * {p}) * ({z} * {z} - 1) / 6), 0), {n})"
+
+
+def uniform_sql(i: str, seed: int) -> str:
+    """A number in (0, 1) from an index and a seed, as SQL text."""
+    return f"(((({i} * 2654435761 + {seed}) % 4294967296) * 40503 + {seed}) % 4294967296 + 0.5) / CAST(4294967296 AS DOUBLE)"
+
+
+def bootstrap(counted: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """Resampling with replacement of a 0/1 outcome: (round, share) for each row of ``counted`` (n, hits).
+
+    The hits of a resample are binomial, so each round draws that number at once; a round's
+    cost does not depend on n.
     """
-    hits = groups.agg(F.sum(F.col("value") * F.col("weight")).alias("hits"))
-    draws = groups.sparkSession.range(rounds).select(F.col("id").alias("round")).crossJoin(groups.sparkSession.range(n).select(F.col("id").alias("i")))
-    mixed = F.pmod((F.col("round") * F.lit(n) + F.col("i") + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
-    index = F.floor(F.pmod(mixed * F.lit(40503) + F.lit(seed), F.lit(4294967296)) * F.lit(n) / F.lit(4294967296.0))
-    drawn = draws.withColumn("index", index).crossJoin(F.broadcast(hits))
-    return drawn.groupBy("round").agg(F.avg((F.col("index") < F.col("hits")).cast("double")).alias("accuracy"))
+    draws = counted.crossJoin(F.broadcast(counted.sparkSession.range(rounds).select(F.col("id").alias("round"))))
+    draws = draws.withColumn("p", F.col("hits") / F.nullif(F.col("n"), F.lit(0))).withColumn("u", F.expr(uniform_sql("round", seed))).withColumn("z", F.expr(normal_sql("u")))
+    return draws.withColumn("share", F.expr(binomial_sql("n", "p", "z")) / F.nullif(F.col("n"), F.lit(0))).drop("p", "u", "z")
+
+
+def bootstrap_selective(counted: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(round, coverage, accuracy) of resamples from (n, decided, correct): the decided rows first, then the correct among them."""
+    first = bootstrap(counted.withColumn("hits", F.col("decided")), rounds, seed).withColumnRenamed("share", "coverage").drop("hits")
+    m = first.withColumn("m", F.round(F.col("coverage") * F.col("n"))).withColumn("p", F.col("correct") / F.nullif(F.col("decided"), F.lit(0)))
+    m = m.withColumn("u", F.expr(uniform_sql("round", seed + 1))).withColumn("z", F.expr(normal_sql("u")))
+    return m.withColumn("accuracy", F.expr(binomial_sql("m", "p", "z")) / F.nullif(F.col("m"), F.lit(0.0))).select("round", "coverage", "accuracy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
+from tallyforge.operators import grids
 from tallyforge.operators import metrics as m
 from tallyforge.operators import relational as rel
 from tallyforge.operators import votes as vote_ops
@@ -75,23 +76,6 @@ def decision_rules(spark, d):
     )
 
 
-_GRID = "grid AS (SELECT l.range / 10.0 AS low, h.range / 10.0 AS high FROM range(1, 6) l, range(5, 10) h WHERE l.range < h.range)"
-
-
-def threshold_grid(spark):
-    return spark.createDataFrame([(low / 10, high / 10) for low in range(1, 6) for high in range(5, 10) if low < high], "low double, high double")
-
-
-@query(f"""WITH {_JUDGED}, {_GRID}, s AS (SELECT round(share_h, 9) AS x, true_label_3way AS t, count(*) AS n FROM judged GROUP BY 1, 2), p AS (SELECT low, high, t, n, CASE WHEN x <= low THEN 0 WHEN x >= high THEN 2 ELSE 1 END AS pred FROM s, grid),
-a AS (SELECT low, high, sum(CASE WHEN t = pred THEN n ELSE 0 END) / sum(n) AS acc, sum(CASE WHEN pred <> 1 THEN n ELSE 0 END) / sum(n) AS cov FROM p GROUP BY low, high)
-SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, round(acc, 6) AS accuracy, round(cov, 6) AS resolved_coverage FROM a""")
-def dual_threshold(spark, d):
-    per = judged(spark, d).groupBy(F.round("share_h", 9).alias("x"), "true_label_3way").agg(F.count(F.lit(1)).alias("n"))
-    p = per.crossJoin(F.broadcast(threshold_grid(spark))).withColumn("pred", c.dual_threshold(F.col("x"), F.col("low"), F.col("high")))
-    total = F.sum("n")
-    return p.groupBy("low", "high").agg(c.r6(F.sum(F.when(F.col("pred") == F.col("true_label_3way"), F.col("n")).otherwise(0)) / total).alias("accuracy"), c.r6(F.sum(F.when(F.col("pred") != 1, F.col("n")).otherwise(0)) / total).alias("resolved_coverage"))
-
-
 @query(f"""WITH {FEATURES}, s AS (SELECT note_id, round(ln(greatest(share_nh, 1e-9)) + 0.1, 9) AS a, round(ln(greatest(share_sh, 1e-9)) - 0.3, 9) AS b, round(ln(greatest(share_h, 1e-9)), 9) AS c FROM features)
 SELECT note_id, CASE WHEN round(abs(c - a), 9) < 0.25 AND b >= round(least(c, a) - 0.5, 9) THEN 1 WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS pred FROM s""")
 def bias_rule(spark, d):
@@ -180,20 +164,32 @@ def topk_coverage(spark, d):
     return _rounded(out, ("coverage", "resolved_accuracy"))
 
 
-@query(f"""WITH {_JUDGED}, grid AS (SELECT l.range / 50.0 AS low, h.range / 50.0 AS high FROM range(0, 26) l, range(25, 51) h WHERE l.range < h.range), s AS (SELECT round(share_h, 9) AS x, true_label_3way // 2 AS t, count(*) AS n FROM judged WHERE true_label_3way <> 1 GROUP BY 1, 2),
-a AS (SELECT low, high, sum(CASE WHEN x <= low OR x >= high THEN n ELSE 0 END) / sum(n) AS cov, sum(CASE WHEN (x <= low AND t = 0) OR (x > low AND x >= high AND t = 1) THEN n ELSE 0 END) / nullif(sum(CASE WHEN x <= low OR x >= high THEN n ELSE 0 END), 0) AS acc FROM s, grid GROUP BY low, high),
-t AS (SELECT unnest([0.5, 0.65, 0.8, 0.95]) AS target), k AS (SELECT target, low, high, cov, acc, row_number() OVER (PARTITION BY target ORDER BY round(acc, 9) DESC, round(cov, 9) DESC, low, high) AS k FROM t JOIN a ON round(cov, 9) >= target)
-SELECT CAST(target AS DOUBLE) AS target, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, round(cov, 6) AS coverage, round(acc, 6) AS accuracy FROM k WHERE k = 1""")
+_LOWS, _HIGHS = [i / 100 for i in range(51)], [i / 100 for i in range(50, 96)]
+
+
+@query(f"""WITH {_JUDGED}, grid AS (SELECT l.range / 100.0::DOUBLE AS low, h.range / 100.0::DOUBLE AS high FROM range(0, 51) l, range(50, 96) h WHERE l.range < h.range), s AS (SELECT round(share_h, 9) AS x, true_label_3way // 2 AS t, count(*) AS n FROM judged WHERE true_label_3way <> 1 GROUP BY 1, 2),
+k AS (SELECT low, high, sum(n) AS n, {', '.join(f'sum(CASE WHEN t = {a} AND {b} THEN n ELSE 0 END) AS {x}' for x, a, b in (('tn', 0, 'x <= low'), ('fp', 0, 'x > low AND x >= high'), ('fn', 1, 'x <= low'), ('tp', 1, 'x > low AND x >= high')))} FROM s, grid GROUP BY low, high),
+a AS (SELECT low, high, (tn + fp + fn + tp) / n AS cov, (tn + tp) / nullif(tn + fp + fn + tp, 0) AS acc, (coalesce(tn / nullif(tn + fp, 0), 0) + coalesce(tp / nullif(tp + fn, 0), 0)) / 2 AS bal FROM k),
+t AS (SELECT unnest([0.5, 0.65, 0.8, 0.95]) AS target), r AS (SELECT target, low, high, cov, acc, bal, row_number() OVER (PARTITION BY target ORDER BY round(acc, 9) DESC, round(bal, 9) DESC, round(cov, 9) DESC, low, high) AS k FROM t JOIN a ON round(cov, 9) >= target)
+SELECT CAST(target AS DOUBLE) AS target, low, high, round(cov, 6) AS coverage, round(acc, 6) AS accuracy, round(bal, 6) AS balanced_accuracy FROM r WHERE k = 1""")
 def selective_curve(spark, d):
-    per = judged(spark, d).where("true_label_3way <> 1").groupBy(F.round("share_h", 9).alias("x"), c.binary_class(F.col("true_label_3way")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.createDataFrame([(a / 50, b / 50) for a in range(26) for b in range(25, 51) if a < b], "low double, high double")
-    p = per.crossJoin(F.broadcast(grid)).withColumn("pred", c.selective(F.col("x"), F.col("low"), F.col("high")))
+    x = F.round("share_h", 9)
+    resolved = judged(spark, d).where("true_label_3way <> 1")
+    # scores that pass the same thresholds are one cell, so the cells are no more than the thresholds
+    cells = resolved.groupBy(grids.passed(x, _LOWS, ">").alias("above"), grids.passed(x, _HIGHS, ">=").alias("reached"), c.binary_class(F.col("true_label_3way")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(_LOWS) for j, b in enumerate(_HIGHS) if a < b], "i int, j int, low double, high double")
+    low = F.col("above") <= F.col("i")
+    high = ~low & (F.col("reached") > F.col("j"))
     part = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    scored = p.groupBy("low", "high").agg((part(F.col("pred") >= 0) / F.sum("n")).alias("coverage"), m.ratio(part(F.col("pred") == F.col("t")), part(F.col("pred") >= 0)).alias("accuracy"))
+    k = cells.crossJoin(F.broadcast(grid)).groupBy("low", "high").agg(F.sum("n").alias("n"), *[part((F.col("t") == t) & side).alias(n) for n, t, side in (("tn", 0, low), ("fp", 0, high), ("fn", 1, low), ("tp", 1, high))])
+    decided = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    balanced = (zero(m.ratio(F.col("tn"), F.col("tn") + F.col("fp"))) + zero(m.ratio(F.col("tp"), F.col("tp") + F.col("fn")))) / 2
+    scored = k.select("low", "high", (decided / F.col("n")).alias("coverage"), m.ratio(F.col("tn") + F.col("tp"), decided).alias("accuracy"), balanced.alias("balanced_accuracy"))
     targets = spark.createDataFrame([(0.5,), (0.65,), (0.8,), (0.95,)], "target double")
     reached = scored.crossJoin(F.broadcast(targets)).where(F.round("coverage", 9) >= F.col("target"))
-    best = rel.top_n(reached, ["target"], [F.round("accuracy", 9).desc(), F.round("coverage", 9).desc(), F.col("low"), F.col("high")], 1)
-    return best.select("target", "low", "high", c.r6(F.col("coverage")).alias("coverage"), c.r6(F.col("accuracy")).alias("accuracy"))
+    best = rel.top_n(reached, ["target"], [F.round("accuracy", 9).desc(), F.round("balanced_accuracy", 9).desc(), F.round("coverage", 9).desc(), F.col("low"), F.col("high")], 1)
+    return _rounded(best.select("target", "low", "high", "coverage", "accuracy", "balanced_accuracy"), ("coverage", "accuracy", "balanced_accuracy"))
 
 
 @query(f"""WITH {_JUDGED}, s AS (SELECT round(share_h, 9) AS x, true_label_3way // 2 AS t, count(*) AS n FROM judged WHERE true_label_3way <> 1 GROUP BY 1, 2), g AS (SELECT range / 20.0 AS threshold FROM range(1, 20)),
@@ -233,9 +229,10 @@ SELECT CAST(target AS DOUBLE) AS target, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum
 def pooled_selective(spark, d):
     targets = spark.createDataFrame([(0.5,), (0.65,)], "target double")
     x = F.round("share_h", 9)
-    p = judged(spark, d).where("true_label_3way <> 1").crossJoin(F.broadcast(targets)).select("target", (F.col("note_id").cast("long") % 5).alias("fold"), c.binary_class(F.col("true_label_3way")).alias("t"), c.selective(x, 1 - F.col("target"), F.col("target")).alias("p"))
-    cells = [F.count_if((F.col("t") == a) & (F.col("p") == b)).alias(n) for n, a, b in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))]
-    folds = p.groupBy("target", "fold").agg(*cells, F.count(F.lit(1)).alias("n"))
+    per = judged(spark, d).where("true_label_3way <> 1").groupBy((F.col("note_id").cast("long") % 5).alias("fold"), c.binary_class(F.col("true_label_3way")).alias("t"), x.alias("x")).agg(F.count(F.lit(1)).alias("w"))
+    p = per.crossJoin(F.broadcast(targets)).withColumn("p", c.selective(F.col("x"), 1 - F.col("target"), F.col("target")))
+    cells = [F.sum(F.when((F.col("t") == a) & (F.col("p") == b), F.col("w")).otherwise(0)).alias(n) for n, a, b in (("tp", 1, 1), ("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0))]
+    folds = p.groupBy("target", "fold").agg(*cells, F.sum("w").alias("n"))
     decided = F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")
     acc = m.ratio(F.col("tp") + F.col("tn"), decided)
     return folds.groupBy("target").agg(*[F.sum(x).alias(x) for x in ("tp", "tn", "fp", "fn")], c.r6(F.sum(F.col("tp") + F.col("tn")) / F.sum(decided)).alias("accuracy"), c.r6(F.sum(decided) / F.sum("n")).alias("coverage"), c.r6(F.avg(acc)).alias("mean_fold_accuracy"), c.r6(F.stddev_pop(acc)).alias("std_fold_accuracy"))

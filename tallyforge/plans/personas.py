@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
-from tallyforge.operators import metrics as m
 from tallyforge.operators import models
 from tallyforge.operators import personas as ops
 from tallyforge.plans import views as v
@@ -59,34 +58,61 @@ def persona_bands(spark, d):
     return ops.bands(s, {"mean_score": ("lenient", "strict"), "mean_understanding": ("engaged", "detached")}).select("rater_id", "mean_score_band", "mean_understanding_band")
 
 
-_NAME = """SELECT rater_id, round(1 - abs(share_h - share_nh) * 3, 9) AS agree, round(share_h * 2, 9) AS help, round(mean_score - 0.3, 9) AS score, round((share_h - share_nh) * 4, 9) AS diff, round(mean_score - share_nh, 9) AS factor FROM raters"""
+_NAME = """SELECT rater_id, round(1 - abs(share_h - share_nh) * 3, 9) AS agreement, round(share_h * 2, 9) AS pass_rate, round(mean_score - 0.3, 9) AS mean_note, round((share_h - share_nh) * 4, 9) AS status_gap, round(mean_score - share_nh, 9) AS axis FROM raters"""
 
 
-@query(f"""WITH {_RATERS}, s AS ({_NAME}) SELECT rater_id, CASE WHEN agree < 0.2 THEN 'low-agreement idiosyncratic rater' WHEN agree < 0.65 THEN 'mixed-agreement boundary-case rater' WHEN diff < -1 OR score < 0.02 THEN 'skeptical low-score rater'
-  WHEN diff > 0.15 OR score > 0.25 THEN 'positive high-context rater' WHEN help >= 0.75 AND factor > 0.3 THEN 'high-helpfulness positive-axis rater' WHEN help >= 0.75 AND factor < -0.3 THEN 'high-helpfulness negative-axis rater'
-  WHEN help < 0.25 THEN 'strict unresolved-prone rater' ELSE 'mainstream consensus rater' END AS persona FROM s""")
+def _case(rules, otherwise) -> str:
+    when = " ".join(f"WHEN {(' OR ' if any_ else ' AND ').join(f'{n} {op} {x}' for n, op, x in tests)} THEN '{text}'" for text, any_, tests in rules)
+    return f"CASE {when} ELSE '{otherwise}' END"
+
+
+@query(f"WITH {_RATERS}, s AS ({_NAME}) SELECT rater_id, {_case(ops.NAMES, ops.NAME_ELSE)} AS persona FROM s")
 def persona_name(spark, d):
     h, nh, s = F.col("share_h"), F.col("share_nh"), F.col("mean_score")
     r9 = lambda x: F.round(x, 9)
-    return raters(spark, d).select("rater_id", ops.persona_name(r9(1 - F.abs(h - nh) * 3), r9(h * 2), r9(s - 0.3), r9((h - nh) * 4), r9(s - nh)).alias("persona"))
+    known = {"agreement": r9(1 - F.abs(h - nh) * 3), "pass_rate": r9(h * 2), "mean_note": r9(s - 0.3), "status_gap": r9((h - nh) * 4), "axis": r9(s - nh)}
+    return raters(spark, d).select("rater_id", ops.named(known).alias("persona"))
+
 
+_LABELS = """SELECT rater_id, n, mean_confidence, round(share_h - share_nh, 9) AS margin, round(share_h - 0.35, 9) AS endorsing, round(share_nh - 0.3, 9) AS rejecting, CASE WHEN rater_id % 5 = 0 THEN NULL ELSE rater_id % 7 END AS written, round(share_h / 2, 9) AS accepted, round(share_nh / 2, 9) AS refused FROM raters"""
 
-_TEND = "CASE WHEN m >= 0.35 THEN 'strongly positive' WHEN m >= 0.15 THEN 'mildly positive' WHEN m <= -0.25 THEN 'strongly negative' WHEN m <= -0.10 THEN 'mildly negative' ELSE 'balanced' END"
+
+@query(f"""WITH {_RATERS}, s AS ({_LABELS}) SELECT rater_id, {_case(ops.TENDENCIES, ops.TENDENCY_ELSE)} AS tendency, {_case(ops.DRIFTS, ops.DRIFT_ELSE)} AS drift,
+  CASE WHEN written IS NULL THEN '{ops.AUTHORING_UNKNOWN}' ELSE {_case(ops.AUTHORINGS, ops.AUTHORING_ELSE)} END AS authoring FROM s""")
+def persona_labels(spark, d):
+    h, nh = F.col("share_h"), F.col("share_nh")
+    r9 = lambda x: F.round(x, 9)
+    written = F.when(F.col("rater_id") % 5 != 0, F.col("rater_id") % 7)
+    return raters(spark, d).select("rater_id", ops.tendency(r9(h - nh), F.lit(0.0)).alias("tendency"), ops.drift(r9(h - 0.35), r9(nh - 0.3)).alias("drift"), ops.authoring(r9(h / 2), r9(nh / 2), written).alias("authoring"))
 
 
-@query(f"""WITH {_RATERS}, s AS (SELECT *, round(share_h - share_nh, 9) AS m FROM raters) SELECT rater_id, {_TEND} AS tendency, concat_ws(chr(10), concat('raters: ', n), CASE WHEN mean_confidence IS NOT NULL THEN concat('confidence: ', CAST(round(mean_confidence, 0) AS BIGINT)) END,
-  concat('tendency: ', {_TEND})) AS profile FROM s""")
+@query(f"""WITH {_RATERS}, s AS ({_LABELS}) SELECT rater_id, concat_ws(chr(10), concat('- Ratings given: ', n, '.'), CASE WHEN mean_confidence IS NOT NULL THEN concat('- Mean confidence: ', CAST(round(mean_confidence, 0) AS BIGINT), '.') END,
+  concat('- Helpful less Not Helpful share: ', CAST(round(margin * 100, 0) AS BIGINT), ' points; this rater ', {_case(ops.TENDENCIES, ops.TENDENCY_ELSE)}, '.'), CASE WHEN written IS NOT NULL THEN concat('- As an author: ', {_case(ops.AUTHORINGS, ops.AUTHORING_ELSE)}, '.') END,
+  concat('- Recent drift: ', {_case(ops.DRIFTS, ops.DRIFT_ELSE)}, '.')) AS profile FROM s""")
 def persona_profile(spark, d):
-    m_ = F.round(F.col("share_h") - F.col("share_nh"), 9)
-    t = ops.tendency(m_, F.lit(0.0))
-    lines = [("raters", F.col("n")), ("confidence", F.round("mean_confidence", 0).cast("long")), ("tendency", t)]
-    return raters(spark, d).select("rater_id", t.alias("tendency"), ops.profile_text(lines).alias("profile"))
+    h, nh = F.col("share_h"), F.col("share_nh")
+    r9 = lambda x: F.round(x, 9)
+    written = F.when(F.col("rater_id") % 5 != 0, F.col("rater_id") % 7)
+    said = lambda *parts: F.concat(*[p if hasattr(p, "alias") else F.lit(p) for p in parts])
+    lines = [
+        said("- Ratings given: ", F.col("n").cast("string"), "."),
+        said("- Mean confidence: ", F.round("mean_confidence", 0).cast("long").cast("string"), "."),
+        said("- Helpful less Not Helpful share: ", F.round(r9(h - nh) * 100, 0).cast("long").cast("string"), " points; this rater ", ops.tendency(r9(h - nh), F.lit(0.0)), "."),
+        F.when(written.isNotNull(), said("- As an author: ", ops.authoring(r9(h / 2), r9(nh / 2), written), ".")),
+        said("- Recent drift: ", ops.drift(r9(h - 0.35), r9(nh - 0.3)), "."),
+    ]
+    return raters(spark, d).select("rater_id", ops.profile(lines).alias("profile"))
+
+
+# The lines of the request for one item.
+_REQUEST = "Post creation context: {created}\nAuthor-selected note topic: {topic}\n\nPOST:\n{post}\n\nCOMMUNITY NOTE:\n{note}\n\nEvaluate only the note's usefulness for the post. Do not infer the official status from metadata."
+_REQUEST_SQL = "'" + _REQUEST.replace("'", "''").replace("{created}", "', created_year, '").replace("{topic}", "', primary_topic, '").replace("{post}", "', current_status, '").replace("{note}", "', note_id, '") + "'"
 
 
-@query("SELECT note_id, agent_id, concat('Topic: ', primary_topic, chr(10), 'Agent: ', agent_id) AS prompt FROM notes, (SELECT concat('C0', range) AS agent_id FROM range(1, 8))")
+@query(f"SELECT note_id, agent_id, concat({_REQUEST_SQL}) AS prompt FROM notes, (SELECT concat('C0', range) AS agent_id FROM range(1, 8))")
 def cross_tasks(spark, d):
     agents = spark.createDataFrame([(a,) for a in v.AGENTS], "agent_id string")
-    prompt = F.format_string("Topic: %s\nAgent: %s", F.col("primary_topic"), F.col("agent_id"))
+    prompt = ops.request(_REQUEST, {"created": F.col("created_year"), "topic": F.col("primary_topic"), "post": F.col("current_status"), "note": F.col("note_id")})
     return ops.tasks(v.notes(spark, d), agents, prompt).select("note_id", "agent_id", "prompt")
 
 
@@ -99,49 +125,47 @@ def cluster_map_stats(spark, d):
     return x.groupBy("note_id").agg(F.count(F.lit(1)).alias("clusters"), *[c.r6(f("x")).alias(n) for f, n in ((F.avg, "mean_share"), (F.stddev_pop, "std_share"), (F.min, "min_share"), (F.max, "max_share"))])
 
 
-_DIM = 8
+_DIM = 64
 _X = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(_DIM))
 _D2 = " + ".join(f"(x{i} - c{i}) ** 2" for i in range(_DIM))
 _QUALITY = f"""WITH e AS (SELECT label AS cluster, {_X} FROM embeddings), c AS (SELECT cluster, count(*) AS n, {', '.join(f'avg(x{i}) AS c{i}' for i in range(_DIM))} FROM e GROUP BY cluster),
 p AS (SELECT e.cluster, sum({_D2}) AS within, avg(sqrt({_D2})) AS scatter FROM e JOIN c ON e.cluster = c.cluster GROUP BY e.cluster), w AS (SELECT {', '.join(f'avg(x{i}) AS m{i}' for i in range(_DIM))} FROM e),
 b AS (SELECT sum(n * ({' + '.join(f'(c{i} - m{i}) ** 2' for i in range(_DIM))})) AS b, count(*) AS k, sum(n) AS n FROM c, w),
-r AS (SELECT a.cluster, max((pa.scatter + pb.scatter) / sqrt({' + '.join(f'(a.c{i} - z.c{i}) ** 2' for i in range(_DIM))})) AS worst FROM c a JOIN c z ON a.cluster <> z.cluster JOIN p pa ON pa.cluster = a.cluster JOIN p pb ON pb.cluster = z.cluster GROUP BY a.cluster)
-SELECT b.k, CAST(b.n AS BIGINT) AS n, round((SELECT sum(within) FROM p), 6) AS inertia, round((b.b / (b.k - 1)) / ((SELECT sum(within) FROM p) / (b.n - b.k)), 6) AS calinski_harabasz, round((SELECT avg(worst) FROM r), 6) AS davies_bouldin FROM b"""
+r AS (SELECT a.cluster, max((pa.scatter + pb.scatter) / sqrt({' + '.join(f'(a.c{i} - z.c{i}) ** 2' for i in range(_DIM))})) AS worst FROM c a JOIN c z ON a.cluster <> z.cluster JOIN p pa ON pa.cluster = a.cluster JOIN p pb ON pb.cluster = z.cluster GROUP BY a.cluster),
+v AS (SELECT label AS c, [x::DOUBLE FOR x IN embedding] AS x FROM embeddings), z AS (SELECT c, count(*) AS n, {', '.join(f'sum(x[{i + 1}]) AS s{i}' for i in range(_DIM))}, sum(list_dot_product(x, x)) AS q FROM v GROUP BY c),
+far AS (SELECT row_number() OVER () AS id, c, x FROM v), apart AS (SELECT far.id, far.c, z.c AS o, z.n, list_dot_product(far.x, far.x) - 2 * list_dot_product(far.x, [{', '.join(f's{i}' for i in range(_DIM))}]) / z.n + z.q / z.n AS d FROM far, z),
+each AS (SELECT id, max(CASE WHEN c = o THEN n END) AS n, max(CASE WHEN c = o THEN d * n / nullif(n - 1, 0) END) AS a, min(CASE WHEN c <> o THEN d END) AS b FROM apart GROUP BY id),
+sil AS (SELECT avg(CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS silhouette FROM each)
+SELECT b.k, CAST(b.n AS BIGINT) AS n, round((SELECT sum(within) FROM p), 6) AS inertia, round((b.b / (b.k - 1)) / ((SELECT sum(within) FROM p) / (b.n - b.k)), 6) AS calinski_harabasz, round((SELECT avg(worst) FROM r), 6) AS davies_bouldin, round((SELECT silhouette FROM sil), 6) AS silhouette FROM b"""
 
 
 @query(_QUALITY, views=False)
 def cluster_quality(spark, d):
-    q = ops.cluster_quality(table(spark, d, "embeddings"), "label", "embedding", _DIM)
-    return q.select("k", "n", *rounded(["inertia", "calinski_harabasz", "davies_bouldin"]))
-
-
-@query(f"WITH {_RATERS}, s AS (SELECT k.range AS k, round(var_pop(mean_score) - avg(vp), 9) AS between_share, count(*) AS groups FROM (SELECT k.range, rater_id % k.range AS g, avg(mean_score) AS mean_score, var_pop(mean_score) AS vp FROM raters, range(2, 9) k GROUP BY 1, 2) k GROUP BY 1) SELECT k, between_share FROM s ORDER BY between_share DESC, k LIMIT 1")
-def best_k(spark, d):
-    ks = spark.range(2, 9).withColumnRenamed("id", "k")
-    g = raters(spark, d).crossJoin(F.broadcast(ks)).groupBy("k", (F.col("rater_id") % F.col("k")).alias("g")).agg(F.avg("mean_score").alias("mean_score"), F.var_pop("mean_score").alias("vp"))
-    s = g.groupBy("k").agg(F.round(F.var_pop("mean_score") - F.avg("vp"), 9).alias("between_share"))
-    return s.agg(F.max(F.struct("between_share", (-F.col("k")).alias("k"))).alias("b")).select((-F.col("b.k")).alias("k"), F.col("b.between_share").alias("between_share"))
+    e = table(spark, d, "embeddings")
+    q = ops.cluster_quality(e, "label", "embedding", _DIM).crossJoin(ops.silhouette(e, "label", "embedding", _DIM))
+    return q.select("k", "n", *rounded(["inertia", "calinski_harabasz", "davies_bouldin", "silhouette"]))
 
 
-_GATE = "grid AS (SELECT t.range / 10.0 AS t, g.range / 10.0 AS g FROM range(4, 9) t, range(0, 5, 2) g)"
-_RESCUED = "CASE WHEN pred = 1 AND round(share_h + share_nh, 9) >= t AND round(share_h + share_nh - share_sh, 9) >= g AND share_h + share_nh > 0 THEN CASE WHEN round(share_h / (share_h + share_nh), 9) >= 0.5 THEN 2 ELSE 0 END ELSE pred END"
+_PARTS = {"score_thirds": "CASE WHEN mean_score < 0.45 THEN 0 WHEN mean_score < 0.55 THEN 1 ELSE 2 END", "score_halves": "CASE WHEN mean_score < 0.5 THEN 0 ELSE 1 END", "understanding_halves": "CASE WHEN mean_understanding < 51 THEN 0 ELSE 1 END", "both_halves": "CASE WHEN mean_score < 0.5 THEN 0 ELSE 1 END * 2 + CASE WHEN mean_understanding < 51 THEN 0 ELSE 1 END"}
+_SPREAD = " UNION ALL ".join(f"SELECT '{name}' AS method, {x} AS c, mean_score AS x, mean_understanding / 100.0 AS y FROM r9" for name, x in _PARTS.items())
 
 
-@query(f"""WITH {_JUDGED}, {_GATE}, r AS (SELECT t, g, true_label_3way AS y, pred, {_RESCUED} AS p FROM judged, grid), s AS (SELECT t, g, count(*) AS n, count(CASE WHEN y = p THEN 1 END) / count(*) AS acc, count(CASE WHEN y = 1 AND p = 1 THEN 1 END) / count(CASE WHEN y = 1 THEN 1 END) AS nmr, count(CASE WHEN p <> pred THEN 1 END) / count(*) AS changed FROM r GROUP BY t, g)
-SELECT CAST(t AS DOUBLE) AS t, CAST(g AS DOUBLE) AS gap, round(acc, 6) AS accuracy, round(nmr, 6) AS nmr_recall, round(changed, 6) AS changed FROM s WHERE nmr >= 0.05 ORDER BY round(acc, 9) DESC, round(changed, 9), t, g LIMIT 1""")
-def rescue_gate(spark, d):
-    grid = spark.createDataFrame([(t / 10, g / 10) for t in range(4, 9) for g in range(0, 5, 2)], "t double, gap double")
-    res = F.round(F.col("share_h") + F.col("share_nh"), 9)
-    direction = F.round(F.col("share_h") / F.nullif(F.col("share_h") + F.col("share_nh"), F.lit(0.0)), 9)
-    j = judged(spark, d).crossJoin(F.broadcast(grid))
-    gap = F.round(F.col("share_h") + F.col("share_nh") - F.col("share_sh"), 9)
-    p = c.rescue(F.col("pred"), res, res - gap, direction, F.col("t"), 0.0, 0.0)
-    p = F.when(gap >= F.col("gap"), p).otherwise(F.col("pred"))
-    j = j.withColumn("p", F.coalesce(p, F.col("pred")))
-    y = F.col("true_label_3way")
-    s = j.groupBy("t", "gap").agg(F.avg((y == F.col("p")).cast("double")).alias("accuracy"), m.ratio(F.count_if((y == 1) & (F.col("p") == 1)), F.count_if(y == 1)).alias("nmr_recall"), F.avg((F.col("p") != F.col("pred")).cast("double")).alias("changed"))
-    best = s.where("nmr_recall >= 0.05").agg(F.max(F.struct(F.round("accuracy", 9).alias("a"), (-F.round("changed", 9)).alias("b"), (-F.col("t")).alias("x"), (-F.col("gap")).alias("y"), F.struct("t", "gap", "accuracy", "nmr_recall", "changed").alias("row"))).alias("best"))
-    return best.select("best.row.*").select("t", "gap", *rounded(["accuracy", "nmr_recall", "changed"]))
+@query(f"""WITH {_RATERS}, r9 AS (SELECT round(mean_score, 9) AS mean_score, round(mean_understanding, 9) AS mean_understanding FROM raters), long AS ({_SPREAD}),
+m AS (SELECT method, c, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM long GROUP BY 1, 2), w AS (SELECT l.method, sum((x - mx) ** 2 + (y - my) ** 2) AS within FROM long l JOIN m ON m.method = l.method AND m.c = l.c GROUP BY 1),
+t AS (SELECT method, count(*) AS n, avg(x) AS gx, avg(y) AS gy FROM long GROUP BY 1), b AS (SELECT m.method, count(*) AS k, sum(m.n * ((mx - gx) ** 2 + (my - gy) ** 2)) AS between_ FROM m JOIN t ON t.method = m.method GROUP BY 1)
+SELECT b.method, CAST(b.k AS BIGINT) AS k, round((between_ / nullif(b.k - 1, 0)) / (within / nullif(n - b.k, 0)), 6) AS calinski_harabasz FROM b JOIN w ON w.method = b.method JOIN t ON t.method = b.method ORDER BY round((between_ / nullif(b.k - 1, 0)) / (within / nullif(n - b.k, 0)), 6) DESC NULLS LAST, b.k, b.method LIMIT 1""")
+def best_method(spark, d):
+    """Of several groupings of the raters the one with the best variance ratio; ties go to fewer groups, then the name."""
+    r = raters(spark, d).select(F.round("mean_score", 9).alias("mean_score"), F.round("mean_understanding", 9).alias("mean_understanding"))
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.expr(x).alias("c")) for n, x in _PARTS.items()]))
+    long = r.select(named.alias("g"), F.col("mean_score").alias("x"), (F.col("mean_understanding") / 100.0).alias("y")).select("g.*", "x", "y")
+    # sums and squares per group give both variances in one pass
+    per = long.groupBy("method", "c").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{x}") for x in ("x", "y") for k, f in (("s", F.sum), ("v", F.var_pop))])
+    moments = per.groupBy("method").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("vx") + F.col("vy"))).alias("within"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"), F.sum((F.col("sx") ** 2 + F.col("sy") ** 2) / F.col("n")).alias("square"))
+    between = F.col("square") - (F.col("sx") ** 2 + F.col("sy") ** 2) / F.col("n")
+    ratio = (between / F.nullif(F.col("k") - 1, F.lit(0))) / (F.col("within") / F.nullif(F.col("n") - F.col("k"), F.lit(0)))
+    scored = moments.select("method", "k", F.round(ratio, 6).alias("calinski_harabasz"))
+    return scored.agg(F.min_by(F.struct("method", "k", "calinski_harabasz"), F.struct((-F.coalesce("calinski_harabasz", F.lit(-1.0))).alias("q"), "k", "method")).alias("b")).select("b.*")
 
 
 @query(f"WITH {_JUDGED}, {_THREE} SELECT note_id, CASE WHEN b = 1 AND c <> 1 AND share_sh < 0.5 THEN c WHEN a = 1 AND b = c AND b <> 1 AND share_sh < 0.5 THEN b ELSE a END AS pred FROM three")
@@ -158,24 +182,37 @@ def prob_blend(spark, d):
     return both.select("note_id", *models.blend([("vote", 2.0), ("prior", 1.0)])).select("note_id", *rounded(models.PROBS))
 
 
-@query(f"""WITH {_JUDGED}, {_THREE}, s1 AS (SELECT *, CASE WHEN a <> b AND a <> c THEN CASE WHEN b = c THEN b ELSE least(a, b, c) END ELSE a END AS p1 FROM three), s2 AS (SELECT *, CASE WHEN p1 = 1 AND b <> 1 AND c <> 1 AND b = c THEN b ELSE p1 END AS p2 FROM s1),
-s3 AS (SELECT *, CASE WHEN p2 <> 1 AND c <> p2 AND c <> 1 AND c <> c THEN c ELSE p2 END AS p3 FROM s2)
+@query(f"""WITH {_JUDGED}, {_THREE}, s0 AS (SELECT *, CASE WHEN mean_understanding >= 50 THEN 2 ELSE 0 END AS e FROM three), s1 AS (SELECT *, CASE WHEN a <> b AND a <> c THEN CASE WHEN b = c THEN b ELSE least(a, b, c) END ELSE a END AS p1 FROM s0), s2 AS (SELECT *, CASE WHEN p1 = 1 AND b <> 1 AND c <> 1 AND b = c THEN b ELSE p1 END AS p2 FROM s1),
+s3 AS (SELECT *, CASE WHEN p2 <> 1 AND e <> p2 AND e <> c AND e <> 1 THEN e ELSE p2 END AS p3 FROM s2)
 SELECT note_id, p3 AS selector, CASE WHEN a = 1 AND b = c AND c <> 1 AND share_sh >= 0.5625 AND mean_understanding <= 29.79375 THEN c ELSE a END AS promoted FROM s3""")
 def stack_selector(spark, d):
     a, b, e = F.col("a"), F.col("b"), F.col("c")
     promote = (a == 1) & (b == e) & (e != 1) & (F.col("share_sh") >= 0.5625) & (F.col("mean_understanding") <= 29.79375)
-    return three(spark, d).select("note_id", c.accuracy_first(a, b, e, e).alias("selector"), F.when(promote, e).otherwise(a).alias("promoted"))
+    return three(spark, d).select("note_id", c.accuracy_first(a, b, F.when(F.col("mean_understanding") >= 50, 2).otherwise(0), e).alias("selector"), F.when(promote, e).otherwise(a).alias("promoted"))
 
 
-_ABL = f"""{_JUDGED}, {_THREE}, long AS (SELECT 'vote_only' AS method, true_label_3way AS y, a AS p, CAST(note_id AS BIGINT) % 4 AS budget FROM three UNION ALL SELECT 'resolved_side', true_label_3way, b, CAST(note_id AS BIGINT) % 4 FROM three UNION ALL SELECT 'mean_score', true_label_3way, c, CAST(note_id AS BIGINT) % 4 FROM three),
-runs AS (SELECT method, (budget + 1) * 12 AS agent_count, count(*) AS n, count(CASE WHEN y = p THEN 1 END) / count(*) AS accuracy FROM long GROUP BY 1, 2)"""
+# Numbers of agents whose votes count.
+BUDGETS = (12, 24, 36, 48)
+_PER = "count(CASE WHEN raw_label_id = {k} THEN 1 END)"
+_ABL = f"""budgets AS (SELECT unnest({list(BUDGETS)}) AS agent_count), placed AS (SELECT note_id, rater_id % 60 AS agent, raw_label_id FROM votes), few AS (SELECT agent_count, note_id, {', '.join(f'{_PER.format(k=k)} AS v{k}' for k in range(3))} FROM placed, budgets WHERE agent < agent_count GROUP BY 1, 2),
+counted AS (SELECT f.*, n.true_label_3way AS y, v0 + v1 + v2 AS total FROM few f JOIN notes n ON n.note_id = f.note_id),
+long AS (SELECT agent_count, 'vote_only' AS method, y, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS p FROM counted UNION ALL SELECT agent_count, 'resolved_side', y, CASE WHEN v2 >= v0 THEN 2 ELSE 0 END FROM counted
+  UNION ALL SELECT agent_count, 'hybrid_all', y, CASE WHEN round((v1 * 0.5 + v2) / total, 9) >= 2.0 / 3 THEN 2 WHEN round((v1 * 0.5 + v2) / total, 9) <= 1.0 / 3 THEN 0 ELSE 1 END FROM counted),
+runs AS (SELECT method, agent_count, count(*) AS n, count(CASE WHEN y = p THEN 1 END) / count(*) AS accuracy FROM long GROUP BY 1, 2)"""
 
 
 def runs(spark, d):
-    t = three(spark, d)
-    long = t.select("note_id", "true_label_3way", F.expr("stack(3, 'vote_only', a, 'resolved_side', b, 'mean_score', c) AS (method, p)"))
-    budget = ((F.col("note_id").cast("long") % 4 + 1) * 12).alias("agent_count")
-    return long.groupBy("method", budget).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("true_label_3way") == F.col("p")).cast("double")).alias("accuracy"))
+    """Accuracy of three rules on the votes of the first 12, 24, 36 and 48 agents."""
+    votes = v.votes(spark, d).select("note_id", (F.col("rater_id") % 60).alias("agent"), "raw_label_id")
+    cell = lambda b, k: F.count_if((F.col("agent") < b) & (F.col("raw_label_id") == k))
+    # all budgets of a note come from one aggregation
+    wide = votes.groupBy("note_id").agg(*[cell(b, k).alias(f"v{b}_{k}") for b in BUDGETS for k in range(3)])
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("agent_count"), *[F.col(f"v{b}_{k}").alias(f"v{k}") for k in range(3)]) for b in BUDGETS]))
+    counted = wide.join(v.notes(spark, d).select("note_id", F.col("true_label_3way").alias("y")), "note_id").select("y", each.alias("b")).select("y", "b.*").where("v0 + v1 + v2 > 0")
+    score = F.round((F.col("v1") * 0.5 + F.col("v2")) / (F.col("v0") + F.col("v1") + F.col("v2")), 9)
+    counted = counted.withColumns({"vote_only": c.argmax3(F.col("v0"), F.col("v1"), F.col("v2")), "resolved_side": c.resolved_side(F.col("v0"), F.col("v2")), "hybrid_all": c.score_thirds(score)})
+    long = counted.select("agent_count", "y", F.expr("stack(3, 'vote_only', vote_only, 'resolved_side', resolved_side, 'hybrid_all', hybrid_all) AS (method, p)"))
+    return long.groupBy("method", "agent_count").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
 
 
 @query(f"WITH {_ABL} SELECT method, agent_count, n, round(accuracy, 6) AS accuracy FROM runs")
@@ -183,13 +220,13 @@ def agent_budget(spark, d):
     return runs(spark, d).select("method", "agent_count", "n", c.r6(F.col("accuracy")).alias("accuracy"))
 
 
-@query(f"WITH {_ABL} SELECT r.method, r.agent_count, round(r.accuracy, 6) AS accuracy, round(r.accuracy - b.accuracy, 6) AS delta_vote_only, CAST(NULL AS DOUBLE) AS delta_hybrid_all FROM runs r LEFT JOIN runs b ON b.agent_count = r.agent_count AND b.method = 'vote_only'")
+@query(f"WITH {_ABL} SELECT r.method, r.agent_count, round(r.accuracy, 6) AS accuracy, round(r.accuracy - b.accuracy, 6) AS delta_vote_only, round(r.accuracy - h.accuracy, 6) AS delta_hybrid_all FROM runs r LEFT JOIN runs b ON b.agent_count = r.agent_count AND b.method = 'vote_only' LEFT JOIN runs h ON h.agent_count = r.agent_count AND h.method = 'hybrid_all'")
 def ablation_deltas(spark, d):
     return models.deltas(runs(spark, d), "agent_count", "method", "accuracy", ["vote_only", "hybrid_all"]).select("method", "agent_count", *rounded(["accuracy", "delta_vote_only", "delta_hybrid_all"]))
 
 
-@query(f"WITH {_ABL}, ci AS (SELECT *, accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / n) AS lo, accuracy + 1.96 * sqrt(accuracy * (1 - accuracy) / n) AS hi FROM runs) SELECT method, agent_count, round(accuracy, 6) AS accuracy, round((hi - lo) / (2 * 1.96), 6) AS standard_error, CASE WHEN agent_count <= 24 THEN 'small' ELSE 'large' END AS view FROM ci WHERE method <> 'mean_score'")
+@query(f"WITH {_ABL}, ci AS (SELECT *, accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / n) AS lo, accuracy + 1.96 * sqrt(accuracy * (1 - accuracy) / n) AS hi FROM runs) SELECT method, agent_count, round(accuracy, 6) AS accuracy, round((hi - lo) / (2 * 1.96), 6) AS standard_error, CASE WHEN agent_count <= 24 THEN 'small' ELSE 'large' END AS view FROM ci WHERE method <> 'hybrid_all'")
 def ablation_view(spark, d):
     half = 1.96 * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n"))
     ci = runs(spark, d).withColumns({"lo": F.col("accuracy") - half, "hi": F.col("accuracy") + half})
-    return ci.where("method <> 'mean_score'").select("method", "agent_count", c.r6(F.col("accuracy")).alias("accuracy"), c.r6((F.col("hi") - F.col("lo")) / (2 * 1.96)).alias("standard_error"), F.when(F.col("agent_count") <= 24, "small").otherwise("large").alias("view"))
+    return ci.where("method <> 'hybrid_all'").select("method", "agent_count", c.r6(F.col("accuracy")).alias("accuracy"), c.r6((F.col("hi") - F.col("lo")) / (2 * 1.96)).alias("standard_error"), F.when(F.col("agent_count") <= 24, "small").otherwise("large").alias("view"))

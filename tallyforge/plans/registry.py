@@ -25,7 +25,7 @@ def query(sql: str | None = None, views: bool = True):
 
 
 def load() -> None:
-    from tallyforge.plans import cleaning, decisions, models, personas, sampling, texts, votes  # noqa: F401
+    from tallyforge.plans import cleaning, decisions, grids, models, personas, sampling, texts, votes  # noqa: F401
 
 
 load()

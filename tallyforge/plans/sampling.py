@@ -98,14 +98,35 @@ def stratified_folds(spark, d):
     return ops.folds(v.notes(spark, d), "true_label_3way", "note_key", 5, 5).select("note_id", "true_label_3way", "fold")
 
 
-@query("""WITH hits AS (SELECT count(*) AS hits FROM notes WHERE true_label_3way = 2), n AS (SELECT count(*) AS n FROM notes),
-draws AS (SELECT r.range AS round, i.range AS i FROM range(200) r, range((SELECT n FROM n)) i),
-drawn AS (SELECT round, floor((((round * n + i + 9) * 2654435761 % 4294967296) * 40503 + 9) % 4294967296 * n / 4294967296.0) AS index FROM draws, n),
-acc AS (SELECT round, avg(CASE WHEN index < hits THEN 1.0 ELSE 0.0 END) AS accuracy FROM drawn, hits GROUP BY round)
+_STATUSES = ["CURRENTLY_RATED_HELPFUL", "CURRENTLY_RATED_NOT_HELPFUL", "NEEDS_MORE_RATINGS"]
+_PICK = 500
+_QUOTA = " ".join(f"WHEN current_status = '{x}' THEN {_PICK // 3 + (i < _PICK % 3)}" for i, x in enumerate(_STATUSES))
+
+
+@query(f"""WITH few AS (SELECT * FROM notes WHERE current_status <> 'CURRENTLY_RATED_NOT_HELPFUL' OR note_key % 40 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY current_status ORDER BY {_HASH.format(seed=3)}, note_key) <= CASE {_QUOTA} END AS chosen FROM few),
+pool AS (SELECT *, row_number() OVER (ORDER BY {_HASH.format(seed=4)}, note_key) AS k FROM ranked WHERE NOT chosen)
+SELECT note_id, current_status FROM ranked WHERE chosen UNION ALL SELECT note_id, current_status FROM pool WHERE k <= {_PICK} - (SELECT count(*) FROM ranked WHERE chosen)""")
+def balanced_selection(spark, d):
+    # one class is thinned out, so that the others have to top it up
+    few = v.notes(spark, d).where("current_status <> 'CURRENTLY_RATED_NOT_HELPFUL' OR note_key % 40 = 0")
+    return ops.balanced_of_size(few, "current_status", _STATUSES, "note_key", 3, _PICK).select("note_id", "current_status")
+
+
+@query("SELECT 'head' AS mode, note_id FROM (SELECT note_id FROM notes ORDER BY note_key LIMIT 300) UNION ALL SELECT 'whole', note_id FROM notes")
+def selection_modes(spark, d):
+    n = v.notes(spark, d).select("note_id", "note_key")
+    named = lambda df, mode: df.select(F.lit(mode).alias("mode"), "note_id")
+    return named(ops.head(n, ["note_key"], 300), "head").unionByName(named(ops.head(n, ["note_key"], 0), "whole"))
+
+
+_ROUNDS = 200
+
+
+@query(f"""WITH g AS (SELECT count(*) AS n, count(CASE WHEN true_label_3way = 2 THEN 1 END) AS hits FROM notes), u AS (SELECT n, hits / n AS p, {ops.uniform_sql('range', 9)} AS u FROM range({_ROUNDS}), g),
+z AS (SELECT n, p, {ops.normal_sql('u')} AS z FROM u), acc AS (SELECT {ops.binomial_sql('n', 'p', 'z')} / n AS accuracy FROM z)
 SELECT round(avg(accuracy), 9) AS mean_accuracy, round(quantile_cont(accuracy, 0.025), 9) AS low, round(quantile_cont(accuracy, 0.975), 9) AS high FROM acc""")
 def bootstrap_ci(spark, d):
-    evaluated = v.notes(spark, d).select((F.col("true_label_3way") == 2).cast("int").alias("value"))
-    groups = evaluated.groupBy("value").agg(F.count(F.lit(1)).alias("weight"))
-    rounds = ops.bootstrap(groups, evaluated.count(), 200, 9)
-    q = F.percentile("accuracy", F.array(F.lit(0.025), F.lit(0.975)))
-    return rounds.agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy"), q.alias("q")).select("mean_accuracy", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+    counted = v.notes(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("true_label_3way") == 2).alias("hits"))
+    rounds = ops.bootstrap(counted, _ROUNDS, 9)
+    q = F.percentile("share", F.array(F.lit(0.025), F.lit(0.975)))
+    return rounds.agg(F.round(F.avg("share"), 9).alias("mean_accuracy"), q.alias("q")).select("mean_accuracy", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
