@@ -13,8 +13,9 @@ held out).  Labels other than 0 and 1 teach nothing; a document labelled twice t
 twice.  Without usable labels every score is 0.5; with one class only it is that class.  Whenever both
 occur the model is fitted, however few the rows; calibration pools what they cannot tell apart.
 
-Null and empty texts have the zero vector and get its score.  Repeated rows are scored
-separately, equal texts alike.
+Null and empty texts have the zero vector and get its score.  Texts of any length count whole.
+Repeated rows are scored separately, equal texts alike.  An empty table gives no rows.  Other
+columns are not read, and ``keep_good`` keeps them all.
 """
 
 from __future__ import annotations
@@ -141,12 +142,27 @@ def _arrays(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_STATS)
 
 
-def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """``stats``: (doc_id, stats), stored; ``labels``: doc_id and a 0/1 column."""
+def taught_rows(labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, seed: int = 7) -> DataFrame:
+    """(doc_id, y) of the labelled rows that teach."""
     taught = labels.select("doc_id", F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
-    size = taught.count()
-    keep = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, max_train / max(size, 1)) * 1_000_000)
-    train = save(stats.join(taught.where(keep), "doc_id").select("stats", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 - 1).cast("int").alias("fold")), "train")
+    share = int(min(1.0, max_train / max(taught.count(), 1)) * 1_000_000)
+    return taught.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> Model:
+    """Fits on the texts of the labelled rows alone; the others are not looked at.
+
+    The ids that are sent to every task are those of at most about ``MAX_TRAIN`` labelled rows.
+    """
+    ids = taught_rows(labels).select(F.col("doc_id").alias("__taught")).distinct()
+    few = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__taught"), "left_semi")
+    return fit(document_statistics(few, id_col, text_col), labels, **more)
+
+
+def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """``stats``: (doc_id, stats); ``labels``: doc_id and a 0/1 column."""
+    taught = taught_rows(labels, label_col, max_train, seed)
+    train = save(stats.join(taught, "doc_id").select("stats", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 - 1).cast("int").alias("fold")), "train")
     columns = [f(F.element_at("stats", k + 1)).alias(f"{name}{k}") for name, f in (("m", F.avg), ("s", F.stddev_pop)) for k in range(N_STATS)]
     found = train.agg(F.count("y").alias("n"), F.coalesce(F.avg("y"), F.lit(0.5)).alias("rate"), *columns).first()
     rng = np.random.default_rng(seed)

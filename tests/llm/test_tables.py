@@ -205,6 +205,60 @@ def test_quality_of_few_labels(spark):
     assert all(0 <= r.score <= 1 for r in quality.classify(docs, two).collect())
 
 
+def test_quality_against_plain_versions(spark):
+    """Statistics, normal equations, isotonic fit and scores of the query, each written out for single texts."""
+    import re
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+
+    def stats(t):
+        b = (t or "").encode()
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", b.lower())
+        n, size, per = len(w), len(b), max(len(w), 1)
+        mean = sum(map(len, w)) / per
+        counts = [sum(b.count(bytes([c])) for c in k.encode()) for k in quality.CLASSES]
+        classes = [*counts, size - sum(counts)]
+        lines = b.split(b"\n")
+        ends = counts[quality.CLASSES.index(".,;:?")] + counts[quality.CLASSES.index("!")]
+        head = [np.log1p(size), np.log1p(n), mean, np.sqrt(max(sum(len(x) ** 2 for x in w) / per - mean**2, 0)), np.log1p(len(set(w))) - np.log1p(n), max(Counter(w).values(), default=0) / per, sum(x == y for x, y in zip(w, w[1:])) / per, np.log1p(n / (1 + ends)), 1 - len(set(lines)) / len(lines)]
+        return np.array([*head, *np.sqrt(np.array(classes) / max(size, 1))])
+
+    x = {r.doc_id: stats(r.text) for r in docs}
+    own = {r.doc_id: np.array(r.stats) for r in quality.document_statistics(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert all(np.allclose(own[i], x[i], atol=1e-9) for i in x)
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    train = [i for i in x if labels.get(i) in (0, 1) and crc(i)]
+    a, y, fold = np.stack([x[i] for i in train]), np.array([float(labels[i]) for i in train]), np.array([crc(i) - 1 for i in train])
+    model = quality.fit(quality.document_statistics(spark.read.parquet(f"{DATA}/documents.parquet")), spark.read.parquet(f"{DATA}/labels.parquet"))
+    scale = a.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    assert np.allclose(model.mean, a.mean(axis=0)) and np.allclose(model.scale, scale, atol=1e-7)
+
+    def solved(use):
+        f = model.features(a[use])
+        g = sum(np.outer(r, r) for r in f)
+        return np.linalg.solve(g + 1e-3 * max(g[-1, -1], 1.0) / quality.FEATURES * np.eye(len(g)), sum(r * v for r, v in zip(f, y[use])))
+
+    assert np.allclose(model.weights, solved(np.ones(len(a), bool)), atol=1e-4)
+    raw = np.zeros(len(a))
+    for k in range(quality.FOLDS):
+        raw[fold == k] = model.features(a[fold == k]) @ solved(fold != k)
+    bins = sorted({round(v * 1000) for v in raw})
+    near = [np.interp(b / 1000, model.knots, model.values) for b in bins]
+    assert all(p <= q + 1e-12 for p, q in zip(near, near[1:])) and abs(np.mean([np.interp(v, model.knots, model.values) for v in raw]) - y.mean()) < 0.05
+    got = {r.doc_id: r.score for r in queries.op7_quality(spark, DATA).collect()}
+    for i in x:
+        want = np.interp(model.features(x[i][None])[0] @ model.weights, model.knots, model.values)
+        assert got[i] == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_fit_on_labelled_texts_alone(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = quality.fit(quality.document_statistics(docs), labels), quality.fit_documents(docs, labels)
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and np.allclose(a.values, b.values, atol=1e-9)
+
+
 def test_quality_edges(spark):
     docs = documents(spark, AWKWARD)
     none = spark.createDataFrame([], "doc_id long, quality int")
