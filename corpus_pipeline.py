@@ -12,7 +12,14 @@ again as the next stage's documents; all but the last return the columns of docu
 5. hilbert_shards: every row gets its shard and its place in it.
 
 Null and empty texts: scored like any text, never near-duplicates, never contaminated, of
-size 0 in the mix (so taken as often as their source's certain copies), and sharded.
+size 0 in the mix (so taken as often as their source's certain copies), and sharded.  Texts of
+any length pass every stage whole.  Null ids: never near-duplicates of a named row, never
+removed for their id.  Repeated rows: one of each stays at stage 2, and stage 4 may repeat it.
+Ties in the draw go by a hash of the text, ties on the curve by checksum and id.  Empty tables
+give no rows; without labels stage 1 keeps all, without benchmark items stage 3 does.  Extra
+columns of the documents pass through the first four stages, whatever their names.
+
+Tables that a stage needs only for itself are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -22,12 +29,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import chosenpath, decontaminate, hilbert, mixing, quality
 from tallyforge.llm.queries import shard_digest, table
-from tallyforge.llm.shared import save
+from tallyforge.llm.shared import save, temporary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stats = save(quality.document_statistics(docs), "statistics")
-    return quality.keep_good(quality.fit(stats, table(spark, sf_dir, "labels")), docs)
+    return quality.keep_good(quality.fit_documents(docs, table(spark, sf_dir, "labels")), docs)
 
 
 def chosen_path_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        with temporary(spark):
+            docs = save(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
