@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.relational import global_rank
+from tallyforge.operators.relational import counts_up_to, global_rank
 
 NAMES = {0: "not_helpful", 1: "needs_more_ratings", 2: "helpful"}
 
@@ -90,13 +90,13 @@ def crosstab(df: DataFrame, truth: str, pred: str, values: Sequence[int]) -> Dat
 def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """ROC-AUC by rank sums with tied scores sharing ranks, and average precision.
 
-    Rows are first counted per score, so windows run over distinct scores.
+    Rows are first counted per score, and running sums over the distinct scores go by ranges.
     """
     per = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~positive).cast("double").alias("q"))
-    part = Window.partitionBy(*by)
-    up = part.orderBy(F.col(score))
-    down = part.orderBy(F.col(score).desc())
-    w = per.withColumn("below", F.sum("q").over(up) - F.col("q")).withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down))
+    w = counts_up_to(per, score, by, ["p", "q"])
+    whole = per.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    w = w.join(whole, list(by)) if by else w.crossJoin(F.broadcast(whole))
+    w = w.withColumn("below", F.col("upto_q") - F.col("q")).withColumn("tp", F.col("all_p") - F.col("upto_p") + F.col("p")).withColumn("fp", F.col("all_q") - F.col("upto_q") + F.col("q"))
     pos, neg = F.nullif(F.sum("p"), F.lit(0.0)), F.nullif(F.sum("q"), F.lit(0.0))
     auc = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (pos * neg)
     ap = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / pos
@@ -104,17 +104,26 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ())
 
 
 def coverage_policies(df: DataFrame, score: str, ties: Sequence[Column], correct: Column, target: float) -> DataFrame:
-    """Accuracy at a target coverage by three tie policies: round(k), ceil(k), and all tied with the k-th."""
+    """Accuracy at a target coverage by three tie policies: round(k), ceil(k), and all tied with the k-th.
+
+    Rows are counted per score; only the rows of the score at which the k-th falls are ordered.
+    """
     n = df.count()
     ks = {"round": max(1, round(target * n)), "ceil": max(1, -(-int(target * n * 1_000_000) // 1_000_000))}
-    ranked = global_rank(df, [F.col(score).desc(), *ties], "k")
-    kth = ranked.where(F.col("k") == ks["ceil"]).select(F.col(score).alias("kth"))
-    ranked = ranked.crossJoin(F.broadcast(kth))
+    per = df.groupBy((-F.col(score)).alias("s")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(correct).cast("double").alias("good"))
+    upto = counts_up_to(per, "s", (), ["n", "good"])
     rows = []
-    for name, keep in (("exact_round", F.col("k") <= ks["round"]), ("exact_ceil", F.col("k") <= ks["ceil"]), ("tie_inclusive", F.col(score) >= F.col("kth"))):
-        part = ranked.where(keep).agg(F.lit(name).alias("policy"), F.count(F.lit(1)).alias("resolved_notes"), (F.count(F.lit(1)) / F.lit(n)).alias("coverage"), F.count_if(correct).alias("resolved_correct"), F.avg(correct.cast("double")).alias("resolved_accuracy"))
-        rows.append(part)
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    for name, k in (("exact_round", ks["round"]), ("exact_ceil", ks["ceil"]), ("tie_inclusive", ks["ceil"])):
+        cut = upto.where(F.col("upto_n") - F.col("n") < k).agg(F.max(F.struct("s", "n", "good", "upto_n", "upto_good")).alias("c")).first()["c"]
+        if cut is None:
+            continue
+        taken, good = int(cut["upto_n"]), int(cut["upto_good"])
+        if name != "tie_inclusive" and taken > k:
+            taken, good = k, int(cut["upto_good"] - cut["good"])
+            tied = global_rank(df.where(F.col(score) == -cut["s"]), ties, "__k").where(F.col("__k") <= int(k - (cut["upto_n"] - cut["n"])))
+            good += tied.agg(F.count_if(correct).alias("g")).first()["g"]
+        rows.append((name, taken, taken / n, good, good / taken))
+    return df.sparkSession.createDataFrame(rows, "policy string, resolved_notes long, coverage double, resolved_correct long, resolved_accuracy double")
 
 
 def search(df: DataFrame, grid: DataFrame, predict: Column, metrics: Sequence[Column], key: Sequence[Column], params: Sequence[str]) -> DataFrame:

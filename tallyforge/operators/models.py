@@ -7,30 +7,29 @@ Predictions are tables of three probability columns, so every rule and metric ap
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
-from tallyforge.operators import metrics
+from tallyforge.operators import fits, metrics
 
 PROBS = ("p_nh", "p_nmr", "p_h")
 
 
 @dataclass(frozen=True)
 class Spec:
-    """One candidate model: strength, class weighting and kind."""
+    """One candidate model: strength, class weighting, kind, and whether the penalty is on absolute weights."""
 
     c: float = 1.0
     balanced: bool = False
     kind: str = "lr"
+    l1: bool = False
 
 
 @dataclass(frozen=True)
@@ -43,7 +42,7 @@ class Experiment:
 
 def prepared(train: DataFrame, other: DataFrame, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables with median-filled, z-scored features; statistics come from ``train`` alone."""
-    stats = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(features) for n, f in (("m", F.median), ("a", F.avg), ("s", F.stddev_pop))]).first()
+    stats = train.agg(*[f(x).alias(f"{n}{i}") for i, x in enumerate(features) for n, f in (("m", lambda v: F.percentile_approx(v, 0.5, 10_000)), ("a", F.avg), ("s", F.stddev_pop))]).first()
     fill = {x: stats[f"m{i}"] if stats[f"m{i}"] is not None else 0.0 for i, x in enumerate(features)}
     center = {x: stats[f"a{i}"] or 0.0 for i, x in enumerate(features)}
     scale = {x: stats[f"s{i}"] or 1.0 for i, x in enumerate(features)}
@@ -62,7 +61,7 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
         weight = F.element_at(F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(n / (len(sizes) * v))) for k, v in sizes.items())), F.col(label))
     a = a.withColumn("__w", weight).withColumn(label, F.col(label).cast("double"))
     if spec.kind == "lr":
-        estimator = LogisticRegression(labelCol=label, weightCol="__w", family="multinomial", regParam=1 / (spec.c * n), elasticNetParam=0.0, standardization=False, maxIter=200)
+        estimator = LogisticRegression(labelCol=label, weightCol="__w", family="multinomial", regParam=1 / (spec.c * n), elasticNetParam=float(spec.l1), standardization=False, maxIter=200)
     elif spec.kind == "rf":
         estimator = RandomForestClassifier(labelCol=label, weightCol="__w", numTrees=50, maxDepth=6, minInstancesPerNode=4, seed=42)
     else:
@@ -104,37 +103,6 @@ def best_rule(oof: DataFrame, label: str) -> tuple[str, float, float]:
     return best["rule"], best["a"], best["b"]
 
 
-def nested_cv(df: DataFrame, features: Sequence[str], label: str, specs: Sequence[Spec], assign: Callable[[DataFrame, int], DataFrame], outer: int = 5, inner: int = 4) -> DataFrame:
-    """Out-of-fold predictions with the model and rule chosen inside each outer training part.
-
-    ``assign(df, k)`` adds a ``fold`` column; inner folds are assigned on the training part only,
-    so nothing of an outer test fold reaches the choice.
-    """
-    df = assign(df, outer).withColumnRenamed("fold", "outer_fold").persist()
-    parts = []
-    for f in range(outer):
-        train, test = df.where(F.col("outer_fold") != f), df.where(F.col("outer_fold") == f)
-        inside = assign(train, inner).persist()
-        scored = []
-        for spec in specs:
-            oof = None
-            for g in range(inner):
-                p = fit_predict(inside.where(F.col("fold") != g), inside.where(F.col("fold") == g), features, label, spec)
-                oof = p if oof is None else oof.unionByName(p)
-            oof = oof.select(label, *PROBS).persist()
-            rule = best_rule(oof, label)
-            m = oof.withColumn("pred", decide(*map(F.lit, rule))).agg(*metrics.three_way(F.col(label), F.col("pred"))).first()
-            scored.append(((m["balanced_accuracy"] or 0.0, m["accuracy"] or 0.0, -m["cross_error"]), spec, rule))
-            oof.unpersist()
-        _, spec, rule = max(scored, key=lambda x: x[0])
-        inside.unpersist()
-        parts.append(fit_predict(train, test, features, label, spec).withColumn("pred", decide(*map(F.lit, rule))).withColumn("rule", F.lit(rule[0])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def blend(parts: Sequence[tuple[str, float]]) -> list[Column]:
     """Weighted mean of several (prefix, weight) probability triples."""
     total = sum(w for _, w in parts)
@@ -157,18 +125,6 @@ def experiments(groups: dict[str, Sequence[str]], base: str) -> list[Experiment]
     return out + [Experiment(f"without_{n}", union([x for x in names if x != n])) for n in names if len(names) > 1]
 
 
-def kmeans_search(df: DataFrame, features: Sequence[str], ks: Sequence[int], seeds: Sequence[int] = (1, 2)) -> DataFrame:
-    """(k, inertia, silhouette) of the best of several starts for each k; silhouette on squared distances."""
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(df).persist()
-    rows = []
-    for k in ks:
-        fits = [KMeans(k=k, seed=s, maxIter=20).fit(ready) for s in seeds]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        rows.append((k, float(best.summary.trainingCost), float(ClusteringEvaluator().evaluate(best.transform(ready)))))
-    ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-
-
 def deltas(df: DataFrame, group: str, method: str, value: str, baselines: Sequence[str]) -> DataFrame:
     """Adds ``delta_<baseline>``: the value less the baseline's in the same group, null where it is absent."""
     w = Window.partitionBy(group)
@@ -189,8 +145,21 @@ def two_heads(train: DataFrame, test: DataFrame, features: Sequence[str], label:
     return second.withColumnRenamed("p_nmr", "p_direction").select(*columns, "p_resolved", "p_direction")
 
 
-def choose_k(df: DataFrame, features: Sequence[str], most: int = 8) -> int:
-    """Cluster count of at least 2 with the best silhouette; few rows allow few clusters."""
+def choose_k(df: DataFrame, features: Sequence[str], most: int = 8, starts: int = 20) -> int:
+    """Cluster count of at least 2 with the best silhouette (ties: fewer); few rows allow few clusters."""
+    n = df.count()
+    scored, _ = fits.kmeans_many(df, features, range(2, min(most, max(2, n - 1)) + 1), starts)
+    found = scored.orderBy(F.desc("silhouette"), "k").first()
+    return found["k"] if found else min(2, n)
+
+
+def clustered(df: DataFrame, features: Sequence[str], most: int = 8, small: int = 8, key: str = "note_id") -> DataFrame:
+    """Adds the cluster under the best count of clusters, and ``example``: the row's place among its cluster's keys by hash, for the first rows of each."""
     n = df.count()
-    ks = range(2, min(most, max(2, n - 1)) + 1)
-    return kmeans_search(df, features, list(ks)).orderBy(F.desc("silhouette"), "k").first()["k"]
+    ks = range(2, min(most, max(2, n - 1)) + 1) if n >= small else [min(2, n)]
+    scored, centers = fits.kmeans_many(df, features, ks)
+    k = scored.orderBy(F.desc("silhouette"), "k").first()
+    out = fits.assign_clusters(df, features, centers[k["k"]]) if k else df.withColumn("cluster", F.lit(0))
+    first = out.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.abs(F.xxhash64(key)) % max(n // 1000, 1) == 0, F.col(key)))), 1, 5).alias("__first"))
+    out = out.join(F.broadcast(first.withColumnRenamed("cluster", "__c")), F.col("cluster") == F.col("__c"), "left")
+    return out.withColumn("example", F.coalesce(F.nullif(F.array_position("__first", F.col(key)), F.lit(0)), F.lit(99))).drop("__first", "__c")

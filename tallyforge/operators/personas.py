@@ -7,20 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.relational import percentile_rank
+from tallyforge.operators.relational import exact_medians, percentile_rank
 
 
 def rater_features(raters: DataFrame, features: Sequence[str], least: int = 2) -> DataFrame:
     """Rows with at least ``least`` known features; gaps filled with the exact median."""
     known = sum((F.col(f).isNotNull().cast("int") for f in features[1:]), F.col(features[0]).isNotNull().cast("int"))
     kept = raters.where(known >= least)
-    medians = kept.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"__{f}") for f in features])
-    return kept.crossJoin(F.broadcast(medians)).withColumns({f: F.coalesce(f, f"__{f}") for f in features}).drop(*[f"__{f}" for f in features])
+    found = exact_medians(kept, features).first()
+    return kept.withColumns({f: F.coalesce(f, F.lit(float(found[f] or 0.0) if found else 0.0)) for f in features})
 
 
 def cluster_profile(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
     """Size, means, medians and share of all rows of each cluster."""
-    out = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_raters"), *[F.avg(f).alias(f"mean_{f}") for f in features], *[F.median(f).alias(f"median_{f}") for f in features])
+    out = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_raters"), *[F.avg(f).alias(f"mean_{f}") for f in features])
+    medians = exact_medians(df, features, [cluster]).select(F.col(cluster).alias("__c"), *[F.col(f).alias(f"median_{f}") for f in features])
+    out = out.join(medians, F.col(cluster).eqNullSafe(F.col("__c")), "left").drop("__c")
     return out.withColumn("share", F.col("n_raters") / F.sum("n_raters").over(Window.partitionBy()))
 
 

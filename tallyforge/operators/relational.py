@@ -89,6 +89,30 @@ def percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, columns): exact medians of the known values of each group, null where there are none.
+
+    Two quantiles around the middle bracket each median; values inside the bracket are counted
+    and ordered, those below it only counted, so no task holds a column.
+    """
+    e = 0.001
+    quantiles = df.groupBy(*by).agg(*[F.percentile_approx(c, F.array(F.lit(0.5 - e), F.lit(0.5 + e)), 10_000).alias(f"__q{i}") for i, c in enumerate(columns)])
+    keyed = quantiles.select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], *[f"__q{i}" for i in range(len(columns))])
+    on = F.lit(True)
+    for i, b in enumerate(by):
+        on &= F.col(b).eqNullSafe(F.col(f"__b{i}"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"), F.col(f"__q{i}")[0].alias("lo"), F.col(f"__q{i}")[1].alias("hi")) for i, c in enumerate(columns)]))
+    long = df.select(*by, *columns).join(keyed, on).select(*by, each.alias("x")).select(*by, "x.*").where("v IS NOT NULL")
+    place = F.when(F.col("v") < F.col("lo"), F.lit(None)).when(F.col("v") > F.col("hi"), F.lit(float("inf"))).otherwise(F.col("v"))
+    per = long.groupBy(*by, "i", place.alias("v")).agg(F.count(F.lit(1)).alias("n"))  # what is below or above the bracket is one row each
+    w = Window.partitionBy(*by, "i")
+    per = per.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy(F.col("v").asc_nulls_first())))
+    holds = lambda rank: (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("v")))
+    middle = per.groupBy(*by, "i").agg(((at(F.floor((F.col("total") + 1) / 2)) + at(F.ceil((F.col("total") + 1) / 2))) / 2).alias("m"))
+    return middle.groupBy(*by).pivot("i", list(range(len(columns)))).agg(F.first("m")).select(*by, *[F.col(str(i)).alias(c) for i, c in enumerate(columns)])
+
+
 def repair_overlap(df: DataFrame, names: Sequence[str], left: str = "_x", right: str = "_y") -> DataFrame:
     """After a join that suffixed equal columns: one column each, the left value where it is known, else the right one."""
     for n in names:
@@ -121,18 +145,23 @@ def ordered_difference(names: Sequence[str], *drop: Sequence[str]) -> list[str]:
     return [x for x in dict.fromkeys(names) if x not in gone]
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The table as it is now, for several uses: cut in the checkpoint folder where the session names one, else kept by this machine."""
+    spark = df.sparkSession
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint()
+    return df.persist()
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:
     """Numbers all rows from 1 in a total order without bringing them into one task.
 
     Rows are range-partitioned and sorted, and each gets its place in its partition; partition
-    starts come from one small table of counts.  Both uses read one sorted table in the
-    checkpoint folder where there is one (a lost executor cannot change the cut); without one,
-    as in tests, the sort is repeated from the same input.
+    starts come from one small table of counts.  Both uses read one stored table, so a lost
+    executor cannot change the cut.
     """
-    kept = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-        kept = kept.checkpoint()
+    kept = stable(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

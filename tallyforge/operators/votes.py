@@ -126,9 +126,14 @@ def posterior(votes: DataFrame, table: DataFrame, gamma: float = 1.0, key: str =
     return sums.select(key, *[(F.col(f"s{k}") / total).alias(f"q{k}") for k in range(3)])
 
 
-def reason_sums(votes: DataFrame, helpful: Sequence[str], not_helpful: Sequence[str], key: str = "note_id") -> DataFrame:
-    """Reason counts of the two sides: votes that lean helpful count helpful reasons, the others not-helpful ones."""
+def reason_sums(votes: DataFrame, helpful: Sequence[str], not_helpful: Sequence[str], key: str = "note_id", helpful_flag: Column | None = None, not_helpful_flag: Column | None = None) -> DataFrame:
+    """Reason counts of the two sides: votes that lean helpful, by rating or by their own flag, count helpful reasons, and likewise the others.
+
+    A vote whose flag contradicts its rating stands on both sides.
+    """
     h_side, n_side = F.col("raw_label_id") >= 1, F.col("raw_label_id") == 0
+    h_side = h_side if helpful_flag is None else h_side | helpful_flag
+    n_side = n_side if not_helpful_flag is None else n_side | not_helpful_flag
     sums = [F.sum(F.when(side, F.col(r)).otherwise(0)).cast("long").alias(r) for side, rs in ((h_side, helpful), (n_side, not_helpful)) for r in rs]
     return votes.groupBy(key).agg(F.count_if(h_side).alias("helpful_side_votes"), F.count_if(n_side).alias("not_helpful_side_votes"), *sums)
 

@@ -116,3 +116,25 @@ def band_key(spark, d):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL", views=False)
 def json_ingest(spark, d):
     return files.parse_json_lines(files.table(spark, d, "events").select("event_id", "props"), "props", "k bigint").select("event_id", "k")
+
+
+@query("SELECT note_id, row_number() OVER (ORDER BY created_year DESC, primary_topic, price DESC, note_key) AS rank FROM notes")
+def multi_key_sort(spark, d):
+    order = [F.col("created_year").desc(), F.col("primary_topic"), F.col("price").desc(), F.col("note_key")]
+    return rel.global_rank(v.notes(spark, d).select("note_id", "note_key", "created_year", "primary_topic", "price"), order).select("note_id", "rank")
+
+
+@query("""WITH a AS (SELECT note_id, CASE WHEN note_key % 3 = 0 THEN NULL ELSE created_year END AS topic_count, price FROM notes), b AS (SELECT note_id, created_year + 1 AS topic_count, current_status FROM notes WHERE note_key % 5 <> 0)
+SELECT a.note_id, a.price, b.current_status, coalesce(a.topic_count, b.topic_count) AS topic_count FROM a LEFT JOIN b ON a.note_id = b.note_id""")
+def overlap_repair(spark, d):
+    n = v.notes(spark, d)
+    a = n.select("note_id", F.when(F.col("note_key") % 3 != 0, F.col("created_year")).alias("topic_count"), "price")
+    b = n.where("note_key % 5 <> 0").select("note_id", (F.col("created_year") + 1).alias("topic_count"), "current_status")
+    return rel.repair_overlap(rel.suffixed_join(a, b, ["note_id"]), ["topic_count"]).select("note_id", "price", "current_status", "topic_count")
+
+
+@query("""WITH a AS (SELECT note_id, row_number() OVER (ORDER BY note_key) AS k FROM notes), b AS (SELECT author_id, row_number() OVER (ORDER BY price, note_key) AS k FROM notes WHERE note_key % 4 <> 0)
+SELECT a.note_id, b.author_id FROM a FULL JOIN b ON a.k = b.k""")
+def positional_concat(spark, d):
+    n = v.notes(spark, d).select("note_id", "note_key", "author_id", "price")
+    return rel.positional_concat(n.select("note_id", "note_key"), n.where("note_key % 4 <> 0").select("author_id", "price", F.col("note_key").alias("k2")), ["note_key"], ["price", "k2"]).select("note_id", "author_id")

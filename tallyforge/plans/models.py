@@ -2,59 +2,164 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
-from tallyforge.operators import metrics as m
-from tallyforge.operators import models, sampling
+from tallyforge.operators import fits, models, sampling
 from tallyforge.operators import personas as persona_ops
+from tallyforge.operators import texts as text_ops
 from tallyforge.plans import views as v
 from tallyforge.plans.personas import raters
 from tallyforge.plans.registry import query
-from tallyforge.plans.votes import features, rounded
+from tallyforge.plans.votes import rich, rounded
 
-GROUPS = {"vote": ["share_nh", "share_sh", "share_h", "vote_entropy"], "confidence": ["mean_confidence", "std_confidence"], "understanding": ["mean_understanding"]}
+GROUPS = {
+    "vote": ["share_nh", "share_sh", "share_h", "vote_entropy", "h_nh_margin"],
+    "confidence": ["mean_confidence", "std_confidence"],
+    "understanding": ["mean_understanding", "std_understanding"],
+    "reasons": ["helpful_reason_any_rate", "not_helpful_reason_any_rate", "helpful_clear_rate", "not_helpful_incorrect_rate"],
+}
+ALL = [x for g in GROUPS.values() for x in g]
+OUTER, INNER = 5, 4
+# Inverse penalties and class weights that are tried.
+CS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
+WEIGHTS = (None, "balanced", (1.0, 1.15, 1.0))
 
 
 def labelled(spark, d):
-    truth = v.notes(spark, d).select("note_id", "note_key", F.col("true_label_3way").cast("double").alias("label"))
-    return features(spark, d).join(truth, "note_id")
+    truth = v.notes(spark, d).select("note_id", "note_key", F.col("true_label_3way").alias("label"))
+    return rich(spark, d).join(truth, "note_id")
+
+
+def folded(df, outer: int = OUTER, inner: int = INNER):
+    """Stratified outer folds, and for each of them inner folds of the rows that it leaves for training."""
+    out = sampling.folds(df, "label", "note_key", outer, 13).withColumnRenamed("fold", "outer")
+    for f in range(outer if inner else 0):
+        # rows of the outer fold itself are a stratum of their own and never used
+        part = out.withColumn("__stratum", F.when(F.col("outer") == f, -1).otherwise(F.col("label")))
+        out = sampling.folds(part, "__stratum", "note_key", inner, 29 + f).withColumnRenamed("fold", f"inner{f}").drop("__stratum")
+    return out
+
 
+def fitted(df, candidates, inner: int = INNER):
+    names = [f"inner{f}" for f in range(OUTER)] if inner else []
+    return fits.fit_candidates(folded(df, OUTER, inner), "note_id", "label", "outer", names, candidates, inner)
 
-def _assign(df, k):
-    return sampling.folds(df.drop("fold"), "label", "note_key", k, 13)
+
+def _named(view, names, cs, weights):
+    return [fits.Candidate(f"{view}_c{c_}_{w if not isinstance(w, tuple) else 'alt'}", view, tuple(names), c_, w) for c_, w in product(cs, weights)]
 
 
 @query()
 def nested_cv_lr(spark, d):
-    names = [*GROUPS["vote"], *GROUPS["confidence"]]
-    specs = [models.Spec(1.0), models.Spec(0.1, balanced=True)]
-    out = models.nested_cv(labelled(spark, d), names, "label", specs, _assign, outer=2, inner=2)
-    return out.select("note_id", "outer_fold", *rounded(models.PROBS), "pred", "rule")
+    """5 x 4 folds: penalty, weighting and decision rule are chosen inside each outer training part."""
+    candidates = _named("vote", [*GROUPS["vote"], *GROUPS["confidence"]], CS, WEIGHTS[:2])
+    f, rules = fitted(labelled(spark, d), candidates), models.rule_grid()
+    best = fits.nested(f, rules)
+    out = fits.predict(f, [[(k, 1.0)] for k, _ in best], [rules[r] for _, r in best])
+    name = F.element_at(F.array(*[F.lit(f"{candidates[k].name}:{rules[r][0]}") for k, r in best]), F.col("outer") + 1)
+    return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred", name.alias("rule"))
+
+
+def _views(df):
+    mapped, rbf = fits.fourier_features(df, ALL, 24, 3.0, 5)
+    views = {"vote": GROUPS["vote"], "summary": [*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["understanding"]], "full": ALL, "rbf": rbf}
+    return mapped, views
 
 
 @query()
-def kmeans_search(spark, d):
-    ready = persona_ops.rater_features(raters(spark, d), ["mean_score", "mean_confidence", "mean_understanding"])
-    return models.kmeans_search(ready, ["mean_score", "mean_confidence", "mean_understanding"], [2, 3, 4]).select("k", *rounded(["inertia", "silhouette"]))
+def candidate_pool(spark, d):
+    """Per outer fold the two best candidates of each view by inner quality, and their weights in the blend."""
+    df, views = _views(labelled(spark, d))
+    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
+    chosen = fits.pool(fitted(df, candidates, 2), 2)
+    rows = [(i, candidates[k].view, candidates[k].name, rank, round(w, 6)) for i, part in enumerate(chosen) for k, w, rank in part]
+    return spark.createDataFrame(rows, "outer_fold int, view string, candidate string, rank int, weight double")
+
+
+@query()
+def prob_blend(spark, d):
+    """Each row under the blend of its fold's pool, weighted by inner quality."""
+    df, views = _views(labelled(spark, d))
+    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
+    f = fitted(df, candidates, 2)
+    chosen = fits.pool(f, 2)
+    out = fits.predict(f, [[(k, w) for k, w, _ in part] for part in chosen], [("argmax", 0.0, 0.0)] * OUTER)
+    return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred")
+
+
+@query()
+def flat_candidates(spark, d):
+    """All fixed candidates (view x penalty x weighting) under all rules on left-out rows, best 20 first."""
+    df, views = _views(labelled(spark, d))
+    candidates = [x for name, names in views.items() for x in _named(name, names, CS, WEIGHTS)]
+    rules = models.rule_grid()
+    tables = fits.confusions(fitted(df, candidates, 0), rules, inner=False).sum(axis=0)
+    ranked = sorted(((fits.quality(tables[k, r]), -k, -r) for k in range(len(candidates)) for r in range(len(rules))), reverse=True)[:20]
+    rows = [(i + 1, candidates[-k].name, rules[-r][0], rules[-r][1], rules[-r][2], q[1], q[0], int(-q[2])) for i, (q, k, r) in enumerate(ranked)]
+    return spark.createDataFrame(rows, "rank int, candidate string, rule string, a double, b double, accuracy double, balanced_accuracy double, cross_error int")
 
 
 @query()
 def ablation_run(spark, d):
-    df = _assign(labelled(spark, d), 2).persist()
-    train, test = df.where("fold = 0"), df.where("fold = 1")
+    """Single groups, base plus each, cumulative and leave-one-out feature lists, on left-out rows of five folds."""
+    plans = models.experiments(GROUPS, "vote")
+    candidates = [fits.Candidate(e.name, e.name, e.features) for e in plans]
+    tables = fits.confusions(fitted(labelled(spark, d), candidates, 0), [("argmax", 0.0, 0.0)], inner=False).sum(axis=0)
+    rows = [(e.name, len(e.features), *(fits.quality(tables[k, 0])[i] for i in (1, 0)), int(-fits.quality(tables[k, 0])[2])) for k, e in enumerate(plans)]
+    return spark.createDataFrame(rows, "experiment string, n_features int, accuracy double, balanced_accuracy double, cross_error int").select("experiment", "n_features", *rounded(["accuracy", "balanced_accuracy"]), "cross_error")
+
+
+@query()
+def kmeans_search(spark, d):
+    names = ["mean_score", "mean_confidence", "mean_understanding"]
+    ready = persona_ops.rater_features(raters(spark, d), names)
+    return fits.kmeans_many(ready, names, range(2, 33))[0].select("k", *rounded(["inertia", "silhouette", "calinski_harabasz", "davies_bouldin"]))
+
+
+@query()
+def best_k(spark, d):
+    """The cluster count with the best silhouette, then the best variance ratio."""
+    scored = kmeans_search(spark, d)
+    return scored.agg(F.max_by(F.struct("k", "silhouette", "calinski_harabasz"), F.struct("silhouette", "calinski_harabasz", (-F.col("k")).alias("o"))).alias("b")).select("b.*")
+
+
+REASONS = [f"{r}_rate" for r in (*v.HELPFUL, *v.NOT_HELPFUL)]
+COUNTS = ["n_votes", "vote_h", "vote_sh", "vote_nh"]
+
+
+@query()
+def reason_clusters(spark, d):
+    """Per class: clusters of notes by reasons, votes and the words of their topic, with sizes, leading reasons and examples."""
+    df = labelled(spark, d).join(v.notes(spark, d).select("note_id", "primary_topic"), "note_id")
+    words = F.split(F.lower("primary_topic"), "[^a-z0-9]+")
+    weights = text_ops.tfidf(df.select("note_id", "primary_topic"), "note_id", text_ops.word_grams(words), features=80)
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+    wide = weights.groupBy("note_id").pivot("term", terms).agg(F.max("weight"))
+    wide = wide.select("note_id", *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"term_{i}") for i, t in enumerate(terms)])
+    df = df.join(wide, "note_id", "left").fillna(0.0)
+    names = [*REASONS, *COUNTS, *[f"term_{i}" for i in range(len(terms))]]
     out = None
-    for e in models.experiments(GROUPS, "vote"):
-        p = models.fit_predict(train, test, list(e.features), "label", models.Spec(1.0))
-        pred = c.argmax3(*[F.col(x) for x in models.PROBS])
-        row = p.withColumn("pred", pred).agg(F.lit(e.name).alias("experiment"), F.lit(len(e.features)).alias("n_features"), *m.three_way(F.col("label"), F.col("pred")))
-        out = row if out is None else out.unionByName(row)
-    return out.select("experiment", "n_features", *rounded(["accuracy", "balanced_accuracy"]), "cross_error")
+    for k, label in ((2, "HELPFUL"), (1, "NEEDS_MORE_RATINGS"), (0, "NOT_HELPFUL")):
+        part = models.clustered(df.where(F.col("label") == k), names)
+        size = F.count(F.lit(1))
+        summary = part.groupBy("cluster").agg(
+            size.alias("n"),
+            *[F.round(F.avg(x), 6).alias(f"mean_{x}") for x in COUNTS],
+            *[F.avg(x).alias(x) for x in REASONS],
+            F.slice(F.array_sort(F.collect_set(F.when(F.col("example") <= 5, F.col("note_id")))), 1, 5).alias("examples"),
+        )
+        total = part.agg(size.alias("t"))
+        summary = summary.crossJoin(F.broadcast(total)).select(F.lit(label).alias("label"), "cluster", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), *[f"mean_{x}" for x in COUNTS], text_ops.top_terms(REASONS, 5).alias("top_reasons"), F.array_join("examples", ";").alias("examples"))
+        out = summary if out is None else out.unionByName(summary)
+    return out
 
 
 @query()
 def two_head_rescue(spark, d):
-    df = _assign(labelled(spark, d), 2)
+    df = sampling.folds(labelled(spark, d).withColumn("label", F.col("label").cast("double")), "label", "note_key", 2, 13)
     names = [*GROUPS["vote"], *GROUPS["confidence"]]
     heads = models.two_heads(df.where("fold = 0"), df.where("fold = 1"), names, "label")
     base = c.argmax3(F.col("share_nh"), F.col("share_sh"), F.col("share_h"))

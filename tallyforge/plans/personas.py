@@ -175,13 +175,6 @@ def ensemble_gate(spark, d):
     return three(spark, d).select("note_id", F.when((b == 1) & (e != 1) & loose, e).when((a == 1) & (b == e) & (b != 1) & loose, b).otherwise(a).alias("pred"))
 
 
-@query(f"WITH {_JUDGED} SELECT note_id, round((share_nh * 2 + 0.25) / 3, 6) AS p_nh, round((share_sh * 2 + 0.5) / 3, 6) AS p_nmr, round((share_h * 2 + 0.25) / 3, 6) AS p_h FROM judged")
-def prob_blend(spark, d):
-    priors = {"prior_p_nh": F.lit(0.25), "prior_p_nmr": F.lit(0.5), "prior_p_h": F.lit(0.25)}
-    both = judged(spark, d).select("note_id", F.col("share_nh").alias("vote_p_nh"), F.col("share_sh").alias("vote_p_nmr"), F.col("share_h").alias("vote_p_h"), *[x.alias(n) for n, x in priors.items()])
-    return both.select("note_id", *models.blend([("vote", 2.0), ("prior", 1.0)])).select("note_id", *rounded(models.PROBS))
-
-
 @query(f"""WITH {_JUDGED}, {_THREE}, s0 AS (SELECT *, CASE WHEN mean_understanding >= 50 THEN 2 ELSE 0 END AS e FROM three), s1 AS (SELECT *, CASE WHEN a <> b AND a <> c THEN CASE WHEN b = c THEN b ELSE least(a, b, c) END ELSE a END AS p1 FROM s0), s2 AS (SELECT *, CASE WHEN p1 = 1 AND b <> 1 AND c <> 1 AND b = c THEN b ELSE p1 END AS p2 FROM s1),
 s3 AS (SELECT *, CASE WHEN p2 <> 1 AND e <> p2 AND e <> c AND e <> 1 THEN e ELSE p2 END AS p3 FROM s2)
 SELECT note_id, p3 AS selector, CASE WHEN a = 1 AND b = c AND c <> 1 AND share_sh >= 0.5625 AND mean_understanding <= 29.79375 THEN c ELSE a END AS promoted FROM s3""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
 from tallyforge.functions import parsing as p
+from tallyforge.operators import relational as rel
 from tallyforge.operators import texts as ops
 from tallyforge.operators import votes as vote_ops
 from tallyforge.plans import views as v
@@ -25,22 +26,32 @@ def primary_topic(spark, d):
 
 
 def _like(pattern: str) -> str:
-    return f"regexp_matches(text, '{pattern}', 'i')"
+    """A pattern for an engine without look-around: the characters beside a word are matched, too."""
+    start, end = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+    text = ("(?:^|[^\\p{L}\\p{N}_])" if start else "") + pattern[2 * start : len(pattern) - 2 * end] + ("(?:$|[^\\p{L}\\p{N}_])" if end else "")
+    return f"regexp_matches(text, '{text}', 'i')"
 
 
-_FIRST = " ".join(f"WHEN {_like('|'.join(ps))} THEN '{name}'" for name, ps in ops.TOPICS.items())
+_HITS = {name: "(" + " OR ".join(map(_like, ps)) + ")" for name, ps in ops.TOPICS.items()}
+_FIRST = " ".join(f"WHEN {hit} THEN '{name}'" for name, hit in _HITS.items())
 _COUNTS = {name: " + ".join(f"CAST({_like(x)} AS INT)" for x in ps) for name, ps in ops.TOPICS.items()}
+_SCORES = "concat('{', " + ", ',', ".join(f"'\"{name}\":', CAST(CAST({hit} AS INT) AS STRING)" for name, hit in _HITS.items()) + ", '}')"
 
 
-@query(f"SELECT doc_id, CASE {_FIRST} ELSE 'other_misc' END AS topic FROM texts")
+@query(f"SELECT doc_id, CASE {_FIRST} ELSE 'other_misc' END AS topic FROM documents", views=False)
 def semantic_topic(spark, d):
-    return v.texts(spark, d).select("doc_id", ops.semantic_topic(F.col("text")).alias("topic"))
+    return table(spark, d, "documents").select("doc_id", ops.semantic_topic(F.col("text")).alias("topic"))
 
 
-@query(f"WITH n AS (SELECT doc_id, {', '.join(f'{x} AS {n}' for n, x in _COUNTS.items())} FROM texts) SELECT *, CASE WHEN greatest({', '.join(_COUNTS)}) = 0 THEN 'other_misc' {' '.join(f'WHEN {n} = greatest({", ".join(_COUNTS)}) THEN {chr(39)}{n}{chr(39)}' for n in _COUNTS)} END AS topic FROM n")
+@query(f"SELECT conv_id, turn, {_SCORES} AS scores FROM conversations", views=False)
+def semantic_topic_scores(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", ops.bucket_scores(F.col("text")).alias("scores"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {', '.join(f'{x} AS {n}' for n, x in _COUNTS.items())} FROM documents) SELECT *, CASE WHEN greatest({', '.join(_COUNTS)}) = 0 THEN 'other_misc' {' '.join(f'WHEN {n} = greatest({", ".join(_COUNTS)}) THEN {chr(39)}{n}{chr(39)}' for n in _COUNTS)} END AS topic FROM n", views=False)
 def semantic_topic_counts(spark, d):
     counts = ops.pattern_counts(F.col("text"))
-    n = v.texts(spark, d).select("doc_id", *[x.alias(k) for k, x in counts.items()])
+    n = table(spark, d, "documents").select("doc_id", *[x.alias(k) for k, x in counts.items()])
     return n.withColumn("topic", ops.most_matched({k: F.col(k) for k in counts}))
 
 
@@ -54,9 +65,9 @@ def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", c.strip_html(F.col("html")).alias("text"))
 
 
-@query("WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM texts) SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE concat(substr(s, 1, 77), '...') END AS short FROM t")
+@query("WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents) SELECT doc_id, CASE WHEN length(s) <= 80 THEN s ELSE concat(substr(s, 1, 77), '...') END AS short FROM t", views=False)
 def shorten_text(spark, d):
-    return v.texts(spark, d).select("doc_id", c.shorten(F.col("text"), 80).alias("short"))
+    return table(spark, d, "documents").select("doc_id", c.shorten(F.col("text"), 80).alias("short"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(concat(' ', p_name, ' - ', p_brand, '!')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part", views=False)
@@ -71,16 +82,24 @@ def rationale_text(spark, d):
     return vote_ops.ordered_text(table(spark, d, "conversations"), piece, ["turn"], "conv_id")
 
 
-@query("""SELECT vote_id, CASE WHEN raw_completion LIKE '%"HELPFUL"%' THEN 'HELPFUL' WHEN raw_completion LIKE '%somewhat-helpful%' THEN 'SOMEWHAT_HELPFUL' WHEN raw_completion LIKE '%Not Helpful%' THEN 'NOT_HELPFUL' ELSE 'HELPFUL' END AS rating,
-  CASE WHEN raw_completion LIKE '%"HELPFUL"%' THEN 1.0 WHEN raw_completion LIKE '%somewhat-helpful%' THEN 0.5 WHEN raw_completion LIKE '%Not Helpful%' THEN 0.0 ELSE 1.0 END::DOUBLE AS score,
-  CAST(json_extract(raw_completion, '$.agree') AS INT) AS agree, CASE WHEN CAST(json_extract(raw_completion, '$.agree') AS INT) = 1 THEN 1 ELSE -1 END AS agree_compat,
-  CAST(least(greatest(round_even(CAST(json_extract(raw_completion, '$.confidence') AS DOUBLE), 0), 0), 100) AS INT) AS confidence FROM replies""")
+_WRAPPED = "concat('Reply: ', raw_completion, ' Done.')"
+_V = "replace(replace(upper(trim(coalesce(level, ''))), '-', '_'), ' ', '_')"
+
+
+@query(f"""WITH blobs AS (SELECT vote_id, {_WRAPPED} AS raw, regexp_extract({_WRAPPED}, '\\{{.*\\}}', 0, 's') AS blob FROM replies), fields AS (SELECT vote_id, upper(raw) AS r, json_extract_string(blob, '$.helpfulnessLevel') AS level, json_extract_string(blob, '$.agree') AS agree, TRY_CAST(json_extract_string(blob, '$.confidence') AS DOUBLE) AS conf FROM blobs),
+named AS (SELECT *, {_V} AS v, upper(trim(coalesce(agree, ''))) AS yn FROM fields),
+rated AS (SELECT *, CASE WHEN v IN ('HELPFUL', 'CURRENTLY_RATED_HELPFUL') THEN 'HELPFUL' WHEN v IN ('NOT_HELPFUL', 'NOTHELPFUL', 'CURRENTLY_RATED_NOT_HELPFUL') THEN 'NOT_HELPFUL' WHEN contains(v, 'SOMEWHAT') OR contains(v, 'PARTLY') OR contains(v, 'PARTIALLY') OR contains(r, 'SOMEWHAT') THEN 'SOMEWHAT_HELPFUL'
+  WHEN contains(r, 'NOT_HELPFUL') OR contains(r, 'NOT HELPFUL') THEN 'NOT_HELPFUL' WHEN contains(r, 'HELPFUL') THEN 'HELPFUL' ELSE 'UNKNOWN' END AS rating FROM named)
+SELECT vote_id, rating, CAST(CASE rating WHEN 'HELPFUL' THEN 1 WHEN 'SOMEWHAT_HELPFUL' THEN 0.5 WHEN 'NOT_HELPFUL' THEN 0 ELSE -1 END AS DOUBLE) AS score, CASE WHEN yn IN ('YES', 'Y', 'TRUE', '1') THEN 1 WHEN yn IN ('NO', 'N', 'FALSE', '0') THEN 0 ELSE -1 END AS agree,
+  CASE WHEN yn IN ('YES', 'Y', 'TRUE', '1') THEN 1 WHEN yn IN ('NO', 'N') THEN 0 ELSE -1 END AS agree_compat, CASE WHEN conf IS NULL OR isnan(conf) THEN -1 ELSE CAST(least(greatest(round_even(conf, 0), 0), 100) AS INT) END AS confidence FROM rated""")
 def parse_votes(spark, d):
-    blob = p.json_blob(F.concat(F.lit("Reply: "), F.col("raw_completion"), F.lit(" Done.")))
-    parsed = v.replies(spark, d).withColumn("blob", blob)
-    rating = p.rating(p.field(F.col("blob"), "helpfulnessLevel"), F.col("raw_completion"), three_way=True)
-    agree = p.field(F.col("blob"), "agree")
-    return parsed.select("vote_id", rating.alias("rating"), p.rating_score(rating).alias("score"), p.yes_no(agree).alias("agree"), p.yes_no(agree, "compat").alias("agree_compat"), p.score_100(p.field(F.col("blob"), "confidence")).alias("confidence"))
+    raw = F.concat(F.lit("Reply: "), F.col("raw_completion"), F.lit(" Done."))
+    # the object is cut out and parsed once; a projection of its own keeps Spark from repeating that per field
+    parsed = v.replies(spark, d).select("vote_id", "raw_completion", F.from_json(p.json_blob(raw), "helpfulnessLevel string, agree string, confidence string").alias("f")).where("vote_id IS NOT NULL")
+    agree = F.col("f.agree")
+    rating = p.rating(F.col("f.helpfulnessLevel"), F.col("raw_completion"), three_way=True)
+    named = parsed.select("vote_id", rating.alias("rating"), agree.alias("agree"), F.col("f.confidence").alias("confidence"))
+    return named.select("vote_id", "rating", p.rating_score(F.col("rating")).alias("score"), p.yes_no(F.col("agree")).alias("agree"), p.yes_no(F.col("agree"), "compat").alias("agree_compat"), p.score_100(F.col("confidence")).alias("confidence"))
 
 
 @query("SELECT vote_id, coalesce(nullif(trim(json_extract_string(raw_completion, '$.text')), ''), nullif(trim(json_extract_string(raw_completion, '$.helpfulnessLevel')), ''), json_extract_string(raw_completion, '$.props.k')) AS found FROM replies")
@@ -90,7 +109,9 @@ def json_find(spark, d):
     return v.replies(spark, d).select("vote_id", first.alias("found"))
 
 
-@query("SELECT vote_id, 'helpfulnessLevel,agree,confidence,props,props.k' AS paths FROM replies")
+@query("""WITH k AS (SELECT vote_id, raw_completion, unnest(json_keys(raw_completion)) AS top, unnest(range(len(json_keys(raw_completion)))) AS i FROM replies),
+p AS (SELECT vote_id, i, list_prepend(top, list_transform(coalesce(json_keys(json_extract(raw_completion, '$.' || top)), []), lambda x: top || '.' || x)) AS names FROM k)
+SELECT vote_id, array_to_string(flatten(list(names ORDER BY i)), ',') AS paths FROM p GROUP BY vote_id""")
 def json_key_paths(spark, d):
     return v.replies(spark, d).select("vote_id", F.array_join(ops.json_paths(F.col("raw_completion")), ",").alias("paths"))
 
@@ -101,8 +122,10 @@ def json_deep_search(spark, d):
 
 
 _H, _N = v.HELPFUL, v.NOT_HELPFUL
-_SUMS = ", ".join([f"CAST(sum(CASE WHEN raw_label_id >= 1 THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _H] + [f"CAST(sum(CASE WHEN raw_label_id = 0 THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _N])
-_REASONS = f"counts AS (SELECT note_id, count(CASE WHEN raw_label_id >= 1 THEN 1 END) AS helpful_side_votes, count(CASE WHEN raw_label_id = 0 THEN 1 END) AS not_helpful_side_votes, {_SUMS} FROM votes GROUP BY note_id)"
+# a vote stands on a side by its rating or by its own flag, so it can stand on both
+_HS, _NS = "(raw_label_id >= 1 OR ord1 % 9 = 0)", "(raw_label_id = 0 OR ord2 % 8 = 0)"
+_SUMS = ", ".join([f"CAST(sum(CASE WHEN {_HS} THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _H] + [f"CAST(sum(CASE WHEN {_NS} THEN greatest({r}, 0) ELSE 0 END) AS BIGINT) AS {r}" for r in _N])
+_REASONS = f"counts AS (SELECT note_id, count(CASE WHEN {_HS} THEN 1 END) AS helpful_side_votes, count(CASE WHEN {_NS} THEN 1 END) AS not_helpful_side_votes, {_SUMS} FROM votes GROUP BY note_id)"
 _LONG = " UNION ALL ".join(f"SELECT note_id, '{r}' AS reason, {r} AS n FROM counts" for r in (*_H, *_N))
 _CHOSEN = f"""pairs AS ({_LONG}), ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY n DESC, reason) AS k FROM pairs WHERE n > 0),
 chosen AS (SELECT note_id, string_agg(reason, ';' ORDER BY k) FILTER (WHERE k <= 3 AND n >= 2) AS good, min(reason) FILTER (WHERE k = 1) AS top FROM ranked GROUP BY note_id)"""
@@ -110,7 +133,7 @@ chosen AS (SELECT note_id, string_agg(reason, ';' ORDER BY k) FILTER (WHERE k <=
 
 def reasons(spark, d):
     votes = vote_ops.with_cleaned(v.votes(spark, d), [*_H, *_N])
-    return vote_ops.reason_sums(votes, _H, _N)
+    return vote_ops.reason_sums(votes, _H, _N, helpful_flag=F.col("ord1") % 9 == 0, not_helpful_flag=F.col("ord2") % 8 == 0)
 
 
 @query(f"WITH {_REASONS} SELECT * FROM counts")
@@ -121,7 +144,7 @@ def reason_counts(spark, d):
 @query(f"WITH {_REASONS}, {_CHOSEN} SELECT n.note_id, coalesce(c.good, c.top, '') AS reason_labels FROM notes n LEFT JOIN chosen c ON n.note_id = c.note_id")
 def reason_labels(spark, d):
     labels = vote_ops.ranked_reasons(reasons(spark, d), [*_H, *_N])
-    joined = v.notes(spark, d).select("note_id").join(labels, "note_id", "left")
+    joined = rel.one_to_one(v.notes(spark, d).select("note_id"), labels, ["note_id"], "left")
     return joined.select("note_id", F.coalesce(F.array_join("reasons", ";"), F.lit("")).alias("reason_labels"))
 
 
@@ -151,19 +174,33 @@ def top_terms(spark, d):
 
 
 @query("""SELECT count(*) AS notes, 16 * count(*) AS calls, round(avg(length(text)), 4) AS mean_chars, round((1200 + avg(length(text))) / 4 * 16 * count(*), 2) AS input_tokens,
-  round((1200 + avg(length(text))) / 4 * 16 * count(*) * 0.15 / 1e6, 6) AS input_cost FROM texts""")
+  round((1200 + avg(length(text))) / 4 * 16 * count(*) * 0.15 / 1e6, 6) AS input_cost FROM documents""", views=False)
 def cost_estimate(spark, d):
     n, mean = F.count(F.lit(1)), F.avg(F.length("text"))
     tokens = (1200 + mean) / 4 * 16 * n
-    return v.texts(spark, d).agg(n.alias("notes"), (16 * n).alias("calls"), F.round(mean, 4).alias("mean_chars"), F.round(tokens, 2).alias("input_tokens"), F.round(tokens * 0.15 / 1e6, 6).alias("input_cost"))
+    return table(spark, d, "documents").agg(n.alias("notes"), (16 * n).alias("calls"), F.round(mean, 4).alias("mean_chars"), F.round(tokens, 2).alias("input_tokens"), F.round(tokens * 0.15 / 1e6, 6).alias("input_cost"))
+
+
+def _tfidf_sql(terms: str, features: int) -> str:
+    return f"""words AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM conversations), grams AS (SELECT conv_id, unnest({terms}) AS term FROM words),
+tf AS (SELECT conv_id, term, count(*) AS tf FROM grams GROUP BY 1, 2), n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), df AS (SELECT term, count(*) AS df FROM tf, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.98 * n ORDER BY sum(tf) DESC, term LIMIT {features}),
+w AS (SELECT conv_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n),
+x AS (SELECT conv_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)) AS weight FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x)
+SELECT conv_id, term, round(weight, 6) AS weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 
 
-@query("""WITH words AS (SELECT conv_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM conversations), tf AS (SELECT conv_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY 1, 2),
-n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-w AS (SELECT conv_id, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.98 * n),
-x AS (SELECT conv_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY conv_id)) AS weight FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(weight, 9) DESC, term) AS rank FROM x)
-SELECT conv_id, term, round(weight, 6) AS weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""", views=False)
+_BIGRAMS = "list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+_CHARS = "flatten(list_transform(w, lambda x: flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, greatest(length(x) + 4 - k, 1)), lambda i: substr(' ' || x || ' ', i, k))))))"
+FEATURES = 2000
+
+
+@query(f"WITH {_tfidf_sql(_BIGRAMS, FEATURES)}", views=False)
 def tfidf_terms(spark, d):
     words = F.split(F.lower("text"), "[^a-z0-9]+")
-    return ops.tfidf(table(spark, d, "conversations"), "conv_id", words, top=10).select("conv_id", "term", c.r6(F.col("weight")).alias("weight"), "rank")
+    return ops.tfidf(table(spark, d, "conversations"), "conv_id", ops.word_grams(words), top=10, features=FEATURES).select("conv_id", "term", c.r6(F.col("weight")).alias("weight"), "rank")
+
+
+@query(f"WITH {_tfidf_sql(_CHARS, FEATURES)}", views=False)
+def tfidf_chars(spark, d):
+    words = F.split(F.lower("text"), "[^a-z0-9]+")
+    return ops.tfidf(table(spark, d, "conversations"), "conv_id", ops.char_grams(words), top=10, features=FEATURES).select("conv_id", "term", c.r6(F.col("weight")).alias("weight"), "rank")

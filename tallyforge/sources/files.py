@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,7 +59,40 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
-    (writer.option("header", True) if form == "csv" else writer).format(form).save(path)
+    (writer.option("header", True).option("escape", '"') if form == "csv" else writer).format(form).save(path)
+
+
+def write_progress(spark: SparkSession, path: str, record: Mapping[str, object]) -> None:
+    """Replaces a small JSON record as a whole: readers see the old one or the new one, on any store that can rename."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    out = fs.create(part, True)
+    out.write(bytearray(json.dumps(dict(record), sort_keys=True, default=str).encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), conf).rename(part, target, overwrite)
+
+
+def read_progress(spark: SparkSession, path: str) -> dict | None:
+    """The last record, or None before the first."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+#: What the table of an external scorer holds; a row counts with at least two known statistics.
+SCORER = "raterParticipantId string, coreRaterIntercept double, coreRaterFactor1 double, internalRaterIntercept double, internalRaterFactor1 double, crhCrnhRatioDifference double, meanNoteScore double, raterAgreeRatio double, aboveHelpfulnessThreshold boolean"
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """An external scorer's tab-separated output."""
+    return read_delimited(spark, path, SCORER).where("raterParticipantId IS NOT NULL")
 
 
 def append_log(df: DataFrame, path: str) -> None:

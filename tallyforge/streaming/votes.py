@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.files import read_progress, write_progress
+
 SCHEMA = "note_id string, agent_id string, raw_label_id int, confidence double, at timestamp"
 
 
@@ -28,9 +30,17 @@ def running_summary(votes: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def start_snapshots(summary: DataFrame, path: str, checkpoint: str):
-    """Writes the running totals of each trigger as a table; earlier snapshots are replaced."""
+    """Writes the running totals of each trigger as a table of its own; the record of the newest one is replaced as a whole."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("snapshot", F.lit(number)).write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        last = read_progress(spark, f"{path}/newest.json")
+        batch.withColumn("snapshot", F.lit(number)).write.mode("overwrite").parquet(f"{path}/snapshot-{number}")
+        write_progress(spark, f"{path}/newest.json", {"number": number, "folder": f"snapshot-{number}", "before": (last or {}).get("folder")})
 
     return summary.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole snapshot."""
+    return spark.read.parquet(f"{path}/{read_progress(spark, f'{path}/newest.json')['folder']}")
