@@ -5,8 +5,10 @@ hex grams, which every long hex run contains).  It walks the text once with A-Z
 a rule's expression is tried only at the places its keywords name, on the original
 text.  Token formats that embed a CRC-32 are kept only when it verifies.
 
-Null and empty texts have no spans.  Repeated rows are scanned separately; only the id
-and the text column are read, so other columns of the input may have any name.
+Null and empty texts have no spans.  Texts of any length are scanned whole; hits are judged as
+they come, so memory follows the text and its spans, not its hits.  Spans that start together
+are ordered by kind.  Repeated rows are scanned separately; an empty table gives no rows.  Only
+the id and the text column are read, so other columns of the input may have any name.
 """
 
 from __future__ import annotations
@@ -82,18 +84,15 @@ def automaton():
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) of one text, by start and then kind as listed."""
     folded = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    places: dict[str, list[int]] = {}
-    for end, (kind, size) in automaton().iter(folded):
-        places.setdefault(kind, []).append(end - size + 1)
-    spans = []
-    for kind, starts in places.items():
-        pattern, keep = RULES[kind]
-        done = 0
-        for at in sorted(starts):
-            if at >= done and (m := pattern.match(text, at)):
-                done = m.end()
+    spans, done = [], dict.fromkeys(RULES, 0)
+    for end, (kind, size) in automaton().iter(folded):  # starts of one kind ascend, as no keyword holds another of its kind
+        at = end - size + 1
+        if at >= done[kind]:
+            pattern, keep = RULES[kind]
+            if m := pattern.match(text, at):
+                done[kind] = m.end()
                 if keep(m):
-                    spans.append((at, done, kind))
+                    spans.append((at, done[kind], kind))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

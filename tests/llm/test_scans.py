@@ -50,6 +50,11 @@ def test_pii_base_spans(t):
     assert pii.base_spans(t) == plain_pii(t)
 
 
+def test_secrets_of_a_very_long_text():
+    t = ("deadbeef" * 100_000) + " token=abcdef12 " + "0123456789abcdef " * 50_000 + "AKIA" + "Z" * 20
+    assert [s for s in secrets.find(t) if s[2] in secrets.BASE] == plain_secrets(t) and len(plain_secrets(t)) == 3
+
+
 def test_secret_shapes():
     body = "A" * 30
     good = f"ghp_{body}{secrets.base62_crc(body)}"
