@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallyforge.functions import columns as c
 from tallyforge.operators import fits, models, sampling
 from tallyforge.operators import personas as persona_ops
 from tallyforge.operators import texts as text_ops
+from tallyforge.operators.relational import stable
 from tallyforge.plans import views as v
+from tallyforge.plans.grids import GATE, _best_gate
 from tallyforge.plans.personas import raters
 from tallyforge.plans.registry import query
 from tallyforge.plans.votes import rich, rounded
@@ -157,11 +159,42 @@ def reason_clusters(spark, d):
     return out
 
 
+@query()
+def nested_variants(spark, d):
+    """Nested selection inside each view, and the trivial rules, on the rows that outer folds leave out."""
+    df, views = _views(labelled(spark, d))
+    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
+    f, rules = fitted(df, candidates, 2), models.rule_grid()
+    inside, outside = fits.confusions(f, rules, inner=True), fits.confusions(f, rules, inner=False)
+    rows = []
+    for view in views:
+        own = [(k, r) for k, x in enumerate(candidates) if x.view == view for r in range(len(rules))]
+        best = [max(own, key=lambda x, i=i: (*fits.quality(inside[i][x]), -x[0], -x[1])) for i in range(OUTER)]
+        rows.append((view, sum(outside[i][x] for i, x in enumerate(best))))
+    truth = outside[:, 0, 0].sum(axis=0).sum(axis=1)
+    always = [[0.0] * 3 for _ in range(3)]
+    for k in range(3):
+        always[k][1] = float(truth[k])
+    rows.append(("always_undecided", np.array(always)))
+    scored = [(name, *(fits.quality(t)[i] for i in (1, 0)), int(-fits.quality(t)[2])) for name, t in rows]
+    return spark.createDataFrame(scored, "method string, accuracy double, balanced_accuracy double, cross_error int").select("method", *rounded(["accuracy", "balanced_accuracy"]), "cross_error")
+
+
 @query()
 def two_head_rescue(spark, d):
-    df = sampling.folds(labelled(spark, d).withColumn("label", F.col("label").cast("double")), "label", "note_key", 2, 13)
-    names = [*GROUPS["vote"], *GROUPS["confidence"]]
-    heads = models.two_heads(df.where("fold = 0"), df.where("fold = 1"), names, "label")
-    base = c.argmax3(F.col("share_nh"), F.col("share_sh"), F.col("share_h"))
-    pred = c.rescue(base, F.col("p_resolved"), 1 - F.col("p_resolved"), F.col("p_direction"), 0.6, 0.2, 0.5)
-    return heads.select("note_id", *rounded(["p_resolved", "p_direction"]), base.alias("base"), pred.alias("pred"))
+    """A resolved head and a direction head on left-out rows, and the gate over the base model that the grid search chooses."""
+    df = folded(labelled(spark, d), OUTER, 0)
+    names = tuple([*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["understanding"]])
+    fit = lambda rows, weight: fits.fit_candidates(rows, "note_id", "label", "outer", [], [fits.Candidate("head", "head", names, 0.3, weight)], 0)
+    out = lambda f: fits.predict(f, [[(0, 1.0)]] * OUTER, [("argmax", 0.0, 0.0)] * OUTER)
+    base = out(fit(df, (1.0, 1.0, 1.0))).select("key", "pred", F.col("p_nmr").alias("base_nmr"))
+    decided = out(fit(df.withColumn("label", (F.col("label") != 1).cast("int")), "balanced")).select("key", F.col("p_nmr").alias("resolved"))  # class 1 of this head: resolved
+    side = out(fit(df, (1.0, 0.0, 1.0))).select("key", (F.col("p_h") / (F.col("p_h") + F.col("p_nh"))).alias("direction"))  # undecided rows teach it nothing
+    r = base.join(decided, "key").join(side, "key").join(df.select(F.col("note_id").alias("key"), F.col("label").alias("y")), "key")
+    r9 = lambda x: F.round(x, 9)
+    r = stable(r.select("key", "y", "pred", r9(F.col("resolved")).alias("resolved"), r9(F.col("resolved") - F.col("base_nmr")).alias("gap"), r9(F.col("direction")).alias("direction")))
+    gate = _best_gate(r, GATE).select(*GATE)
+    sure = F.greatest(F.col("direction"), 1 - F.col("direction"))
+    opened = (F.col("pred") == 1) & (F.col("resolved") >= F.col("t_resolved")) & (F.col("gap") >= F.col("t_gap")) & (F.round(sure, 9) >= F.col("t_conf"))
+    rescued = F.when(opened, F.when(F.col("direction") >= 0.5, 2).otherwise(0)).otherwise(F.col("pred"))
+    return r.crossJoin(F.broadcast(gate)).select(F.col("key").alias("note_id"), *rounded(["resolved", "direction"]), F.col("pred").alias("base"), rescued.alias("pred"))

@@ -374,3 +374,11 @@ def test_many_kmeans_and_silhouette(spark):
     assert personas.silhouette(vectors, "c", "v", 2).first()[0] == pytest.approx(np.mean(s))
     assert models.choose_k(df, ["a", "b"]) == 3
     assert {q.cluster for q in fits.assign_clusters(df, ["a", "b"], centers[3]).collect()} == {0, 1, 2}
+
+
+def test_two_heads_and_l1(spark):
+    df = spark.range(240).select("id", (F.col("id") % 3).cast("double").alias("label")).withColumn("x", F.col("label") * 2 + F.rand(1)).withColumn("z", F.rand(3))
+    heads = models.two_heads(df.where("id < 150"), df.where("id >= 150"), ["x"], "label")
+    assert heads.count() == 90 and heads.where("p_resolved between 0 and 1 and p_direction between 0 and 1").count() == 90
+    p = models.fit_predict(df.where("id < 150"), df.where("id >= 150"), ["x", "z"], "label", models.Spec(c=0.05, l1=True))
+    assert p.where("abs(p_nh + p_nmr + p_h - 1) > 1e-6").isEmpty()
