@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.metrics import ratio
+from tallyforge.operators.relational import stable
 
 
 def passed(value: Column, thresholds: Sequence[float], op: str) -> Column:
@@ -24,16 +25,20 @@ def passed(value: Column, thresholds: Sequence[float], op: str) -> Column:
     return reduce(lambda a, b: a + b, [F.coalesce(tests(t).cast("int"), F.lit(0)) for t in thresholds])
 
 
-def orthant_counts(df: DataFrame, axes: dict[str, Column], sizes: dict[str, int], groups: Sequence[str], n: str = "n") -> DataFrame:
+def counted_cells(df: DataFrame, axes: dict[str, Column], groups: Sequence[str]) -> DataFrame:
+    """(groups, axis indices, n), stored: rows per tuple of strictest thresholds that they pass (-1: none), no more than the grid has points."""
+    return stable(df.groupBy(*groups, *[(x - 1).cast("int").alias(a) for a, x in axes.items()]).agg(F.count(F.lit(1)).alias("n")))
+
+
+def orthant_counts(cells: DataFrame, sizes: dict[str, int], groups: Sequence[str], n: str = "n") -> DataFrame:
     """(axis indices, groups, n): rows that pass threshold i of every axis, for all grid points.
 
-    ``axes`` are ``passed`` counts; a row that passes j thresholds of an axis passes those with
+    ``cells`` are ``counted_cells``; a row that passes j thresholds of an axis passes those with
     index below j.  Points without rows count 0 for every group value that occurs.
     """
-    cells = df.select(*groups, *[(x - 1).cast("int").alias(a) for a, x in axes.items()]).where(reduce(lambda a, b: a & b, [F.col(a) >= 0 for a in axes]))
-    cells = cells.groupBy(*groups, *axes).agg(F.count(F.lit(1)).alias(n))
-    spark = df.sparkSession
-    lattice = df.select(*groups).distinct()
+    axes, spark = list(sizes), cells.sparkSession
+    lattice = cells.select(*groups).distinct()
+    cells = cells.where(reduce(lambda a, b: a & b, [F.col(a) >= 0 for a in axes])).withColumnRenamed("n", n)
     for a in axes:
         lattice = lattice.crossJoin(F.broadcast(spark.range(sizes[a]).select(F.col("id").cast("int").alias(a))))
     keys = [*groups, *axes]

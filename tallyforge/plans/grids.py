@@ -120,8 +120,9 @@ def disagreement_grid(spark, d):
         "i_u": g.passed(F.col("und"), [_OFF, *UNDERS[1:]], ">"),
     }
     sizes = {"i_m": len(MARGINS), "i_e": len(ENTROPIES), "i_c": len(CONFS), "i_u": len(UNDERS)}
-    kept = g.orthant_counts(r, axes, sizes, ["y", "side"], "kept")
-    totals = r.groupBy("y", "side").agg(F.count(F.lit(1)).alias("n"))
+    cells = g.counted_cells(r, axes, ["y", "side"])
+    kept = g.orthant_counts(cells, sizes, ["y", "side"], "kept")
+    totals = cells.groupBy("y", "side").agg(F.sum("n").alias("n"))
     caught = kept.join(totals, ["y", "side"]).select(*axes, "y", "side", F.lit(1).alias("new"), (F.col("n") - F.col("kept")).alias("n"))
     at = lambda values, i: F.element_at(F.array(*[F.lit(x) for x in values]), F.col(i) + 1)
     named = g.changed_metrics(caught, totals, list(axes), "y", "side", "new").withColumns({"t_margin": at(MARGINS, "i_m"), "t_entropy": at(ENTROPIES[::-1], "i_e"), "t_conf": at(CONFS, "i_c"), "t_under": at(UNDERS, "i_u")})
@@ -156,7 +157,7 @@ def _gate_points(r, gate, by=()):
     axes = {"i0": g.passed(F.col("resolved"), gate["t_resolved"], ">="), "i1": g.passed(F.col("gap"), gate["t_gap"], ">="), "i2": g.passed(sure, gate["t_conf"], ">=")}
     sizes = {f"i{i}": len(x) for i, x in enumerate(gate.values())}
     undecided = r.where("pred = 1").withColumn("new", F.when(F.col("direction") >= 0.5, 2).otherwise(0))
-    found = g.orthant_counts(undecided, axes, sizes, [*by, "y", "new"])
+    found = g.orthant_counts(g.counted_cells(undecided, axes, [*by, "y", "new"]), sizes, [*by, "y", "new"])
     names = {name: F.element_at(F.array(*[F.lit(x) for x in values]), F.col(f"i{i}") + 1) for i, (name, values) in enumerate(gate.items())}
     return found.withColumns(names).drop(*axes).withColumn("pred", F.lit(1))
 
@@ -216,10 +217,11 @@ def guard_grid(spark, d):
     tops = F.sort_array(F.array("nh", "nmr", "h"), False)
     margin = F.round(tops[0] - (F.col("nh") + F.col("nmr") + F.col("h") - tops[0] - F.least("nh", "nmr", "h")), 9)
     axes = {"i0": g.passed(F.col("nmr"), GUARD["t_nmr"], ">="), "i1": g.passed(F.greatest("nh", "h"), GUARD["t_resolved_mass"], "<="), "i2": g.passed(margin, GUARD["t_margin"], "<=")}
-    found = g.orthant_counts(r.where("pred <> 1"), axes, {f"i{i}": len(x) for i, x in enumerate(GUARD.values())}, ["y", "pred"])
+    cells = g.counted_cells(r, axes, ["y", "pred"])
+    found = g.orthant_counts(cells.where("pred <> 1"), {f"i{i}": len(x) for i, x in enumerate(GUARD.values())}, ["y", "pred"])
     names = {name: F.element_at(F.array(*[F.lit(x) for x in values]), F.col(f"i{i}") + 1) for i, (name, values) in enumerate(GUARD.items())}
     caught = found.withColumns(names).drop(*axes).withColumn("new", F.lit(1))
-    totals = r.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
+    totals = cells.groupBy("y", "pred").agg(F.sum("n").alias("n"))
     base = totals.agg(*g.weighted_three_way(F.col("y"), F.col("pred"), F.col("n")))
     floor = base.select(F.round(F.col("accuracy") - ACC_DROP, 9).alias("floor"))
     scored = g.changed_metrics(caught, totals, list(GUARD), "y", "pred", "new").crossJoin(F.broadcast(floor)).where(F.round("accuracy", 9) >= F.col("floor")).drop("floor", "change")

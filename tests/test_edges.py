@@ -311,7 +311,7 @@ def test_orthants(spark):
     ts, us = [0.1, 0.4, 0.7], [0.9, 0.5]
     df = spark.createDataFrame(data, "a double, b double, y int")
     axes = {"i": grids.passed(F.col("a"), ts, ">="), "j": grids.passed(F.col("b"), us, "<")}
-    got = {(q.i, q.j, q.y): q.n for q in grids.orthant_counts(df, axes, {"i": 3, "j": 2}, ["y"]).collect()}
+    got = {(q.i, q.j, q.y): q.n for q in grids.orthant_counts(grids.counted_cells(df, axes, ["y"]), {"i": 3, "j": 2}, ["y"]).collect()}
     for (i, j, y), n in got.items():
         assert n == sum(1 for a, b, z in data if z == y and a is not None and a >= ts[i] and b < us[j])
     assert len(got) == 18
