@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, chosenpath, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
+from tallyforge.llm import alignment, ann, chosenpath, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles
+from tallyforge.llm.shared import save
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +87,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return tokenfiles.summary(spark, tokenfiles.encode_files(table(spark, sf_dir, "documents"), vocabulary))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files}
+def op11_alignment(spark: SparkSession, sf_dir: str, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
+    if byte_path is None or piece_path is None:
+        import public_tokenizers
+
+        byte_path, piece_path = byte_path or public_tokenizers.path("byte_bpe_50k.json"), piece_path or public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), byte_path, piece_path)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    stored = save(alignment.numbered(found.withColumn("groups_sha256", digest).drop("groups")), "aligned")
+    return alignment.link_scores(stored).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_products")
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files, "op11_alignment": op11_alignment}
 ORACLES: dict[str, str] = {"op3_chosen_path": sql.OP3, "op4_decontaminate": sql.OP4, "op6_mix": sql.OP6}
