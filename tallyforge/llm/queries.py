@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import alignment, ann, chosenpath, decontaminate, hilbert, licences, mixing, pii, quality, secrets, sql, tokenfiles, whitening
+from tallyforge.llm import alignment, ann, chosenpath, decontaminate, hilbert, licences, mixing, pages, pii, quality, secrets, sql, tokenfiles, whitening
 from tallyforge.llm.shared import save
 
 
@@ -102,5 +102,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files, "op11_alignment": op11_alignment, "op12_whitening": op12_whitening}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "pages")
+    text = F.array_join("blocks", "\n\n")
+    return pages.extract(given.withColumn("__key", F.struct("page_id", "url")), "__key").select("__key.page_id", "__key.url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_pii": op2_pii, "op3_chosen_path": op3_chosen_path, "op4_decontaminate": op4_decontaminate, "op5_multi_index": op5_multi_index, "op6_mix": op6_mix, "op7_quality": op7_quality, "op8_licences": op8_licences, "op9_hilbert_shards": op9_hilbert_shards, "op10_token_files": op10_token_files, "op11_alignment": op11_alignment, "op12_whitening": op12_whitening, "op13_html_text": op13_html_text}
 ORACLES: dict[str, str] = {"op3_chosen_path": sql.OP3, "op4_decontaminate": sql.OP4, "op6_mix": sql.OP6}
