@@ -1,39 +1,54 @@
 """Many fits in one pass: every candidate, fold and start of a search is updated by the same scan.
 
-Each task adds up what its rows contribute to every model (gradients and curvature of logistic
-regressions, sums of clusters), the sums of a model meet in one task, and the driver makes the
-step.  A search of hundreds of models thus costs as many scans as its longest fit has steps.
-What travels is bounded by the number of models and features, never by rows.
+Each task adds up what its rows contribute to every model (gradients and curvature of
+regressions, sums of clusters), sums meet in a shuffle by model that adds them as they come, and
+the driver makes the step.  A search of hundreds of models thus costs as many scans as its
+longest fit has steps.  What travels is bounded by the number of models and features, never by
+rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.relational import stable
 
 CLASSES = 3
+#: Above this many tasks, sums of a model are first taken in ``LANES`` parts.
+WIDE, LANES = 256, 32
 
 
-def _summed(rows: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], n: int) -> list[np.ndarray | None]:
-    """Sums over all tasks of the arrays that ``task`` returns per model number."""
+def _summed(rows: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], n: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> list[np.ndarray | None]:
+    """Sums (or minima, ...) over all tasks of the arrays that ``task`` returns per model number."""
+    form = "model int, lane int, sums binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = task(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["model", "sums"])
+    def batch(found: dict[int, np.ndarray], lane: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([lane] * len(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], ["model", "lane", "sums"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x) for x in table["sums"].to_pylist())
-        return pa.table({"model": pa.array([table["model"][0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield batch(task(batches), TaskContext.get().partitionId() % LANES)
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for model, sums in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                x = np.frombuffer(sums.as_buffer())
+                total[model] = combine(total[model], x) if model in total else x
+        if total:
+            yield batch(total, 0)
+
+    parts = rows.mapInArrow(run, form)
+    if rows.rdd.getNumPartitions() > WIDE:
+        parts = parts.repartition("model", "lane").mapInArrow(add, form)
     out: list[np.ndarray | None] = [None] * n
-    for r in rows.mapInArrow(run, "model int, sums binary").groupBy("model").applyInArrow(add, "model int, sums binary").collect():
+    for r in parts.repartition("model").mapInArrow(add, form).collect():
         out[r["model"]] = np.frombuffer(r["sums"])
     return out
 
@@ -45,26 +60,46 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Candidate:
-    """A logistic regression to be tried: its features, inverse penalty and class weights (None, "balanced" or one per class)."""
+    """A linear model to be tried.
+
+    ``c`` is the inverse penalty, ``weight`` None, "balanced" or a weight per target class.
+    ``kind``: a regression with squared (l2) or absolute (l1) penalty, or svc: squared hinges, one
+    class against the rest, with a sigmoid over each margin.  ``target``: the class that each label
+    counts as, -1 where its rows take no part in the fit.  ``fourier``: so many random Fourier
+    features of a Gaussian kernel of gamma 1 / features over the scaled columns (0: the columns).
+    """
 
     name: str
     view: str
     features: tuple[str, ...]
     c: float = 1.0
     weight: str | tuple[float, ...] | None = None
+    kind: str = "l2"
+    target: tuple[int, ...] = (0, 1, 2)
+    fourier: int = 0
 
 
 @dataclass
 class _Model:
-    candidate: int
     outer: int  # rows of this outer fold are left out, -1: none
     inner: int  # and those of this inner fold, -1: none
     columns: np.ndarray
+    kind: str
     c: float
+    target: np.ndarray
+    fill: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
     w: np.ndarray
+    waves: tuple[np.ndarray, np.ndarray] | None = None
+    sigmoid: np.ndarray | None = None  # slope and offset per class
+    aims: np.ndarray | None = None  # smoothed targets of the sigmoid: own rows, others
+
+    @property
+    def design(self) -> tuple:
+        """What the model sees of a row is the same for equal values within a split."""
+        return (self.columns.tobytes(), self.mean.tobytes(), 0 if self.waves is None else self.waves[0].shape[1])
 
 
 @dataclass
@@ -74,106 +109,279 @@ class Fitted:
     rows: DataFrame  # key, label, outer, inner, x
     names: list[str]
     candidates: list[Candidate]
-    models: dict[tuple[int, int, int], _Model]
-    fill: np.ndarray
+    models: dict[tuple[int, int, int], _Model]  # by candidate, outer and inner fold that are left out
+    folds: int
+    fills: list[np.ndarray]  # medians of all columns, by the outer fold that is left out
 
 
 def _design(x: np.ndarray, m: _Model) -> np.ndarray:
-    return np.concatenate([(x[:, m.columns] - m.mean) / m.scale, np.ones((len(x), 1))], axis=1)
+    v = x[:, m.columns]
+    z = (np.where(np.isnan(v), m.fill, v) - m.mean) / m.scale
+    if m.waves is not None:
+        z = np.cos(z @ m.waves[0] + m.waves[1]) * np.sqrt(2 / m.waves[0].shape[1])
+    return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
 
-def _probabilities(x: np.ndarray, m: _Model) -> np.ndarray:
-    z = _design(x, m) @ m.w
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    return p / p.sum(axis=1, keepdims=True)
+def _probabilities(z: np.ndarray, m: _Model) -> np.ndarray:
+    """Class probabilities of rows of a design."""
+    z = z @ m.w
+    if m.sigmoid is not None:
+        p = 1 / (1 + np.exp(np.clip(z * m.sigmoid[0] + m.sigmoid[1], -500, 500)))
+        return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
 
 
-def _filled(x: np.ndarray, fill: np.ndarray, outer: int) -> np.ndarray:
-    return np.where(np.isnan(x), fill[outer], x)
+def _train(split: tuple[int, int], outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Rows that a model learns from which leaves out an outer and an inner fold."""
+    f, g = split
+    use = np.ones(len(outer), dtype=bool) if f < 0 else outer != f
+    return use if g < 0 else use & (inner[:, f] != g)
 
 
-def _train(m: _Model, outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    use = np.ones(len(outer), dtype=bool) if m.outer < 0 else outer != m.outer
-    return use if m.inner < 0 else use & (inner[:, max(m.outer, 0)] != m.inner)
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), _matrix(b.column(3))
 
 
-def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Sequence[str], candidates: Sequence[Candidate], inner_folds: int, rounds: int = 10) -> Fitted:
-    """Fits every candidate without each outer fold and, inside it, without each inner fold.
+Part = tuple[int, int, tuple[bool, ...]]  # outer fold, inner fold, labels that take part
 
-    ``inner``: one fold column per outer fold (none: only outer folds are left out).  Gaps are
-    filled with the approximate median, features scaled by mean and deviation, of the rows that
-    the outer fold leaves for training; nothing of a left-out fold reaches a model.
-    """
-    names = list(dict.fromkeys(x for c in candidates for x in c.features))
-    folds = len(inner) or df.agg(F.max(outer).alias("n")).first()["n"] + 1
-    rows = df.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(outer).cast("int").alias("outer"), F.array(*[F.col(i).cast("int") for i in inner], *([] if inner else [F.lit(0)])).alias("inner"), F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))) for x in names]).alias("x"))
-    rows = stable(rows)
-    known = lambda i: F.when(~F.isnan(F.element_at("x", i + 1)), F.element_at("x", i + 1))
-    medians = rows.agg(*[F.percentile_approx(F.when(F.col("outer") != f, known(i)), 0.5, 10_000).alias(f"f{f}_{i}") for f in range(folds) for i in range(len(names))]).first()
-    fill = np.array([[medians[f"f{f}_{i}"] or 0.0 for i in range(len(names))] for f in range(folds)])
-    splits = [(f, g) for f in range(folds) for g in ([-1, *range(inner_folds)] if inner else [-1])]
 
-    def blank(f: int, g: int) -> _Model:
-        return _Model(0, f, g, np.arange(len(names)), 1.0, np.zeros(len(names)), np.ones(len(names)), np.ones(CLASSES), np.zeros((len(names) + 1, CLASSES)))
+def _medians(body: DataFrame, parts: Sequence[Part], known: np.ndarray, width: int, bins: int = 256, rounds: int = 3) -> np.ndarray:
+    """Lower medians (parts x columns) of the known values of each part, by brackets that narrow ``bins`` times a scan.
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found = {i: np.zeros(CLASSES + 2 * len(names)) for i in range(len(splits))}
+    The median is the least value inside the last bracket: exact unless several values lie within
+    a part in 16 million of the column's range.
+    """
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
         for b in batches:
-            y, o, n, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), _matrix(b.column(3))
-            for i, (f, g) in enumerate(splits):
-                use = _train(blank(f, g), o, n)
-                v = _filled(x[use], fill, f)
-                found[i] += np.concatenate([np.bincount(y[use], minlength=CLASSES), v.sum(axis=0), (v * v).sum(axis=0)])
-        return found
+            y, o, n, x = _arrays(b)
+            for i, (f, g, labels) in enumerate(parts):
+                use = _train((f, g), o, n) & np.array(labels)[y]
+                for j in range(width):
+                    v = x[use, j]
+                    yield i, j, v[~np.isnan(v)]
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found = np.full((len(parts), width, 2), np.inf)
+        for i, j, v in values(batches):
+            if len(v):
+                found[i, j] = np.minimum(found[i, j], [v.min(), -v.max()])
+        return {0: found.ravel()}
+
+    low, high = np.moveaxis(_summed(body, ends, 1, np.minimum)[0].reshape(len(parts), width, 2) * [1, -1], 2, 0)
+    rank, below = (known + 1) // 2, np.zeros(known.shape)
+    path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # start and width of the bins of a scan, and the bin that holds the median
+
+    def place(v: np.ndarray, low: float, step: float) -> np.ndarray:
+        return np.clip((v - low) / step, 0, bins - 1).astype(int) if step > 0 else np.zeros(len(v), int)
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        for i, j, v in values(batches):
+            for start, step, at in path:
+                v = v[place(v, start[i, j], step[i, j]) == at[i, j]]
+            yield i, j, v
+
+    low, step = np.where(known > 0, low, 0.0), np.where(known > 0, high - low, 0.0) / bins
+    for _ in range(rounds):
 
-    body = rows.select("label", "outer", "inner", "x")
-    models: list[_Model] = []
-    for (f, g), s in zip(splits, _summed(body, moments, len(splits)), strict=True):
-        n_k, total, square = s[:CLASSES], s[CLASSES : CLASSES + len(names)], s[CLASSES + len(names) :]
-        n = max(n_k.sum(), 1)
-        mean = total / n
-        scale = np.sqrt(np.maximum(square / n - mean * mean, 0))
-        scale[scale < 1e-9] = 1.0
-        for k, c in enumerate(candidates):
-            at = np.array([names.index(x) for x in c.features])
-            weight = np.ones(CLASSES) if c.weight is None else n / (max((n_k > 0).sum(), 1) * np.maximum(n_k, 1)) if c.weight == "balanced" else np.array(c.weight)
-            models.append(_Model(k, f, g, at, c.c, mean[at], scale[at], weight, np.zeros((len(at) + 1, CLASSES))))
-    by_split: dict[tuple[int, int], list[int]] = {}
-    for i, m in enumerate(models):
-        by_split.setdefault((m.outer, m.inner), []).append(i)
+        def counts(batches: Iterator[pa.RecordBatch], low: np.ndarray = low, step: np.ndarray = step) -> dict[int, np.ndarray]:
+            found = np.zeros((len(parts), width, bins))
+            for i, j, v in bracketed(batches):
+                found[i, j] += np.bincount(place(v, low[i, j], step[i, j]), minlength=bins)
+            return {0: found.ravel()}
 
-    def slopes(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found: dict[int, np.ndarray] = {}
+        upto = below[..., None] + _summed(body, counts, 1)[0].reshape(len(parts), width, bins).cumsum(axis=2)
+        at = np.minimum((upto < rank[..., None]).sum(axis=2), bins - 1)
+        below = np.where(at > 0, np.take_along_axis(upto, np.maximum(at - 1, 0)[..., None], 2)[..., 0], below)
+        path.append((low, step, at))
+        low, step = low + at * step, step / bins
+
+    def least(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found = np.full((len(parts), width), np.inf)
+        for i, j, v in bracketed(batches):
+            found[i, j] = min(found[i, j], v.min(initial=np.inf))
+        return {0: found.ravel()}
+
+    found = _summed(body, least, 1, np.minimum)[0].reshape(len(parts), width)
+    return np.where(np.isfinite(found), found, 0.0)
+
+
+def _scaled(body: DataFrame, parts: Sequence[Part], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows per label, medians, means, deviations) of the rows of each part, gaps counted as medians."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found = {i: np.zeros(CLASSES + 3 * width) for i in range(len(parts))}
         for b in batches:
-            y, o, n, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), _matrix(b.column(3))
-            for (f, _), own in by_split.items():
-                use = _train(models[own[0]], o, n)
-                v, t = _filled(x[use], fill, f), np.eye(CLASSES)[y[use]]
-                for i in own:
-                    m = models[i]
-                    z, p, w = _design(v, m), _probabilities(v, m), m.weight[y[use]][:, None]
-                    slope = z.T @ (w * (p - t))
-                    curve = np.stack([[(z * (w * p[:, [a]] * ((a == c) - p[:, [c]]))).T @ z for c in range(CLASSES)] for a in range(CLASSES)])
-                    sums = np.concatenate([slope.T.ravel(), curve.transpose(0, 2, 1, 3).ravel()])
-                    found[i] = found.get(i, 0) + sums
+            y, o, n, x = _arrays(b)
+            for i, (f, g, labels) in enumerate(parts):
+                use = _train((f, g), o, n) & np.array(labels)[y]
+                v, have = np.nan_to_num(x[use]), ~np.isnan(x[use])
+                found[i] += np.concatenate([np.bincount(y[use], minlength=CLASSES), have.sum(axis=0), v.sum(axis=0), (v * v).sum(axis=0)])
         return found
 
-    for _ in range(rounds):
+    sums = np.stack(_summed(body, moments, len(parts)))
+    per_label, (known, total, square) = sums[:, :CLASSES], (sums[:, CLASSES + k * width : CLASSES + (k + 1) * width] for k in range(3))
+    n = per_label.sum(axis=1, keepdims=True)
+    fill = _medians(body, parts, known, width) if (known < n).any() else np.zeros(known.shape)
+    rows = np.maximum(n, 1)
+    mean = (total + (n - known) * fill) / rows
+    scale = np.sqrt(np.maximum((square + (n - known) * fill * fill) / rows - mean * mean, 0))
+    scale[scale < 1e-9] = 1.0
+    return list(zip(per_label, fill, mean, scale, strict=True))
+
+
+def _step_l1(slope: np.ndarray, curve: np.ndarray, w: np.ndarray, penalty: np.ndarray, sweeps: int = 200) -> np.ndarray:
+    """Step that minimises the quadratic model plus the absolute penalty, a coordinate at a time; zeros come out exact."""
+    d, move = np.zeros(len(w)), np.zeros(len(w))
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(w)):
+            a = curve[j, j]
+            v = w[j] - (slope[j] + move[j] - a * d[j]) / a
+            new = np.sign(v) * max(abs(v) - penalty[j] / a, 0.0) - w[j]
+            if new != d[j]:
+                move += curve[:, j] * (new - d[j])
+                most = max(most, abs(new - d[j]))
+                d[j] = new
+        if most < 1e-10:
+            break
+    return d
+
+
+def _slopes(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
+    """Gradient and curvature of the loss of some rows, in one array."""
+    k = m.w.shape[1]
+    w = m.weight[t][:, None]
+    if m.kind == "svc":
+        side = 2.0 * (t[:, None] == np.arange(k)) - 1
+        margin = z @ m.w
+        hit = 2 * m.c * w * (side * margin < 1)
+        return np.concatenate([(z.T @ (hit * (margin - side))).T.ravel(), np.stack([(z * hit[:, [a]]).T @ z for a in range(k)]).ravel()])
+    p = _probabilities(z, m)
+    slope = z.T @ (w * (p - np.eye(k)[t]))
+    curve = np.stack([[(z * (w * p[:, [a]] * ((a == c) - p[:, [c]]))).T @ z for c in range(k)] for a in range(k)])
+    return np.concatenate([slope.T.ravel(), curve.transpose(0, 2, 1, 3).ravel()])
+
+
+def _move(m: _Model, s: np.ndarray) -> float:
+    """Makes the model's step from summed gradients and curvature; returns its size."""
+    d, k = m.w.shape
+    slope, curve = s[: d * k], s[d * k :]
+    w = m.w.T.ravel()
+    free = np.tile(np.arange(d) == d - 1, k)  # the intercepts
+    if m.kind == "svc":
+        ridge = np.where(free, 1e-6, 1.0)
+        step = np.concatenate([np.linalg.solve(c + np.diag(r), g) for c, r, g in zip(curve.reshape(k, d, d), ridge.reshape(k, d), (slope + ridge * w).reshape(k, d), strict=True)])
+    else:
+        # of two mirrored classes each carries half of a binary regression's weights
+        penalty = np.where(free, 0.0, (2.0 if k == 2 and m.kind == "l2" else 1.0) / m.c)
+        ridge = np.where(free, 1e-6, penalty) if m.kind == "l2" else np.full(d * k, 1e-6)
+        curve = curve.reshape(d * k, d * k) + np.diag(ridge)
+        step = -_step_l1(slope, curve, w, penalty) if m.kind == "l1" else np.linalg.solve(curve, slope + ridge * w)
+    step = step.reshape(k, d).T * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+    m.w = m.w - step
+    return float(np.abs(step).max())
+
+
+def _by_split(models: Sequence[_Model]) -> dict[tuple[int, int], dict[tuple, list[int]]]:
+    """Model numbers by the rows that they leave out and, within these, by what they see of a row."""
+    found: dict[tuple[int, int], dict[tuple, list[int]]] = {}
+    for i, m in enumerate(models):
+        found.setdefault((m.outer, m.inner), {}).setdefault(m.design, []).append(i)
+    return found
+
+
+def _over_training_rows(models: Sequence[_Model], own: dict, batches: Iterator[pa.RecordBatch], sums: Callable[[np.ndarray, np.ndarray, _Model], np.ndarray], wanted: set[int]) -> dict[int, np.ndarray]:
+    found: dict[int, np.ndarray] = {}
+    for b in batches:
+        y, o, n, x = _arrays(b)
+        for split, designs in own.items():
+            use = _train(split, o, n)
+            for group in designs.values():
+                if wanted.isdisjoint(group):
+                    continue
+                z = _design(x[use], models[group[0]])
+                for i in wanted.intersection(group):
+                    t = models[i].target[y[use]]
+                    found[i] = found.get(i, 0) + (sums(z[t >= 0], t[t >= 0], models[i]) if t.min(initial=0) < 0 else sums(z, t, models[i]))
+    return found
+
+
+def _fit_sigmoids(body: DataFrame, models: list[_Model], own: dict, rows: dict[int, np.ndarray], rounds: int = 12) -> None:
+    """A sigmoid of each class's margin by Newton steps on the rows that the model learned from, with smoothed targets."""
+    wanted = {i for i, m in enumerate(models) if m.kind == "svc"}
+    for i in wanted:
+        models[i].sigmoid = np.stack([np.full(models[i].w.shape[1], -1.0), np.zeros(models[i].w.shape[1])])
+
+    def sums(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
+        k = m.w.shape[1]
+        margin, own_rows = z @ m.w, t[:, None] == np.arange(k)
+        aim = np.where(own_rows, m.aims[0], m.aims[1])
+        p = 1 / (1 + np.exp(np.clip(margin * m.sigmoid[0] + m.sigmoid[1], -500, 500)))
+        q = p * (1 - p)
+        return np.stack([(margin * (aim - p)).sum(axis=0), (aim - p).sum(axis=0), (margin * margin * q).sum(axis=0), (margin * q).sum(axis=0), q.sum(axis=0)]).ravel()
+
+    for i in wanted:
+        n = rows[i]
+        models[i].aims = np.stack([(n + 1) / (n + 2), 1 / (n.sum() - n + 2)])
+    for _ in range(rounds if wanted else 0):
         moved = 0.0
-        for m, s in zip(models, _summed(body, slopes, len(models)), strict=True):
+        for i, s in enumerate(_summed(body, lambda batches: _over_training_rows(models, own, batches, sums, wanted), len(models))):
             if s is None:
                 continue
-            d = len(m.w)
-            ridge = np.tile(np.concatenate([np.full(d - 1, 1 / m.c), [1e-6]]), CLASSES)
-            slope, curve = s[: d * CLASSES] + ridge * m.w.T.ravel(), s[d * CLASSES :].reshape(d * CLASSES, d * CLASSES) + np.diag(ridge)
-            step = np.linalg.solve(curve, slope).reshape(CLASSES, d).T
-            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-            m.w = m.w - step
+            ga, gb, aa, ab, bb = s.reshape(5, -1)
+            aa, bb = aa + 1e-9, bb + 1e-9
+            det = np.maximum(aa * bb - ab * ab, 1e-18)
+            step = np.clip(np.stack([(bb * ga - ab * gb) / det, (aa * gb - ab * ga) / det]), -5, 5)
+            models[i].sigmoid = models[i].sigmoid - step
             moved = max(moved, float(np.abs(step).max()))
         if moved < 1e-6:
             break
-    return Fitted(rows, names, list(candidates), {(m.candidate, m.outer, m.inner): m for m in models}, fill)
+
+
+def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Sequence[str], candidates: Sequence[Candidate], inner_folds: int, rounds: int = 12, also: Sequence[str] = ()) -> Fitted:
+    """Fits every candidate without each outer fold and, inside it, without each inner fold.
+
+    ``inner``: one fold column per outer fold (none: only outer folds are left out).  Gaps are
+    filled with the median, features scaled by mean and deviation, and Fourier features taken of
+    these, all from the rows that the model itself learns from; nothing of a left-out fold, outer
+    or inner, reaches a model.  ``also``: columns that other models of the search use.
+    """
+    names = list(dict.fromkeys([*(x for c in candidates for x in c.features), *also]))
+    folds = len(inner) or df.agg(F.max(outer).alias("n")).first()["n"] + 1
+    rows = df.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(outer).cast("int").alias("outer"), F.array(*[F.col(i).cast("int") for i in inner], *([] if inner else [F.lit(0)])).alias("inner"), F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))) for x in names]).alias("x"))
+    rows = stable(rows)
+    body = rows.select("label", "outer", "inner", "x")
+    splits = [(f, g) for f in range(folds) for g in ([-1, *range(inner_folds)] if inner else [-1])]
+    part_of = {c: tuple(t >= 0 for t in c.target) for c in candidates}
+    parts: list[Part] = [(f, g, labels) for f, g in splits for labels in dict.fromkeys([(True,) * CLASSES, *part_of.values()])]
+    scaled = dict(zip(parts, _scaled(body, parts, len(names)), strict=True))
+    models: dict[tuple[int, int, int], _Model] = {}
+    sizes: dict[int, np.ndarray] = {}
+    for f, g in splits:
+        for k, c in enumerate(candidates):
+            per_label, fill, mean, scale = scaled[f, g, part_of[c]]
+            at, target = np.array([names.index(x) for x in c.features]), np.array(c.target)
+            n_k = np.bincount(target[target >= 0], per_label[target >= 0], max(c.target) + 1)
+            n = n_k.sum()
+            weight = np.ones(len(n_k)) if c.weight is None else n / (max((n_k > 0).sum(), 1) * np.maximum(n_k, 1)) if c.weight == "balanced" else np.array(c.weight)
+            waves = None
+            if c.fourier:
+                rng = np.random.default_rng(c.fourier)
+                waves = rng.normal(0, np.sqrt(2 / len(at)), (len(at), c.fourier)), rng.uniform(0, 2 * np.pi, c.fourier)
+            sizes[len(models)] = n_k
+            models[k, f, g] = _Model(f, g, at, c.kind, c.c, target, fill[at], mean[at], scale[at], weight, np.zeros(((c.fourier or len(at)) + 1, len(n_k))), waves)
+    many = list(models.values())
+    own = _by_split(many)
+    moving = set(range(len(many)))
+    for _ in range(rounds if many else 0):
+        sums = _summed(body, lambda batches: _over_training_rows(many, own, batches, _slopes, moving), len(many))
+        moving = {i for i in moving if sums[i] is not None and _move(many[i], sums[i]) >= 1e-6}
+        if not moving:
+            break
+    _fit_sigmoids(body, many, own, sizes)
+    return Fitted(rows, names, list(candidates), models, folds, [scaled[f, -1, (True,) * CLASSES][1] for f in range(folds)])
 
 
 # the rules of decide_many, with their two parameters
@@ -194,32 +402,82 @@ def decide_many(p: np.ndarray, rule: Rule) -> np.ndarray:
     return p.argmax(axis=1)
 
 
-def confusions(f: Fitted, rules: Sequence[Rule], inner: bool) -> np.ndarray:
-    """(outer fold, candidate, rule, truth, prediction) counts on rows that the fits left out.
+def counted_left_out(f: Fitted, wanted: Sequence[int], inner: bool, shape: tuple[int, ...], count: Callable[[np.ndarray, dict[int, np.ndarray]], np.ndarray]) -> np.ndarray:
+    """(outer fold, *shape) sums of ``count(labels, probabilities by candidate)`` over the rows that fits left out.
 
     ``inner``: each outer fold's training rows under the models of their inner folds; else each
     row under the models of its outer fold.
     """
-    folds, n, models, fill = len(f.fill), len(f.candidates), f.models, f.fill  # the tables stay behind
-    shape = (n, len(rules), CLASSES, CLASSES)
+    folds, models = f.folds, f.models  # the tables stay behind
 
     def task(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         found = {i: np.zeros(shape) for i in range(folds)}
         for b in batches:
-            y, o, g, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), _matrix(b.column(3))
+            y, o, g, x = _arrays(b)
             for i in range(folds):
                 for j in np.unique(g[:, i]) if inner else [-1]:
                     use = (o != i) & (g[:, i] == j) if inner else o == i
-                    v = _filled(x[use], fill, i)
-                    for k in range(n):
-                        p = _probabilities(v, models[k, i, int(j)])
-                        for r, rule in enumerate(rules):
-                            found[i][k, r] += np.bincount(y[use] * CLASSES + decide_many(p, rule), minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+                    if use.any():
+                        found[i] += count(y[use], _scores(models, wanted, i, int(j), x[use]))
         return {i: c.ravel() for i, c in found.items()}
 
     return np.stack([s.reshape(shape) for s in _summed(f.rows.select("label", "outer", "inner", "x"), task, folds)])
 
 
+def _scores(models: dict[tuple[int, int, int], _Model], wanted: Sequence[int], i: int, j: int, x: np.ndarray) -> dict[int, np.ndarray]:
+    """Probabilities of rows under some candidates of one split; what several see alike is made once."""
+    seen: dict[tuple, np.ndarray] = {}
+    out = {}
+    for k in wanted:
+        m = models[k, i, j]
+        if m.design not in seen:
+            seen[m.design] = _design(x, m)
+        out[k] = _probabilities(seen[m.design], m)
+    return out
+
+
+def confusions(f: Fitted, rules: Sequence[Rule], inner: bool, wanted: Sequence[int] | None = None) -> np.ndarray:
+    """(outer fold, candidate, rule, truth, prediction) counts on rows that the fits left out.
+
+    Rules that compare one value with thresholds are counted by how many of these it passes, so a
+    row costs the same for any number of thresholds.
+    """
+    wanted = list(range(len(f.candidates))) if wanted is None else list(wanted)
+    families: dict[tuple[str, float], list[int]] = {}
+    for r, (kind, a, b) in enumerate(rules):
+        families.setdefault((kind, a if kind == "margin_to_nmr" else 0.0), []).append(r)
+    limits = {key: np.array(sorted(rules[r][2 if key[0] == "margin_to_nmr" else 1] for r in own)) for key, own in families.items()}
+
+    def count(y: np.ndarray, p: dict[int, np.ndarray]) -> np.ndarray:
+        found = np.zeros((len(wanted), len(rules), CLASSES, CLASSES))
+        for at, k in enumerate(wanted):
+            nh, nmr, h = p[k].T
+            side = np.where(h >= nh, 2, 0)
+            for (kind, a), own in families.items():
+                if kind == "argmax":
+                    found[at, own] += np.bincount(y * CLASSES + p[k].argmax(axis=1), minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+                    continue
+                limit = limits[kind, a]
+                if kind == "resolved_gap":  # undecided below the threshold
+                    passed = len(limit) - np.searchsorted(limit, np.maximum(h, nh) - nmr, "right")
+                    order = np.arange(len(limit))[::-1]
+                else:  # undecided from the threshold on
+                    passed = np.searchsorted(limit, nmr, "right")
+                    order = np.arange(len(limit))
+                    if kind == "margin_to_nmr":
+                        passed = np.where(np.abs(h - nh) < a, passed, 0)
+                cells = np.bincount((y * CLASSES + side) * (len(limit) + 1) + passed, minlength=CLASSES**2 * (len(limit) + 1)).reshape(CLASSES, CLASSES, -1)
+                undecided = cells[:, :, ::-1].cumsum(axis=2)[:, :, ::-1][:, :, 1:]  # passed at least 1, 2, ... thresholds
+                for r in own:
+                    place = order[np.searchsorted(limit, rules[r][2 if kind == "margin_to_nmr" else 1])]
+                    table = cells.sum(axis=2) - undecided[:, :, place]
+                    table[:, 1] += undecided[:, :, place].sum(axis=1)
+                    found[at, r] += table
+        return found
+
+    return counted_left_out(f, wanted, inner, (len(wanted), len(rules), CLASSES, CLASSES), count)
+
+
 def quality(c: np.ndarray) -> tuple[float, float, float]:
     """(balanced accuracy, accuracy, minus cross errors) of a confusion table."""
     n = c.sum(axis=1)
@@ -229,7 +487,7 @@ def quality(c: np.ndarray) -> tuple[float, float, float]:
 
 def predict(f: Fitted, chosen: Sequence[Sequence[tuple[int, float]]], rules: Sequence[Rule]) -> DataFrame:
     """(key, outer, p_nh, p_nmr, p_h, pred): each row under the weighted candidates and the rule chosen for its outer fold."""
-    kind, models, fill = f.rows.schema["key"].dataType.simpleString(), f.models, f.fill
+    kind, models = f.rows.schema["key"].dataType.simpleString(), f.models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,13 +495,37 @@ def predict(f: Fitted, chosen: Sequence[Sequence[tuple[int, float]]], rules: Seq
             p, pred = np.zeros((len(o), CLASSES)), np.zeros(len(o), np.int32)
             for i in np.unique(o):
                 use, total = o == i, sum(w for _, w in chosen[i])
-                p[use] = sum(w / total * _probabilities(_filled(x[use], fill, i), models[k, int(i), -1]) for k, w in chosen[i])
+                scores = _scores(models, [k for k, _ in chosen[i]], int(i), -1, x[use])
+                p[use] = sum(w / total * scores[k] for k, w in chosen[i])
                 pred[use] = decide_many(p[use], rules[i])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(p[:, k].copy()) for k in range(CLASSES)), pa.array(pred)], ["key", "outer", "p_nh", "p_nmr", "p_h", "pred"])
 
     return f.rows.select("key", "outer", "x").mapInArrow(run, f"key {kind}, outer int, p_nh double, p_nmr double, p_h double, pred int")
 
 
+def left_out(f: Fitted, chosen: Sequence[Sequence[int]], inner: bool) -> DataFrame:
+    """(key, label, fold, p array<array<double>>): probabilities of several candidates, which may differ by outer fold, on rows that they left out.
+
+    ``inner``: a row comes once for each outer fold that it is not in, under the models without
+    its inner fold there; else once, under the models without its outer fold.
+    """
+    kind, models, folds = f.rows.schema["key"].dataType.simpleString(), f.models, f.folds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            o, g, x = b.column(2).to_numpy(), _matrix(b.column(3)), _matrix(b.column(4))
+            for i in range(folds):
+                for j in np.unique(g[:, i]) if inner else [-1]:
+                    at = np.flatnonzero((o != i) & (g[:, i] == j) if inner else o == i)
+                    if len(at):
+                        scores = _scores(models, chosen[i], i, int(j), x[at])
+                        each = [[scores[k][r].tolist() for k in chosen[i]] for r in range(len(at))]
+                        rows = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.full(len(at), i, np.int32)), pa.array(each, pa.list_(pa.list_(pa.float64())))], ["key", "label", "fold", "p"])
+
+    return f.rows.select("key", "label", "outer", "inner", "x").mapInArrow(run, f"key {kind}, label int, fold int, p array<array<double>>")
+
+
 def nested(f: Fitted, rules: Sequence[Rule]) -> list[tuple[int, int]]:
     """(candidate, rule) of every outer fold, chosen on inner left-out rows of its training part; ties go to the earlier one."""
     c = confusions(f, rules, inner=True)
@@ -262,16 +544,6 @@ def pool(f: Fitted, top: int) -> list[list[tuple[int, float, int]]]:
     return out
 
 
-def fourier_features(df: DataFrame, names: Sequence[str], n: int, width: float, seed: int) -> tuple[DataFrame, list[str]]:
-    """Adds ``n`` random Fourier features of a Gaussian kernel over the scaled columns (nulls count as the mean)."""
-    stats = df.agg(*[f(x).alias(f"{k}{i}") for i, x in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = [F.coalesce((F.col(x).cast("double") - (stats[f"m{i}"] or 0.0)) / (stats[f"s{i}"] or 1.0), F.lit(0.0)) for i, x in enumerate(names)]
-    rng = np.random.default_rng(seed)
-    w, phase = rng.normal(0, 1 / width, (n, len(names))), rng.uniform(0, 2 * np.pi, n)
-    new = {f"rbf_{k}": F.cos(sum((z[i] * float(w[k, i]) for i in range(1, len(z))), z[0] * float(w[k, 0])) + float(phase[k])) * float(np.sqrt(2 / n)) for k in range(n)}
-    return df.withColumns(new), list(new)
-
-
 STARTS_FROM = 4096
 
 

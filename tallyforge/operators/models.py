@@ -96,19 +96,6 @@ def decide(rule: Column, a: Column, b: Column) -> Column:
     )
 
 
-def best_rule(oof: DataFrame, label: str) -> tuple[str, float, float]:
-    grid = oof.sparkSession.createDataFrame(rule_grid(), "rule string, a double, b double")
-    key = [F.col("balanced_accuracy"), F.col("accuracy"), -F.col("cross_error")]
-    best = metrics.search(oof, grid, decide(F.col("rule"), F.col("a"), F.col("b")), metrics.three_way(F.col(label), F.col("pred")), key, ["rule", "a", "b"]).first()
-    return best["rule"], best["a"], best["b"]
-
-
-def blend(parts: Sequence[tuple[str, float]]) -> list[Column]:
-    """Weighted mean of several (prefix, weight) probability triples."""
-    total = sum(w for _, w in parts)
-    return [(sum((F.col(f"{n}_{p}") * w for n, w in parts[1:]), F.col(f"{parts[0][0]}_{p}") * parts[0][1]) / total).alias(p) for p in PROBS]
-
-
 def prob_meta(nh: Column, nmr: Column, h: Column) -> dict[str, Column]:
     """Entropy, top margin, resolved mass, signed margin and undecided gap of a probability triple."""
     tops = F.sort_array(F.array(nh, nmr, h), False)
@@ -131,20 +118,6 @@ def deltas(df: DataFrame, group: str, method: str, value: str, baselines: Sequen
     return df.withColumns({f"delta_{b}": F.col(value) - F.max(F.when(F.col(method) == b, F.col(value))).over(w) for b in baselines})
 
 
-def two_heads(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, spec: Spec = Spec()) -> DataFrame:
-    """``test`` with p_resolved (decided at all?) and p_direction (helpful, given decided?).
-
-    The direction head learns from decided rows only, and both heads are scored on rows that
-    took no part in the fit, so a gate tuned on them can see false rescues.
-    """
-    columns = test.columns
-    decided = lambda d: d.withColumn("__head", (F.col(label) != 1).cast("int"))
-    first = fit_predict(decided(train), decided(test), features, "__head", spec).withColumnRenamed("p_nmr", "p_resolved").select(*columns, "p_resolved")
-    side = lambda d: d.withColumn("__head", (F.col(label) == 2).cast("int"))
-    second = fit_predict(side(train.where(F.col(label) != 1)), side(first), features, "__head", spec)
-    return second.withColumnRenamed("p_nmr", "p_direction").select(*columns, "p_resolved", "p_direction")
-
-
 def choose_k(df: DataFrame, features: Sequence[str], most: int = 8, starts: int = 20) -> int:
     """Cluster count of at least 2 with the best silhouette (ties: fewer); few rows allow few clusters."""
     n = df.count()

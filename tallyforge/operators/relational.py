@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -146,12 +147,23 @@ def ordered_difference(names: Sequence[str], *drop: Sequence[str]) -> list[str]:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """The table as it is now, for several uses: cut in the checkpoint folder where the session names one, else kept by this machine."""
+    """The table as it is now, for several uses, cut in the checkpoint folder, which outlives executors.
+
+    Where the session names no folder, one on a single machine gets a temporary one; any other is
+    refused, as its executors would each write to their own disk.
+    """
     spark = df.sparkSession
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    return df.persist()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
+        folder = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None or not context.getCheckpointDir().startswith(folder):
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank") -> DataFrame:

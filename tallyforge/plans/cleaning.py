@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import columns as c
 from tallyforge.operators import relational as rel
 from tallyforge.plans import views as v
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 from tallyforge.sources import files
 
 

@@ -10,7 +10,7 @@ from tallyforge.operators import metrics as m
 from tallyforge.operators import relational as rel
 from tallyforge.operators import votes as vote_ops
 from tallyforge.plans import views as v
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 from tallyforge.plans.votes import FEATURES, RICH, features, rich
 
 _SIDE = "CASE WHEN share_h >= share_nh THEN 2 ELSE 0 END"

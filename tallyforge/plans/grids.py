@@ -11,7 +11,7 @@ from tallyforge.operators import grids as g
 from tallyforge.operators import sampling as draws
 from tallyforge.plans import views as v
 from tallyforge.plans.decisions import _JUDGED, _THREE, judged, three
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 from tallyforge.plans.votes import rounded
 
 METRICS = ["accuracy", "balanced_accuracy", "recall_not_helpful", "recall_needs_more_ratings", "recall_helpful", "min_recall"]
@@ -175,6 +175,17 @@ def _best_gate(r, gate):
     return g.or_fallback(g.best(allowed, key, list(gate)), dict.fromkeys(gate, NO_GATE), base)
 
 
+def best_gates(r, gate, by):
+    """The best gate of each group's rows, ``NO_GATE`` where none is allowed."""
+    totals = r.groupBy(by, "y", "pred").agg(F.count(F.lit(1)).alias("n"))
+    right = F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0))
+    base = totals.groupBy(by).agg(F.round(right / F.sum("n") - ACC_DROP, 9).alias("floor"))
+    found = g.changed_metrics(_gate_points(r, gate, [by]), totals, list(gate), "y", "pred", "new", [by]).join(base, by)
+    allowed = found.where((F.round("change", 9) >= MIN_CHANGE) & (F.round("accuracy", 9) >= F.col("floor")) & (F.round(F.coalesce("recall_needs_more_ratings", F.lit(0.0)), 9) >= MIN_NMR))
+    key = [F.round(F.coalesce(x, F.lit(0.0)), 9) for x in _GATE_NAMES]
+    return base.select(by).join(g.best(allowed, key, list(gate), [by]).select(by, *gate), by, "left").fillna(NO_GATE, list(gate))
+
+
 MIN_BAND = 30
 _BANDED = f"{_ROWS}, banded AS (SELECT r.*, concat(n.primary_topic, '__', CASE WHEN r.n_votes >= 3 THEN 'high' WHEN r.n_votes <= 1 THEN 'low' ELSE 'mid' END) AS band FROM rows_ r JOIN notes n ON n.note_id = r.note_id)"
 

@@ -7,14 +7,15 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyforge.operators import fits, models, sampling
+from tallyforge.functions import columns as c
+from tallyforge.operators import fits, models, sampling, search, trees
 from tallyforge.operators import personas as persona_ops
 from tallyforge.operators import texts as text_ops
 from tallyforge.operators.relational import stable
 from tallyforge.plans import views as v
-from tallyforge.plans.grids import GATE, _best_gate
+from tallyforge.plans.grids import GATE, best_gates
 from tallyforge.plans.personas import raters
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 from tallyforge.plans.votes import rich, rounded
 
 GROUPS = {
@@ -45,9 +46,9 @@ def folded(df, outer: int = OUTER, inner: int = INNER):
     return out
 
 
-def fitted(df, candidates, inner: int = INNER):
+def fitted(df, candidates, inner: int = INNER, **more):
     names = [f"inner{f}" for f in range(OUTER)] if inner else []
-    return fits.fit_candidates(folded(df, OUTER, inner), "note_id", "label", "outer", names, candidates, inner)
+    return fits.fit_candidates(folded(df, OUTER, inner), "note_id", "label", "outer", names, candidates, inner, **more)
 
 
 def _named(view, names, cs, weights):
@@ -65,18 +66,20 @@ def nested_cv_lr(spark, d):
     return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred", name.alias("rule"))
 
 
-def _views(df):
-    mapped, rbf = fits.fourier_features(df, ALL, 24, 3.0, 5)
-    views = {"vote": GROUPS["vote"], "summary": [*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["understanding"]], "full": ALL, "rbf": rbf}
-    return mapped, views
+VIEWS = {"vote": GROUPS["vote"], "summary": [*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["understanding"]], "full": ALL}
+FOURIER = 24
+
+
+def _pool():
+    """Candidates of every view, a Gaussian kernel's among them."""
+    return [*(x for name, names in VIEWS.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])), *(fits.replace(x, fourier=FOURIER) for x in _named("rbf", ALL, (0.3, 3.0), WEIGHTS[1:]))]
 
 
 @query()
 def candidate_pool(spark, d):
     """Per outer fold the two best candidates of each view by inner quality, and their weights in the blend."""
-    df, views = _views(labelled(spark, d))
-    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
-    chosen = fits.pool(fitted(df, candidates, 2), 2)
+    candidates = _pool()
+    chosen = fits.pool(fitted(labelled(spark, d), candidates), 2)
     rows = [(i, candidates[k].view, candidates[k].name, rank, round(w, 6)) for i, part in enumerate(chosen) for k, w, rank in part]
     return spark.createDataFrame(rows, "outer_fold int, view string, candidate string, rank int, weight double")
 
@@ -84,9 +87,7 @@ def candidate_pool(spark, d):
 @query()
 def prob_blend(spark, d):
     """Each row under the blend of its fold's pool, weighted by inner quality."""
-    df, views = _views(labelled(spark, d))
-    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
-    f = fitted(df, candidates, 2)
+    f = fitted(labelled(spark, d), _pool())
     chosen = fits.pool(f, 2)
     out = fits.predict(f, [[(k, w) for k, w, _ in part] for part in chosen], [("argmax", 0.0, 0.0)] * OUTER)
     return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred")
@@ -95,10 +96,9 @@ def prob_blend(spark, d):
 @query()
 def flat_candidates(spark, d):
     """All fixed candidates (view x penalty x weighting) under all rules on left-out rows, best 20 first."""
-    df, views = _views(labelled(spark, d))
-    candidates = [x for name, names in views.items() for x in _named(name, names, CS, WEIGHTS)]
+    candidates = [*(x for name, names in VIEWS.items() for x in _named(name, names, CS, WEIGHTS)), *(fits.replace(x, fourier=FOURIER) for x in _named("rbf", ALL, CS, WEIGHTS))]
     rules = models.rule_grid()
-    tables = fits.confusions(fitted(df, candidates, 0), rules, inner=False).sum(axis=0)
+    tables = fits.confusions(fitted(labelled(spark, d), candidates, 0), rules, inner=False).sum(axis=0)
     ranked = sorted(((fits.quality(tables[k, r]), -k, -r) for k in range(len(candidates)) for r in range(len(rules))), reverse=True)[:20]
     rows = [(i + 1, candidates[-k].name, rules[-r][0], rules[-r][1], rules[-r][2], q[1], q[0], int(-q[2])) for i, (q, k, r) in enumerate(ranked)]
     return spark.createDataFrame(rows, "rank int, candidate string, rule string, a double, b double, accuracy double, balanced_accuracy double, cross_error int")
@@ -162,12 +162,11 @@ def reason_clusters(spark, d):
 @query()
 def nested_variants(spark, d):
     """Nested selection inside each view, and the trivial rules, on the rows that outer folds leave out."""
-    df, views = _views(labelled(spark, d))
-    candidates = [x for name, names in views.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])]
-    f, rules = fitted(df, candidates, 2), models.rule_grid()
+    candidates, rules = _pool(), models.rule_grid()
+    f = fitted(labelled(spark, d), candidates)
     inside, outside = fits.confusions(f, rules, inner=True), fits.confusions(f, rules, inner=False)
     rows = []
-    for view in views:
+    for view in dict.fromkeys(c.view for c in candidates):
         own = [(k, r) for k, x in enumerate(candidates) if x.view == view for r in range(len(rules))]
         best = [max(own, key=lambda x, i=i: (*fits.quality(inside[i][x]), -x[0], -x[1])) for i in range(OUTER)]
         rows.append((view, sum(outside[i][x] for i, x in enumerate(best))))
@@ -180,21 +179,137 @@ def nested_variants(spark, d):
     return spark.createDataFrame(scored, "method string, accuracy double, balanced_accuracy double, cross_error int").select("method", *rounded(["accuracy", "balanced_accuracy"]), "cross_error")
 
 
+# Specifications of the two heads (view, inverse penalty, class weights) and of the base model.
+HEADS = [("summary", 0.3, "balanced"), ("summary", 1.0, "balanced"), ("full", 0.3, "balanced"), ("full", 1.0, "balanced"), ("full", 0.3, (1.0, 1.2))]
+BASE = (0.3, "balanced")
+
+
+def rescue(df, views):
+    """Rows (with outer and inner folds) under the base model and the gate that inner left-out rows choose.
+
+    Within each outer training part both heads are the specifications with the best inner balanced
+    accuracy, and the gate is the grid point that is best on its inner left-out rows; the rows of
+    the outer fold take no part.  Both heads score all left-out rows, undecided ones too, so a
+    gate sees its false rescues.
+    """
+    base = fits.Candidate("base", "full", tuple(views["full"]), *BASE)
+    head = lambda kind, target: [fits.Candidate(f"{kind}_{v_}_c{c_}", v_, tuple(views[v_]), c_, w, target=target) for v_, c_, w in HEADS]
+    resolved, direction = head("resolved", (1, 0, 1)), head("direction", search.HELPFUL)
+    f = fits.fit_candidates(df, "note_id", "label", "outer", [f"inner{i}" for i in range(OUTER)], [base, *resolved, *direction], INNER)
+    n = len(HEADS)
+
+    def count(y, p):
+        """Confusions of every head at one half, over the labels that it is about."""
+        out = np.zeros((2 * n, 2, 2))
+        for k, scored in p.items():
+            t = np.array(f_candidates[k].target)[y]
+            use = t >= 0
+            out[k - 1] += np.bincount(2 * t[use] + (scored[use, 1] >= 0.5), minlength=4).reshape(2, 2)
+        return out
+
+    f_candidates = f.candidates
+    tables = fits.counted_left_out(f, range(1, 2 * n + 1), True, (2 * n, 2, 2), count)
+    balanced = (np.diagonal(tables, axis1=2, axis2=3) / np.maximum(tables.sum(axis=3), 1)).mean(axis=2).round(9)
+    chosen = [(0, 1 + int(b[:n].argmax()), 1 + n + int(b[n:].argmax())) for b in balanced]
+
+    def scored(inner):
+        r9 = lambda x: F.round(x, 9)
+        nh, nmr, h = (F.element_at(F.col("p")[0], i) for i in (1, 2, 3))
+        resolved, direction = F.element_at(F.col("p")[1], 2), F.element_at(F.col("p")[2], 2)
+        rows = fits.left_out(f, chosen, inner)
+        return rows.select("key", "fold", F.col("label").alias("y"), c.argmax3(nh, nmr, h).alias("pred"), r9(resolved).alias("resolved"), r9(resolved - nmr).alias("gap"), r9(direction).alias("direction"))
+
+    gates = best_gates(stable(scored(True)), GATE, "fold")
+    sure = F.round(F.greatest(F.col("direction"), 1 - F.col("direction")), 9)
+    opened = (F.col("pred") == 1) & (F.col("resolved") >= F.col("t_resolved")) & (F.col("gap") >= F.col("t_gap")) & (sure >= F.col("t_conf"))
+    rescued = F.when(opened, F.when(F.col("direction") >= 0.5, 2).otherwise(0)).otherwise(F.col("pred"))
+    heads = F.element_at(F.array(*[F.lit(f"{f.candidates[a].name}:{f.candidates[b].name}") for _, a, b in chosen]), F.col("fold") + 1)
+    return scored(False).join(F.broadcast(gates), "fold").select(F.col("key").alias("note_id"), F.col("fold").alias("outer_fold"), heads.alias("heads"), "t_resolved", "t_gap", "t_conf", "resolved", "direction", F.col("pred").alias("base"), rescued.alias("pred"))
+
+
 @query()
 def two_head_rescue(spark, d):
-    """A resolved head and a direction head on left-out rows, and the gate over the base model that the grid search chooses."""
-    df = folded(labelled(spark, d), OUTER, 0)
-    names = tuple([*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["understanding"]])
-    fit = lambda rows, weight: fits.fit_candidates(rows, "note_id", "label", "outer", [], [fits.Candidate("head", "head", names, 0.3, weight)], 0)
-    out = lambda f: fits.predict(f, [[(0, 1.0)]] * OUTER, [("argmax", 0.0, 0.0)] * OUTER)
-    base = out(fit(df, (1.0, 1.0, 1.0))).select("key", "pred", F.col("p_nmr").alias("base_nmr"))
-    decided = out(fit(df.withColumn("label", (F.col("label") != 1).cast("int")), "balanced")).select("key", F.col("p_nmr").alias("resolved"))  # class 1 of this head: resolved
-    side = out(fit(df, (1.0, 0.0, 1.0))).select("key", (F.col("p_h") / (F.col("p_h") + F.col("p_nh"))).alias("direction"))  # undecided rows teach it nothing
-    r = base.join(decided, "key").join(side, "key").join(df.select(F.col("note_id").alias("key"), F.col("label").alias("y")), "key")
-    r9 = lambda x: F.round(x, 9)
-    r = stable(r.select("key", "y", "pred", r9(F.col("resolved")).alias("resolved"), r9(F.col("resolved") - F.col("base_nmr")).alias("gap"), r9(F.col("direction")).alias("direction")))
-    gate = _best_gate(r, GATE).select(*GATE)
-    sure = F.greatest(F.col("direction"), 1 - F.col("direction"))
-    opened = (F.col("pred") == 1) & (F.col("resolved") >= F.col("t_resolved")) & (F.col("gap") >= F.col("t_gap")) & (F.round(sure, 9) >= F.col("t_conf"))
-    rescued = F.when(opened, F.when(F.col("direction") >= 0.5, 2).otherwise(0)).otherwise(F.col("pred"))
-    return r.crossJoin(F.broadcast(gate)).select(F.col("key").alias("note_id"), *rounded(["resolved", "direction"]), F.col("pred").alias("base"), rescued.alias("pred"))
+    """A resolved head and a direction head over a base model; heads and gate are chosen inside each outer training part."""
+    out = rescue(folded(labelled(spark, d)), VIEWS)
+    return out.select("note_id", "outer_fold", "heads", "t_resolved", "t_gap", "t_conf", *rounded(["resolved", "direction"]), "base", "pred")
+
+
+# The candidates of the search.
+LINEAR_CS, SVC_CS, STAGE_CS = (0.03, 0.1, 0.3, 1.0, 3.0), (0.3, 1.0, 3.0), (0.03, 0.1, 0.3, 1.0)
+UNDECIDED_AT, HELPFUL_AT = (0.25, 0.33, 0.40, 0.48), (0.40, 0.50, 0.60)
+MARGINS, ENTROPIES, CUTS = (0.0, 0.125, 0.25, 0.375), (0.55, 0.62, 0.68), (0.5, 0.56, 0.62)
+DEPTHS, LEAVES = (2, 3, 6), (3, 6)
+SEARCH_VIEWS = {"vote": GROUPS["vote"], "compact": [*GROUPS["vote"], *GROUPS["confidence"]], "full": ALL, "vote_reasons": [*GROUPS["vote"], *GROUPS["reasons"]]}
+TREE_VIEWS = ("compact", "full")
+SVC_WAVES = 48
+
+
+def all_kinds(df, at_once=4):
+    """(name, kind, confusion table on left-out rows) of every candidate; ``df`` has the outer fold."""
+    views = {k: tuple(x) for k, x in SEARCH_VIEWS.items()}
+    linear = [fits.Candidate(f"lr_{name}_c{c_}_{w or 'none'}", name, x, c_, w) for name, x in views.items() for c_, w in product(LINEAR_CS, (None, "balanced"))]
+    svc = [fits.Candidate(f"svc_{name}_c{c_}", name, x, c_, "balanced", "svc", fourier=SVC_WAVES) for name, x in views.items() for c_ in SVC_CS]
+    stages = [fits.Candidate(f"{kind}_{name}_c{c_}", name, x, c_, "balanced", target=target) for name, x in views.items() for kind, target in (("nmr", search.UNDECIDED), ("h", search.HELPFUL)) for c_ in STAGE_CS]
+    f = fits.fit_candidates(df, "note_id", "label", "outer", [], [*linear, *svc, *stages], 0)
+    direct = fits.confusions(f, [("argmax", 0.0, 0.0)], False, range(len(linear) + len(svc))).sum(axis=0)[:, 0]
+    found = [(x.name, "lr" if i < len(linear) else "svc", t) for i, (x, t) in enumerate(zip([*linear, *svc], direct, strict=True))]
+
+    at = {x.name: len(linear) + len(svc) + i for i, x in enumerate(stages)}
+    pairs = [(name, a, b) for name in views for a in STAGE_CS for b in STAGE_CS]
+    tables = search.two_stage_confusions(f, [(at[f"nmr_{name}_c{a}"], at[f"h_{name}_c{b}"]) for name, a, b in pairs], UNDECIDED_AT, HELPFUL_AT).sum(axis=0)
+    found += [(f"two_stage_{name}_cn{a}_ch{b}_tn{tn}_th{th}", "two_stage", tables[i, j, k]) for i, (name, a, b) in enumerate(pairs) for j, tn in enumerate(UNDECIDED_AT) for k, th in enumerate(HELPFUL_AT)]
+
+    grid = [(name, depth, leaf) for name in TREE_VIEWS for depth in DEPTHS for leaf in LEAVES]
+    extra = [trees.Forest(f"extra_{name}_d{depth}_l{leaf}", views[name], depth, leaf) for name, depth, leaf in grid]
+    tables = trees.confusions(f, extra, trees.grow(f, extra)).sum(axis=0)
+    found += [(x.name, "extra", t) for x, t in zip(extra, tables, strict=True)]
+    ml = [search.Ensemble(f"rf_{name}_d{depth}_l{leaf}", views[name], "rf", depth, leaf) for name, depth, leaf in grid]
+    ml += [search.Ensemble("gbt_full_d2", views["full"], "gbt", 2, 3, 6)]
+    tables = search.ensemble_confusions(f, ml, at_once).sum(axis=0)
+    found += [(x.name, x.kind, t) for x, t in zip(ml, tables, strict=True)]
+
+    tables = search.disagreement_confusions(df, "label", F.col("share_h"), F.col("h_nh_margin"), c.entropy([F.col("share_h"), 1 - F.col("share_h")], 1e-6), MARGINS, ENTROPIES, CUTS)
+    found += [(f"rule_m{m}_e{e}_h{h}", "rule", tables[i, j, k]) for i, m in enumerate(MARGINS) for j, e in enumerate(ENTROPIES) for k, h in enumerate(CUTS)]
+    return found
+
+
+@query()
+def candidate_search(spark, d):
+    """Linear, support vector, two-stage, tree, boosted and rule candidates on the same five folds, best first."""
+    scored = [{"method": name, "kind": kind, **search.scores(t)} for name, kind, t in all_kinds(folded(labelled(spark, d), OUTER, 0))]
+    scored.sort(key=lambda r: (-r["balanced_accuracy"], -r["accuracy"], r["method"]))
+    form = "rank int, method string, kind string, accuracy double, balanced_accuracy double, resolved_coverage double, recall_not_helpful double, recall_needs_more_ratings double, recall_helpful double, cross_error int"
+    out = spark.createDataFrame([(i, *r.values()) for i, r in enumerate(scored, start=1)], form)
+    return out.select("rank", "method", "kind", *rounded(["accuracy", "balanced_accuracy", "resolved_coverage", "recall_not_helpful", "recall_needs_more_ratings", "recall_helpful"]), "cross_error")
+
+
+@query()
+def svc_probabilities(spark, d):
+    """Squared-hinge classifier of a Gaussian kernel's random features, with sigmoids over its margins, on left-out rows."""
+    f = fitted(labelled(spark, d), [fits.Candidate("svc", "full", tuple(ALL), 1.0, "balanced", "svc", fourier=SVC_WAVES)], 0)
+    out = fits.predict(f, [[(0, 1.0)]] * OUTER, [("argmax", 0.0, 0.0)] * OUTER)
+    return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred")
+
+
+@query()
+def l1_weights(spark, d):
+    """Regressions with absolute penalties: weights that are not zero, and quality on left-out rows, by inverse penalty and fold."""
+    cs = (0.003, 0.01, 0.03, 0.1, 1.0)
+    f = fitted(labelled(spark, d), [fits.Candidate(f"l1_c{x}", "full", tuple(ALL), x, "balanced", "l1") for x in cs], 0, rounds=30)
+    tables = fits.confusions(f, [("argmax", 0.0, 0.0)], inner=False)
+    rows = []
+    for k, x in enumerate(cs):
+        for fold in range(f.folds):
+            w = f.models[k, fold, -1].w[:-1]
+            q = fits.quality(tables[fold, k, 0])
+            rows.append((x, fold, int((w != 0).sum()), int(w.size), int((w != 0).any(axis=1).sum()), round(q[1], 6), round(q[0], 6)))
+    return spark.createDataFrame(rows, "c double, outer_fold int, n_weights int, n_all int, n_features int, accuracy double, balanced_accuracy double")
+
+
+@query()
+def extra_trees(spark, d):
+    """Extremely randomised trees on left-out rows."""
+    forest = trees.Forest("extra", tuple(ALL), 6, 3)
+    f = fitted(labelled(spark, d), [], 0, also=ALL)
+    out = trees.predict(f, forest, trees.grow(f, [forest]))
+    return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred")

@@ -9,7 +9,7 @@ from tallyforge.operators import models
 from tallyforge.operators import personas as ops
 from tallyforge.plans import views as v
 from tallyforge.plans.decisions import _JUDGED, _THREE, judged, three
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 from tallyforge.plans.votes import rounded
 from tallyforge.sources.files import table
 

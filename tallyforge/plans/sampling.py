@@ -8,7 +8,7 @@ from tallyforge.functions import columns as c
 from tallyforge.operators import relational as rel
 from tallyforge.operators import sampling as ops
 from tallyforge.plans import views as v
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 
 STRATA = ["created_year", "current_status", "primary_topic"]
 _S = ", ".join(STRATA)

@@ -8,7 +8,7 @@ from tallyforge.functions import columns as c
 from tallyforge.operators import models
 from tallyforge.operators import votes as ops
 from tallyforge.plans import views as v
-from tallyforge.plans.registry import query
+from tallyforge.plans.declare import query
 
 # shared SQL: the base features of every item
 FEATURES = """base AS (SELECT note_id, count(*) AS n_votes, count(CASE WHEN raw_label_id = 0 THEN 1 END) AS vote_nh, count(CASE WHEN raw_label_id = 1 THEN 1 END) AS vote_sh, count(CASE WHEN raw_label_id = 2 THEN 1 END) AS vote_h,

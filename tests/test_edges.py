@@ -333,7 +333,7 @@ def test_many_fits_against_one(spark):
     for fold in range(4):
         m = f.models[1, fold, -1]
         use = [r for r in rows if r[2] != fold]
-        v = np.array([[r[3], r[4] if r[4] is not None else f.fill[fold][1]] for r in use])
+        v = np.array([[r[3], r[4] if r[4] is not None else m.fill[1]] for r in use])
         t = np.eye(3)[[r[1] for r in use]]
         z = np.concatenate([(v - v.mean(axis=0)) / v.std(axis=0), np.ones((len(v), 1))], axis=1)
         p = np.exp(z @ m.w)
@@ -376,9 +376,7 @@ def test_many_kmeans_and_silhouette(spark):
     assert {q.cluster for q in fits.assign_clusters(df, ["a", "b"], centers[3]).collect()} == {0, 1, 2}
 
 
-def test_two_heads_and_l1(spark):
+def test_l1(spark):
     df = spark.range(240).select("id", (F.col("id") % 3).cast("double").alias("label")).withColumn("x", F.col("label") * 2 + F.rand(1)).withColumn("z", F.rand(3))
-    heads = models.two_heads(df.where("id < 150"), df.where("id >= 150"), ["x"], "label")
-    assert heads.count() == 90 and heads.where("p_resolved between 0 and 1 and p_direction between 0 and 1").count() == 90
     p = models.fit_predict(df.where("id < 150"), df.where("id >= 150"), ["x", "z"], "label", models.Spec(c=0.05, l1=True))
     assert p.where("abs(p_nh + p_nmr + p_h - 1) > 1e-6").isEmpty()
