@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import columns as c
 from tallyforge.functions import parsing as p
 from tallyforge.operators import relational as rel
+from tallyforge.operators import sampling, textmodels
 from tallyforge.operators import texts as ops
 from tallyforge.operators import votes as vote_ops
 from tallyforge.plans import views as v
@@ -204,3 +205,18 @@ def tfidf_terms(spark, d):
 def tfidf_chars(spark, d):
     words = F.split(F.lower("text"), "[^a-z0-9]+")
     return ops.tfidf(table(spark, d, "conversations"), "conv_id", ops.char_grams(words), top=10, features=FEATURES).select("conv_id", "term", c.r6(F.col("weight")).alias("weight"), "rank")
+
+
+TEXT_FEATURES = 3000
+
+
+@query()
+def text_model(spark, d):
+    """The class of each labelled text (poor, toxic, good) by word 1-2 and character 3-5 grams, from models that left its fold out."""
+    label = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    docs = v.texts(spark, d).where(F.col("quality").isNotNull()).select("doc_id", "text", label.alias("label"))
+    docs = sampling.folds(docs, "label", "doc_id", 5, 13)
+    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}_]+")
+    blocks = {"word": ops.word_grams(F.filter(words, lambda w: F.length(w) > 1)), "char": ops.char_grams(words)}
+    out = textmodels.text_model(docs, "doc_id", "label", "fold", blocks, TEXT_FEATURES)
+    return out.select(F.col("key").alias("doc_id"), F.col("fold").alias("outer_fold"), "terms", *[c.r6(F.col(p)).alias(p) for p in ("p_nh", "p_nmr", "p_h")], "pred")
