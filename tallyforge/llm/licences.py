@@ -4,9 +4,13 @@ The automaton finds notice phrases and the words of an identifier tag.  A tag co
 colon follows; the rest of its line, however long, is a licence expression.  A shunting-yard
 parser turns it into postfix with the precedences ``with`` > ``and`` > ``or`` and parentheses,
 and the evaluator gives the licences it names and whether some choice allowed by it is
-permissive.  Operands are licence identifiers (families in ``FAMILIES``, or LicenseRef names);
-between two of them a slash means ``or`` and a comma ``and``.  Where a word follows that can
-continue no expression, the rest of the line is prose.
+permissive.  Operands are identifiers of any name: letters, digits, dots, hyphens and a plus.
+Between two of them a slash means ``or`` and a comma ``and``.  The expression ends with its line,
+at a parenthesis that closes none of its own, or where a word follows an operand: the rest of
+the line is prose.  An operand that prose follows is read only if it is a known name written as
+one (``FAMILIES``, with a digit or two capitals); any other is read if it is known or has a
+capital or digit.  What is not read keeps its place as an unknown licence, without a label and
+not permissive, and the other operands keep theirs.  NONE and NOASSERTION name no licence.
 
 ``score`` is the evidence that the text states a licence: 1 - product over the places of
 (1 - weight), with weight 0.95 for a tag whose expression parses and the phrase's weight
@@ -56,7 +60,7 @@ BASE_WEIGHT, TAG_WEIGHT = 0.7, 0.95
 # Families that count as permissive.
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "unlicense", "zlib", "cc-by", "0bsd", "bsl")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_LEXEME = re.compile(r"[()/,]|[A-Za-z0-9.+:-]+")
+_LEXEME = re.compile(r"[()/,]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _LEAD = re.compile(r"[ \t\"']*:[ :\t]*")
 _SEPARATORS = {"/": "or", ",": "and"}
 # Heads of the licence identifiers that are known.
@@ -66,64 +70,81 @@ FAMILIES = (
     "php postgresql psf python qpl rpl ruby saxpath sgi simpl sissl sleepycat spl sspl tcl ucl unicode unlicense upl vim w3c watcom wtfpl x11 xnet zlib zpl"
 ).split()
 _IDENTIFIER = re.compile(rf"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|(?:{'|'.join(map(re.escape, FAMILIES))})(?:[-+.0-9][a-z0-9.+-]*)?")
-_FAMILY = re.compile(r"^(mit|apache|lgpl|agpl|gpl|mpl|epl|bsd|isc|cc0|cc-by-nc|cc-by-sa|cc-by|unlicense|zlib|0bsd|bsl)\b")
+# Families whose versions and variants share a label, and names that are no licence.
+_FAMILY = re.compile(r"(mit|apache|lgpl|agpl|gpl|mpl|epl|bsd|isc|cc0|cc-by-nc-sa|cc-by-nc-nd|cc-by-nc|cc-by-nd|cc-by-sa|cc-by|unlicense|zlib|0bsd|bsl)(?:-?[0-9][0-9.]*|-v[0-9.]+|-clause|-only|-or-later|\+)*")
+NO_LICENCE = ("none", "noassertion")
+UNKNOWN = ""
 
 
 class ExpressionError(ValueError):
     """The text is not a licence expression."""
 
 
-def is_identifier(low: str) -> bool:
-    return _IDENTIFIER.fullmatch(low.rstrip(".:")) is not None
+def is_known(word: str) -> bool:
+    return _IDENTIFIER.fullmatch(word.lower()) is not None
+
+
+def is_read(word: str, before_prose: bool) -> bool:
+    """Whether an operand is taken for a licence; before prose only a known name that is written as one."""
+    capitals, digits = sum(map(str.isupper, word)), any(map(str.isdigit, word))
+    if word.lower() in NO_LICENCE:
+        return False
+    if before_prose:
+        return is_known(word) and (digits or capitals > 1)
+    return is_known(word) or digits or capitals > 0
 
 
 def to_postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
-    """Shunting-yard: operands and operators of the licence expression in text[at:end] in postfix order."""
-    out, stack, want_operand, separator = [], [], True, None
+    """Shunting-yard: operands (``UNKNOWN`` where not read) and operators of the licence expression in text[at:end] in postfix order."""
+    out, stack, want_operand, separator, named = [], [], True, None, False
 
     def push(op: str) -> None:
         while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[op]:
             out.append(stack.pop())
         stack.append(op)
 
-    for found in _LEXEME.finditer(text, at, len(text) if end is None else end):
-        low = found[0].lower()
-        exception = want_operand and bool(stack) and stack[-1] == "with"
+    lexemes = (m[0] for m in _LEXEME.finditer(text, at, len(text) if end is None else end))
+    lexeme, after = next(lexemes, None), None
+    while lexeme is not None:
+        after, low = next(lexemes, None), lexeme.lower()
+        is_word = low not in _PRECEDENCE and low not in _SEPARATORS and low not in "()"
+        prose = after is not None and after.lower() not in _PRECEDENCE and after.lower() not in _SEPARATORS and after not in "()"
+        word = lexeme.rstrip(".:-")
         if separator is not None:
-            if low != "(" and not is_identifier(low):
+            if low != "(" and not (is_word and is_read(word, prose)):
                 break
             push(_SEPARATORS[separator])
             separator, want_operand = None, True
-        if low in _SEPARATORS:
-            if want_operand:
-                raise ExpressionError("an operand is missing")
-            separator = low
-        elif low in _PRECEDENCE:
-            if want_operand:
-                raise ExpressionError("an operand is missing")
-            push(low)
-            want_operand = True
+        if low == ")" and not want_operand and "(" not in stack:
+            break
+        if is_word:
+            if not want_operand:
+                break  # the expression ends where two operands meet: the rest of the line is prose
+            exception = bool(stack) and stack[-1] == "with"
+            good = exception or is_read(word, prose)
+            named |= good and not exception
+            out.append(word.lower() if good else UNKNOWN)
+            want_operand = False
         elif low == "(":
             if not want_operand:
                 break
             stack.append("(")
-        elif low == ")":
-            if want_operand:
-                raise ExpressionError("an operand is missing")
-            while stack and stack[-1] != "(":
+        elif want_operand:
+            raise ExpressionError("an operand is missing")
+        elif low in _SEPARATORS:
+            separator = low
+        elif low in _PRECEDENCE:
+            push(low)
+            want_operand = True
+        else:
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                raise ExpressionError("a parenthesis is not open")
             stack.pop()
-        elif not want_operand:
-            break  # the expression ends where two operands meet: the rest of the line is prose
-        elif exception and "-" in low or is_identifier(low):
-            out.append(low.rstrip(".:"))
-            want_operand = False
-        else:
-            raise ExpressionError("no licence identifier")
+        lexeme = after
     if want_operand:
         raise ExpressionError("an operand is missing")
+    if not named:
+        raise ExpressionError("no licence identifier")
     while stack:
         if (op := stack.pop()) == "(":
             raise ExpressionError("a parenthesis stays open")
@@ -132,7 +153,7 @@ def to_postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
 
 
 def family(identifier: str) -> str:
-    m = _FAMILY.match(identifier)
+    m = _FAMILY.fullmatch(identifier)
     return m[1] if m else identifier.rstrip("+.")
 
 
@@ -141,7 +162,7 @@ def evaluate(postfix: list[str]) -> tuple[frozenset[str], bool]:
     stack: list[tuple[set[str], bool]] = []
     for x in postfix:
         if x not in _PRECEDENCE:
-            stack.append(({family(x)}, family(x) in PERMISSIVE))
+            stack.append(({family(x)} - {UNKNOWN}, family(x) in PERMISSIVE))
             continue
         (b, bp), (a, ap) = stack.pop(), stack.pop()
         if x == "with":  # an exception relaxes its licence and names none itself

@@ -328,12 +328,62 @@ def test_expressions(text, postfix, names, free):
     assert licences.evaluate(licences.to_postfix(text)) == (names, free)
 
 
-@pytest.mark.parametrize("text", ["", "AND MIT", "MIT OR", "(MIT", "MIT)", "()", "for every file", "MIT AND every", "NONE", "/MIT"])
+@pytest.mark.parametrize("text", ["", "AND MIT", "MIT OR", "(MIT", "()", "for every file", "NONE", "/MIT", "fair enough", "json is used here", "python code follows", "See LICENSE file", "SEE LICENSE IN x", "others", "NOASSERTION"])
 def test_malformed_expressions(text):
     with pytest.raises(licences.ExpressionError):
         licences.to_postfix(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "free"),
+    [
+        ("MIT OR Beerware", {"mit", "beerware"}, True),
+        ("MIT AND Elastic-2.0", {"mit", "elastic-2.0"}, False),
+        ("BUSL-1.1", {"busl-1.1"}, False),
+        ("MIT)", {"mit"}, True),
+        ("(MIT OR GPL-2.0-only)) and more", {"mit", "gpl"}, True),
+        ("MIT or later versions", {"mit"}, True),
+        ("MIT and others", {"mit"}, False),
+        ("MIT AND every", {"mit"}, False),
+        ("some OR MIT", {"mit"}, True),
+        ("MIT-foo-bar", {"mit-foo-bar"}, False),
+        ("MIT terms apply", {"mit"}, True),
+        ("BSD-3-Clause */", {"bsd"}, True),
+        ("Apache-2.0 WITH LLVM-exception -->", {"apache"}, True),
+        ("mit", {"mit"}, True),
+        ("curl", {"curl"}, False),
+        ("MIT/X11, Zlib", {"mit", "x11", "zlib"}, True),
+        ("GPL-2.0+ or the like", {"gpl"}, False),
+        ("CC-BY-NC-SA-4.0", {"cc-by-nc-sa"}, False),
+    ],
+)
+def test_identifiers_and_prose(text, labels, free):
+    """Any identifier is read, an unknown one keeps the others, and prose is none."""
+    assert licences.evaluate(licences.to_postfix(text)) == (labels, free)
+    row = licences.scan(pa.array([f"(SPDX-License-Identifier: {text}\nrest"]))[0]
+    assert (row[3], row[5]) == (labels, free) and row[4] == pytest.approx(licences.TAG_WEIGHT)
+
+
+_NAMES = {"MIT": ("mit", True), "Apache-2.0": ("apache", True), "GPL-3.0-or-later": ("gpl", False), "Beerware": ("beerware", False), "LicenseRef-x.y": ("licenseref-x.y", False), "zlib": ("zlib", True), "something": (None, False)}
+expressions = st.recursive(
+    st.sampled_from(sorted(_NAMES)).map(lambda n: (n, {_NAMES[n][0]} - {None}, _NAMES[n][1])),
+    lambda inner: st.tuples(st.sampled_from([" AND ", " or ", " With "]), inner, inner).map(
+        lambda x: (f"{x[1][0]} WITH Some-exception", x[1][1], x[1][2]) if "With" in x[0] and x[1][0] in _NAMES else (f"({x[1][0]}){x[0].replace('With', 'OR')}( {x[2][0]} )", x[1][1] | x[2][1], (x[1][2] and x[2][2]) if "AND" in x[0] else (x[1][2] or x[2][2]))
+    ),
+    max_leaves=12,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(expressions, st.sampled_from(["", " ", ")", ") is the licence", " */", "\nAND ISC"]))
+def test_random_expressions(expression, tail):
+    """Labels and permission are those of the tree that an expression was written from."""
+    text, labels, free = expression
+    row = licences.scan(pa.array([f"// SPDX-License-Identifier: {text}{tail}"]))[0]
+    assert (row[3], row[5]) == ((labels, free) if labels else (set(), None))
+    assert row[4] == pytest.approx(licences.TAG_WEIGHT if labels else 0)
+
+
 def plain_base(text):
     w, places, labels = word_list(text), [], set()
     for phrase, label in licences.BASE.items():
