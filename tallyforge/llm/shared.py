@@ -8,6 +8,7 @@ as its executors would each write to their own disk.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,15 +16,19 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+_single: dict[str, str] = {}  # temporary folders of sessions on one machine, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        app = spark.sparkContext.applicationId
+        if app not in _single:
+            _single[app] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        found = _single[app]
     return found.rstrip("/")
 
 
@@ -31,17 +36,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_open: list[list[str]] = []
+class _Blocks(threading.local):
+    """The open ``temporary`` blocks of a thread, and the tables that belong to each."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_blocks = _Blocks()
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables saved inside are deleted at the end, but for those that are kept."""
-    _open.append([])
+    """Tables that this thread saves inside are deleted at the end, but for those that are kept."""
+    _blocks.open.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _blocks.open.pop():
             delete(spark, path)
 
 
@@ -51,7 +63,7 @@ def save(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     ``keep``: it outlives the innermost ``temporary`` block (and belongs to the one around it).
     """
     path = write(df, name)
-    around = _open[:-1] if keep else _open
+    around = _blocks.open[:-1] if keep else _blocks.open
     if around:
         around[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,14 +2,12 @@
 
 import hashlib
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, licences, pii, queries, secrets
 from tallyforge.llm.phrases import PhraseIndex
@@ -155,13 +153,13 @@ def test_very_long_texts():
     token = "x" * 300 + "5557713"
     g = pii.Graph()
     g.add(0, f"+1 (017) 555-7713 and {token}", [(0, 17, "phone")])
-    assert [tuple(p) for p in pii.pairs_of(g.skip)] == [(1, 3), (2, 3)] or (2, 3) in [tuple(p) for p in pii.pairs_of(g.skip)]
+    assert (2, 3) in [tuple(p) for p in pii.pairs_of(g.skip)]
     many = ",".join(f"a{i}@b.co" for i in range(40))
     spans = pii.base_spans(many)
     assert len(spans) == 40 and all(s[3] for s in pii.find_all([many])[0])
     text = " ".join(str(100_000 + i * 7919 % 900_000) for i in range(60_000))
     assert len(pii.tokens(text)) == 60_000
-    pii.find_all([text[:200_000]])
+    assert [s[:3] for s in pii.find_all([text[:200_000]])[0] if s[3]] == plain_pii(text[:200_000])
 
 
 def test_scans_of_awkward_rows(spark):
@@ -228,7 +226,7 @@ def test_decontamination(spark, max_words):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.scan_items(documents(spark, texts), bench, max_words=max_words)
     for r in found.collect():
-        n, hit, ids = plain_windows(texts[r.doc_id], items if False else [x for x in items if x[1]])
+        n, hit, ids = plain_windows(texts[r.doc_id], [x for x in items if x[1]])
         assert (r.n_words, sum(x.end - x.first for x in r.runs), list(r["items"])) == (n, hit, ids)
         for x in r.runs:
             assert word_list(texts[r.doc_id][x.start_char : x.end_char]) == word_list(texts[r.doc_id])[x.first : x.end]
@@ -361,7 +359,7 @@ def test_identifiers_and_prose(text, labels, free):
     """Any identifier is read, an unknown one keeps the others, and prose is none."""
     assert licences.evaluate(licences.to_postfix(text)) == (labels, free)
     row = licences.scan(pa.array([f"(SPDX-License-Identifier: {text}\nrest"]))[0]
-    assert (row[3], row[5]) == (labels, free) and row[4] == pytest.approx(licences.TAG_WEIGHT)
+    assert (row[3], row[5]) == (labels, free) and row[4] >= licences.TAG_WEIGHT - 1e-9
 
 
 _NAMES = {"MIT": ("mit", True), "Apache-2.0": ("apache", True), "GPL-3.0-or-later": ("gpl", False), "Beerware": ("beerware", False), "LicenseRef-x.y": ("licenseref-x.y", False), "zlib": ("zlib", True), "something": (None, False)}
@@ -433,4 +431,3 @@ def test_phrases_do_not_cross_texts():
     s, _, h = words(buf, offs)
     row = np.searchsorted(offs, s, side="right") - 1
     assert sorted((a, b, tuple(v)) for a, b, v in index.matches(index.numbered(h), row)) == [(2, 3, (2,)), (3, 5, (1,)), (4, 5, (2,))]
-    assert zlib.crc32(b"") == 0 and F is not None
