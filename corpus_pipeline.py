@@ -19,17 +19,17 @@ Ties in the draw go by a hash of the text, ties on the curve by checksum and id.
 give no rows; without labels stage 1 keeps all, without benchmark items stage 3 does.  Extra
 columns of the documents pass through the first four stages, whatever their names.
 
-Tables that a stage needs only for itself are deleted once its result is written.
+Tables that a stage needs only for itself are deleted once its result is written, and a stage's
+result once the next one's is; what is left is the table that run() reads.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyforge.llm import chosenpath, decontaminate, hilbert, mixing, quality
 from tallyforge.llm.queries import shard_digest, table
-from tallyforge.llm.shared import save, temporary
+from tallyforge.llm.shared import delete, temporary, write
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
         with temporary(spark):
-            docs = save(stage(spark, docs, sf_dir), name, keep=True)
-    return STAGES[-1][1](spark, docs, sf_dir)
+            path = write(stage(spark, docs, sf_dir), name)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return docs
