@@ -146,6 +146,9 @@ def ordered_difference(names: Sequence[str], *drop: Sequence[str]) -> list[str]:
     return [x for x in dict.fromkeys(names) if x not in gone]
 
 
+_single: dict[str, str] = {}  # temporary folders of sessions on one machine, by application
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The table as it is now, for several uses, cut in the checkpoint folder, which outlives executors.
 
@@ -153,15 +156,15 @@ def stable(df: DataFrame) -> DataFrame:
     refused, as its executors would each write to their own disk.
     """
     spark = df.sparkSession
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        folder = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None or not context.getCheckpointDir().startswith(folder):
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
+        if context.applicationId not in _single:
+            _single[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+        folder = _single[context.applicationId]
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

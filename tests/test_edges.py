@@ -380,3 +380,12 @@ def test_l1(spark):
     df = spark.range(240).select("id", (F.col("id") % 3).cast("double").alias("label")).withColumn("x", F.col("label") * 2 + F.rand(1)).withColumn("z", F.rand(3))
     p = models.fit_predict(df.where("id < 150"), df.where("id >= 150"), ["x", "z"], "label", models.Spec(c=0.05, l1=True))
     assert p.where("abs(p_nh + p_nmr + p_h - 1) > 1e-6").isEmpty()
+
+
+def test_stored_tables_need_a_shared_folder():
+    """A session of several machines without a folder is refused."""
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="test"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        relational.stable(SimpleNamespace(sparkSession=session))
