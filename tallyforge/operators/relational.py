@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -149,21 +150,34 @@ def ordered_difference(names: Sequence[str], *drop: Sequence[str]) -> list[str]:
 _single: dict[str, str] = {}  # temporary folders of sessions on one machine, by application
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """The table as it is now, for several uses, cut in the checkpoint folder, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which outlives executors.
 
-    Where the session names no folder, one on a single machine gets a temporary one; any other is
+    Where the session names none, one on a single machine gets a temporary one; any other is
     refused, as its executors would each write to their own disk.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not folder:
         if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
         if context.applicationId not in _single:
             _single[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         folder = _single[context.applicationId]
+    return folder.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """The table as it is now, for several uses, cut in the shared folder."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()

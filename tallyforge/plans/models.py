@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
-from tallyforge.operators import fits, models, sampling, search, trees
+from tallyforge.operators import clusters, fits, models, sampling, search, trees
 from tallyforge.operators import personas as persona_ops
 from tallyforge.operators import texts as text_ops
 from tallyforge.operators.relational import stable
@@ -121,6 +121,14 @@ def kmeans_search(spark, d):
     return fits.kmeans_many(ready, names, range(2, 33))[0].select("k", *rounded(["inertia", "silhouette", "calinski_harabasz", "davies_bouldin"]))
 
 
+@query()
+def minibatch_search(spark, d):
+    """Mini-batch k-means of raters for 2 to 32 clusters, with the Euclidean silhouette of a sample of 10,000."""
+    names = ["mean_score", "mean_confidence", "mean_understanding"]
+    out = clusters.search_k(persona_ops.rater_features(raters(spark, d), names), names, "rater_id", range(2, 33), at_once=31)
+    return out.select("k", "n_rows", "sample_size", *rounded(["inertia", "silhouette", "calinski_harabasz", "davies_bouldin"]))
+
+
 @query()
 def best_k(spark, d):
     """The cluster count with the best silhouette, then the best variance ratio."""
