@@ -6,6 +6,7 @@ partitioning, and the same in any SQL engine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,3 +184,52 @@ def bootstrap_selective(counted: DataFrame, rounds: int, seed: int) -> DataFrame
     m = first.withColumn("m", F.round(F.col("coverage") * F.col("n"))).withColumn("p", F.col("correct") / F.nullif(F.col("decided"), F.lit(0)))
     m = m.withColumn("u", F.expr(uniform_sql("round", seed + 1))).withColumn("z", F.expr(normal_sql("u")))
     return m.withColumn("accuracy", F.expr(binomial_sql("m", "p", "z")) / F.nullif(F.col("m"), F.lit(0.0))).select("round", "coverage", "accuracy")
+
+
+#: Distribution of a Poisson number of mean 1 up to 12; more has a chance below 1e-10.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+PER_HASH = 4
+
+
+def poisson_sql(u: str) -> str:
+    """A Poisson number of mean 1 from a uniform one, as SQL text."""
+    return " + ".join(f"CASE WHEN {u} >= {limit!r} THEN 1 ELSE 0 END" for limit in POISSON)
+
+
+def resampled(df: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
+    """Each row once for every round in which a resample holds it: adds ``round`` and ``weight``, how often it does.
+
+    Weights are Poisson numbers of mean 1 from a hash of key, seed and round, so any statistic
+    with weights is resampled by one aggregation over (round, ...), whose tasks add up their own
+    rows first; a round's total varies by a root of the number of rows.  Four rounds share a hash.
+    """
+    hashes = F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // PER_HASH))).alias("__chunk")
+    hashed = df.select("*", hashes).withColumn("__h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.col("__chunk").cast("string"))))
+    part = lambda i: F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("double") / float(1 << 32)
+    weight = lambda u: sum((F.when(u >= F.lit(x), 1).otherwise(0) for x in POISSON), F.lit(0))
+    each = F.explode(F.array(*[F.struct((F.col("__chunk") * PER_HASH + i).alias("round"), part(i).alias("u")) for i in range(PER_HASH)]))
+    out = hashed.withColumn("__e", each).withColumn("round", F.col("__e.round")).withColumn("__u", F.col("__e.u"))
+    return out.where((F.col("round") < rounds) & (F.col("__u") >= POISSON[0])).withColumn("weight", weight(F.col("__u"))).drop("__chunk", "__h", "__e", "__u")
+
+
+def intervals(per_round: DataFrame, statistics: Sequence[str], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+    """(by, metric, mean, low, high) of statistics over rounds; rounds without a value are left out."""
+    tails = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    long = per_round.unpivot([*by, "round"], list(statistics), "metric", "value")
+    out = long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.percentile("value", tails).alias("q"))
+    return out.select(*by, "metric", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def accuracy_statistics(truth: Column, pred: Column, score: Column, low: float, high: float, weight: Column) -> list[Column]:
+    """Accuracy, balanced accuracy of three classes, and selective coverage and accuracy of the decided classes by a score, from weights."""
+    total = lambda c: F.sum(F.when(c, weight))
+    share = lambda a, b: F.coalesce(total(a), F.lit(0)) / total(b)
+    recalls = F.array_compact(F.array(*[share((truth == k) & (pred == k), truth == k) for k in range(3)]))
+    decided = truth != 1
+    taken = decided & ((score <= low) | (score >= high))
+    return [
+        share(truth == pred, F.lit(True)).alias("accuracy"),
+        (F.aggregate(recalls, F.lit(0.0), lambda a, b: a + b) / F.size(recalls)).alias("balanced_accuracy"),
+        share(taken, decided).alias("selective_coverage"),
+        share(taken & (((score <= low) & (truth == 0)) | ((score >= high) & (truth == 2))), taken).alias("selective_accuracy"),
+    ]

@@ -363,3 +363,22 @@ def bootstrap_selective(spark, d):
     q = lambda x: F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
     out = draws.bootstrap_selective(counted, 200, 9).agg(q("accuracy").alias("a"), q("coverage").alias("c"))
     return out.select(*[F.round(F.col(x)[i], 9).alias(n) for x, i, n in (("a", 0, "accuracy_low"), ("a", 1, "accuracy_high"), ("c", 0, "coverage_low"), ("c", 1, "coverage_high"))])
+
+
+STATISTICS = ["accuracy", "balanced_accuracy", "selective_coverage", "selective_accuracy"]
+_TAKEN = "y <> 1 AND (h <= 0.35 OR h >= 0.65)"
+_RIGHT = f"{_TAKEN} AND ((h <= 0.35 AND y = 0) OR (h >= 0.65 AND y = 2))"
+_SHARE = lambda a, b: f"coalesce(sum(CASE WHEN {a} THEN w END), 0) / sum(CASE WHEN {b} THEN w END)"
+
+
+@query(f"""WITH {_ROWS}, hashed AS (SELECT y, pred, h, chunk, md5(concat_ws(':', note_id, '9', CAST(chunk AS VARCHAR))) AS x FROM rows_, (SELECT unnest(range({200 // draws.PER_HASH})) AS chunk)),
+drawn AS (SELECT y, pred, h, chunk * {draws.PER_HASH} + i AS round, CAST(CAST('0x' || substr(x, CAST(1 + 8 * i AS BIGINT), 8) AS BIGINT) AS DOUBLE) / {float(1 << 32)!r} AS u FROM hashed, (SELECT unnest(range({draws.PER_HASH})) AS i)),
+weighted AS (SELECT y, pred, h, round, {draws.poisson_sql('u')} AS w FROM drawn),
+s AS (SELECT round, {_SHARE('y = pred', 'true')} AS accuracy, list_avg([{', '.join(_SHARE(f'y = {k} AND pred = {k}', f'y = {k}') for k in range(3))}]) AS balanced_accuracy, {_SHARE(_TAKEN, 'y <> 1')} AS selective_coverage, {_SHARE(_RIGHT, _TAKEN)} AS selective_accuracy FROM weighted GROUP BY round),
+long AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {m} AS value FROM s" for m in STATISTICS)})
+SELECT metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM long GROUP BY metric""")
+def bootstrap_metrics(spark, d):
+    """Intervals of accuracy, balanced accuracy and selective accuracy from 200 resamples of the rows."""
+    drawn = draws.resampled(rows(spark, d).select("note_id", "y", "pred", "h"), "note_id", 200, 9)
+    found = drawn.groupBy("round").agg(*draws.accuracy_statistics(F.col("y"), F.col("pred"), F.col("h"), 0.35, 0.65, F.col("weight")))
+    return draws.intervals(found, STATISTICS).select("metric", *rounded(["mean", "low", "high"]))

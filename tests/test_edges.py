@@ -389,3 +389,25 @@ def test_stored_tables_need_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn", applicationId="test"))
     with pytest.raises(ValueError, match="checkpoint"):
         relational.stable(SimpleNamespace(sparkSession=session))
+
+
+def test_resamples_cover_the_truth(spark):
+    """Weights are Poisson and independent between rounds, and 95 % intervals hold the true accuracy about that often."""
+    import numpy as np
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    w = sampling.resampled(df, "key", 10, 4).groupBy("key").pivot("round", list(range(10))).agg(F.first("weight")).toPandas().set_index("key").fillna(0).to_numpy()
+    w = np.concatenate([w, np.zeros((3000 - len(w), 10))])
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
+    assert np.abs(np.corrcoef(w.T) - np.eye(10)).max() < 0.08
+    sims, n, p_true = 120, 150, 0.7
+    rng = np.random.default_rng(1)
+    rows = [(s, f"{s}-{i}", 0, int(rng.random() > p_true), 0.5) for s in range(sims) for i in range(n)]
+    drawn = sampling.resampled(spark.createDataFrame(rows, "sim int, key string, y int, pred int, h double"), "key", 200, 7)
+    found = drawn.groupBy("sim", "round").agg(*sampling.accuracy_statistics(F.col("y"), F.col("pred"), F.col("h"), 0.2, 0.8, F.col("weight")))
+    got = sampling.intervals(found, ["accuracy", "balanced_accuracy", "selective_coverage"], ["sim"]).collect()
+    accuracy = [r for r in got if r.metric == "accuracy"]
+    assert len(accuracy) == sims and 0.88 <= np.mean([r.low <= p_true <= r.high for r in accuracy]) <= 0.99
+    width = np.mean([r.high - r.low for r in accuracy])
+    assert width == pytest.approx(2 * 1.96 * np.sqrt(p_true * (1 - p_true) / n), rel=0.1)
+    assert all(r.mean == r.low == r.high == 0 for r in got if r.metric == "selective_coverage")
