@@ -5,18 +5,20 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as c
-from tallyforge.operators import clusters, fits, models, sampling, search, trees
+from tallyforge.operators import ablation, clusters, fits, models, sampling, search, trees
 from tallyforge.operators import personas as persona_ops
 from tallyforge.operators import texts as text_ops
+from tallyforge.operators import votes as vote_ops
 from tallyforge.operators.relational import stable
 from tallyforge.plans import views as v
 from tallyforge.plans.grids import GATE, best_gates
 from tallyforge.plans.personas import raters
 from tallyforge.plans.declare import query
-from tallyforge.plans.votes import rich, rounded
+from tallyforge.plans.votes import rich, rich_aggregates, rounded
 
 GROUPS = {
     "vote": ["share_nh", "share_sh", "share_h", "vote_entropy", "h_nh_margin"],
@@ -321,3 +323,39 @@ def extra_trees(spark, d):
     f = fitted(labelled(spark, d), [], 0, also=ALL)
     out = trees.predict(f, forest, trees.grow(f, [forest]))
     return out.select(F.col("key").alias("note_id"), F.col("outer").alias("outer_fold"), *rounded(models.PROBS), "pred")
+
+
+TARGETS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+BUDGETS = (12, 24, 36, 48)
+COMBOS = [
+    *(("single_addition" if e.name.startswith(("only_", "vote+")) else "cumulative" if e.name.startswith("first_") else "leave_one_group_out", e.name, e.features) for e in models.experiments(GROUPS, "vote")),
+    ("targeted_combo", "vote+confidence+reasons", (*GROUPS["vote"], *GROUPS["confidence"], *GROUPS["reasons"])),
+    ("targeted_combo", "vote+understanding+reasons", (*GROUPS["vote"], *GROUPS["understanding"], *GROUPS["reasons"])),
+]
+
+
+def budget_features(spark, d):
+    """A row per decided note: the vote features of its first 12 to 48 agents, as columns of their own."""
+    each = F.explode(F.filter(F.array(*map(F.lit, BUDGETS)), lambda b: F.col("rater_id") % 60 < b))
+    few = v.votes(spark, d).withColumn("budget", each).withColumn("note_id", F.concat_ws("@", "note_id", "budget"))
+    cleaned = vote_ops.with_cleaned(few, [*v.HELPFUL, *v.NOT_HELPFUL])
+    long = vote_ops.vote_features(cleaned, extra=rich_aggregates()).withColumn("budget", F.substring_index("note_id", "@", -1).cast("int")).withColumn("note_id", F.substring_index("note_id", "@", 1))
+    cells = [F.max(F.when(F.col("budget") == b, F.col(x))).alias(f"{x}_{b}") for b in BUDGETS for x in ALL]
+    truth = v.notes(spark, d).select("note_id", "note_key", F.col("true_label_3way").alias("label")).where("label <> 1")
+    return truth.join(long.groupBy("note_id").agg(*cells), "note_id")
+
+
+@query()
+def ablation_combos(spark, d):
+    """Combination x budget x coverage target on left-out rows, with intervals, the change from votes alone, and the best of each budget and target."""
+    plans = [(family, name, x, b) for b in BUDGETS for family, name, x in COMBOS]
+    candidates = [fits.Candidate(f"{name}@{b}", name, tuple(f"{y}_{b}" for y in x), 1.0, "balanced", target=search.HELPFUL) for _, name, x, b in plans]
+    f = fitted(budget_features(spark, d), candidates, 2)
+    rows = []
+    for i, s in enumerate(ablation.selective(f, range(len(candidates)), TARGETS)):
+        family, name, x, b = plans[s.candidate]
+        rows.append((b, s.target, family, name, len(x), *(round(float(z), 6) for z in (s.coverage, s.accuracy, *s.intervals(2000, i)))))
+    form = "agent_count int, coverage_target double, family string, method string, n_features int, coverage double, accuracy double, accuracy_low double, accuracy_high double, coverage_low double, coverage_high double"
+    out = models.deltas(spark.createDataFrame(rows, form).withColumn("__group", F.concat_ws(":", "agent_count", "coverage_target")), "__group", "method", "accuracy", ["only_vote"])
+    best = F.row_number().over(Window.partitionBy("agent_count", "coverage_target").orderBy(F.desc("accuracy"), F.desc("coverage"), "method")) == 1
+    return out.withColumn("best", best).withColumn("delta_only_vote", F.round("delta_only_vote", 6)).drop("__group")

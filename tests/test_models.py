@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import fits, models, search, trees
+from tallyforge.operators import ablation, fits, models, search, trees
 from tallyforge.plans import models as plans
 
 N, FOLDS = 360, 3
@@ -254,3 +254,45 @@ def test_labels_of_an_outer_fold_do_not_reach_its_gate(spark):
     read = lambda d: {r.note_id: tuple(r)[1:] for r in plans.rescue(d, views).where("outer_fold = 2").collect()}
     one, two = read(df), read(df.join(swapped, "note_id").withColumn("label", F.col("__y")).drop("__y"))
     assert one == two and set(one) == set(mine)
+
+
+def test_cut_points_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for target in (0.0, 0.4, 0.8, 1.0):
+        hist = rng.integers(0, 6, (2, 8)).astype(float)
+        best = None
+        for low in range(9):
+            for high in range(low, 9):
+                decided = hist[:, :low].sum() + hist[:, high:].sum()
+                if decided >= target * hist.sum():
+                    right = hist[0, :low].sum() + hist[1, high:].sum()
+                    key = (round(right / max(decided, 1), 9), decided, -low, -high)
+                    best = max(best, (key, low, high)) if best else (key, low, high)
+        assert ablation.cut_points(hist, target) == best[1:]
+
+
+def test_selective_targets(spark):
+    """Decisions per target equal cutting each row's score; no outer label moves a threshold; intervals are those of plain resampling."""
+    y, x, outer, inner = data(gaps=False)
+    candidates = [fits.Candidate("h", "v", NAMES, 1.0, "balanced", target=search.HELPFUL)]
+    f = fit(spark, candidates, inner=True, source=(y, x, outer, inner))
+    got = ablation.selective(f, [0], (0.5, 1.0), bins=20)
+    inside = ablation.binned(f, [0], True, 20)
+    scores = {r.key: r.p[0][1] for r in fits.left_out(f, [[0]] * FOLDS, False).collect()}
+    for s in got:
+        table = np.zeros((2, 3))
+        for i in range(N):
+            if y[i] != 1:
+                low, high = ablation.cut_points(inside[outer[i], 0], s.target)
+                place = min(int(scores[i] * 20), 19)
+                table[y[i] // 2, 0 if place < low else 2 if place >= high else 1] += 1
+        assert np.array_equal(s.table, table) and s.coverage >= s.target - 0.15
+        a, b, c, d = s.intervals(4000, 3)
+        right = np.repeat([1, 0, -1], [int(table[0, 0] + table[1, 2]), int(table[0, 2] + table[1, 0]), int(table[:, 1].sum())])
+        rng = np.random.default_rng(5)
+        draws = [right[rng.integers(0, len(right), len(right))] for _ in range(2000)]
+        assert (a, b) == pytest.approx(np.quantile([(z == 1).sum() / (z >= 0).sum() for z in draws], [0.025, 0.975]), abs=0.02)
+        assert (c, d) == pytest.approx(np.quantile([(z >= 0).mean() for z in draws], [0.025, 0.975]), abs=0.02)
+    swapped = np.where(outer == 1, 2 - y, y)
+    other = ablation.binned(fit(spark, candidates, inner=True, source=(swapped, x, outer, inner)), [0], True, 20)
+    assert np.array_equal(inside[1], other[1]) and not np.array_equal(inside[0], other[0])
