@@ -206,3 +206,21 @@ def search_k(df: DataFrame, names: Sequence[str], key: str, ks: Sequence[int], l
                 spark.createDataFrame(found, FORM).coalesce(1).write.mode("append").parquet(log)
             done |= {r[0]: r for r in found}
     return spark.createDataFrame([done[k] for k in ks if k in done], FORM)
+
+
+def clustered(df: DataFrame, names: Sequence[str], key: str, ks: Sequence[int], small: int = 8, steps: int = 20) -> DataFrame:
+    """Adds the cluster under the count with the best silhouette (ties: fewer clusters).
+
+    With fewer than ``small`` rows there are two clusters at most; rows that are all alike are one.
+    """
+    stats = df.agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, x in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    n = stats["n"]
+    z = F.array(*[(F.col(x).cast("double") - (stats[f"m{i}"] or 0.0)) / (stats[f"s{i}"] or 1.0) for i, x in enumerate(names)])
+    rows = stable(df.select(F.xxhash64(key).alias("h"), z.alias("x")))
+    centers = mini_batches(rows, n, [k for k in ks if k < n] if n >= small else [2], steps=steps) if n else {}
+    if not centers:
+        return df.withColumn("cluster", F.lit(0))
+    found = {k: s for k, s in euclidean_silhouettes(rows, centers)[0].items() if not math.isnan(s)}
+    c = centers[max(found, key=lambda k: (round(found[k], 9), -k))] if found else np.zeros((1, len(names)))
+    near = F.array(*[F.struct(F.aggregate(F.zip_with("__z", F.array(*map(F.lit, v.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(c)])
+    return df.withColumn("__z", z).withColumn("cluster", F.array_min(near)["i"]).drop("__z")

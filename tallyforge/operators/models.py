@@ -114,15 +114,3 @@ def choose_k(df: DataFrame, features: Sequence[str], most: int = 8, starts: int
     scored, _ = fits.kmeans_many(df, features, range(2, min(most, max(2, n - 1)) + 1), starts)
     found = scored.orderBy(F.desc("silhouette"), "k").first()
     return found["k"] if found else min(2, n)
-
-
-def clustered(df: DataFrame, features: Sequence[str], most: int = 8, small: int = 8, key: str = "note_id") -> DataFrame:
-    """Adds the cluster under the best count of clusters, and ``example``: the row's place among its cluster's keys by hash, for the first rows of each."""
-    n = df.count()
-    ks = range(2, min(most, max(2, n - 1)) + 1) if n >= small else [min(2, n)]
-    scored, centers = fits.kmeans_many(df, features, ks)
-    k = scored.orderBy(F.desc("silhouette"), "k").first()
-    out = fits.assign_clusters(df, features, centers[k["k"]]) if k else df.withColumn("cluster", F.lit(0))
-    first = out.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.abs(F.xxhash64(key)) % max(n // 1000, 1) == 0, F.col(key)))), 1, 5).alias("__first"))
-    out = out.join(F.broadcast(first.withColumnRenamed("cluster", "__c")), F.col("cluster") == F.col("__c"), "left")
-    return out.withColumn("example", F.coalesce(F.nullif(F.array_position("__first", F.col(key)), F.lit(0)), F.lit(99))).drop("__first", "__c")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import product
 
 import numpy as np
@@ -74,7 +75,7 @@ FOURIER = 24
 
 def _pool():
     """Candidates of every view, a Gaussian kernel's among them."""
-    return [*(x for name, names in VIEWS.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])), *(fits.replace(x, fourier=FOURIER) for x in _named("rbf", ALL, (0.3, 3.0), WEIGHTS[1:]))]
+    return [*(x for name, names in VIEWS.items() for x in _named(name, names, (0.3, 3.0), WEIGHTS[1:])), *(replace(x, fourier=FOURIER) for x in _named("rbf", ALL, (0.3, 3.0), WEIGHTS[1:]))]
 
 
 @query()
@@ -98,7 +99,7 @@ def prob_blend(spark, d):
 @query()
 def flat_candidates(spark, d):
     """All fixed candidates (view x penalty x weighting) under all rules on left-out rows, best 20 first."""
-    candidates = [*(x for name, names in VIEWS.items() for x in _named(name, names, CS, WEIGHTS)), *(fits.replace(x, fourier=FOURIER) for x in _named("rbf", ALL, CS, WEIGHTS))]
+    candidates = [*(x for name, names in VIEWS.items() for x in _named(name, names, CS, WEIGHTS)), *(replace(x, fourier=FOURIER) for x in _named("rbf", ALL, CS, WEIGHTS))]
     rules = models.rule_grid()
     tables = fits.confusions(fitted(labelled(spark, d), candidates, 0), rules, inner=False).sum(axis=0)
     ranked = sorted(((fits.quality(tables[k, r]), -k, -r) for k in range(len(candidates)) for r in range(len(rules))), reverse=True)[:20]
@@ -142,29 +143,50 @@ REASONS = [f"{r}_rate" for r in (*v.HELPFUL, *v.NOT_HELPFUL)]
 COUNTS = ["n_votes", "vote_h", "vote_sh", "vote_nh"]
 
 
+TERMS = 80
+
+
+def reasons_and_texts(spark, d):
+    """Notes with their reasons, votes and the weights of the ``TERMS`` most frequent words of their text, and these words.
+
+    A note's text is the document whose id is its key modulo the number of documents.
+    """
+    texts = v.texts(spark, d).select("doc_id", "text")
+    n = texts.agg(F.max("doc_id").alias("n")).first()["n"]
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+    weights = stable(text_ops.tfidf(texts, "doc_id", words, features=TERMS))
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+    wide = weights.groupBy("doc_id").pivot("term", terms).agg(F.max("weight"))
+    wide = wide.select(F.col("doc_id").alias("__doc"), *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"w_{t}") for t in terms])
+    notes = labelled(spark, d).withColumn("__doc", F.col("note_key") % ((n if n is not None else 0) + 1))
+    return stable(notes.join(wide, "__doc", "left").drop("__doc").fillna(0.0)), [f"w_{t}" for t in terms]
+
+
 @query()
 def reason_clusters(spark, d):
-    """Per class: clusters of notes by reasons, votes and the words of their topic, with sizes, leading reasons and examples."""
-    df = labelled(spark, d).join(v.notes(spark, d).select("note_id", "primary_topic"), "note_id")
-    words = F.split(F.lower("primary_topic"), "[^a-z0-9]+")
-    weights = text_ops.tfidf(df.select("note_id", "primary_topic"), "note_id", text_ops.word_grams(words), features=80)
-    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
-    wide = weights.groupBy("note_id").pivot("term", terms).agg(F.max("weight"))
-    wide = wide.select("note_id", *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"term_{i}") for i, t in enumerate(terms)])
-    df = df.join(wide, "note_id", "left").fillna(0.0)
-    names = [*REASONS, *COUNTS, *[f"term_{i}" for i in range(len(terms))]]
+    """Per class: clusters of notes by reasons, votes and words of their texts, with sizes, leading reasons, words by side, and examples.
+
+    Words of the helpful side are the heaviest on average among a cluster's notes with more
+    helpful than not helpful votes, those of the other side among the rest.  Five examples of every cluster,
+    however small, are its notes with the smallest hashes.
+    """
+    df, words = reasons_and_texts(spark, d)
+    names = [*REASONS, *COUNTS, *words]
+    helpful = F.col("share_h") > F.col("share_nh")
     out = None
     for k, label in ((2, "HELPFUL"), (1, "NEEDS_MORE_RATINGS"), (0, "NOT_HELPFUL")):
-        part = models.clustered(df.where(F.col("label") == k), names)
+        part = df.where(F.col("label") == k)
+        placed = clusters.clustered(part, names, "note_id", range(2, 9))
         size = F.count(F.lit(1))
-        summary = part.groupBy("cluster").agg(
-            size.alias("n"),
-            *[F.round(F.avg(x), 6).alias(f"mean_{x}") for x in COUNTS],
-            *[F.avg(x).alias(x) for x in REASONS],
-            F.slice(F.array_sort(F.collect_set(F.when(F.col("example") <= 5, F.col("note_id")))), 1, 5).alias("examples"),
-        )
+        sides = [F.coalesce(F.avg(F.when(on, F.col(w))), F.lit(0.0)).alias(f"{side}{w}") for side, on in (("h", helpful), ("n", ~helpful)) for w in words]
+        summary = placed.groupBy("cluster").agg(size.alias("n"), *[F.round(F.avg(x), 6).alias(f"mean_{x}") for x in COUNTS], *[F.avg(x).alias(x) for x in REASONS], *sides)
+        first = Window.partitionBy("cluster").orderBy(F.xxhash64("note_id"), "note_id")
+        five = placed.select("cluster", "note_id", F.row_number().over(first).alias("at")).where("at <= 5")
+        examples = five.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note_id"))), lambda x: x["note_id"]), ";").alias("examples"))
+        top = lambda side: F.regexp_replace(text_ops.top_terms([f"{side}{w}" for w in words], 5), rf"(^|;){side}w_", "$1")
         total = part.agg(size.alias("t"))
-        summary = summary.crossJoin(F.broadcast(total)).select(F.lit(label).alias("label"), "cluster", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), *[f"mean_{x}" for x in COUNTS], text_ops.top_terms(REASONS, 5).alias("top_reasons"), F.array_join("examples", ";").alias("examples"))
+        summary = summary.join(examples, "cluster").crossJoin(F.broadcast(total))
+        summary = summary.select(F.lit(label).alias("label"), "cluster", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), *[f"mean_{x}" for x in COUNTS], text_ops.top_terms(REASONS, 5).alias("top_reasons"), top("h").alias("helpful_terms"), top("n").alias("not_helpful_terms"), "examples")
         out = summary if out is None else out.unionByName(summary)
     return out
 

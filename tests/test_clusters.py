@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.operators import clusters, fits
 
@@ -98,3 +99,31 @@ def test_few_rows(spark):
     assert clusters.search_k(frame(spark, np.zeros((0, 2))), NAMES, "id", [2, 3]).count() == 0
     assert clusters.search_k(frame(spark, np.ones((5, 2))), NAMES, "id", [2, 3]).count() == 0
     assert [r.k for r in clusters.search_k(frame(spark, np.array([[0, 0], [1, 1], [0, 0]])), NAMES, "id", [2, 3], steps=3).collect()] == [2]
+
+
+def test_clusters_of_a_table(spark):
+    """The count with the best silhouette; few, equal and no rows."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(60, 2)) * 0.4 + c for c in ((0, 0), (9, 0), (0, 9))])
+    got = clusters.clustered(frame(spark, x), NAMES, "id", range(2, 6)).collect()
+    of = {r.id: r.cluster for r in got}
+    assert len(of) == 180 and len(set(of.values())) == 3 and all(len({of[i] for i in range(at, at + 60)}) == 1 for at in (0, 60, 120))
+    assert {r.cluster for r in clusters.clustered(frame(spark, x[[0, 1, 2]] + [[0, 0], [0, 0], [9, 0]]), NAMES, "id", range(2, 6)).collect()} == {0, 1}
+    assert {r.cluster for r in clusters.clustered(frame(spark, np.ones((5, 2))), NAMES, "id", range(2, 6)).collect()} == {0}
+    assert clusters.clustered(frame(spark, x[:0]), NAMES, "id", range(2, 6)).count() == 0
+
+
+def test_reason_clusters(spark):
+    """Three classes, every note in a cluster, words of real texts by side, five examples of each cluster or all its notes."""
+    from tallyforge.plans import registry
+    from tests.conftest import DATA
+
+    got = registry.QUERIES["reason_clusters"](spark, DATA).collect()
+    assert {r.label for r in got} == {"HELPFUL", "NEEDS_MORE_RATINGS", "NOT_HELPFUL"}
+    notes = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").join(spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey").distinct(), F.col("o_orderkey") == F.col("l_orderkey")).count()
+    assert sum(r.n for r in got) == notes
+    text = " ".join(r.text.lower() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text)
+    for r in got:
+        assert len(r.examples.split(";")) == min(r.n, 5)
+        terms = [t.split("=")[0] for side in (r.helpful_terms, r.not_helpful_terms) for t in side.split(";") if t]
+        assert terms and all(t in text for t in terms)
