@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import save
+from tallyforge.llm.shared import save, temporary
 from tallyforge.llm.words import release
 
 #: Characters of texts, and of new units, that are handled at once (their arrays stay in a core's cache).
@@ -337,7 +337,8 @@ def head_threshold(counts: DataFrame, most: int = HEAD) -> int:
 
 def link_scores(aligned: DataFrame, head: int = HEAD) -> DataFrame:
     """``aligned`` (stored, with a ``row`` number) with ``n_best`` and ``count_sum`` in place of its links."""
-    counts = save(pair_counts(aligned), "counts")
+    with temporary(aligned.sparkSession):
+        counts = save(pair_counts(aligned), "counts", keep=True)
     least = head_threshold(counts, head)
     links = aligned.select("row", F.inline("links"))
     frequent, rest = counts.filter(F.col("links") >= least), counts.filter(F.col("links") < least)

@@ -50,7 +50,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist status".split())
 # Words of classes and ids that name what is not the article.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay lightbox toast sidebar sidebars sidenav widget widgets related recommended recommendations recommendation suggested share sharing social breadcrumb breadcrumbs menu menus nav navbar navigation topbar toolbar masthead header footer copyright comment comments commentlist disqus respond replies reply pagination pager paging skip tagcloud hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adslot sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications announcement alert disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay lightbox toast sidebar sidebars sidenav widget widgets related recommended recommendations recommendation suggested share sharing social breadcrumb breadcrumbs menu menus nav navbar topnav subnav navigation toc search searchbox topbar toolbar masthead header footer copyright comment comments commentlist disqus respond replies reply pagination pager paging skip tagcloud hidden".split()
 )
 #: For elements that are articles themselves.
 ARTICLE_NAMES = frozenset("comment comments reply related recommended ad ads advert sponsored promo promotion teaser widget".split())
