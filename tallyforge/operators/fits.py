@@ -4,7 +4,9 @@ Each task adds up what its rows contribute to every model (gradients and curvatu
 regressions, sums of clusters), sums meet in a shuffle by model that adds them as they come, and
 the driver makes the step.  A search of hundreds of models thus costs as many scans as its
 longest fit has steps.  What travels is bounded by the number of models and features, never by
-rows.
+rows.  Models that see a row alike share its products, so that their sums are matrix products.
+Fits of a large table start from those of its hashed ``SAMPLE``; the steps to the optimum of all
+rows then take a few scans, each for gradients over every row.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from tallyforge.operators.relational import stable
 CLASSES = 3
 #: Above this many tasks, sums of a model are first taken in ``LANES`` parts.
 WIDE, LANES = 256, 32
+#: Rows from which fits of a larger table start (about as many), and rows that are worked on at a time.
+SAMPLE, CHUNK = 1 << 17, 4096
 
 
 def _summed(rows: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], dict[int, np.ndarray]], n: int, combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> list[np.ndarray | None]:
@@ -99,7 +103,7 @@ class _Model:
     @property
     def design(self) -> tuple:
         """What the model sees of a row is the same for equal values within a split."""
-        return (self.columns.tobytes(), self.mean.tobytes(), 0 if self.waves is None else self.waves[0].shape[1])
+        return (self.columns.tobytes(), self.fill.tobytes(), self.mean.tobytes(), self.scale.tobytes(), 0 if self.waves is None else self.waves[0].shape[1])
 
 
 @dataclass
@@ -115,21 +119,27 @@ class Fitted:
 
 
 def _design(x: np.ndarray, m: _Model) -> np.ndarray:
-    v = x[:, m.columns]
-    z = (np.where(np.isnan(v), m.fill, v) - m.mean) / m.scale
+    """What the model sees (rows of the result) of table columns (rows of ``x``), ones last."""
+    v = x[m.columns]
+    z = (np.where(np.isnan(v), m.fill[:, None], v) - m.mean[:, None]) / m.scale[:, None]
     if m.waves is not None:
-        z = np.cos(z @ m.waves[0] + m.waves[1]) * np.sqrt(2 / m.waves[0].shape[1])
-    return np.concatenate([z, np.ones((len(x), 1))], axis=1)
+        z = np.cos(m.waves[0].T @ z + m.waves[1][:, None]) * np.sqrt(2 / m.waves[0].shape[1])
+    return np.concatenate([z, np.ones((1, x.shape[1]))])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Shares over the last axis but one."""
+    z = np.exp(z - z.max(axis=-2, keepdims=True))
+    return z / z.sum(axis=-2, keepdims=True)
 
 
 def _probabilities(z: np.ndarray, m: _Model) -> np.ndarray:
-    """Class probabilities of rows of a design."""
-    z = z @ m.w
+    """Class probabilities (rows x classes) of the columns of a design."""
+    z = m.w.T @ z
     if m.sigmoid is not None:
-        p = 1 / (1 + np.exp(np.clip(z * m.sigmoid[0] + m.sigmoid[1], -500, 500)))
-        return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+        p = 1 / (1 + np.exp(np.clip(z * m.sigmoid[0][:, None] + m.sigmoid[1][:, None], -500, 500)))
+        return (p / np.maximum(p.sum(axis=0), 1e-300)).T
+    return _softmax(z).T
 
 
 def _train(split: tuple[int, int], outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
@@ -149,76 +159,106 @@ Part = tuple[int, int, tuple[bool, ...]]  # outer fold, inner fold, labels that
 def _medians(body: DataFrame, parts: Sequence[Part], known: np.ndarray, width: int, bins: int = 256, rounds: int = 3) -> np.ndarray:
     """Lower medians (parts x columns) of the known values of each part, by brackets that narrow ``bins`` times a scan.
 
-    The median is the least value inside the last bracket: exact unless several values lie within
-    a part in 16 million of the column's range.
+    The first scan cuts the whole range of a column, so a row's bin is the same for all parts; the
+    others read the rows of the brackets alone.  A bracket of one value is that median; else it is
+    the least value inside the last bracket: exact unless several values lie within a part in 16
+    million of the column's range.
     """
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-        for b in batches:
-            y, o, n, x = _arrays(b)
-            for i, (f, g, labels) in enumerate(parts):
-                use = _train((f, g), o, n) & np.array(labels)[y]
-                for j in range(width):
-                    v = x[use, j]
-                    yield i, j, v[~np.isnan(v)]
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found = np.full((len(parts), width, 2), np.inf)
-        for i, j, v in values(batches):
-            if len(v):
-                found[i, j] = np.minimum(found[i, j], [v.min(), -v.max()])
-        return {0: found.ravel()}
-
-    low, high = np.moveaxis(_summed(body, ends, 1, np.minimum)[0].reshape(len(parts), width, 2) * [1, -1], 2, 0)
-    rank, below = (known + 1) // 2, np.zeros(known.shape)
-    path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # start and width of the bins of a scan, and the bin that holds the median
+    def members(y: np.ndarray, o: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.stack([_train((f, g), o, n) & np.array(labels)[y] for f, g, labels in parts])
 
     def place(v: np.ndarray, low: float, step: float) -> np.ndarray:
         return np.clip((v - low) / step, 0, bins - 1).astype(int) if step > 0 else np.zeros(len(v), int)
 
-    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
-        for i, j, v in values(batches):
-            for start, step, at in path:
-                v = v[place(v, start[i, j], step[i, j]) == at[i, j]]
-            yield i, j, v
+    def ends(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found = np.full((2, width), np.inf)
+        for *_, x in _chunks(batches):
+            found = np.fmin(found, [np.fmin.reduce(x, axis=1), np.fmin.reduce(-x, axis=1)])
+        return {0: found.ravel()}
 
-    low, step = np.where(known > 0, low, 0.0), np.where(known > 0, high - low, 0.0) / bins
-    for _ in range(rounds):
+    bounds = _summed(body, ends, 1, np.minimum)[0].reshape(2, width)
+    low = np.where(np.isfinite(bounds[0]), bounds[0], 0.0)
+    step = np.where(np.isfinite(bounds[1]), -bounds[1] - low, 0.0) / bins
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        found = np.zeros((len(parts), width, bins))
+        for y, o, n, x in _chunks(batches):
+            use = members(y, o, n)
+            for j in range(width):
+                have = np.flatnonzero(~np.isnan(x[j]))
+                at = place(x[j][have], low[j], step[j])
+                for i in range(len(parts)):
+                    found[i, j] += np.bincount(at[use[i, have]], minlength=bins)
+        return {0: found.ravel()}
 
-        def counts(batches: Iterator[pa.RecordBatch], low: np.ndarray = low, step: np.ndarray = step) -> dict[int, np.ndarray]:
-            found = np.zeros((len(parts), width, bins))
-            for i, j, v in bracketed(batches):
-                found[i, j] += np.bincount(place(v, low[i, j], step[i, j]), minlength=bins)
-            return {0: found.ravel()}
+    rank, below, value = (known + 1) // 2, np.zeros(known.shape), np.zeros(known.shape)
+    upto = _summed(body, counts, 1)[0].reshape(len(parts), width, bins).cumsum(axis=2)
+    path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # start and width of the bins of a scan, and the bin that holds the median
 
-        upto = below[..., None] + _summed(body, counts, 1)[0].reshape(len(parts), width, bins).cumsum(axis=2)
+    def narrow(upto: np.ndarray, low: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts below, starts and bin widths of the next brackets."""
         at = np.minimum((upto < rank[..., None]).sum(axis=2), bins - 1)
-        below = np.where(at > 0, np.take_along_axis(upto, np.maximum(at - 1, 0)[..., None], 2)[..., 0], below)
         path.append((low, step, at))
-        low, step = low + at * step, step / bins
+        return np.where(at > 0, np.take_along_axis(upto, np.maximum(at - 1, 0)[..., None], 2)[..., 0], below), low + at * step, step / bins
 
-    def least(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found = np.full((len(parts), width), np.inf)
-        for i, j, v in bracketed(batches):
-            found[i, j] = min(found[i, j], v.min(initial=np.inf))
-        return {0: found.ravel()}
+    below, low_in, step_in = narrow(upto, np.broadcast_to(low, known.shape), np.broadcast_to(step, known.shape))
+    pairs = [(i, j) for i in range(len(parts)) for j in range(width) if known[i, j] > 0]
+    for left in range(rounds, 0, -1):
+        if not pairs:
+            break
 
-    found = _summed(body, least, 1, np.minimum)[0].reshape(len(parts), width)
-    return np.where(np.isfinite(found), found, 0.0)
+        def bracketed(batches: Iterator[pa.RecordBatch], pairs: list = pairs, low_in: np.ndarray = low_in, step_in: np.ndarray = step_in, fine: int = bins if left > 1 else 0) -> dict[int, np.ndarray]:
+            """Least and largest value of each pair's bracket, and counts per finer bin."""
+            ends, found = np.full((len(pairs), 2), np.inf), np.zeros((len(pairs), fine))
+            of: dict[int, list[int]] = {}
+            for k, (_, j) in enumerate(pairs):
+                of.setdefault(j, []).append(k)
+            for y, o, n, x in _chunks(batches):
+                use = members(y, o, n)
+                for j, own in of.items():
+                    have = np.flatnonzero(~np.isnan(x[j]))
+                    v = x[j][have]
+                    at = place(v, low[j], step[j])
+                    near = np.isin(at, [path[0][2][pairs[k][0], j] for k in own])
+                    have, v, at = have[near], v[near], at[near]
+                    for k in own:
+                        i = pairs[k][0]
+                        u = v[(at == path[0][2][i, j]) & use[i, have]]
+                        for start, size, bin_ in path[1:]:
+                            u = u[place(u, start[i, j], size[i, j]) == bin_[i, j]]
+                        if len(u):
+                            ends[k] = np.minimum(ends[k], [u.min(), -u.max()])
+                            if fine:
+                                found[k] += np.bincount(place(u, low_in[i, j], step_in[i, j]), minlength=bins)
+            return {0: np.concatenate([ends.ravel(), found.ravel()])}
+
+        size = 2 * len(pairs)
+        got = _summed(body, bracketed, 1, lambda a, b: np.concatenate([np.minimum(a[:size], b[:size]), a[size:] + b[size:]]))[0]
+        limits, inside = got[:size].reshape(-1, 2), got[size:].reshape(len(pairs), -1)
+        for k, (i, j) in enumerate(pairs):
+            if np.isfinite(limits[k, 0]):
+                value[i, j] = limits[k, 0]
+        if left > 1:
+            upto = np.zeros((*known.shape, bins))
+            for k, (i, j) in enumerate(pairs):
+                upto[i, j] = below[i, j] + inside[k].cumsum()
+            below, low_in, step_in = narrow(upto, low_in, step_in)
+        pairs = [p for p, (least, most) in zip(pairs, limits, strict=True) if least != -most]
+    return value
 
 
 def _scaled(body: DataFrame, parts: Sequence[Part], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows per label, medians, means, deviations) of the rows of each part, gaps counted as medians."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found = {i: np.zeros(CLASSES + 3 * width) for i in range(len(parts))}
-        for b in batches:
-            y, o, n, x = _arrays(b)
-            for i, (f, g, labels) in enumerate(parts):
-                use = _train((f, g), o, n) & np.array(labels)[y]
-                v, have = np.nan_to_num(x[use]), ~np.isnan(x[use])
-                found[i] += np.concatenate([np.bincount(y[use], minlength=CLASSES), have.sum(axis=0), v.sum(axis=0), (v * v).sum(axis=0)])
-        return found
+        found = np.zeros((len(parts), CLASSES + 3 * width))
+        for y, o, n, x in _chunks(batches):
+            use = np.stack([_train((f, g), o, n) & np.array(labels)[y] for f, g, labels in parts]).astype(float)
+            gap = np.isnan(x)
+            v = np.where(gap, 0.0, x)
+            found += use @ np.concatenate([y == np.arange(CLASSES)[:, None], ~gap, v, v * v]).astype(float).T
+        return dict(enumerate(found))
 
     sums = np.stack(_summed(body, moments, len(parts)))
     per_label, (known, total, square) = sums[:, :CLASSES], (sums[:, CLASSES + k * width : CLASSES + (k + 1) * width] for k in range(3))
@@ -249,82 +289,168 @@ def _step_l1(slope: np.ndarray, curve: np.ndarray, w: np.ndarray, penalty: np.nd
     return d
 
 
-def _slopes(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
-    """Gradient and curvature of the loss of some rows, in one array."""
-    k = m.w.shape[1]
-    w = m.weight[t][:, None]
+def _slopes(z: np.ndarray, t: np.ndarray, models: Sequence[_Model], curved: bool) -> np.ndarray:
+    """A row per model: gradient of the loss of some rows and, if ``curved``, its curvature.
+
+    All models have the same design ``z`` and classes.  The curvature is a symmetric block for each
+    class (support vectors) or pair of classes (regressions; the others follow), of which only the
+    upper half is summed.
+    """
+    (d, n), k, many = z.shape, models[0].w.shape[1], len(models)
+    own = (t == np.arange(k)[:, None]).astype(float)
+    w = np.stack([m.weight for m in models])[:, None, t]
+    scores = (np.concatenate([m.w.T for m in models]) @ z).reshape(many, k, n)
+    if models[0].kind == "svc":
+        side = 2 * own - 1
+        bend = 2 * np.array([m.c for m in models])[:, None, None] * w * (side * scores < 1)
+        rest = bend * (scores - side)
+    else:
+        p = _softmax(scores)
+        rest = w * (p - own)
+        bend = np.stack([w[:, 0] * p[:, a] * p[:, c] for a in range(k) for c in range(a + 1, k)], axis=1) if curved else None
+    slope = (rest.reshape(many * k, n) @ z.T).reshape(many, k * d)
+    if not curved:
+        return slope
+    i, j = np.triu_indices(d)
+    return np.concatenate([slope, (bend.reshape(many * bend.shape[1], n) @ (z[i] * z[j]).T).reshape(many, bend.shape[1] * len(i))], axis=1)
+
+
+def _curvature(sums: np.ndarray, m: _Model) -> np.ndarray:
+    """The full matrix of all classes from the upper halves of its blocks."""
+    d, k = m.w.shape
+    i, j = np.triu_indices(d)
+    half = sums.reshape(-1, len(i))
+    blocks = np.zeros((len(half), d, d))
+    blocks[:, i, j] = blocks[:, j, i] = half
+    out = np.zeros((k, d, k, d))
     if m.kind == "svc":
-        side = 2.0 * (t[:, None] == np.arange(k)) - 1
-        margin = z @ m.w
-        hit = 2 * m.c * w * (side * margin < 1)
-        return np.concatenate([(z.T @ (hit * (margin - side))).T.ravel(), np.stack([(z * hit[:, [a]]).T @ z for a in range(k)]).ravel()])
-    p = _probabilities(z, m)
-    slope = z.T @ (w * (p - np.eye(k)[t]))
-    curve = np.stack([[(z * (w * p[:, [a]] * ((a == c) - p[:, [c]]))).T @ z for c in range(k)] for a in range(k)])
-    return np.concatenate([slope.T.ravel(), curve.transpose(0, 2, 1, 3).ravel()])
+        out[range(k), :, range(k)] = blocks
+    else:
+        for block, (a, c) in zip(blocks, [(a, c) for a in range(k) for c in range(a + 1, k)], strict=True):
+            out[a, :, c], out[c, :, a] = -block, -block
+            out[a, :, a] += block
+            out[c, :, c] += block
+    return out.reshape(d * k, d * k)
 
 
-def _move(m: _Model, s: np.ndarray) -> float:
+def _move(m: _Model, slope: np.ndarray, curve: np.ndarray) -> float:
     """Makes the model's step from summed gradients and curvature; returns its size."""
     d, k = m.w.shape
-    slope, curve = s[: d * k], s[d * k :]
     w = m.w.T.ravel()
     free = np.tile(np.arange(d) == d - 1, k)  # the intercepts
     if m.kind == "svc":
         ridge = np.where(free, 1e-6, 1.0)
-        step = np.concatenate([np.linalg.solve(c + np.diag(r), g) for c, r, g in zip(curve.reshape(k, d, d), ridge.reshape(k, d), (slope + ridge * w).reshape(k, d), strict=True)])
+        step = np.linalg.solve(curve + np.diag(ridge), slope + ridge * w)
     else:
         # of two mirrored classes each carries half of a binary regression's weights
         penalty = np.where(free, 0.0, (2.0 if k == 2 and m.kind == "l2" else 1.0) / m.c)
         ridge = np.where(free, 1e-6, penalty) if m.kind == "l2" else np.full(d * k, 1e-6)
-        curve = curve.reshape(d * k, d * k) + np.diag(ridge)
+        curve = curve + np.diag(ridge)
         step = -_step_l1(slope, curve, w, penalty) if m.kind == "l1" else np.linalg.solve(curve, slope + ridge * w)
-    step = step.reshape(k, d).T * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+    step = step.reshape(k, d).T
+    if m.kind != "svc":
+        step[-1] -= step[-1].mean()  # a shift of all intercepts changes nothing, so what sums say of it is rounding
+    step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
     m.w = m.w - step
     return float(np.abs(step).max())
 
 
-def _by_split(models: Sequence[_Model]) -> dict[tuple[int, int], dict[tuple, list[int]]]:
-    """Model numbers by the rows that they leave out and, within these, by what they see of a row."""
+def _by_split(models: Sequence[_Model]) -> dict[tuple[int, int], list[list[int]]]:
+    """Model numbers by the rows that they leave out and, within these, by what they see and learn of a row."""
     found: dict[tuple[int, int], dict[tuple, list[int]]] = {}
     for i, m in enumerate(models):
-        found.setdefault((m.outer, m.inner), {}).setdefault(m.design, []).append(i)
-    return found
+        found.setdefault((m.outer, m.inner), {}).setdefault((m.design, m.kind, m.target.tobytes()), []).append(i)
+    return {split: list(groups.values()) for split, groups in found.items()}
 
 
-def _over_training_rows(models: Sequence[_Model], own: dict, batches: Iterator[pa.RecordBatch], sums: Callable[[np.ndarray, np.ndarray, _Model], np.ndarray], wanted: set[int]) -> dict[int, np.ndarray]:
-    found: dict[int, np.ndarray] = {}
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, outer folds, inner folds, columns x rows) of some rows at a time."""
     for b in batches:
         y, o, n, x = _arrays(b)
-        for split, designs in own.items():
-            use = _train(split, o, n)
-            for group in designs.values():
-                if wanted.isdisjoint(group):
-                    continue
-                z = _design(x[use], models[group[0]])
-                for i in wanted.intersection(group):
-                    t = models[i].target[y[use]]
-                    found[i] = found.get(i, 0) + (sums(z[t >= 0], t[t >= 0], models[i]) if t.min(initial=0) < 0 else sums(z, t, models[i]))
+        for at in range(0, len(y), CHUNK):
+            part = slice(at, at + CHUNK)
+            yield y[part], o[part], n[part], np.ascontiguousarray(x[part].T)
+
+
+def _over_training_rows(models: Sequence[_Model], own: dict[tuple[int, int], list[list[int]]], batches: Iterator[pa.RecordBatch], sums: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray], wanted: set[int]) -> dict[int, np.ndarray]:
+    """What ``sums`` (design, classes, models that share them) adds up to for each wanted model over the rows that it learns from."""
+    found: dict[int, np.ndarray] = {}
+    for y, o, n, x in _chunks(batches):
+        for split, groups in own.items():
+            live = [g for g in ([i for i in group if i in wanted] for group in groups) if g]
+            if not live:
+                continue
+            use = np.flatnonzero(_train(split, o, n))
+            mine, labels = x[:, use], y[use]
+            designs: dict[tuple, np.ndarray] = {}
+            for group in live:
+                m = models[group[0]]
+                z = designs.get(m.design)
+                if z is None:
+                    z = designs[m.design] = _design(mine, m)
+                t = m.target[labels]
+                if t.min(initial=0) < 0:
+                    z, t = z[:, t >= 0], t[t >= 0]
+                for i, s in zip(group, sums(z, t, group), strict=True):
+                    found[i] = found[i] + s if i in found else s
     return found
 
 
+def _newton(body: DataFrame, models: list[_Model], own: dict, rounds: int, times: float = 1.0, curves: dict[int, np.ndarray] | None = None) -> tuple[set[int], dict[int, np.ndarray]]:
+    """Moves all models to the optimum over the rows, each of which stands for ``times`` rows; returns those that are not there, and last curvatures.
+
+    A model with a curvature in ``curves`` (of a sample) keeps it and needs gradients alone, as long
+    as each step is at most a third of the one before; one that does slower gets its own curvature
+    with every later scan.
+    """
+    curves, last = dict(curves or {}), {}
+    moving, kept = set(range(len(models))), set(curves)
+    for _ in range(rounds if models else 0):
+
+        def sums(z: np.ndarray, t: np.ndarray, group: list[int], kept: frozenset[int] = frozenset(kept)) -> list[np.ndarray]:
+            parts = [(curved, [i for i in group if (i not in kept) == curved]) for curved in (False, True)]
+            out = {i: s for curved, some in parts if some for i, s in zip(some, _slopes(z, t, [models[i] for i in some], curved), strict=True)}
+            return [out[i] for i in group]
+
+        found = _summed(body, lambda batches: _over_training_rows(models, own, batches, sums, moving), len(models))
+        still = set()
+        for i in sorted(moving):
+            if found[i] is None:
+                continue
+            m, size = models[i], models[i].w.size
+            if i not in kept:
+                curves[i] = times * _curvature(found[i][size:], m)
+            step = _move(m, times * found[i][:size], curves[i])
+            if step >= 1e-6:
+                still.add(i)
+                if step > last.get(i, np.inf) / 3:
+                    kept.discard(i)
+            last[i] = step
+        moving = still
+        if not moving:
+            break
+    return moving, curves
+
+
 def _fit_sigmoids(body: DataFrame, models: list[_Model], own: dict, rows: dict[int, np.ndarray], rounds: int = 12) -> None:
     """A sigmoid of each class's margin by Newton steps on the rows that the model learned from, with smoothed targets."""
     wanted = {i for i, m in enumerate(models) if m.kind == "svc"}
     for i in wanted:
-        models[i].sigmoid = np.stack([np.full(models[i].w.shape[1], -1.0), np.zeros(models[i].w.shape[1])])
+        if models[i].sigmoid is None:
+            models[i].sigmoid = np.stack([np.full(models[i].w.shape[1], -1.0), np.zeros(models[i].w.shape[1])])
+        n = rows[i]
+        models[i].aims = np.stack([(n + 1) / (n + 2), 1 / (n.sum() - n + 2)])
+
+    def sums(z: np.ndarray, t: np.ndarray, group: list[int]) -> list[np.ndarray]:
+        return [one(z, t, models[i]) for i in group]
 
-    def sums(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
-        k = m.w.shape[1]
-        margin, own_rows = z @ m.w, t[:, None] == np.arange(k)
-        aim = np.where(own_rows, m.aims[0], m.aims[1])
-        p = 1 / (1 + np.exp(np.clip(margin * m.sigmoid[0] + m.sigmoid[1], -500, 500)))
+    def one(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
+        margin, own_rows = m.w.T @ z, t == np.arange(m.w.shape[1])[:, None]
+        aim = np.where(own_rows, m.aims[0][:, None], m.aims[1][:, None])
+        p = 1 / (1 + np.exp(np.clip(margin * m.sigmoid[0][:, None] + m.sigmoid[1][:, None], -500, 500)))
         q = p * (1 - p)
-        return np.stack([(margin * (aim - p)).sum(axis=0), (aim - p).sum(axis=0), (margin * margin * q).sum(axis=0), (margin * q).sum(axis=0), q.sum(axis=0)]).ravel()
+        return np.stack([(margin * (aim - p)).sum(axis=1), (aim - p).sum(axis=1), (margin * margin * q).sum(axis=1), (margin * q).sum(axis=1), q.sum(axis=1)]).ravel()
 
-    for i in wanted:
-        n = rows[i]
-        models[i].aims = np.stack([(n + 1) / (n + 2), 1 / (n.sum() - n + 2)])
     for _ in range(rounds if wanted else 0):
         moved = 0.0
         for i, s in enumerate(_summed(body, lambda batches: _over_training_rows(models, own, batches, sums, wanted), len(models))):
@@ -349,13 +475,14 @@ def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Seque
     or inner, reaches a model.  ``also``: columns that other models of the search use.
     """
     names = list(dict.fromkeys([*(x for c in candidates for x in c.features), *also]))
-    folds = len(inner) or df.agg(F.max(outer).alias("n")).first()["n"] + 1
     rows = df.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(outer).cast("int").alias("outer"), F.array(*[F.col(i).cast("int") for i in inner], *([] if inner else [F.lit(0)])).alias("inner"), F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))) for x in names]).alias("x"))
     rows = stable(rows)
+    folds = len(inner) or rows.agg(F.max("outer").alias("n")).first()["n"] + 1
     body = rows.select("label", "outer", "inner", "x")
     splits = [(f, g) for f in range(folds) for g in ([-1, *range(inner_folds)] if inner else [-1])]
     part_of = {c: tuple(t >= 0 for t in c.target) for c in candidates}
-    parts: list[Part] = [(f, g, labels) for f, g in splits for labels in dict.fromkeys([(True,) * CLASSES, *part_of.values()])]
+    every = (True,) * CLASSES
+    parts: list[Part] = [(f, g, labels) for f, g in splits for labels in dict.fromkeys([*([every] if g < 0 else []), *part_of.values()])]
     scaled = dict(zip(parts, _scaled(body, parts, len(names)), strict=True))
     models: dict[tuple[int, int, int], _Model] = {}
     sizes: dict[int, np.ndarray] = {}
@@ -374,14 +501,18 @@ def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Seque
             models[k, f, g] = _Model(f, g, at, c.kind, c.c, target, fill[at], mean[at], scale[at], weight, np.zeros(((c.fourier or len(at)) + 1, len(n_k))), waves)
     many = list(models.values())
     own = _by_split(many)
-    moving = set(range(len(many)))
-    for _ in range(rounds if many else 0):
-        sums = _summed(body, lambda batches: _over_training_rows(many, own, batches, _slopes, moving), len(many))
-        moving = {i for i in moving if sums[i] is not None and _move(many[i], sums[i]) >= 1e-6}
-        if not moving:
-            break
+    times, curves = int(max((n.sum() for n in sizes.values()), default=0)) // SAMPLE, None
+    if times > 1:
+        few = stable(rows.where(F.pmod(F.xxhash64("key"), F.lit(times)) == 0).select("label", "outer", "inner", "x").coalesce(df.sparkSession.sparkContext.defaultParallelism))
+        lost, curves = _newton(few, many, own, rounds, times)
+        for i in lost:  # starts from nothing, with curvatures of its own
+            many[i].w = np.zeros_like(many[i].w)
+            curves.pop(i, None)
+    _newton(body, many, own, rounds, 1.0, curves)
+    if times > 1:
+        _fit_sigmoids(few, many, own, sizes)
     _fit_sigmoids(body, many, own, sizes)
-    return Fitted(rows, names, list(candidates), models, folds, [scaled[f, -1, (True,) * CLASSES][1] for f in range(folds)])
+    return Fitted(rows, names, list(candidates), models, folds, [scaled[f, -1, every][1] for f in range(folds)])
 
 
 # the rules of decide_many, with their two parameters
@@ -428,6 +559,7 @@ def _scores(models: dict[tuple[int, int, int], _Model], wanted: Sequence[int], i
     """Probabilities of rows under some candidates of one split; what several see alike is made once."""
     seen: dict[tuple, np.ndarray] = {}
     out = {}
+    x = np.ascontiguousarray(x.T)
     for k in wanted:
         m = models[k, i, j]
         if m.design not in seen:

@@ -40,18 +40,23 @@ def labelled(spark, d):
 
 
 def folded(df, outer: int = OUTER, inner: int = INNER):
-    """Stratified outer folds, and for each of them inner folds of the rows that it leaves for training."""
-    out = sampling.folds(df, "label", "note_key", outer, 13).withColumnRenamed("fold", "outer")
+    """Stratified outer folds, and for each of them inner folds of the rows that it leaves for training.
+
+    Folds are dealt on a narrow table of stored row numbers, so a table is not shuffled whole for each of them.
+    """
+    rows = stable(df.withColumn("__row", F.monotonically_increasing_id()))
+    out = stable(sampling.folds(rows.select("__row", "label", "note_key"), "label", "note_key", outer, 13).withColumnRenamed("fold", "outer"))
     for f in range(outer if inner else 0):
         # rows of the outer fold itself are a stratum of their own and never used
         part = out.withColumn("__stratum", F.when(F.col("outer") == f, -1).otherwise(F.col("label")))
-        out = sampling.folds(part, "__stratum", "note_key", inner, 29 + f).withColumnRenamed("fold", f"inner{f}").drop("__stratum")
-    return out
+        out = stable(sampling.folds(part, "__stratum", "note_key", inner, 29 + f).withColumnRenamed("fold", f"inner{f}").drop("__stratum"))
+    return rows.join(out.drop("label", "note_key"), "__row").drop("__row")
 
 
-def fitted(df, candidates, inner: int = INNER, **more):
+def fitted(df, candidates, inner: int = INNER, also=(), **more):
     names = [f"inner{f}" for f in range(OUTER)] if inner else []
-    return fits.fit_candidates(folded(df, OUTER, inner), "note_id", "label", "outer", names, candidates, inner, **more)
+    used = dict.fromkeys([*(x for c in candidates for x in c.features), *also])
+    return fits.fit_candidates(folded(df.select("note_id", "note_key", "label", *used), OUTER, inner), "note_id", "label", "outer", names, candidates, inner, also=also, **more)
 
 
 def _named(view, names, cs, weights):

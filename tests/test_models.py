@@ -296,3 +296,67 @@ def test_selective_targets(spark):
     swapped = np.where(outer == 1, 2 - y, y)
     other = ablation.binned(fit(spark, candidates, inner=True, source=(swapped, x, outer, inner)), [0], True, 20)
     assert np.array_equal(inside[1], other[1]) and not np.array_equal(inside[0], other[0])
+
+
+@pytest.mark.parametrize("kind, rounds", [("l2", 12), ("l1", 40), ("svc", 60)])
+def test_large_tables_start_from_a_sample(spark, monkeypatch, kind, rounds):
+    """Fits that start from a sample end where fits on all rows end, with gradients alone in few scans over all rows."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    y = np.arange(n) % 3
+    x = rng.normal(size=(n, 3)) + y[:, None] * [[1.2, 0.4, 0.0]]
+    x[rng.random(n) < 0.15, 1] = np.nan
+    source = y, x, (np.arange(n) // 3) % FOLDS, (np.arange(n) // 9) % 2
+    candidates = [fits.Candidate("one", "v", NAMES, 0.1, "balanced", kind), fits.Candidate("two", "v", ("a", "b"), 1.0, None, kind)]
+    plain = fit(spark, candidates, inner=True, source=source, rounds=rounds)
+    scans = []
+    newton = fits._summed
+
+    def counted(rows, task, n, *more):
+        scans.append(rows.count())
+        return newton(rows, task, n, *more)
+
+    monkeypatch.setattr(fits, "SAMPLE", 1000)
+    monkeypatch.setattr(fits, "_summed", counted)
+    started = fit(spark, candidates, inner=True, source=source, rounds=rounds)
+    for key, m in plain.models.items():
+        assert np.allclose(m.w[:-1] - m.w[:-1].mean(axis=1, keepdims=True), started.models[key].w[:-1] - started.models[key].w[:-1].mean(axis=1, keepdims=True), rtol=0, atol=2e-5), key
+        assert m.kind != "svc" or np.allclose(m.sigmoid, started.models[key].sigmoid, atol=1e-3)
+    assert any(s < n / 3 for s in scans)
+
+
+def test_models_that_see_a_row_alike_share_its_sums(spark):
+    """Batched gradients and curvatures equal those of one model at a time, written out."""
+    rng = np.random.default_rng(2)
+    z, t = np.concatenate([rng.normal(size=(4, 50)), np.ones((1, 50))]), rng.integers(0, 3, 50)
+    for kind in ("l2", "svc"):
+        group = [fits._Model(0, -1, np.arange(4), kind, c, np.arange(3), np.zeros(4), np.zeros(4), np.ones(4), rng.random(3) + 0.5, rng.normal(size=(5, 3))) for c in (0.3, 2.0)]
+        for m, got in zip(group, fits._slopes(z, t, group, True)):
+            slope, curve = np.zeros((3, 5)), np.zeros((3, 5, 3, 5))
+            for k in range(50):
+                s, w = m.w.T @ z[:, k], m.weight[t[k]]
+                p = np.exp(s) / np.exp(s).sum()
+                for a in range(3):
+                    side = 1 if t[k] == a else -1
+                    hit = 2 * m.c * w * (side * s[a] < 1)
+                    slope[a] += (hit * (s[a] - side) if kind == "svc" else w * (p[a] - (t[k] == a))) * z[:, k]
+                    for b in range(3):
+                        bend = hit * (a == b) if kind == "svc" else w * p[a] * ((a == b) - p[b])
+                        curve[a, :, b] += bend * np.outer(z[:, k], z[:, k])
+            assert np.allclose(got[:15], slope.ravel()) and np.allclose(fits._curvature(got[15:], m), curve.reshape(15, 15))
+            assert np.allclose(fits._slopes(z, t, group, False), fits._slopes(z, t, group, True)[:, :15])
+            assert not fits._slopes(z[:, :0], t[:0], group, True).any()
+
+
+def test_folds_keep_repeated_and_missing_keys(spark):
+    """Every row comes back once with its folds, rows that share a key or have none too; classes are dealt evenly."""
+    keys = [*range(60), 7, 7, None, None]
+    df = spark.createDataFrame([(i, k, i % 3) for i, k in enumerate(keys)], "note_id long, note_key long, label int")
+    got = plans.folded(df).collect()
+    assert sorted(r.note_id for r in got) == list(range(len(keys)))
+    for label in range(3):
+        sizes = np.bincount([r.outer for r in got if r.label == label], minlength=plans.OUTER)
+        assert sizes.max() - sizes.min() <= 1
+        for f in range(plans.OUTER):
+            inside = np.bincount([r[f"inner{f}"] for r in got if r.label == label and r.outer != f], minlength=plans.INNER)
+            assert inside.max() - inside.min() <= 1
