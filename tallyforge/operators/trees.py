@@ -113,7 +113,8 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
                     place = np.full(len(tree.feature), -1)
                     place[nodes[i]] = np.arange(len(nodes[i]))
                     at = place[tree.node(seen[key], level)]
-                    yield i, at[at >= 0], seen[key][at >= 0], y[use][at >= 0]
+                    inside = at >= 0
+                    yield (i, at, seen[key], y[use]) if inside.all() else (i, at[inside], seen[key][inside], y[use][inside])
 
     for level in range(max((x.depth for x in forests), default=0)):
         first = 2**level - 1
@@ -126,11 +127,14 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
             found: dict[int, np.ndarray] = {}
             for i, at, v, _ in rows(batches, nodes, level):
                 mine = found.setdefault(i, np.full((len(nodes[i]), 2, v.shape[1]), np.inf))
-                order = np.argsort(at, kind="stable")
-                own, starts = np.unique(at[order], return_index=True)
+                if len(nodes[i]) > 1:
+                    at = at.astype(np.int16 if len(nodes[i]) < 1 << 15 else np.int64)  # short numbers are sorted by radix
+                    order = np.argsort(at, kind="stable")
+                    at, v = at[order], v[order]
+                own, starts = np.unique(at, return_index=True)
                 if len(own):
-                    mine[own, 0] = np.minimum(mine[own, 0], np.minimum.reduceat(v[order], starts))
-                    mine[own, 1] = np.minimum(mine[own, 1], np.minimum.reduceat(-v[order], starts))
+                    mine[own, 0] = np.minimum(mine[own, 0], np.minimum.reduceat(v, starts))
+                    mine[own, 1] = np.minimum(mine[own, 1], -np.maximum.reduceat(v, starts))
             return {i: x.ravel() for i, x in found.items()}
 
         drawn: list[list[list[tuple[int, float]]]] = []
