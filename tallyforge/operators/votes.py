@@ -45,8 +45,12 @@ def add_shares(features: DataFrame) -> DataFrame:
 
 
 def vote_features(votes: DataFrame, key: str = "note_id", extra: Sequence[Column] = ()) -> DataFrame:
-    """One row per item: counts, shares, entropy, margins, score, confidence and understanding statistics."""
-    return add_shares(votes.groupBy(key).agg(*core_aggregates(), *extra))
+    """One row per item: counts, shares, entropy, margins, score, confidence and understanding statistics.
+
+    An item has few votes, and a vote is far shorter than the sums of all statistics, so votes are
+    what is shuffled.
+    """
+    return add_shares(votes.repartition(key).groupBy(key).agg(*core_aggregates(), *extra))
 
 
 def rates(flags: Sequence[str]) -> list[Column]:

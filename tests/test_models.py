@@ -360,3 +360,13 @@ def test_folds_keep_repeated_and_missing_keys(spark):
         for f in range(plans.OUTER):
             inside = np.bincount([r[f"inner{f}"] for r in got if r.label == label and r.outer != f], minlength=plans.INNER)
             assert inside.max() - inside.min() <= 1
+
+
+def test_votes_are_shuffled_and_not_the_sums_of_all_statistics(spark):
+    from tallyforge.operators import votes as vote_ops
+
+    df = spark.createDataFrame([("n", i % 3, 10 * i, i) for i in range(5)], "note_id string, raw_label_id int, confidence int, understanding int")
+    out = vote_ops.vote_features(df)
+    below = out._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+    assert "Aggregate" not in below
+    assert out.first().n_votes == 5
