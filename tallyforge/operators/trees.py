@@ -4,6 +4,9 @@ All trees of all forests and folds grow together.  A level takes two scans: the
 feature in every open node, from which each node draws cut points for some features, and the
 class counts on both sides of these cuts.  The driver keeps the best cut by Gini impurity.  What
 travels is bounded by trees, nodes and features.
+
+Rows that are alike in their label and a forest's features go the same way in all its trees, so they
+are counted by fold once and each scan reads them as one row with these numbers.
 """
 
 from __future__ import annotations
@@ -13,8 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.operators import fits
+from tallyforge.operators.relational import stable
 
 
 @dataclass(frozen=True)
@@ -83,6 +89,13 @@ def best_cut(found: Sequence[tuple[int, float]], left: np.ndarray, total: np.nda
     return int(score.argmin())
 
 
+def alike(f: fits.Fitted, features: Sequence[str]) -> DataFrame:
+    """(label, n, x): the rows that are equal in these, with their number in each fold; features that a forest doesn't use are 0 in ``x``."""
+    x = F.array(*[F.element_at("x", i + 1) if name in features else F.lit(0.0) for i, name in enumerate(f.names)])
+    n = F.array(*[F.count_if(F.col("outer") == i) for i in range(f.folds)])
+    return stable(f.rows.select("label", "outer", x.alias("x")).groupBy("label", "x").agg(n.alias("n")).select("label", "n", "x"))
+
+
 def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]:
     """Grows every forest on the training rows of every outer fold of ``f``."""
     per_label = fits.counted_left_out(f, [], False, (fits.CLASSES,), lambda y, _: np.bincount(y, minlength=fits.CLASSES).astype(float))
@@ -97,26 +110,33 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
                 counts = np.zeros((size, fits.CLASSES))
                 counts[0] = n
                 trees.append(Tree(k, fold, number, at, f.fills[fold][at], weight, np.full(size, -1), np.zeros(size), counts))
-    body = f.rows.select("label", "outer", "inner", "x")
+    for features in dict.fromkeys(x.features for x in forests):
+        _grow(alike(f, features), [t for t in trees if forests[t.forest].features == features], forests, seed)
+    return trees
 
-    def rows(batches: Iterator[pa.RecordBatch], nodes: list[list[int]], level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(tree, place of the open node, values, labels) of the rows in open nodes of its training part."""
+
+def _grow(body: DataFrame, trees: Sequence[Tree], forests: Sequence[Forest], seed: int) -> None:
+    """Grows the trees of one list of features on the rows of ``alike``."""
+
+    def rows(batches: Iterator[pa.RecordBatch], nodes: list[list[int]], level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(tree, place of the open node, values, labels, numbers) of the rows in open nodes of its training part."""
         for b in batches:
-            y, o, _, x = fits._arrays(b)
+            y, n, x = b.column(0).to_numpy(), fits._matrix(b.column(1)), fits._matrix(b.column(2))
+            taught = n.sum(axis=1, keepdims=True) - n
             seen: dict[tuple, np.ndarray] = {}
             for i, tree in enumerate(trees):
                 if nodes[i]:
                     key = (tree.fold, tree.columns.tobytes())
-                    use = o != tree.fold
+                    use, many = taught[:, tree.fold] > 0, taught[:, tree.fold]
                     if key not in seen:
                         seen[key] = tree.values(x[use])
                     place = np.full(len(tree.feature), -1)
                     place[nodes[i]] = np.arange(len(nodes[i]))
                     at = place[tree.node(seen[key], level)]
                     inside = at >= 0
-                    yield (i, at, seen[key], y[use]) if inside.all() else (i, at[inside], seen[key][inside], y[use][inside])
+                    yield (i, at, seen[key], y[use], many[use]) if inside.all() else (i, at[inside], seen[key][inside], y[use][inside], many[use][inside])
 
-    for level in range(max((x.depth for x in forests), default=0)):
+    for level in range(max((forests[t.forest].depth for t in trees), default=0)):
         first = 2**level - 1
         reached = lambda t: [n for n in range(first, 2 * first + 1) if (n == 0 or t.feature[(n - 1) // 2] >= 0) and t.counts[n].sum() >= 2 * forests[t.forest].leaf and (t.counts[n] > 0).sum() > 1]
         nodes = [reached(t) if level < forests[t.forest].depth else [] for t in trees]
@@ -125,7 +145,7 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
 
         def ranges(batches: Iterator[pa.RecordBatch], nodes: list = nodes, level: int = level) -> dict[int, np.ndarray]:
             found: dict[int, np.ndarray] = {}
-            for i, at, v, _ in rows(batches, nodes, level):
+            for i, at, v, _, _ in rows(batches, nodes, level):
                 mine = found.setdefault(i, np.full((len(nodes[i]), 2, v.shape[1]), np.inf))
                 if len(nodes[i]) > 1:
                     at = at.astype(np.int16 if len(nodes[i]) < 1 << 15 else np.int64)  # short numbers are sorted by radix
@@ -145,13 +165,13 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
 
         def sides(batches: Iterator[pa.RecordBatch], nodes: list = nodes, level: int = level, drawn: list = drawn, most: list = most) -> dict[int, np.ndarray]:
             found: dict[int, np.ndarray] = {}
-            for i, at, v, y in rows(batches, nodes, level):
+            for i, at, v, y, n in rows(batches, nodes, level):
                 mine = found.setdefault(i, np.zeros((len(nodes[i]), most[i], fits.CLASSES)))
                 for k in range(most[i]):
                     feature = np.array([d[k][0] if k < len(d) else 0 for d in drawn[i]])
                     cut = np.array([d[k][1] if k < len(d) else -np.inf for d in drawn[i]])
                     left = v[np.arange(len(v)), feature[at]] < cut[at]
-                    mine[:, k] += np.bincount(at[left] * fits.CLASSES + y[left], minlength=len(nodes[i]) * fits.CLASSES).reshape(-1, fits.CLASSES)
+                    mine[:, k] += np.bincount(at[left] * fits.CLASSES + y[left], n[left], len(nodes[i]) * fits.CLASSES).reshape(-1, fits.CLASSES)
             return {i: x.ravel() for i, x in found.items()}
 
         for i, s in enumerate(fits._summed(body, sides, len(trees))):
@@ -163,7 +183,6 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
                 if k is not None:
                     tree.feature[n], tree.cut[n] = found[k]
                     tree.counts[2 * n + 1], tree.counts[2 * n + 2] = left[k], tree.counts[n] - left[k]
-    return trees
 
 
 def probabilities(trees: Sequence[Tree], x: np.ndarray, depth: int) -> np.ndarray:
@@ -179,21 +198,23 @@ def probabilities(trees: Sequence[Tree], x: np.ndarray, depth: int) -> np.ndarra
 def confusions(f: fits.Fitted, forests: Sequence[Forest], trees: Sequence[Tree]) -> np.ndarray:
     """(outer fold, forest, truth, prediction) counts on the rows that the fold leaves out."""
     own = {(k, i): [t for t in trees if (t.forest, t.fold) == (k, i)] for k in range(len(forests)) for i in range(f.folds)}
-    shape = (len(forests), fits.CLASSES, fits.CLASSES)
+    shape = (f.folds, len(forests), fits.CLASSES, fits.CLASSES)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
-        found = np.zeros((folds, *shape))
+    def task(batches: Iterator[pa.RecordBatch], features: tuple[str, ...]) -> dict[int, np.ndarray]:
+        found = np.zeros(shape)
         for b in batches:
-            y, o, _, x = fits._arrays(b)
-            for i in np.unique(o):
-                use = o == i
+            y, n, x = b.column(0).to_numpy(), fits._matrix(b.column(1)), fits._matrix(b.column(2))
+            for i in range(shape[0]):
+                use = n[:, i] > 0
                 for k, forest in enumerate(forests):
-                    pred = probabilities(own[k, int(i)], x[use], forest.depth).argmax(axis=1)
-                    found[i, k] += np.bincount(y[use] * fits.CLASSES + pred, minlength=fits.CLASSES**2).reshape(fits.CLASSES, fits.CLASSES)
+                    if forest.features == features:
+                        pred = probabilities(own[k, i], x[use], forest.depth).argmax(axis=1)
+                        found[i, k] += np.bincount(y[use] * fits.CLASSES + pred, n[use, i], fits.CLASSES**2).reshape(fits.CLASSES, fits.CLASSES)
         return {0: found.ravel()}
 
-    folds = f.folds
-    return fits._summed(f.rows.select("label", "outer", "inner", "x"), task, 1)[0].reshape(folds, *shape)
+    views = dict.fromkeys(x.features for x in forests)
+    tables = [fits._summed(alike(f, x), lambda batches, x=x: task(batches, x), 1)[0] for x in views]
+    return sum((t.reshape(shape) for t in tables if t is not None), np.zeros(shape))
 
 
 def predict(f: fits.Fitted, forest: Forest, trees: Sequence[Tree]):

@@ -370,3 +370,24 @@ def test_votes_are_shuffled_and_not_the_sums_of_all_statistics(spark):
     below = out._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
     assert "Aggregate" not in below
     assert out.first().n_votes == 5
+
+
+def test_equal_rows_are_read_once(spark):
+    """Trees of a table whose rows are there four times, some gaps among them, scan its distinct rows and count every copy."""
+    y, x, outer, inner = data()
+    four = [np.concatenate([a] * 4) for a in (y, x, outer, inner)]
+    f = fit(spark, [], source=four, also=NAMES)
+    alike = trees.alike(f, NAMES).collect()
+    rows = {(int(a), *(None if np.isnan(z) else float(z) for z in b)) for a, b in zip(y, x, strict=True)}
+    assert len(alike) == len(rows) and sum(sum(r.n) for r in alike) == 4 * len(y)
+    forest = [trees.Forest("a", NAMES, 3, 3), trees.Forest("b", NAMES[:1], 2, 3)]
+    grown = trees.grow(f, forest)
+    table = trees.confusions(f, forest, grown)
+    o = four[2]
+    for k, tree in ((k, [t for t in grown if (t.forest, t.fold) == (k, 0)]) for k in (0, 1)):
+        pred = trees.probabilities(tree, four[1][o == 0], forest[k].depth).argmax(axis=1)
+        assert np.array_equal(table[0, k], np.bincount(four[0][o == 0] * 3 + pred, minlength=9).reshape(3, 3))
+        n = np.bincount(four[0][o != 0], minlength=3)
+        for t in tree:
+            node = t.node(t.values(four[1][o != 0]), forest[k].depth)
+            assert np.array_equal(t.counts[0], n) and all(np.array_equal(t.counts[i], np.bincount(four[0][o != 0][node == i], minlength=3)) for i in np.unique(node))
