@@ -152,9 +152,10 @@ TERMS = 80
 
 
 def reasons_and_texts(spark, d):
-    """Notes with their reasons, votes and the weights of the ``TERMS`` most frequent words of their text, and these words.
+    """Notes with their reasons, votes and the id of their text; texts as (__doc, weights v of the ``TERMS`` most frequent words); (doc_id, term, weight); these words.
 
-    A note's text is the document whose id is its key modulo the number of documents.
+    A note's text is the document whose id is its key modulo the number of documents.  Many notes have
+    one text, so its weights are not copied to them.
     """
     texts = v.texts(spark, d).select("doc_id", "text")
     n = texts.agg(F.max("doc_id").alias("n")).first()["n"]
@@ -162,9 +163,10 @@ def reasons_and_texts(spark, d):
     weights = stable(text_ops.tfidf(texts, "doc_id", words, features=TERMS))
     terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
     wide = weights.groupBy("doc_id").pivot("term", terms).agg(F.max("weight"))
-    wide = wide.select(F.col("doc_id").alias("__doc"), *[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"w_{t}") for t in terms])
+    wide = stable(wide.select(F.col("doc_id").alias("__doc"), F.array(*[F.coalesce(F.col(f"`{t}`"), F.lit(0.0)) for t in terms]).cast("array<double>").alias("v")))
     notes = labelled(spark, d).withColumn("__doc", F.col("note_key") % ((n if n is not None else 0) + 1))
-    return stable(notes.join(wide, "__doc", "left").drop("__doc").fillna(0.0)), [f"w_{t}" for t in terms]
+    notes = notes.fillna(0.0).select("note_id", "label", "__doc", *REASONS, *COUNTS, (F.col("share_h") > F.col("share_nh")).alias("helpful"))
+    return stable(notes), wide, weights, terms
 
 
 @query()
@@ -175,25 +177,27 @@ def reason_clusters(spark, d):
     helpful than not helpful votes, those of the other side among the rest.  Five examples of every cluster,
     however small, are its notes with the smallest hashes.
     """
-    df, words = reasons_and_texts(spark, d)
-    names = [*REASONS, *COUNTS, *words]
-    helpful = F.col("share_h") > F.col("share_nh")
-    out = None
-    for k, label in ((2, "HELPFUL"), (1, "NEEDS_MORE_RATINGS"), (0, "NOT_HELPFUL")):
-        part = df.where(F.col("label") == k)
-        placed = clusters.clustered(part, names, "note_id", range(2, 9))
-        size = F.count(F.lit(1))
-        sides = [F.coalesce(F.avg(F.when(on, F.col(w))), F.lit(0.0)).alias(f"{side}{w}") for side, on in (("h", helpful), ("n", ~helpful)) for w in words]
-        summary = placed.groupBy("cluster").agg(size.alias("n"), *[F.round(F.avg(x), 6).alias(f"mean_{x}") for x in COUNTS], *[F.avg(x).alias(x) for x in REASONS], *sides)
-        first = Window.partitionBy("cluster").orderBy(F.xxhash64("note_id"), "note_id")
-        five = placed.select("cluster", "note_id", F.row_number().over(first).alias("at")).where("at <= 5")
-        examples = five.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note_id"))), lambda x: x["note_id"]), ";").alias("examples"))
-        top = lambda side: F.regexp_replace(text_ops.top_terms([f"{side}{w}" for w in words], 5), rf"(^|;){side}w_", "$1")
-        total = part.agg(size.alias("t"))
-        summary = summary.join(examples, "cluster").crossJoin(F.broadcast(total))
-        summary = summary.select(F.lit(label).alias("label"), "cluster", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"), *[f"mean_{x}" for x in COUNTS], text_ops.top_terms(REASONS, 5).alias("top_reasons"), top("h").alias("helpful_terms"), top("n").alias("not_helpful_terms"), "examples")
-        out = summary if out is None else out.unionByName(summary)
-    return out
+    df, texts, weights, terms = reasons_and_texts(spark, d)
+    wide = {"shared": texts, "width": len(terms), "on": "__doc"} if terms else {}
+    placed = clusters.clustered(df, [*REASONS, *COUNTS], "note_id", range(2, 9), group="label", **wide)
+    # notes of one cluster, side and text are alike in their words, so these are weighed by the notes' number
+    cells = stable(placed.groupBy("label", "cluster", "helpful", "__doc").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in [*COUNTS, *REASONS]]))
+    by, size = ["label", "cluster"], F.sum("n")
+    summary = cells.groupBy(*by).agg(size.alias("n"), *[F.round(F.sum(x) / size, 6).alias(f"mean_{x}") for x in COUNTS], *[(F.sum(x) / size).alias(x) for x in REASONS])
+    side = F.when(F.col("helpful"), "h").otherwise("n")
+    sides = cells.groupBy(*by, "helpful").agg(size.alias("rows"))
+    sums = cells.join(weights, F.col("__doc") == F.col("doc_id")).groupBy(*by, "helpful", "term").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
+    columns = [f"{x}w_{t}" for x in "hn" for t in terms]
+    means = sums.join(sides, [*by, "helpful"]).select(*by, F.concat(side, F.lit("w_"), "term").alias("c"), (F.col("s") / F.col("rows")).alias("m"))
+    words = means.groupBy(*by).pivot("c", columns).agg(F.max("m"))
+    first = Window.partitionBy(*by).orderBy(F.xxhash64("note_id"), "note_id")
+    five = placed.select(*by, "note_id", F.row_number().over(first).alias("at")).where("at <= 5")
+    examples = five.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note_id"))), lambda x: x["note_id"]), ";").alias("examples"))
+    summary = summary.join(examples, by).join(words, by, "left").fillna(0.0, columns)
+    top = lambda x: F.regexp_replace(text_ops.top_terms([f"{x}w_{t}" for t in terms], 5), rf"(^|;){x}w_", "$1")
+    label = F.when(F.col("label") == 2, "HELPFUL").when(F.col("label") == 1, "NEEDS_MORE_RATINGS").otherwise("NOT_HELPFUL")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("label"))
+    return summary.select(label.alias("label"), "cluster", "n", F.round(share, 6).alias("share"), *[f"mean_{x}" for x in COUNTS], text_ops.top_terms(REASONS, 5).alias("top_reasons"), top("h").alias("helpful_terms"), top("n").alias("not_helpful_terms"), "examples")
 
 
 @query()

@@ -113,6 +113,45 @@ def test_clusters_of_a_table(spark):
     assert clusters.clustered(frame(spark, x[:0]), NAMES, "id", range(2, 6)).count() == 0
 
 
+def test_groups_and_shared_columns(spark):
+    """Groups in shared scans, with columns that rows share by a key, as each group alone with these columns in its rows."""
+    rng = np.random.default_rng(4)
+    texts = {t: [0.0, 0.25, v] for t, v in ((0, 3.0), (1, 0.0), (2, -3.0))}
+    rows = [(i, i % 3, int(rng.integers(0, 5)), float(rng.normal() + 8 * (i % 2))) for i in range(600)]
+    rows = [(i, g, t if t < 4 else None, a) for i, g, t, a in rows]  # texts 3 and null have no columns
+    df = spark.createDataFrame(rows, "id long, g int, t int, a double").repartition(4)
+    shared = spark.createDataFrame(list(texts.items()), "t int, v array<double>")
+    got = {r.id: r.cluster for r in clusters.clustered(df, ["a"], "id", range(2, 6), group="g", shared=shared, width=3, on="t").collect()}
+    assert len(got) == 600
+    wide = spark.createDataFrame([(i, g, a, *texts.get(t, [0.0] * 3)) for i, g, t, a in rows], "id long, g int, a double, w0 double, w1 double, w2 double")
+    for g in range(3):
+        alone = clusters.clustered(wide.where(F.col("g") == g), ["a", "w0", "w1", "w2"], "id", range(2, 6)).collect()
+        assert len({r.cluster for r in alone}) > 1 and {r.id: r.cluster for r in alone} == {i: c for i, c in got.items() if i % 3 == g}
+
+
+def test_repeated_keys(spark):
+    """Keys whose hashes all lie above the bound for samples."""
+    x = np.concatenate([np.zeros((12_000, 2)), np.full((9_000, 2), 5.0)])
+    df = frame(spark, x).withColumn("id", F.lit(1))
+    bound = int(2**64 * 1.2 * clusters.SAMPLE / len(x)) - (1 << 63)
+    if df.select(F.xxhash64("id").alias("h")).first()["h"] <= bound:
+        df = df.withColumn("id", F.lit(next(i for i in range(99) if spark.range(1).select(F.xxhash64(F.lit(i)).alias("h")).first()["h"] > bound)))
+    got = clusters.clustered(df, NAMES, "id", [2]).groupBy("a").agg(F.count_distinct("cluster").alias("k"), F.max("cluster").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(r.n for r in got) == [9_000, 12_000] and all(r.k == 1 for r in got)
+
+
+def test_classes_share_their_scans(spark, monkeypatch):
+    """All classes take a step in one scan, and no note carries the words of its text."""
+    from tallyforge.plans import models
+    from tests.conftest import DATA
+
+    scans, widths, real, placed = [], [], fits._summed, clusters.clustered
+    monkeypatch.setattr(fits, "_summed", lambda *a, **more: scans.append(1) or real(*a, **more))
+    monkeypatch.setattr(clusters, "clustered", lambda df, *a, **more: widths.append(len(df.columns)) or placed(df, *a, **more))
+    models.reason_clusters(spark, DATA)
+    assert len(scans) <= 25 and widths and max(widths) < models.TERMS
+
+
 def test_reason_clusters(spark):
     """Three classes, every note in a cluster, words of real texts by side, five examples of each cluster or all its notes."""
     from tallyforge.plans import registry
