@@ -4,7 +4,8 @@ Each task adds up what its rows contribute to every model (gradients and curvatu
 regressions, sums of clusters), sums meet in a shuffle by model that adds them as they come, and
 the driver makes the step.  A search of hundreds of models thus costs as many scans as its
 longest fit has steps.  What travels is bounded by the number of models and features, never by
-rows.  Models that see a row alike share its products, so that their sums are matrix products.
+rows.  Models that see a row alike share its products, so that their sums are matrix products; rows of a large
+table that are equal in the columns of some models are read as one with their number.
 Fits of a large table start from those of its hashed ``SAMPLE``; the steps to the optimum of all
 rows then take a few scans, each for gradients over every row.
 """
@@ -12,12 +13,12 @@ rows then take a few scans, each for gradients over every row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.relational import stable
@@ -116,6 +117,7 @@ class Fitted:
     models: dict[tuple[int, int, int], _Model]  # by candidate, outer and inner fold that are left out
     folds: int
     fills: list[np.ndarray]  # medians of all columns, by the outer fold that is left out
+    alike: dict[tuple[str, ...], DataFrame] = field(default_factory=dict)  # rows that are equal in some columns, as ``trees`` stores them
 
 
 def _design(x: np.ndarray, m: _Model) -> np.ndarray:
@@ -289,17 +291,31 @@ def _step_l1(slope: np.ndarray, curve: np.ndarray, w: np.ndarray, penalty: np.nd
     return d
 
 
-def _slopes(z: np.ndarray, t: np.ndarray, models: Sequence[_Model], curved: bool) -> np.ndarray:
+def seen(names: Sequence[str], features: Sequence[str]) -> Column:
+    """The columns of ``x``, with 0 in place of those that are not among ``features``."""
+    return F.array(*[F.element_at("x", i + 1) if name in features else F.lit(0.0) for i, name in enumerate(names)])
+
+
+def _repeated(body: DataFrame, names: Sequence[str], views: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
+    """For every list of columns the rows of ``body``; those that are equal in these are one with their number (a fifth column), where that at least halves them."""
+    folds = ["label", "outer", "inner"]
+    found = body.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.xxhash64(*folds, seen(names, v))).alias(f"v{i}") for i, v in enumerate(views)]).first()
+    return {v: stable(body.select(*folds, seen(names, v).alias("x")).groupBy(*folds, "x").agg(F.count(F.lit(1)).alias("many"))) if 2 * found[f"v{i}"] <= found["n"] else body for i, v in enumerate(views)}
+
+
+def _slopes(z: np.ndarray, t: np.ndarray, models: Sequence[_Model], curved: bool, many: np.ndarray | None = None) -> np.ndarray:
     """A row per model: gradient of the loss of some rows and, if ``curved``, its curvature.
 
     All models have the same design ``z`` and classes.  The curvature is a symmetric block for each
     class (support vectors) or pair of classes (regressions; the others follow), of which only the
-    upper half is summed.
+    upper half is summed.  ``many``: how many rows each column of ``z`` stands for (None: one).
     """
-    (d, n), k, many = z.shape, models[0].w.shape[1], len(models)
+    (d, n), k, size = z.shape, models[0].w.shape[1], len(models)
     own = (t == np.arange(k)[:, None]).astype(float)
     w = np.stack([m.weight for m in models])[:, None, t]
-    scores = (np.concatenate([m.w.T for m in models]) @ z).reshape(many, k, n)
+    if many is not None:
+        w = w * many
+    scores = (np.concatenate([m.w.T for m in models]) @ z).reshape(size, k, n)
     if models[0].kind == "svc":
         side = 2 * own - 1
         bend = 2 * np.array([m.c for m in models])[:, None, None] * w * (side * scores < 1)
@@ -308,11 +324,11 @@ def _slopes(z: np.ndarray, t: np.ndarray, models: Sequence[_Model], curved: bool
         p = _softmax(scores)
         rest = w * (p - own)
         bend = np.stack([w[:, 0] * p[:, a] * p[:, c] for a in range(k) for c in range(a + 1, k)], axis=1) if curved else None
-    slope = (rest.reshape(many * k, n) @ z.T).reshape(many, k * d)
+    slope = (rest.reshape(size * k, n) @ z.T).reshape(size, k * d)
     if not curved:
         return slope
     i, j = np.triu_indices(d)
-    return np.concatenate([slope, (bend.reshape(many * bend.shape[1], n) @ (z[i] * z[j]).T).reshape(many, bend.shape[1] * len(i))], axis=1)
+    return np.concatenate([slope, (bend.reshape(size * bend.shape[1], n) @ (z[i] * z[j]).T).reshape(size, bend.shape[1] * len(i))], axis=1)
 
 
 def _curvature(sums: np.ndarray, m: _Model) -> np.ndarray:
@@ -365,33 +381,40 @@ def _by_split(models: Sequence[_Model]) -> dict[tuple[int, int], list[list[int]]
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(labels, outer folds, inner folds, columns x rows) of some rows at a time."""
+    return (part[:4] for part in _counted(batches))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """What ``_chunks`` gives, and how many rows each of them stands for (None: one)."""
     for b in batches:
         y, o, n, x = _arrays(b)
+        many = b.column(4).to_numpy() if b.num_columns > 4 else None
         for at in range(0, len(y), CHUNK):
             part = slice(at, at + CHUNK)
-            yield y[part], o[part], n[part], np.ascontiguousarray(x[part].T)
+            yield y[part], o[part], n[part], np.ascontiguousarray(x[part].T), None if many is None else many[part]
 
 
-def _over_training_rows(models: Sequence[_Model], own: dict[tuple[int, int], list[list[int]]], batches: Iterator[pa.RecordBatch], sums: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray], wanted: set[int]) -> dict[int, np.ndarray]:
-    """What ``sums`` (design, classes, models that share them) adds up to for each wanted model over the rows that it learns from."""
+def _over_training_rows(models: Sequence[_Model], own: dict[tuple[int, int], list[list[int]]], batches: Iterator[pa.RecordBatch], sums: Callable[[np.ndarray, np.ndarray, list[int], np.ndarray | None], np.ndarray], wanted: set[int]) -> dict[int, np.ndarray]:
+    """What ``sums`` (design, classes, models that share them, numbers of rows) adds up to for each wanted model over the rows that it learns from."""
     found: dict[int, np.ndarray] = {}
-    for y, o, n, x in _chunks(batches):
+    for y, o, n, x, many in _counted(batches):
         for split, groups in own.items():
             live = [g for g in ([i for i in group if i in wanted] for group in groups) if g]
             if not live:
                 continue
             use = np.flatnonzero(_train(split, o, n))
             mine, labels = x[:, use], y[use]
+            times = None if many is None else many[use]
             designs: dict[tuple, np.ndarray] = {}
             for group in live:
                 m = models[group[0]]
                 z = designs.get(m.design)
                 if z is None:
                     z = designs[m.design] = _design(mine, m)
-                t = m.target[labels]
+                t, mult = m.target[labels], times
                 if t.min(initial=0) < 0:
-                    z, t = z[:, t >= 0], t[t >= 0]
-                for i, s in zip(group, sums(z, t, group), strict=True):
+                    z, t, mult = z[:, t >= 0], t[t >= 0], None if times is None else times[t >= 0]
+                for i, s in zip(group, sums(z, t, group, mult), strict=True):
                     found[i] = found[i] + s if i in found else s
     return found
 
@@ -407,9 +430,9 @@ def _newton(body: DataFrame, models: list[_Model], own: dict, rounds: int, times
     moving, kept = set(range(len(models))), set(curves)
     for _ in range(rounds if models else 0):
 
-        def sums(z: np.ndarray, t: np.ndarray, group: list[int], kept: frozenset[int] = frozenset(kept)) -> list[np.ndarray]:
+        def sums(z: np.ndarray, t: np.ndarray, group: list[int], many: np.ndarray | None, kept: frozenset[int] = frozenset(kept)) -> list[np.ndarray]:
             parts = [(curved, [i for i in group if (i not in kept) == curved]) for curved in (False, True)]
-            out = {i: s for curved, some in parts if some for i, s in zip(some, _slopes(z, t, [models[i] for i in some], curved), strict=True)}
+            out = {i: s for curved, some in parts if some for i, s in zip(some, _slopes(z, t, [models[i] for i in some], curved, many), strict=True)}
             return [out[i] for i in group]
 
         found = _summed(body, lambda batches: _over_training_rows(models, own, batches, sums, moving), len(models))
@@ -441,15 +464,15 @@ def _fit_sigmoids(body: DataFrame, models: list[_Model], own: dict, rows: dict[i
         n = rows[i]
         models[i].aims = np.stack([(n + 1) / (n + 2), 1 / (n.sum() - n + 2)])
 
-    def sums(z: np.ndarray, t: np.ndarray, group: list[int]) -> list[np.ndarray]:
-        return [one(z, t, models[i]) for i in group]
+    def sums(z: np.ndarray, t: np.ndarray, group: list[int], many: np.ndarray | None) -> list[np.ndarray]:
+        return [one(z, t, models[i], 1.0 if many is None else many) for i in group]
 
-    def one(z: np.ndarray, t: np.ndarray, m: _Model) -> np.ndarray:
+    def one(z: np.ndarray, t: np.ndarray, m: _Model, many: np.ndarray | float) -> np.ndarray:
         margin, own_rows = m.w.T @ z, t == np.arange(m.w.shape[1])[:, None]
         aim = np.where(own_rows, m.aims[0][:, None], m.aims[1][:, None])
         p = 1 / (1 + np.exp(np.clip(margin * m.sigmoid[0][:, None] + m.sigmoid[1][:, None], -500, 500)))
-        q = p * (1 - p)
-        return np.stack([(margin * (aim - p)).sum(axis=1), (aim - p).sum(axis=1), (margin * margin * q).sum(axis=1), (margin * q).sum(axis=1), q.sum(axis=1)]).ravel()
+        q, rest = many * p * (1 - p), many * (aim - p)
+        return np.stack([(margin * rest).sum(axis=1), rest.sum(axis=1), (margin * margin * q).sum(axis=1), (margin * q).sum(axis=1), q.sum(axis=1)]).ravel()
 
     for _ in range(rounds if wanted else 0):
         moved = 0.0
@@ -466,6 +489,20 @@ def _fit_sigmoids(body: DataFrame, models: list[_Model], own: dict, rows: dict[i
             break
 
 
+def _optimise(body: DataFrame, few: DataFrame | None, times: int, models: list[_Model], sizes: dict[int, np.ndarray], rounds: int) -> None:
+    """Moves models to the optimum over the rows, from that of a sample (``few``) if there is one, and fits their sigmoids."""
+    own, curves = _by_split(models), None
+    if few is not None:
+        lost, curves = _newton(few, models, own, rounds, times)
+        for i in lost:  # starts from nothing, with curvatures of its own
+            models[i].w = np.zeros_like(models[i].w)
+            curves.pop(i, None)
+    _newton(body, models, own, rounds, 1.0, curves)
+    if few is not None:
+        _fit_sigmoids(few, models, own, sizes)
+    _fit_sigmoids(body, models, own, sizes)
+
+
 def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Sequence[str], candidates: Sequence[Candidate], inner_folds: int, rounds: int = 12, also: Sequence[str] = ()) -> Fitted:
     """Fits every candidate without each outer fold and, inside it, without each inner fold.
 
@@ -499,19 +536,18 @@ def fit_candidates(df: DataFrame, key: str, label: str, outer: str, inner: Seque
                 waves = rng.normal(0, np.sqrt(2 / len(at)), (len(at), c.fourier)), rng.uniform(0, 2 * np.pi, c.fourier)
             sizes[len(models)] = n_k
             models[k, f, g] = _Model(f, g, at, c.kind, c.c, target, fill[at], mean[at], scale[at], weight, np.zeros(((c.fourier or len(at)) + 1, len(n_k))), waves)
-    many = list(models.values())
-    own = _by_split(many)
-    times, curves = int(max((n.sum() for n in sizes.values()), default=0)) // SAMPLE, None
-    if times > 1:
-        few = stable(rows.where(F.pmod(F.xxhash64("key"), F.lit(times)) == 0).select("label", "outer", "inner", "x").coalesce(df.sparkSession.sparkContext.defaultParallelism))
-        lost, curves = _newton(few, many, own, rounds, times)
-        for i in lost:  # starts from nothing, with curvatures of its own
-            many[i].w = np.zeros_like(many[i].w)
-            curves.pop(i, None)
-    _newton(body, many, own, rounds, 1.0, curves)
-    if times > 1:
-        _fit_sigmoids(few, many, own, sizes)
-    _fit_sigmoids(body, many, own, sizes)
+    times = int(max((n.sum() for n in sizes.values()), default=0)) // SAMPLE
+    few = stable(rows.where(F.pmod(F.xxhash64("key"), F.lit(times)) == 0).select("label", "outer", "inner", "x").coalesce(df.sparkSession.sparkContext.defaultParallelism)) if times > 1 else None
+    views = list(dict.fromkeys(tuple(sorted(set(c.features))) for c in candidates))
+    # rows with inner folds are hardly alike in all of these
+    bodies = dict.fromkeys(views, body) if inner or few is None else _repeated(body, names, views)
+    together: dict[int, tuple[DataFrame, list[int]]] = {}
+    for i, (k, _, _) in enumerate(models):
+        seen_by = bodies[tuple(sorted(set(candidates[k].features)))]
+        together.setdefault(id(seen_by), (seen_by, []))[1].append(i)
+    every_model = list(models.values())
+    for table, members in together.values():
+        _optimise(table, few, times, [every_model[i] for i in members], {j: sizes[i] for j, i in enumerate(members)}, rounds)
     return Fitted(rows, names, list(candidates), models, folds, [scaled[f, -1, every][1] for f in range(folds)])
 
 

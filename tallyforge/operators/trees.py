@@ -6,13 +6,19 @@ class counts on both sides of these cuts.  The driver keeps the best cut by Gini
 travels is bounded by trees, nodes and features.
 
 Rows that are alike in their label and a forest's features go the same way in all its trees, so they
-are counted by fold once and each scan reads them as one row with these numbers.
+are counted by fold once and each scan reads them as one row with these numbers.  A scan takes
+``BLOCK`` rows at a time, sorted by label, and hands the numbers of the rows in a node down to its
+children, so a tree reads of a row only the features that it asks for.
+
+Random forests (``grow_bagged``) choose among the bounds of ``BINS`` bins, one scan a level.  A tree's
+sample of the rows is a Poisson number for each, drawn from a hash of the row: equal in every scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +29,13 @@ from tallyforge.operators import fits
 from tallyforge.operators.relational import stable
 
 
+#: Rows that a task works on at a time, and bins of a feature in random forests.
+BLOCK, BINS = 1 << 15, 32
+
+
 @dataclass(frozen=True)
 class Forest:
-    """Extra trees to be tried: features, depth, least rows on each side of a cut."""
+    """Trees to be tried: features, depth, least rows on each side of a cut."""
 
     name: str
     features: tuple[str, ...]
@@ -90,14 +100,20 @@ def best_cut(found: Sequence[tuple[int, float]], left: np.ndarray, total: np.nda
 
 
 def alike(f: fits.Fitted, features: Sequence[str]) -> DataFrame:
-    """(label, n, x): the rows that are equal in these, with their number in each fold; features that a forest doesn't use are 0 in ``x``."""
-    x = F.array(*[F.element_at("x", i + 1) if name in features else F.lit(0.0) for i, name in enumerate(f.names)])
-    n = F.array(*[F.count_if(F.col("outer") == i) for i in range(f.folds)])
-    return stable(f.rows.select("label", "outer", x.alias("x")).groupBy("label", "x").agg(n.alias("n")).select("label", "n", "x"))
+    """(label, n, x, hash of label and x): the rows that are equal in these, with their number in each fold; features that a forest doesn't use are 0 in ``x``.
 
+    The table is stored once for all forests of these features.
+    """
+    key = tuple(sorted(features))
+    if key not in f.alike:
+        n = F.array(*[F.count_if(F.col("outer") == i) for i in range(f.folds)])
+        rows = f.rows.select("label", "outer", fits.seen(f.names, features).alias("x")).groupBy("label", "x").agg(n.alias("n"))
+        f.alike[key] = stable(rows.select("label", "n", "x", F.xxhash64("label", "x").alias("hash")))
+    return f.alike[key]
 
-def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]:
-    """Grows every forest on the training rows of every outer fold of ``f``."""
+
+def _planted(f: fits.Fitted, forests: Sequence[Forest]) -> list[Tree]:
+    """The roots of every forest on the training rows of every outer fold of ``f``."""
     per_label = fits.counted_left_out(f, [], False, (fits.CLASSES,), lambda y, _: np.bincount(y, minlength=fits.CLASSES).astype(float))
     trees: list[Tree] = []
     for k, forest in enumerate(forests):
@@ -110,68 +126,123 @@ def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]
                 counts = np.zeros((size, fits.CLASSES))
                 counts[0] = n
                 trees.append(Tree(k, fold, number, at, f.fills[fold][at], weight, np.full(size, -1), np.zeros(size), counts))
+    return trees
+
+
+def grow(f: fits.Fitted, forests: Sequence[Forest], seed: int = 1) -> list[Tree]:
+    """Grows every forest on the training rows of every outer fold of ``f``."""
+    trees = _planted(f, forests)
     for features in dict.fromkeys(x.features for x in forests):
         _grow(alike(f, features), [t for t in trees if forests[t.forest].features == features], forests, seed)
     return trees
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, numbers by fold, columns x rows, hashes) of some rows at a time, sorted by label."""
+    kept: list[pa.RecordBatch] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        y, n, x, hashes = (np.concatenate([read(b.column(i)) for b in kept]) for i, read in enumerate((pa.Array.to_numpy, fits._matrix, fits._matrix, pa.Array.to_numpy)))
+        order = np.argsort(y, kind="stable")
+        return y[order], n[order], np.ascontiguousarray(x[order].T), hashes[order].view(np.uint64)
+
+    for b in batches:
+        if b.num_rows:
+            kept.append(b)
+        if sum(x.num_rows for x in kept) >= BLOCK:
+            yield block()
+            kept = []
+    if kept:
+        yield block()
+
+
+def _taught(x: np.ndarray, n: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns x rows without gaps, numbers, places) of the rows of a block in the training part of a tree."""
+    many = n.sum(axis=1) - n[:, tree.fold]
+    use = np.flatnonzero(many > 0)
+    v = x[tree.columns][:, use]
+    return np.where(np.isnan(v), tree.fill[:, None], v), many[use].astype(float), use
+
+
+def _descend(tree: Tree, x: np.ndarray, nodes: Sequence[int], rows: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray | None]]:
+    """(place in ``nodes``, numbers of its rows in order) of the nodes that rows reach; None: all rows.  No node lies below another."""
+    wanted = {n: i for i, n in enumerate(nodes)}
+    above = set()
+    for n in nodes:
+        while n > 0:
+            n = (n - 1) // 2
+            above.add(n)
+    open_: list[tuple[int, np.ndarray | None]] = [(0, rows)]
+    while open_:
+        node, rows = open_.pop()
+        if node in wanted:
+            yield wanted[node], rows
+        elif node in above:
+            v = x[tree.feature[node]]
+            left = (v if rows is None else v[rows]) < tree.cut[node]
+            for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
+                if child in wanted or child in above:
+                    own = np.flatnonzero(side) if rows is None else rows[side]
+                    if len(own):
+                        open_.append((child, own))
+
+
+def _open(t: Tree, level: int, forest: Forest) -> list[int]:
+    """The nodes of a level that may be cut."""
+    first = 2**level - 1
+    return [n for n in range(first, 2 * first + 1) if (n == 0 or t.feature[(n - 1) // 2] >= 0) and t.counts[n].sum() >= 2 * forest.leaf and (t.counts[n] > 0).sum() > 1] if level < forest.depth else []
+
+
 def _grow(body: DataFrame, trees: Sequence[Tree], forests: Sequence[Forest], seed: int) -> None:
     """Grows the trees of one list of features on the rows of ``alike``."""
-
-    def rows(batches: Iterator[pa.RecordBatch], nodes: list[list[int]], level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(tree, place of the open node, values, labels, numbers) of the rows in open nodes of its training part."""
-        for b in batches:
-            y, n, x = b.column(0).to_numpy(), fits._matrix(b.column(1)), fits._matrix(b.column(2))
-            taught = n.sum(axis=1, keepdims=True) - n
-            seen: dict[tuple, np.ndarray] = {}
-            for i, tree in enumerate(trees):
-                if nodes[i]:
-                    key = (tree.fold, tree.columns.tobytes())
-                    use, many = taught[:, tree.fold] > 0, taught[:, tree.fold]
-                    if key not in seen:
-                        seen[key] = tree.values(x[use])
-                    place = np.full(len(tree.feature), -1)
-                    place[nodes[i]] = np.arange(len(nodes[i]))
-                    at = place[tree.node(seen[key], level)]
-                    inside = at >= 0
-                    yield (i, at, seen[key], y[use], many[use]) if inside.all() else (i, at[inside], seen[key][inside], y[use][inside], many[use][inside])
+    first = {t.fold: i for i, t in reversed(list(enumerate(trees)))}  # all trees of a fold have the same root
 
     for level in range(max((forests[t.forest].depth for t in trees), default=0)):
-        first = 2**level - 1
-        reached = lambda t: [n for n in range(first, 2 * first + 1) if (n == 0 or t.feature[(n - 1) // 2] >= 0) and t.counts[n].sum() >= 2 * forests[t.forest].leaf and (t.counts[n] > 0).sum() > 1]
-        nodes = [reached(t) if level < forests[t.forest].depth else [] for t in trees]
+        nodes = [_open(t, level, forests[t.forest]) for t in trees]
         if not any(nodes):
             break
 
         def ranges(batches: Iterator[pa.RecordBatch], nodes: list = nodes, level: int = level) -> dict[int, np.ndarray]:
             found: dict[int, np.ndarray] = {}
-            for i, at, v, _, _ in rows(batches, nodes, level):
-                mine = found.setdefault(i, np.full((len(nodes[i]), 2, v.shape[1]), np.inf))
-                if len(nodes[i]) > 1:
-                    at = at.astype(np.int16 if len(nodes[i]) < 1 << 15 else np.int64)  # short numbers are sorted by radix
-                    order = np.argsort(at, kind="stable")
-                    at, v = at[order], v[order]
-                own, starts = np.unique(at, return_index=True)
-                if len(own):
-                    mine[own, 0] = np.minimum(mine[own, 0], np.minimum.reduceat(v, starts))
-                    mine[own, 1] = np.minimum(mine[own, 1], -np.maximum.reduceat(v, starts))
+            for _, n, x, _ in _blocks(batches):
+                seen = {fold: _taught(x, n, trees[i])[0] for fold, i in first.items()}
+                for i, tree in enumerate(trees):
+                    v = seen[tree.fold]
+                    if not nodes[i] or not v.size or (level == 0 and i != first[tree.fold]):
+                        continue
+                    mine = found.setdefault(i, np.full((len(nodes[i]), 2, len(v)), np.inf))
+                    for at, rows in _descend(tree, v, nodes[i]):
+                        own = v if rows is None else v.take(rows, axis=1)
+                        mine[at] = np.minimum(mine[at], [own.min(axis=1), -own.max(axis=1)])
             return {i: x.ravel() for i, x in found.items()}
 
         drawn: list[list[list[tuple[int, float]]]] = []
-        for i, s in enumerate(fits._summed(body, ranges, len(trees), np.minimum)):
+        limits = fits._summed(body, ranges, len(trees), np.minimum)
+        for i, tree in enumerate(trees):
+            s = limits[first[tree.fold] if level == 0 and nodes[i] else i]
             bounds = s.reshape(len(nodes[i]), 2, -1) if s is not None else np.zeros((0, 2, 0))
-            drawn.append([draws(seed, trees[i], n, low, -high) for n, (low, high) in zip(nodes[i], bounds, strict=True)])
+            drawn.append([draws(seed, tree, n, low, -high) for n, (low, high) in zip(nodes[i], bounds, strict=False)])
         most = [max((len(x) for x in d), default=0) for d in drawn]
 
-        def sides(batches: Iterator[pa.RecordBatch], nodes: list = nodes, level: int = level, drawn: list = drawn, most: list = most) -> dict[int, np.ndarray]:
+        def sides(batches: Iterator[pa.RecordBatch], nodes: list = nodes, drawn: list = drawn, most: list = most) -> dict[int, np.ndarray]:
             found: dict[int, np.ndarray] = {}
-            for i, at, v, y, n in rows(batches, nodes, level):
-                mine = found.setdefault(i, np.zeros((len(nodes[i]), most[i], fits.CLASSES)))
-                for k in range(most[i]):
-                    feature = np.array([d[k][0] if k < len(d) else 0 for d in drawn[i]])
-                    cut = np.array([d[k][1] if k < len(d) else -np.inf for d in drawn[i]])
-                    left = v[np.arange(len(v)), feature[at]] < cut[at]
-                    mine[:, k] += np.bincount(at[left] * fits.CLASSES + y[left], n[left], len(nodes[i]) * fits.CLASSES).reshape(-1, fits.CLASSES)
+            for y, n, x, _ in _blocks(batches):
+                seen = {fold: _taught(x, n, trees[i]) for fold, i in first.items()}
+                ends = {fold: np.searchsorted(y[use], range(fits.CLASSES + 1)) for fold, (_, _, use) in seen.items()}
+                single = {fold: bool((many == 1).all()) for fold, (_, many, _) in seen.items()}
+                for i, tree in enumerate(trees):
+                    v, many, use = seen[tree.fold]
+                    if not nodes[i] or not len(use):
+                        continue
+                    mine = found.setdefault(i, np.zeros((len(nodes[i]), most[i], fits.CLASSES)))
+                    for at, rows in _descend(tree, v, nodes[i]):
+                        cut = ends[tree.fold] if rows is None else np.searchsorted(rows, ends[tree.fold])
+                        weight = None if single[tree.fold] else many if rows is None else many[rows]
+                        for k, (feature, c) in enumerate(drawn[i][at]):
+                            left = (v[feature] if rows is None else v[feature][rows]) < c
+                            for label in range(fits.CLASSES):
+                                part = slice(cut[label], cut[label + 1])
+                                mine[at, k, label] += np.count_nonzero(left[part]) if weight is None else left[part] @ weight[part]
             return {i: x.ravel() for i, x in found.items()}
 
         for i, s in enumerate(fits._summed(body, sides, len(trees))):
@@ -185,13 +256,171 @@ def _grow(body: DataFrame, trees: Sequence[Tree], forests: Sequence[Forest], see
                     tree.counts[2 * n + 1], tree.counts[2 * n + 2] = left[k], tree.counts[n] - left[k]
 
 
+@lru_cache(4096)
+def _poisson(n: int) -> tuple[int, np.ndarray]:
+    """(least number, chances of at most it and those after it) of a Poisson law of mean ``n``, as far as doubles tell."""
+    first = max(0, int(n - 10 * np.sqrt(n) - 10))
+    k = np.arange(first, int(n + 10 * np.sqrt(n) + 20))
+    log = k * np.log(n) - n - np.cumsum(np.log(np.maximum(np.arange(k[-1] + 1), 1)))[k]
+    return first, np.cumsum(np.exp(log))
+
+
+def bag(hashes: np.ndarray, many: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """How often a tree's sample has each row, ``many`` of which are alike: the sum of as many Poisson numbers of mean 1."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * (1 + number + 1009 * seed)) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    out = np.zeros(len(u))
+    order = np.argsort(many, kind="stable")
+    values, starts = np.unique(many[order], return_index=True)
+    for n, rows in zip(values, np.split(order, starts[1:])):
+        first, upto = _poisson(int(n))
+        out[rows] = first + np.searchsorted(upto[:-1], u[rows], "right")
+    return out
+
+
+def bounds(values: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Cut points between bins of about as many rows: midway between neighbouring values, between all of them if they are few."""
+    distinct, n = np.unique(values, return_counts=True)
+    middle = (distinct[:-1] + distinct[1:]) / 2
+    if len(distinct) <= bins:
+        return middle
+    upto = n.cumsum()[:-1]
+    return middle[np.unique(np.searchsorted(upto, len(values) * np.arange(1, bins) / bins).clip(0, len(middle) - 1))]
+
+
+def _sampled(f: fits.Fitted) -> tuple[np.ndarray, np.ndarray]:
+    """(outer folds, columns) of the rows that bins are cut by: all, or about ``fits.SAMPLE`` of a larger table by their hash."""
+    times = f.rows.count() // fits.SAMPLE
+    few = f.rows.where(F.pmod(F.xxhash64("key"), F.lit(times)) == 0) if times > 1 else f.rows
+    read = few.select("outer", "x").toArrow().combine_chunks()
+    return read.column(0).to_numpy(), np.concatenate([fits._matrix(c) for c in read.column(1).chunks if len(c)] or [np.zeros((0, len(f.names)))])
+
+
+def grow_bagged(f: fits.Fitted, forests: Sequence[Forest], seed: int = 42) -> list[Tree]:
+    """Grows random forests on the training rows of every outer fold: Poisson samples of the rows, the best of all bounds of a few features.
+
+    A forest of less depth is the upper part of a deeper one, so forests that differ in depth alone
+    are grown once.  As in Spark ML, leaves below a node that say the same class are one leaf.
+    """
+    outer, x = _sampled(f)
+    deepest = {}
+    for forest in forests:
+        alone = replace(forest, name="", depth=0)
+        deepest[alone] = max(forest.depth, deepest.get(alone, 0))
+    grown = [replace(alone, depth=depth) for alone, depth in deepest.items()]
+    trees = _planted(f, grown)
+    for features in dict.fromkeys(g.features for g in grown):
+        own = [t for t in trees if grown[t.forest].features == features]
+        cuts = {}
+        for t in own:
+            if t.fold not in cuts:
+                v = x[outer != t.fold][:, t.columns]
+                cuts[t.fold] = [bounds(c) for c in np.where(np.isnan(v), t.fill, v).T]
+        _grow_bagged(alike(f, features), own, grown, cuts, seed)
+    place = {alone: i for i, alone in enumerate(deepest)}
+    return [cropped(t, k, forest.depth) for k, forest in enumerate(forests) for t in trees if t.forest == place[replace(forest, name="", depth=0)]]
+
+
+def cropped(tree: Tree, forest: int, depth: int) -> Tree:
+    """The upper ``depth`` levels of a tree, without cuts whose leaves say the same class."""
+    size = 2 ** (depth + 1) - 1
+    feature = tree.feature[:size].copy()
+    feature[2**depth - 1 :] = -1
+    says = (tree.counts[:size] * tree.weight).argmax(axis=1)
+    for n in reversed(range(2**depth - 1)):
+        if feature[n] >= 0 and (feature[[2 * n + 1, 2 * n + 2]] < 0).all() and says[2 * n + 1] == says[2 * n + 2]:
+            feature[n] = -1
+    return replace(tree, forest=forest, feature=feature, cut=tree.cut[:size], counts=tree.counts[:size])
+
+
+def chosen(seed: int, tree: Tree, node: int) -> np.ndarray:
+    """The features that a node of a random forest may use: the root of all, rounded up."""
+    p = len(tree.columns)
+    return np.sort(np.random.default_rng([seed, tree.forest, tree.fold, tree.number, node]).permutation(p)[: int(np.ceil(np.sqrt(p)))])
+
+
+def best_bound(hist: np.ndarray, weight: np.ndarray, leaf: int) -> tuple[int, int] | None:
+    """(feature, bins on the left less one) of the bound with the least impurity on both sides of class counts (features, bins, classes)."""
+    left = hist.cumsum(axis=1)[:, :-1]
+    total = hist.sum(axis=1, keepdims=True)
+    right = total - left
+    allowed = (left.sum(axis=2) >= leaf) & (right.sum(axis=2) >= leaf)
+    score = np.where(allowed, np.round(gini(left, weight) + gini(right, weight), 9), np.inf)
+    at = int(score.argmin())
+    return divmod(at, score.shape[1]) if score.ravel()[at] < np.round(gini(total[0, 0], weight), 9) else None
+
+
+def _grow_bagged(body: DataFrame, trees: Sequence[Tree], forests: Sequence[Forest], cuts: dict[int, list[np.ndarray]], seed: int) -> None:
+    """Grows the trees of one list of features on the rows of ``alike`` with their hashes, between the cut points of each fold."""
+    first = {t.fold: t for t in reversed(trees)}
+    width = 1 + max((len(c) for own in cuts.values() for c in own if len(c)), default=1)
+    for level in range(max((forests[t.forest].depth for t in trees), default=0)):
+        # samples are counted by the first scan
+        nodes = [[0] if level == 0 and forests[t.forest].depth else _open(t, level, forests[t.forest]) for t in trees]
+        if not any(nodes):
+            break
+        asked = [[chosen(seed, t, n) for n in own] for t, own in zip(trees, nodes, strict=True)]
+
+        def count(batches: Iterator[pa.RecordBatch], nodes: list = nodes, asked: list = asked) -> dict[int, np.ndarray]:
+            found: dict[int, np.ndarray] = {}
+            by_fold: dict[int, list[int]] = {}
+            for i, t in enumerate(trees):
+                if nodes[i]:
+                    by_fold.setdefault(t.fold, []).append(i)
+            for y, n, x, hashes in _blocks(batches):
+                for fold, members in by_fold.items():
+                    v, many, use = _taught(x, n, first[fold])
+                    if not len(use):
+                        continue
+                    codes = np.stack([np.searchsorted(c, u, "left") for c, u in zip(cuts[fold], v, strict=True)]) * fits.CLASSES + y[use]
+                    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                    for i in members:
+                        tree = trees[i]
+                        if tree.number not in bags:
+                            times = bag(hashes[use], many, seed, tree.number)
+                            bags[tree.number] = times, np.flatnonzero(times)
+                        times, rows = bags[tree.number]
+                        mine = found.setdefault(i, np.zeros((len(nodes[i]), len(asked[i][0]), width * fits.CLASSES)))
+                        for at, own in _descend(tree, v, nodes[i], rows):
+                            weight = times[own]
+                            for k, feature in enumerate(asked[i][at]):
+                                mine[at, k] += np.bincount(codes[feature][own], weight, width * fits.CLASSES)
+            return {i: x.ravel() for i, x in found.items()}
+
+        for i, s in enumerate(fits._summed(body, count, len(trees))):
+            tree, leaf = trees[i], forests[trees[i].forest].leaf
+            for n, features, hist in zip(nodes[i], asked[i], s.reshape(len(nodes[i]), -1, width, fits.CLASSES) if s is not None else (), strict=False):
+                if n == 0:
+                    tree.counts[0] = hist[0].sum(axis=0)
+                best = best_bound(hist, tree.weight, leaf)
+                if best is not None:
+                    feature, upto = features[best[0]], best[1]
+                    # rows of a bin are at most its upper bound, and rows below the cut go left
+                    tree.feature[n], tree.cut[n] = feature, np.nextafter(cuts[tree.fold][feature][upto], np.inf)
+                    left = hist[best[0], : upto + 1].sum(axis=0)
+                    tree.counts[2 * n + 1], tree.counts[2 * n + 2] = left, tree.counts[n] - left
+
+
 def probabilities(trees: Sequence[Tree], x: np.ndarray, depth: int) -> np.ndarray:
-    """Mean class shares (by weight) of the leaves that rows reach."""
+    """Mean class shares (by weight) of the leaves (or nodes at ``depth``) that rows reach."""
     total = np.zeros((len(x), fits.CLASSES))
+    seen: dict[tuple, np.ndarray] = {}
     for tree in trees:
+        key = (tree.columns.tobytes(), tree.fill.tobytes())
+        if key not in seen:
+            seen[key] = np.ascontiguousarray(tree.values(x).T)
         share = tree.counts * tree.weight
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-        total += share[tree.node(tree.values(x), depth)]
+        leaves, below = [], [0]
+        while below:
+            n = below.pop()
+            inside = tree.feature[n] >= 0 and n < 2**depth - 1
+            below += [2 * n + 1, 2 * n + 2] if inside else []
+            leaves += [] if inside else [n]
+        for at, rows in _descend(tree, seen[key], leaves):
+            total[slice(None) if rows is None else rows] += share[leaves[at]]
     return total / max(len(trees), 1)
 
 
@@ -202,13 +431,13 @@ def confusions(f: fits.Fitted, forests: Sequence[Forest], trees: Sequence[Tree])
 
     def task(batches: Iterator[pa.RecordBatch], features: tuple[str, ...]) -> dict[int, np.ndarray]:
         found = np.zeros(shape)
-        for b in batches:
-            y, n, x = b.column(0).to_numpy(), fits._matrix(b.column(1)), fits._matrix(b.column(2))
+        for y, n, x, _ in _blocks(batches):
             for i in range(shape[0]):
                 use = n[:, i] > 0
+                mine = x[:, use].T
                 for k, forest in enumerate(forests):
                     if forest.features == features:
-                        pred = probabilities(own[k, i], x[use], forest.depth).argmax(axis=1)
+                        pred = probabilities(own[k, i], mine, forest.depth).argmax(axis=1)
                         found[i, k] += np.bincount(y[use] * fits.CLASSES + pred, n[use, i], fits.CLASSES**2).reshape(fits.CLASSES, fits.CLASSES)
         return {0: found.ravel()}
 

@@ -302,12 +302,13 @@ def all_kinds(df, at_once=4):
 
     grid = [(name, depth, leaf) for name in TREE_VIEWS for depth in DEPTHS for leaf in LEAVES]
     extra = [trees.Forest(f"extra_{name}_d{depth}_l{leaf}", views[name], depth, leaf) for name, depth, leaf in grid]
-    tables = trees.confusions(f, extra, trees.grow(f, extra)).sum(axis=0)
-    found += [(x.name, "extra", t) for x, t in zip(extra, tables, strict=True)]
-    ml = [search.Ensemble(f"rf_{name}_d{depth}_l{leaf}", views[name], "rf", depth, leaf) for name, depth, leaf in grid]
-    ml += [search.Ensemble("gbt_full_d2", views["full"], "gbt", 2, 3, 6)]
-    tables = search.ensemble_confusions(f, ml, at_once).sum(axis=0)
-    found += [(x.name, x.kind, t) for x, t in zip(ml, tables, strict=True)]
+    forests = [trees.Forest(f"rf_{name}_d{depth}_l{leaf}", views[name], depth, leaf) for name, depth, leaf in grid]
+    grown = [*trees.grow(f, extra), *(replace(t, forest=len(extra) + t.forest) for t in trees.grow_bagged(f, forests))]
+    tables = trees.confusions(f, [*extra, *forests], grown).sum(axis=0)
+    found += [(x.name, x.name.split("_")[0], t) for x, t in zip([*extra, *forests], tables, strict=True)]
+    boosted = [search.Ensemble("gbt_full_d2", views["full"], "gbt", 2, 3, 6)]
+    tables = search.ensemble_confusions(f, boosted, at_once).sum(axis=0)
+    found += [(x.name, x.kind, t) for x, t in zip(boosted, tables, strict=True)]
 
     tables = search.disagreement_confusions(df, "label", F.col("share_h"), F.col("h_nh_margin"), c.entropy([F.col("share_h"), 1 - F.col("share_h")], 1e-6), MARGINS, ENTROPIES, CUTS)
     found += [(f"rule_m{m}_e{e}_h{h}", "rule", tables[i, j, k]) for i, m in enumerate(MARGINS) for j, e in enumerate(ENTROPIES) for k, h in enumerate(CUTS)]

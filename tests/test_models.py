@@ -391,3 +391,98 @@ def test_equal_rows_are_read_once(spark):
         for t in tree:
             node = t.node(t.values(four[1][o != 0]), forest[k].depth)
             assert np.array_equal(t.counts[0], n) and all(np.array_equal(t.counts[i], np.bincount(four[0][o != 0][node == i], minlength=3)) for i in np.unique(node))
+
+
+def test_fits_read_equal_rows_once(spark, monkeypatch):
+    """A large table whose rows are often equal in a model's columns is scanned by its distinct rows, to the same weights and sigmoids."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    y = np.arange(n) % 3
+    x = np.round(rng.normal(size=(n, 3)) + y[:, None] * [[1.2, 0.4, 0.0]])
+    x[:, 2] += rng.random(n)
+    x[rng.random(n) < 0.1, 1] = np.nan
+    source = y, x, (np.arange(n) // 3) % FOLDS, np.zeros(n, int)
+    candidates = [fits.Candidate("few", "v", ("a", "b"), 0.3, "balanced"), fits.Candidate("svc", "v", ("b", "a"), 1.0, "balanced", "svc", fourier=6), fits.Candidate("head", "v", ("a", "b"), 1.0, target=search.HELPFUL), fits.Candidate("all", "v", NAMES, 1.0)]
+    plain = fit(spark, candidates, source=source, rounds=60)
+    scans, newton = [], fits._newton
+
+    def counted(body, *more):
+        scans.append(body.count())
+        return newton(body, *more)
+
+    monkeypatch.setattr(fits, "SAMPLE", 500)
+    monkeypatch.setattr(fits, "_newton", counted)
+    got = fit(spark, candidates, source=source, rounds=60)
+    distinct = {(int(a), int(b), *(None if np.isnan(v) else v for v in r)) for a, b, r in zip(y, source[2], x[:, :2])}
+    assert sorted(scans)[-1] == n and len(distinct) in scans and len(distinct) < n / 4
+    for key, m in plain.models.items():
+        other = got.models[key]
+        assert np.allclose(m.w[:-1] - m.w[:-1].mean(axis=1, keepdims=True), other.w[:-1] - other.w[:-1].mean(axis=1, keepdims=True), rtol=0, atol=2e-5), key
+        assert m.kind != "svc" or np.allclose(m.sigmoid, other.sigmoid, atol=1e-3)
+
+
+def test_one_random_forest_against_recursion(spark):
+    """Every cut is the best bound of the node's features on the tree's own sample; a forest of less depth is the upper part."""
+    y, x, outer, inner = data()
+    four = [np.concatenate([a] * 2) for a in (y, x, outer, inner)]
+    f = fit(spark, [], source=four, also=NAMES)
+    forests = [trees.Forest("deep", NAMES, 4, 5, trees=3), trees.Forest("flat", NAMES, 1, 5, trees=3), trees.Forest("other", NAMES[:2], 2, 3, trees=1, balanced=False)]
+    grown = trees.grow_bagged(f, forests, seed=7)
+    assert [(t.forest, t.fold, t.number) for t in grown] == [(k, i, j) for k, g in enumerate(forests) for i in range(FOLDS) for j in range(g.trees)]
+    rows = sorted(trees.alike(f, NAMES).collect(), key=lambda r: r.label)
+    label, n, hashes = (np.array([r[i] for r in rows]) for i in ("label", "n", "hash"))
+    values = np.array([r.x for r in rows])
+    for tree in (t for t in grown if t.forest == 0):
+        many = n.sum(axis=1) - n[:, tree.fold]
+        use = many > 0
+        v, t = tree.values(values[use]), label[use]
+        times = trees.bag(hashes[use].view(np.uint64), many[use], 7, tree.number)
+        assert 0.8 < times.sum() / many.sum() < 1.2
+        all_rows = tree.values(four[1][four[2] != tree.fold])
+        bounds = [trees.bounds(c) for c in all_rows.T]
+        counts = lambda part: np.bincount(t[part], times[part], 3)
+
+        def check(node, part, depth):
+            assert np.array_equal(tree.counts[node], counts(part))
+            best = None
+            if depth < 4:
+                for j in trees.chosen(7, tree, node):
+                    for cut in bounds[j]:
+                        left, right = part[v[part, j] <= cut], part[v[part, j] > cut]
+                        if min(times[left].sum(), times[right].sum()) >= 5:
+                            score = round(float(trees.gini(counts(left), tree.weight) + trees.gini(counts(right), tree.weight)), 9)
+                            if (best is None or score < best[0]) and score < round(float(trees.gini(counts(part), tree.weight)), 9):
+                                best = (score, j, left, right)
+            if tree.feature[node] < 0:
+                # no cut, or one below which all leaves say the same
+                return {int((tree.counts[node] * tree.weight).argmax())}
+            assert tree.feature[node] == best[1]
+            says = check(2 * node + 1, best[2], depth + 1) | check(2 * node + 2, best[3], depth + 1)
+            assert len(says) > 1
+            return says
+
+        check(0, np.arange(len(t)), 0)
+        flat = next(u for u in grown if u.forest == 1 and (u.fold, u.number) == (tree.fold, tree.number))
+        assert len(flat.counts) == 3 and np.array_equal(flat.counts, tree.counts[:3])
+    table = trees.confusions(f, forests, grown)
+    assert table.sum() == 3 * 2 * N and np.trace(table[:, 0].sum(axis=0)) > N
+
+
+def test_random_forests_classify_as_spark_ml(spark):
+    y, x, outer, inner = data(gaps=False)
+    f = fit(spark, [], source=(y, x, outer, inner), also=NAMES)
+    own = [trees.Forest("d3", NAMES, 3, 3), trees.Forest("d6", NAMES, 6, 3)]
+    got = trees.confusions(f, own, trees.grow_bagged(f, own)).sum(axis=0)
+    ml = search.ensemble_confusions(f, [search.Ensemble(g.name, NAMES, "rf", g.depth, g.leaf) for g in own]).sum(axis=0)
+    assert all(abs(np.trace(a) - np.trace(b)) < 0.05 * N for a, b in zip(got, ml, strict=True))
+
+
+def test_samples_of_equal_rows_are_sums_of_samples():
+    """Poisson numbers of n equal rows have mean and variance n, and are the same in every scan."""
+    hashes = np.random.default_rng(1).integers(0, 2**63, 40000).astype(np.uint64)
+    for n in (1, 3, 400, 100000):
+        k = trees.bag(hashes, np.full(len(hashes), n), 42, 3)
+        assert abs(k.mean() / n - 1) < 0.02 and abs(k.var() / n - 1) < 0.05
+        assert np.array_equal(k[:100], trees.bag(hashes[:100], np.full(100, n), 42, 3))
+    assert not np.array_equal(k, trees.bag(hashes, np.full(len(hashes), n), 42, 4))
+    assert np.array_equal(trees.bounds(np.array([3.0, 1.0, 1.0, 2.0])), [1.5, 2.5]) and len(trees.bounds(np.arange(1000.0))) == trees.BINS - 1 and len(trees.bounds(np.ones(5))) == 0
