@@ -1,7 +1,7 @@
 """One search over models of different kinds on the same folds.
 
-Linear models and heads come from the shared scans of ``fits``, extra trees from ``trees``.
-Forests and boosting are Spark ML's: each (candidate, fold) is a Spark job of its own, a bounded
+Linear models and heads come from the shared scans of ``fits``, extra trees and random forests of a
+search over large tables from those of ``trees``.  Ensembles here are Spark ML's: each (candidate, fold) is a Spark job of its own, a bounded
 number of them at a time.  Rules without a fit are counted in one aggregation.  Whatever the
 kind, a candidate is scored by its confusion table on the rows that its fits left out, and these
 tables are all that comes to the driver.
